@@ -37,10 +37,10 @@ RISK_LEVELS = ("none", "low", "medium", "high")
 
 
 def risk_level(score) -> Column:
-    """Descriptive level: 0, 1-39, 40-69, 70 and over."""
+    """Descriptive level: 0, 1-39, 40-69, 70 and over; no level without a score."""
     score = F.col(score) if isinstance(score, str) else score
     none, low, medium, high = RISK_LEVELS
-    return F.when(score == 0, none).when(score < 40, low).when(score < 70, medium).otherwise(high)
+    return F.when(score == 0, none).when(score < 40, low).when(score < 70, medium).when(score >= 70, high)
 
 
 def event_class(alerts: Column, score: Column) -> Column:
