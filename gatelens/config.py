@@ -169,6 +169,8 @@ class Policy:
     def __post_init__(self):
         if self.slice_seconds < 2 * self.burst_seconds:
             raise ValueError("slice_seconds must be at least twice burst_seconds")
+        if self.slice_seconds % 60:
+            raise ValueError("slice_seconds must be a whole number of minutes, the key of the brute-force rule")
 
 
 DEFAULT_POLICY = Policy()

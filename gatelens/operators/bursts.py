@@ -1,68 +1,118 @@
-"""Greedy choice of non-overlapping burst windows.
-
-Walking through a user's qualifying anchors in time order, an anchor is taken when it lies more than ``burst_seconds``
-after the last one taken. The walk is sequential, but its only memory is the last anchor taken, and that matters only
-for ``burst_seconds``. So the anchors are cut into time slices and walked in three steps:
-
-1. per slice, for each anchor that could be the first one taken there (those within ``burst_seconds`` of the slice's
-   start, and the first one after), the last anchor that walk would take;
-2. per user, a walk over the slices that looks up those answers and so finds where each slice really starts;
-3. per slice again, the walk from that start.
-
-No step sees more of one user than one slice's anchors, or one short list per active slice.
-"""
+"""Bursts: counting failures ahead of each failure, and the greedy choice of non-overlapping burst windows."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gatelens.config import DEFAULT_POLICY, Policy
+from gatelens.functions.predicates import is_failed
 from gatelens.functions.timeparts import seconds, slice_start
 
 
+def failure_moments(events: DataFrame) -> DataFrame:
+    """Failures folded to one row per user and instant, with what an alert needs to know about them."""
+    return (
+        events.filter(is_failed())
+        .groupBy("user_id", "ts")
+        .agg(
+            F.count("*").alias("failures"),
+            F.max("risk_score").alias("max_risk"),
+            F.min(F.struct("event_id", "country", "resource")).alias("first"),
+        )
+    )
+
+
+def burst_windows(moments: DataFrame, policy: Policy = DEFAULT_POLICY) -> DataFrame:
+    """Adds what lies in the closed range from each moment to ``burst_seconds`` later.
+
+    ``window_failures``, ``window_last`` (time of the last failure) and ``window_max_risk``. The axis is cut into cells
+    as long as the range, so a range covers the rest of its own cell and the beginning of the next one. Each moment is
+    therefore copied into the cell before its own, and every value is a running aggregate inside a cell: sums as a
+    difference of two running sums, the maximum as the larger of a maximum from the cell's end and one from the next
+    cell's start. No frame is scanned twice, however dense the failures are.
+    """
+    reach = policy.burst_seconds
+    copied = (
+        moments.withColumn("home", slice_start("ts", reach))
+        .withColumn("cell", F.explode(F.array("home", F.col("home") - seconds(reach))))
+        .withColumn("own", F.col("cell") == F.col("home"))
+        .withColumn("own_risk", F.when(F.col("own"), F.col("max_risk")))
+        .withColumn("next_risk", F.when(~F.col("own"), F.col("max_risk")))
+    )
+    up_to = "OVER (PARTITION BY user_id, cell ORDER BY ts RANGE BETWEEN UNBOUNDED PRECEDING AND"
+    until_end = f"{up_to} INTERVAL '{reach}' SECOND FOLLOWING)"
+    before_start = f"{up_to} INTERVAL '0.000001' SECOND PRECEDING)"
+    from_cell_end = Window.partitionBy("user_id", "cell").orderBy(F.desc("ts"))
+    return (
+        copied.withColumn("failures_until_end", F.expr(f"sum(failures) {until_end}"))
+        .withColumn("failures_before", F.coalesce(F.expr(f"sum(failures) {before_start}"), F.lit(0)))
+        .withColumn("window_last", F.expr(f"max(ts) {until_end}"))
+        .withColumn("next_max", F.expr(f"max(next_risk) {until_end}"))
+        .withColumn("own_max", F.max("own_risk").over(from_cell_end))
+        .filter("own")
+        .withColumn("window_failures", F.col("failures_until_end") - F.col("failures_before"))
+        .withColumn("window_max_risk", F.greatest("own_max", "next_max"))
+        .drop("home", "cell", "own", "own_risk", "next_risk", "failures_until_end", "failures_before", "own_max", "next_max")
+    )
+
+
 def pick_bursts(anchors: DataFrame, policy: Policy = DEFAULT_POLICY) -> DataFrame:
-    """``(user_id, burst_start)`` for anchors ``(user_id, slice, ts)`` with distinct ``ts`` per user."""
+    """The anchors taken by a greedy walk; ``anchors`` has distinct ``(user_id, ts)`` and any further columns.
+
+    Walking through a user's anchors in time order, an anchor is taken when it lies more than ``burst_seconds`` after
+    the last one taken. The walk is sequential, but its only memory is the last anchor taken, and that matters only for
+    ``burst_seconds``. So the anchors are cut into time slices and walked in three steps:
+
+    1. per slice, for each anchor that could be the first one taken there (those within ``burst_seconds`` of the
+       slice's start, and the first one after), the last anchor that a walk from it takes;
+    2. per user, a walk over the slices that looks these answers up and so finds where each slice really starts;
+    3. per slice again, the walk from that start.
+
+    No step sees more of one user than one slice's anchors, or one short list per active slice.
+    """
     reach = seconds(policy.burst_seconds)
+    columns = [c for c in anchors.columns if c not in ("user_id", "ts")]
+    per_slice = (
+        anchors.withColumn("slice", slice_start("ts", policy.slice_seconds))
+        .groupBy("user_id", "slice")
+        .agg(F.array_sort(F.collect_list(F.struct("ts", *columns))).alias("anchors"))
+    )
 
-    def last_taken(moments, start):
-        return F.aggregate(moments, start, lambda last, ts: F.when(ts > last + reach, ts).otherwise(last))
+    def last_taken(anchors, start):
+        return F.aggregate(anchors, start, lambda last, a: F.when(a["ts"] > last + reach, a["ts"]).otherwise(last))
 
-    def all_taken(moments, start):
+    def all_taken(anchors, start):
+        from_start = F.filter(anchors, lambda a: a["ts"] >= start)
         return F.aggregate(
-            moments,
-            F.array(start),
-            lambda taken, ts: F.when(ts > F.element_at(taken, -1) + reach, F.concat(taken, F.array(ts))).otherwise(taken),
+            from_start,
+            F.slice(from_start, 1, 1),
+            lambda taken, a: F.when(
+                a["ts"] > F.element_at(taken, -1)["ts"] + reach, F.concat(taken, F.array(a))
+            ).otherwise(taken),
         )
 
-    per_slice = anchors.groupBy("user_id", "slice").agg(F.array_sort(F.collect_list("ts")).alias("moments"))
-
     near_edge = F.col("slice") + reach
     candidates = F.concat(
-        F.filter("moments", lambda ts: ts <= near_edge),
-        F.slice(F.filter("moments", lambda ts: ts > near_edge), 1, 1),
+        F.filter("anchors", lambda a: a["ts"] <= near_edge),
+        F.slice(F.filter("anchors", lambda a: a["ts"] > near_edge), 1, 1),
     )
     answers = per_slice.select(
         "user_id",
         "slice",
         F.transform(
-            candidates, lambda ts: F.struct(ts.alias("start"), last_taken(F.col("moments"), ts).alias("last"))
+            candidates,
+            lambda a: F.struct(a["ts"].alias("start"), last_taken(F.col("anchors"), a["ts"]).alias("last")),
         ).alias("answers"),
     )
 
-    def next_answer(step, state):
-        allowed = F.filter(
-            step["answers"], lambda a: state["last"].isNull() | (a["start"] > state["last"] + reach)
-        )
-        return F.get(allowed, F.lit(0))
-
     def advance(state, step):
-        found = next_answer(step, state)
+        allowed = F.filter(step["answers"], lambda a: state["last"].isNull() | (a["start"] > state["last"] + reach))
+        found = F.get(allowed, F.lit(0))
         return F.struct(
             F.coalesce(found["last"], state["last"]).alias("last"),
             F.concat(
-                state["starts"],
-                F.array(F.struct(step["slice"].alias("slice"), found["start"].alias("start"))),
+                state["starts"], F.array(F.struct(step["slice"].alias("slice"), found["start"].alias("start")))
             ).alias("starts"),
         )
 
@@ -76,13 +126,14 @@ def pick_bursts(anchors: DataFrame, policy: Policy = DEFAULT_POLICY) -> DataFram
         .select("user_id", "s.slice", "s.start")
         .filter(F.col("start").isNotNull())
     )
-    return per_slice.join(starts, ["user_id", "slice"]).select(
-        "user_id", F.explode(all_taken(F.col("moments"), F.col("start"))).alias("burst_start")
+    taken = per_slice.join(starts, ["user_id", "slice"]).select(
+        "user_id", F.explode(all_taken(F.col("anchors"), F.col("start"))).alias("a")
     )
+    return taken.select("user_id", "a.*")
 
 
-def within_bursts(moments: DataFrame, bursts: DataFrame, policy: Policy = DEFAULT_POLICY) -> DataFrame:
-    """Rows of ``moments`` (``user_id``, ``ts``, ...) that lie in a burst, with its ``burst_start``.
+def within_bursts(rows: DataFrame, bursts: DataFrame, policy: Policy = DEFAULT_POLICY) -> DataFrame:
+    """Rows (``user_id``, ``ts``, ...) that lie in one of ``bursts`` (``user_id``, ``burst_start``).
 
     A burst covers at most two cells of ``burst_seconds``, so the range condition becomes an equality on the cell.
     """
@@ -91,7 +142,7 @@ def within_bursts(moments: DataFrame, bursts: DataFrame, policy: Policy = DEFAUL
         "user_id", "burst_start", F.explode(F.array("first_cell", F.col("first_cell") + reach)).alias("cell")
     )
     return (
-        moments.withColumn("cell", slice_start("ts", policy.burst_seconds))
+        rows.withColumn("cell", slice_start("ts", policy.burst_seconds))
         .join(placed, ["user_id", "cell"])
         .filter((F.col("ts") >= F.col("burst_start")) & (F.col("ts") <= F.col("burst_start") + reach))
         .drop("cell")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gatelens.session import shared_dir
+
 MAX_BROADCAST_ROWS = 100_000
 
 
@@ -17,6 +19,14 @@ def broadcast_if_small(table: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) ->
     return F.broadcast(table) if fits else table
 
 
+def materialised(table: DataFrame) -> DataFrame:
+    """Run the plan once and keep its rows in the shared checkpoint folder."""
+    context = table.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(shared_dir(table.sparkSession))
+    return table.checkpoint()
+
+
 def on_watchlist(events: DataFrame, watchlist: DataFrame, column: str, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
     """Events whose ``column`` is in the one-column table ``watchlist``."""
     names = watchlist.select(F.col(watchlist.columns[0]).alias(column)).distinct()

@@ -33,7 +33,8 @@ def with_running_totals(rows: DataFrame, measures: dict[str, str]) -> DataFrame:
             for name in measures
         ],
     )
-    in_second = Window.partitionBy("_second").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    # Rows at one position, such as an event and a marker for it, are summed together.
+    in_second = Window.partitionBy("_second").orderBy("ts", "event_id")
     summed = placed.select("*", *[F.sum(source).over(in_second).alias(f"_in_{name}") for name, source in measures.items()])
     return summed.join(offsets, "_second").select(
         *rows.columns, *[(F.col(f"_before_{name}") + F.col(f"_in_{name}")).alias(name) for name in measures]

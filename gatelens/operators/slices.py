@@ -25,7 +25,7 @@ from gatelens.functions.timeparts import elapsed_seconds, seconds, slice_start
 SLICE = ["user_id", "slice"]
 
 
-def _in_order():
+def in_slice_order():
     return Window.partitionBy(*SLICE).orderBy("ts", "event_id")
 
 
@@ -34,24 +34,25 @@ def with_slice(df: DataFrame, policy: Policy = DEFAULT_POLICY) -> DataFrame:
 
 
 def slice_history(events: DataFrame, policy: Policy = DEFAULT_POLICY) -> DataFrame:
-    """One row per user and active slice: ``events_before`` the slice and ``user_events`` over all slices."""
-    counts = with_slice(events.select("user_id", "ts"), policy).groupBy(*SLICE).agg(F.count("*").alias("n"))
+    """One row per user and active slice: ``slice_events``, ``events_before`` the slice and ``user_events`` in all."""
+    counts = with_slice(events.select("user_id", "ts"), policy).groupBy(*SLICE).agg(F.count("*").alias("slice_events"))
     by_user = Window.partitionBy("user_id")
     before = by_user.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     return counts.select(
         *SLICE,
-        F.coalesce(F.sum("n").over(before), F.lit(0)).alias("events_before"),
-        F.sum("n").over(by_user).alias("user_events"),
+        "slice_events",
+        F.coalesce(F.sum("slice_events").over(before), F.lit(0)).alias("events_before"),
+        F.sum("slice_events").over(by_user).alias("user_events"),
     )
 
 
 def with_ordinal(events: DataFrame, policy: Policy = DEFAULT_POLICY) -> DataFrame:
     """Adds ``ordinal`` (1-based position in the user's history), ``user_events`` (its length) and ``slice``."""
-    ranked = with_slice(events, policy).withColumn("rank_in_slice", F.row_number().over(_in_order()))
+    ranked = with_slice(events, policy).withColumn("rank_in_slice", F.row_number().over(in_slice_order()))
     return (
         ranked.join(slice_history(events, policy), SLICE)
         .withColumn("ordinal", F.col("rank_in_slice") + F.col("events_before"))
-        .drop("rank_in_slice", "events_before")
+        .drop("rank_in_slice", "events_before", "slice_events")
     )
 
 
@@ -70,7 +71,7 @@ def with_recent_failures(events: DataFrame, policy: Policy = DEFAULT_POLICY) ->
         .withColumn("own", F.col("slice") == F.col("home"))
         .withColumn("failure", is_failed().cast("long"))
     )
-    so_far = _in_order().rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    so_far = in_slice_order().rowsBetween(Window.unboundedPreceding, Window.currentRow)
     too_old = F.expr(
         "sum(failure) OVER (PARTITION BY user_id, slice ORDER BY ts"
         f" RANGE BETWEEN UNBOUNDED PRECEDING AND INTERVAL '{policy.burst_seconds}.000001' SECOND PRECEDING)"
@@ -85,48 +86,6 @@ def with_recent_failures(events: DataFrame, policy: Policy = DEFAULT_POLICY) ->
     )
 
 
-def with_history(events: DataFrame, policy: Policy = DEFAULT_POLICY) -> DataFrame:
-    """``trailing_failures`` and ``ordinal`` from one pass over the events."""
-    return (
-        with_recent_failures(events, policy)
-        .join(slice_history(events, policy), SLICE)
-        .withColumn("ordinal", F.col("rank_in_slice") + F.col("events_before"))
-        .drop("rank_in_slice", "events_before", "slice")
-    )
-
-
-def failure_moments(events: DataFrame) -> DataFrame:
-    """Failures folded to one row per user and instant, with what an alert needs to know about them."""
-    return (
-        events.filter(is_failed())
-        .groupBy("user_id", "ts")
-        .agg(
-            F.count("*").alias("failures"),
-            F.max("risk_score").alias("max_risk"),
-            F.min(F.struct("event_id", "country", "resource")).alias("first"),
-        )
-    )
-
-
-def failures_ahead(moments: DataFrame, policy: Policy = DEFAULT_POLICY) -> DataFrame:
-    """Adds ``window_failures``: failures in the closed range from this instant to ``burst_seconds`` later."""
-    reaches_back = F.col("ts") < F.col("home") + seconds(policy.burst_seconds)
-    earlier = F.col("home") - seconds(policy.slice_seconds)
-    copied = moments.withColumn("home", slice_start("ts", policy.slice_seconds)).withColumn(
-        "slice", F.explode(F.when(reaches_back, F.array("home", earlier)).otherwise(F.array("home")))
-    )
-    over = "OVER (PARTITION BY user_id, slice ORDER BY ts RANGE BETWEEN UNBOUNDED PRECEDING AND"
-    until_end = F.expr(f"sum(failures) {over} INTERVAL '{policy.burst_seconds}' SECOND FOLLOWING)")
-    before_start = F.expr(f"sum(failures) {over} INTERVAL '0.000001' SECOND PRECEDING)")
-    return (
-        copied.withColumn("until_end", until_end)
-        .withColumn("before_start", F.coalesce(before_start, F.lit(0)))
-        .filter("slice = home")
-        .withColumn("window_failures", F.col("until_end") - F.col("before_start"))
-        .drop("home", "until_end", "before_start")
-    )
-
-
 def with_previous_failure(events: DataFrame, policy: Policy = DEFAULT_POLICY) -> DataFrame:
     """Failures with ``previous_ts``, the user's failure before, and ``gap_seconds`` since then."""
     failures = with_slice(events.filter(is_failed()), policy)
@@ -135,7 +94,7 @@ def with_previous_failure(events: DataFrame, policy: Policy = DEFAULT_POLICY) ->
         *SLICE, F.lag("slice_last").over(Window.partitionBy("user_id").orderBy("slice")).alias("carried_ts")
     )
     return (
-        failures.withColumn("lag_ts", F.lag("ts").over(_in_order()))
+        failures.withColumn("lag_ts", F.lag("ts").over(in_slice_order()))
         .join(carried, SLICE)
         .withColumn("previous_ts", F.coalesce("lag_ts", "carried_ts"))
         .withColumn("gap_seconds", elapsed_seconds(F.col("previous_ts"), F.col("ts")).cast("double"))

@@ -124,9 +124,10 @@ _SCORED = f"""{_EVENTS}, trail AS (
 _RECORD = """min(ts) AS first_event, max(ts) AS last_event, first(country ORDER BY ts, event_id) AS country,
          first(resource ORDER BY ts, event_id) AS resource, max(risk_score) AS max_risk_score, count(*) AS event_count"""
 
-_BATCH = f"""{_EVENTS}, moments AS (SELECT user_id, ts, count(*) AS failures FROM fail GROUP BY user_id, ts
+_BATCH = f"""{_EVENTS}, moments AS (SELECT user_id, ts, count(*) AS failures, max(risk_score) AS max_risk FROM fail GROUP BY user_id, ts
 ), windows AS (
-  SELECT a.user_id, a.ts, a.failures, CAST(sum(b.failures) AS BIGINT) AS window_failures
+  SELECT a.user_id, a.ts, a.failures, CAST(sum(b.failures) AS BIGINT) AS window_failures, max(b.ts) AS window_last,
+         max(b.max_risk) AS window_max_risk
   FROM moments a JOIN moments b ON b.user_id = a.user_id AND b.ts BETWEEN a.ts AND a.ts + INTERVAL 120 SECOND
   GROUP BY a.user_id, a.ts, a.failures
 ), anchors AS (SELECT user_id, ts FROM windows WHERE window_failures > 10
@@ -435,7 +436,7 @@ ORDER BY first_event DESC, alert_type, user_id, country LIMIT 5""",
     "detection_rate": f"""{_BATCH} SELECT (SELECT count(*) FROM al) AS total_alerts, (SELECT count(*) FROM ev) AS total_events,
        {_ratio('100 * (SELECT count(*) FROM al)', '(SELECT count(*) FROM ev)', 2)} AS alert_rate""",
     # Windows
-    "failure_windows": f"{_BATCH} SELECT user_id, ts, failures, window_failures FROM windows",
+    "failure_windows": f"{_BATCH} SELECT user_id, ts, failures, window_failures, window_last, window_max_risk FROM windows",
     "trailing_failures": f"{_SCORED} SELECT event_id, user_id, ts, trailing_failures FROM scored",
     "history_split": f"""{_BATCH} SELECT event_id, user_id, ordinal, user_events, ordinal <= user_events // 2 AS in_baseline
 FROM ranked""",

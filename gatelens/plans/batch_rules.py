@@ -12,34 +12,40 @@ from gatelens.config import DEFAULT_POLICY, Policy
 from gatelens.functions.numbers import percent
 from gatelens.functions.predicates import at_night, from_suspicious_country, is_failed, on_sensitive_resource
 from gatelens.functions.text import two_digits
-from gatelens.functions.timeparts import day_of, elapsed_seconds
+from gatelens.functions.timeparts import day_of, elapsed_seconds, slice_start
 from gatelens.operators.alert_record import record_aggregates, to_alert
-from gatelens.operators.bursts import pick_bursts, within_bursts
-from gatelens.operators.slices import failure_moments, failures_ahead, with_ordinal
+from gatelens.operators.bursts import burst_windows, failure_moments, pick_bursts, within_bursts
+from gatelens.operators.lookups import broadcast_if_small, materialised
+from gatelens.operators.slices import SLICE, slice_history, with_ordinal, with_slice
 
 
 def brute_force_bursts(events: DataFrame, policy: Policy = DEFAULT_POLICY) -> DataFrame:
-    """``(user_id, burst_start)`` of the chosen windows with more than ``batch_burst_over`` failures."""
-    anchors = failures_ahead(failure_moments(events).select("user_id", "ts", "failures"), policy)
-    return pick_bursts(anchors.filter(F.col("window_failures") > policy.batch_burst_over), policy)
+    """The chosen windows with more than ``batch_burst_over`` failures, each with its alert record."""
+    anchors = burst_windows(failure_moments(events), policy).filter(F.col("window_failures") > policy.batch_burst_over)
+    record = anchors.select(
+        "user_id",
+        "ts",
+        F.col("first.country").alias("country"),
+        F.col("first.resource").alias("resource"),
+        "window_last",
+        "window_max_risk",
+        "window_failures",
+    )
+    return pick_bursts(record, policy)
 
 
 def brute_force(events: DataFrame, policy: Policy = DEFAULT_POLICY) -> DataFrame:
-    moments = failure_moments(events)
-    records = (
-        within_bursts(moments, brute_force_bursts(events, policy), policy)
-        .groupBy("user_id", "burst_start")
-        .agg(
-            F.min(
-                F.struct("ts", "first.event_id", F.col("first.country").alias("country"), F.col("first.resource").alias("resource"))
-            ).alias("first"),
-            F.max("ts").alias("last_event"),
-            F.max("max_risk").alias("max_risk_score"),
-            F.sum("failures").alias("event_count"),
-        )
+    records = brute_force_bursts(events, policy).select(
+        "user_id",
+        F.struct("ts", "country", "resource").alias("first"),
+        F.col("window_last").alias("last_event"),
+        F.col("window_max_risk").alias("max_risk_score"),
+        F.col("window_failures").alias("event_count"),
     )
     duration = F.bround(elapsed_seconds(F.col("first.ts"), F.col("last_event")), 0).cast("long")
-    detail = F.concat(F.col("event_count").cast("string"), F.lit(" failed attempts in "), duration.cast("string"), F.lit(" seconds"))
+    detail = F.concat(
+        F.col("event_count").cast("string"), F.lit(" failed attempts in "), duration.cast("string"), F.lit(" seconds")
+    )
     return to_alert(records, config.BRUTE_FORCE, detail)
 
 
@@ -96,15 +102,37 @@ def history_halves(events: DataFrame, policy: Policy = DEFAULT_POLICY) -> DataFr
 
 
 def new_sensitive_resources(events: DataFrame, policy: Policy = DEFAULT_POLICY) -> DataFrame:
-    """Sensitive resources a user reached in the second half of the history and never in the first."""
-    used = history_halves(events.select("event_id", "ts", "user_id", "country", "resource", "risk_score"), policy)
-    return (
-        used.filter(on_sensitive_resource(policy))
+    """Sensitive resources a user reached in the second half of the history and never in the first.
+
+    A resource is new if the user's first access to it comes after the first half. Its position in the history is known
+    to within one time slice from the slice counts, which settles nearly all cases without ordering any events. Only
+    where the middle of the history lies in the slice of the first access are that slice's events counted one by one.
+    """
+    uses = (
+        events.filter(on_sensitive_resource(policy))
         .groupBy("user_id", F.col("resource").alias("used"))
-        .agg(*record_aggregates(), F.count_if("in_baseline").alias("baseline_uses"))
-        .filter(F.col("baseline_uses") == 0)
-        .drop("baseline_uses")
+        .agg(*record_aggregates())
+        .withColumn("slice", slice_start("first.ts", policy.slice_seconds))
+    )
+    half = F.floor(F.col("user_events") / 2)
+    placed = uses.join(slice_history(events, policy), SLICE).withColumn("early_events", half - F.col("events_before"))
+    # ``early_events``: how many of the slice's events belong to the first half, if positive.
+    open_cases = materialised(placed.filter(F.col("early_events") < F.col("slice_events")))
+    decided = open_cases.filter(F.col("early_events") <= 0)
+    undecided = open_cases.filter(F.col("early_events") > 0)
+
+    position = F.struct("ts", "event_id")
+    points = undecided.select(*SLICE, "used", F.struct("first.ts", "first.event_id").alias("point"))
+    not_later = (
+        with_slice(events.select("user_id", "ts", "event_id"), policy)
+        .join(broadcast_if_small(points), SLICE)
+        .filter(position <= F.col("point"))
+        .groupBy(*SLICE, "used")
+        .agg(F.count("*").alias("rank_in_slice"))
     )
+    late = undecided.join(not_later, [*SLICE, "used"]).filter(F.col("rank_in_slice") > F.col("early_events"))
+    columns = ["user_id", "used", "first", "last_event", "max_risk_score", "event_count"]
+    return decided.select(*columns).unionByName(late.select(*columns))
 
 
 def compromised_account(events: DataFrame, policy: Policy = DEFAULT_POLICY) -> DataFrame:
@@ -156,7 +184,8 @@ def all_alerts(events: DataFrame, policy: Policy = DEFAULT_POLICY, include_slow:
 
 def alert_evidence(events: DataFrame, policy: Policy = DEFAULT_POLICY) -> DataFrame:
     """The failed events behind each brute-force alert."""
-    return within_bursts(events.filter(is_failed()), brute_force_bursts(events, policy), policy)
+    bursts = brute_force_bursts(events, policy).select("user_id", F.col("ts").alias("burst_start"))
+    return within_bursts(events.filter(is_failed()), bursts, policy)
 
 
 def detection_rate(events: DataFrame, alerts: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from gatelens.functions.scoring import event_class, score_band
 from gatelens.functions.text import feed_time, fixed_width, short_time, spaced, visible_ip
 from gatelens.functions.timeparts import ts_text
 from gatelens.plans.enrichment import enrich
-from gatelens.plans.stream_rules import contextual_risk, events_with_alerts, running_kpis, stream_alerts
+from gatelens.plans.stream_rules import any_alert, events_with_alerts, fired_alerts, with_feed_totals
 
 ROLES = ("admin", "analyst")
 
@@ -68,46 +68,32 @@ def feed_lines(events: DataFrame, policy: Policy = DEFAULT_POLICY) -> DataFrame:
     )
 
 
-def enriched_per_event(alerts: DataFrame, policy: Policy = DEFAULT_POLICY) -> DataFrame:
-    """``(event_id, alerts)`` with enriched alerts in rule order."""
-    enriched = enrich(alerts, policy, keep=("event_id", "rule_order")).drop("colour")
-    fields = [c for c in enriched.columns if c not in ("event_id", "rule_order")]
-    listed = F.array_sort(F.collect_list(F.struct("rule_order", F.struct(*fields).alias("alert"))))
-    return enriched.groupBy("event_id").agg(F.transform(listed, lambda a: a["alert"]).alias("alerts"))
-
-
-def feed_record(role: str):
-    """The JSON text of a feed row that has totals, score and alerts."""
-    return F.to_json(
-        F.struct(
-            "total_events",
-            "total_alerts",
-            "rate",
-            "user_id",
-            "country",
-            "resource",
-            "status",
-            ts_text("ts").alias("timestamp"),
-            "score",
-            visible_ip(F.lit(role), F.size("alerts") > 0, "ip_address").alias("ip"),
-            "alerts",
-        ),
-        {"ignoreNullFields": "false"},
-    )
+RECORD = ["total_events", "total_alerts", "rate", "user_id", "country", "resource", "status", "timestamp", "score", "ip"]
+
 
+def feed_records(totalled: DataFrame, role: str, policy: Policy = DEFAULT_POLICY) -> DataFrame:
+    """``(event_id, record)`` from detected events with totals.
 
-def assemble_feed(scored: DataFrame, alerts: DataFrame, totals: DataFrame, role: str, policy: Policy = DEFAULT_POLICY) -> DataFrame:
-    per_event = enriched_per_event(alerts, policy)
-    empty = F.array().cast(per_event.schema["alerts"].dataType)
-    joined = (
-        scored.join(per_event, "event_id", "left")
-        .withColumn("alerts", F.coalesce("alerts", empty))
-        .join(totals.select("event_id", "total_events", "total_alerts", "rate"), "event_id")
+    Events without alerts, nearly all of them, are rendered as they come. Only those with alerts go through the
+    enrichment and are put together again per event.
+    """
+    rows = totalled.withColumn("timestamp", ts_text("ts")).withColumn(
+        "ip", visible_ip(F.lit(role), any_alert(), "ip_address")
+    )
+    about = F.struct(*RECORD).alias("about")
+    loud = fired_alerts(rows.filter(any_alert()).withColumn("about", about), policy)
+    enriched = enrich(loud, policy, keep=("event_id", "rule_order", "about")).drop("colour")
+    fields = [c for c in enriched.columns if c not in ("event_id", "rule_order", "about")]
+    listed = F.array_sort(F.collect_list(F.struct("rule_order", F.struct(*fields).alias("alert"))))
+    with_alerts = enriched.groupBy("event_id").agg(
+        F.any_value("about").alias("about"), F.transform(listed, lambda a: a["alert"]).alias("alerts")
     )
-    return joined.select("event_id", feed_record(role).alias("record"))
+    none = F.array().cast(with_alerts.schema["alerts"].dataType).alias("alerts")
+    quiet = rows.filter(~any_alert()).select("event_id", about, none)
+    record = F.to_json(F.struct(*[F.col(f"about.{c}").alias(c) for c in RECORD], "alerts"), {"ignoreNullFields": "false"})
+    return quiet.unionByName(with_alerts).select("event_id", record.alias("record"))
 
 
-def feed_json(events: DataFrame, role: str = "admin", policy: Policy = DEFAULT_POLICY) -> DataFrame:
-    """``(event_id, record)`` for a whole table."""
-    alerts = stream_alerts(events, policy)
-    return assemble_feed(contextual_risk(events, policy), alerts, running_kpis(events, alerts), role, policy)
+def feed_json(detected: DataFrame, role: str = "admin", policy: Policy = DEFAULT_POLICY) -> DataFrame:
+    """The feed of a whole table of detected events."""
+    return feed_records(with_feed_totals(detected), role, policy)

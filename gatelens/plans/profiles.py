@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gatelens.config import DEFAULT_POLICY, Policy
-from gatelens.operators.slices import with_ordinal
+from gatelens.operators.slices import SLICE, with_ordinal, with_slice
 
 
 def _first_seen(events: DataFrame, value, name: str) -> DataFrame:
@@ -20,12 +20,18 @@ def _first_seen(events: DataFrame, value, name: str) -> DataFrame:
 
 
 def user_profile(events: DataFrame, policy: Policy = DEFAULT_POLICY) -> DataFrame:
-    """Per event: first and latest event time so far, and the countries and hours seen so far."""
-    columns = events.select("event_id", "ts", "user_id", "country")
-    spans = columns.groupBy("user_id").agg(F.min("ts").alias("first_event"))
+    """Per event: first and latest event time so far, and the countries and hours seen so far.
+
+    What is known about a user is attached to the user's time slices, and events meet it there, so a very active user's
+    events stay spread over many tasks.
+    """
+    columns = with_slice(events.select("event_id", "ts", "user_id", "country"), policy)
+    slices = columns.groupBy(*SLICE).agg(F.min("ts").alias("slice_first"))
     about = (
-        spans.join(_first_seen(columns, F.col("country"), "countries"), "user_id", "left")
+        slices.withColumn("first_event", F.min("slice_first").over(Window.partitionBy("user_id")))
+        .join(_first_seen(columns, F.col("country"), "countries"), "user_id", "left")
         .join(_first_seen(columns, F.hour("ts"), "hours"), "user_id", "left")
+        .drop("slice_first")
     )
     here = F.struct("ts", "event_id")
 
@@ -33,7 +39,7 @@ def user_profile(events: DataFrame, policy: Policy = DEFAULT_POLICY) -> DataFram
         seen = F.filter(name, lambda s: s["first"] <= here)
         return F.array_sort(F.transform(seen, lambda s: s["value"]))
 
-    return columns.join(about, "user_id").select(
+    return columns.join(about, SLICE).select(
         "event_id",
         "user_id",
         "first_event",

@@ -1,7 +1,7 @@
 """The stream rules in window form: the alerts that event-by-event processing gives, from one pass over a table.
 
-The streaming job in :mod:`gatelens.streaming` produces the same features per event and shares everything from
-:func:`candidate_alerts` on.
+:func:`detect` gives every event its history features, its score and one flag per rule that fires on it. The streaming
+job produces rows of the same form, so everything after :func:`detect` serves both.
 """
 
 from __future__ import annotations
@@ -15,11 +15,12 @@ from gatelens.functions import scoring
 from gatelens.functions.numbers import percent_text
 from gatelens.functions.predicates import at_night, from_suspicious_country, on_sensitive_resource
 from gatelens.functions.text import two_digits
-from gatelens.functions.timeparts import ts_text
+from gatelens.functions.timeparts import day_of, seconds, slice_start
 from gatelens.operators.running import with_running_totals
-from gatelens.operators.slices import with_history, with_recent_failures
+from gatelens.operators.slices import SLICE, in_slice_order, slice_history, with_recent_failures
 
 CONTEXT = ["event_id", "ts", "user_id", "ip_address", "country", "status", "resource"]
+FLAGS = {rule: rule.lower() for rule in config.STREAM_RULE_ORDER}
 
 
 def contextual_score(policy: Policy = DEFAULT_POLICY) -> Column:
@@ -34,116 +35,155 @@ def contextual_risk(events: DataFrame, policy: Policy = DEFAULT_POLICY) -> DataF
     )
 
 
-def scored_events(events: DataFrame, policy: Policy = DEFAULT_POLICY) -> DataFrame:
-    """Events with ``trailing_failures``, ``ordinal`` and ``score``."""
-    return with_history(events.select(*CONTEXT), policy).withColumn("score", contextual_score(policy))
+def first_uses(events: DataFrame, policy: Policy = DEFAULT_POLICY) -> DataFrame:
+    """Per user and slice, the sensitive accesses that are a user's first for some rule key.
+
+    Keys are the country, the day and the resource, so a slice's list is bounded by the watch lists. The first access
+    per key is a partial aggregate over the sensitive accesses alone.
+    """
+    keyed = events.filter(on_sensitive_resource(policy)).select(
+        "user_id",
+        F.struct("ts", "event_id").alias("at"),
+        F.explode(
+            F.array_compact(
+                F.array(
+                    F.when(
+                        from_suspicious_country(policy),
+                        F.struct(F.lit(config.SUSPICIOUS_COUNTRY).alias("rule"), F.col("country").alias("key")),
+                    ),
+                    F.when(
+                        at_night(policy),
+                        F.struct(F.lit(config.OFF_HOURS).alias("rule"), day_of("ts").cast("string").alias("key")),
+                    ),
+                    F.struct(F.lit(config.COMPROMISED_ACCOUNT).alias("rule"), F.col("resource").alias("key")),
+                )
+            )
+        ).alias("k"),
+    )
+    firsts = keyed.groupBy("user_id", "k").agg(F.min("at").alias("first"))
+    return (
+        firsts.withColumn("slice", slice_start("first.ts", policy.slice_seconds))
+        .groupBy(*SLICE)
+        .agg(F.collect_list(F.struct("k.rule", "first.event_id")).alias("firsts"))
+    )
 
 
-def candidate_alerts(scored: DataFrame, policy: Policy = DEFAULT_POLICY, rules=config.STREAM_RULE_ORDER) -> DataFrame:
-    """One row per event and rule whose condition holds, with the key that the rule fires once for.
+def detect(events: DataFrame, policy: Policy = DEFAULT_POLICY) -> DataFrame:
+    """Every event with ``trailing_failures``, ``ordinal``, ``score`` and one flag per rule that fires on it.
 
-    For the compromised-account rule every sensitive access is a candidate: whether the first one came late enough is
-    decided on that first one.
+    The events are shuffled once, on ``(user_id, slice)``. A brute-force alert fires on the first event of a clock
+    minute with too many recent failures, which lies within a slice; for the other rules the first event per key comes
+    with the slice from :func:`first_uses`.
     """
-    sensitive = on_sensitive_resource(policy)
-    conditions = {
-        config.BRUTE_FORCE: (F.col("trailing_failures") > policy.stream_burst_over, F.substring(ts_text("ts"), 1, 16)),
-        config.SUSPICIOUS_COUNTRY: (from_suspicious_country(policy) & sensitive, F.col("country")),
-        config.OFF_HOURS: (at_night(policy) & sensitive, F.substring(ts_text("ts"), 1, 10)),
-        config.COMPROMISED_ACCOUNT: (sensitive, F.col("resource")),
+    over = F.col("trailing_failures") > policy.stream_burst_over
+    minute = F.col("ts") - F.make_dt_interval(secs=F.extract(F.lit("SECOND"), "ts"))
+    earlier = in_slice_order().rowsBetween(Window.unboundedPreceding, -1)
+    last_over = F.max(F.when(over, F.col("ts"))).over(earlier)
+    recent = (
+        with_recent_failures(events.select(*CONTEXT), policy)
+        .withColumn("last_over", last_over)
+        .withColumn(FLAGS[config.BRUTE_FORCE], over & (F.col("last_over").isNull() | (F.col("last_over") < minute)))
+    )
+    slices = slice_history(events, policy).join(first_uses(events, policy), SLICE, "left")
+    placed = recent.join(slices, SLICE).withColumn("ordinal", F.col("rank_in_slice") + F.col("events_before"))
+
+    def is_first(rule):
+        listed = F.exists("firsts", lambda f: (f["rule"] == rule) & (f["event_id"] == F.col("event_id")))
+        return F.coalesce(listed, F.lit(False))
+
+    return placed.select(
+        *CONTEXT,
+        "trailing_failures",
+        "ordinal",
+        FLAGS[config.BRUTE_FORCE],
+        is_first(config.SUSPICIOUS_COUNTRY).alias(FLAGS[config.SUSPICIOUS_COUNTRY]),
+        is_first(config.OFF_HOURS).alias(FLAGS[config.OFF_HOURS]),
+        (is_first(config.COMPROMISED_ACCOUNT) & (F.col("ordinal") > policy.baseline_events)).alias(
+            FLAGS[config.COMPROMISED_ACCOUNT]
+        ),
+        contextual_score(policy).alias("score"),
+    )
+
+
+def alert_details(policy: Policy = DEFAULT_POLICY) -> dict[str, Column]:
+    """The text of each rule's alert on a detected event."""
+    reached = F.concat(F.lit("Access to "), F.col("resource"))
+    return {
+        config.BRUTE_FORCE: F.concat(
+            F.col("trailing_failures").cast("string"), F.lit(f" failures within {policy.burst_seconds} seconds")
+        ),
+        config.SUSPICIOUS_COUNTRY: F.concat(reached, F.lit(" from "), F.col("country")),
+        config.OFF_HOURS: F.concat(reached, F.lit(" at "), two_digits(F.hour("ts")), F.lit(":00")),
+        config.COMPROMISED_ACCOUNT: F.concat(
+            F.lit("First access to "), F.col("resource"), F.lit(" after "), F.col("ordinal").cast("string"), F.lit(" events")
+        ),
     }
-    tests = [
+
+
+def alerts_array(policy: Policy = DEFAULT_POLICY, rules=config.STREAM_RULE_ORDER) -> Column:
+    """The alerts of a detected event in rule order; empty if no rule fires."""
+    details = alert_details(policy)
+    fired = [
         F.when(
-            conditions[rule][0],
+            F.col(FLAGS[rule]),
             F.struct(
                 F.lit(config.STREAM_RULE_ORDER.index(rule) + 1).alias("rule_order"),
                 F.lit(rule).alias("alert_type"),
-                conditions[rule][1].alias("fired_key"),
+                details[rule].alias("detail"),
             ),
         )
         for rule in rules
     ]
-    return scored.withColumn("rule", F.explode(F.array_compact(F.array(*tests)))).select("*", "rule.*").drop("rule")
+    return F.array_compact(F.array(*fired))
 
 
-def first_per_key(candidates: DataFrame, policy: Policy = DEFAULT_POLICY) -> DataFrame:
-    """The earliest candidate of each user, rule and key."""
-    keys = ["user_id", "rule_order", "alert_type", "fired_key"]
-    rest = ["ip_address", "country", "status", "resource", "trailing_failures", "ordinal", "score"]
-    firsts = candidates.groupBy(*keys).agg(F.min(F.struct("ts", "event_id", *rest)).alias("e"))
-    late_enough = (F.col("alert_type") != config.COMPROMISED_ACCOUNT) | (F.col("e.ordinal") > policy.baseline_events)
-    return firsts.filter(late_enough).select(*keys, "e.*")
+def any_alert() -> Column:
+    return F.greatest(*[F.col(flag) for flag in FLAGS.values()])
 
 
-def alert_detail(policy: Policy = DEFAULT_POLICY) -> Column:
-    rule = F.col("alert_type")
-    reached = F.concat(F.lit("Access to "), F.col("resource"))
+def n_alerts() -> Column:
+    return sum((F.col(flag).cast("long") for flag in FLAGS.values()), start=F.lit(0).cast("long"))
+
+
+def fired_alerts(detected: DataFrame, policy: Policy = DEFAULT_POLICY, rules=config.STREAM_RULE_ORDER) -> DataFrame:
+    """One row per alert of detected events, from a table or a stream."""
     return (
-        F.when(
-            rule == config.BRUTE_FORCE,
-            F.concat(F.col("trailing_failures").cast("string"), F.lit(f" failures within {policy.burst_seconds} seconds")),
-        )
-        .when(rule == config.SUSPICIOUS_COUNTRY, F.concat(reached, F.lit(" from "), F.col("country")))
-        .when(rule == config.OFF_HOURS, F.concat(reached, F.lit(" at "), two_digits(F.hour("ts")), F.lit(":00")))
-        .otherwise(
-            F.concat(
-                F.lit("First access to "),
-                F.col("resource"),
-                F.lit(" after "),
-                F.col("ordinal").cast("string"),
-                F.lit(" events"),
-            )
-        )
+        detected.withColumn("alert", F.explode(alerts_array(policy, rules)))
+        .select("*", "alert.*")
+        .drop("alert", *FLAGS.values())
     )
 
 
 def stream_alerts(events: DataFrame, policy: Policy = DEFAULT_POLICY, rules=config.STREAM_RULE_ORDER) -> DataFrame:
     """One row per alert, each with the event it fired on and its contextual score."""
-    candidates = candidate_alerts(scored_events(events, policy), policy, rules)
-    return first_per_key(candidates, policy).withColumn("detail", alert_detail(policy))
-
-
-def alerts_per_event(alerts: DataFrame) -> DataFrame:
-    """``(event_id, alerts)``: the alerts of an event in rule order. An event has at most one per rule."""
-    listed = F.array_sort(F.collect_list(F.struct("rule_order", "alert_type", "detail")))
-    return alerts.groupBy("event_id").agg(
-        F.transform(listed, lambda a: F.struct(a["alert_type"].alias("alert_type"), a["detail"].alias("detail"))).alias("alerts")
-    )
+    return fired_alerts(detect(events, policy), policy, rules)
 
 
 def events_with_alerts(events: DataFrame, policy: Policy = DEFAULT_POLICY) -> DataFrame:
     """Every event with its score and its, possibly empty, array of alerts."""
-    none = F.array().cast("array<struct<alert_type:string,detail:string>>")
-    scored = contextual_risk(events, policy)
-    return scored.join(alerts_per_event(stream_alerts(events, policy)), "event_id", "left").withColumn(
-        "alerts", F.coalesce("alerts", none)
-    )
+    return detect(events, policy).withColumn("alerts", alerts_array(policy)).drop(*FLAGS.values())
 
 
-def running_kpis(events: DataFrame, alerts: DataFrame) -> DataFrame:
-    """Totals, alert rate and alerted users after each event."""
-    per_event = alerts.groupBy("event_id", "user_id", "ts").agg(F.count("*").alias("n_alerts"))
-    # One row per user and alerted event; a rule fires at most once per user and minute.
-    of_user = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    flagged = per_event.select(
-        "event_id", "n_alerts", F.when(F.row_number().over(of_user) == 1, 1).otherwise(0).alias("newly_alerted")
-    )
-    measured = (
-        events.select("event_id", "ts", "user_id")
-        .join(flagged, "event_id", "left")
-        .select(
-            "event_id",
-            "ts",
-            "user_id",
-            F.lit(1).alias("one"),
-            F.coalesce("n_alerts", F.lit(0)).alias("n_alerts"),
-            F.coalesce("newly_alerted", F.lit(0)).alias("newly_alerted"),
-        )
+def with_feed_totals(detected: DataFrame) -> DataFrame:
+    """Adds ``total_events``, ``total_alerts`` and ``rate`` as they stand after each event."""
+    counted = detected.withColumn("one", F.lit(1)).withColumn("event_alerts", n_alerts())
+    totals = with_running_totals(counted, {"total_events": "one", "total_alerts": "event_alerts"})
+    return totals.withColumn("rate", percent_text(F.col("total_alerts"), F.col("total_events"))).drop("one", "event_alerts")
+
+
+def running_kpis(detected: DataFrame) -> DataFrame:
+    """Totals, alert rate and number of alerted users after each event."""
+    counted = detected.select("event_id", "ts", "user_id", F.lit(1).alias("one"), n_alerts().alias("event_alerts"))
+    first_alert = counted.filter("event_alerts > 0").groupBy("user_id").agg(F.min(F.struct("ts", "event_id")).alias("first"))
+    # A user's first alert adds a row of its own at the event's position, instead of a join back to the events.
+    arrivals = first_alert.select(
+        "first.event_id", "first.ts", "user_id", F.lit(0).alias("one"), F.lit(0).alias("event_alerts"), F.lit(1).alias("arrived")
     )
     totals = with_running_totals(
-        measured, {"total_events": "one", "total_alerts": "n_alerts", "alerted_users": "newly_alerted"}
+        counted.withColumn("arrived", F.lit(0)).unionByName(arrivals),
+        {"total_events": "one", "total_alerts": "event_alerts", "alerted_users": "arrived"},
     )
-    return totals.select(
+    return totals.filter("one = 1").select(
         "event_id",
         "ts",
         "user_id",
@@ -154,25 +194,31 @@ def running_kpis(events: DataFrame, alerts: DataFrame) -> DataFrame:
     )
 
 
-def stream_summary(events: DataFrame, alerts: DataFrame, top_users: int = 5) -> DataFrame:
-    """Closing report: totals with the alert rate, alerts per type, and the users with most alerts."""
-    by_type_and_user = alerts.groupBy("alert_type", "user_id").agg(F.count("*").alias("n"))
-    n_alerts = by_type_and_user.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
-    n_events = events.agg(F.count("*").alias("n"))
+def stream_summary(detected: DataFrame, policy: Policy = DEFAULT_POLICY, top_users: int = 5) -> DataFrame:
+    """Closing report: totals with the alert rate, alerts per type, and the users with most alerts.
 
-    def section(df, label, name, rate):
-        return df.select(
-            F.lit(label).alias("section"), name.alias("name"), F.col("n").cast("long").alias("n"), rate.alias("rate")
-        )
+    One pass counts events and alerts per user; each section is then a sum over that table.
+    """
+    counts = [F.count_if(flag).alias(flag) for flag in FLAGS.values()]
+    per_user = detected.groupBy("user_id").agg(F.count("*").alias("events"), *counts)
+    per_user = per_user.withColumn("alerts", sum((F.col(flag) for flag in FLAGS.values()), start=F.lit(0)))
+    totals = per_user.agg(
+        F.coalesce(F.sum("events"), F.lit(0)).alias("events"),
+        F.coalesce(F.sum("alerts"), F.lit(0)).alias("alerts"),
+        *[F.sum(flag).alias(flag) for flag in FLAGS.values()],
+    )
 
-    no_rate = F.lit("")
-    by_type = by_type_and_user.groupBy("alert_type").agg(F.sum("n").alias("n"))
-    by_user = by_type_and_user.groupBy("user_id").agg(F.sum("n").alias("n"))
-    return (
-        section(n_events, "total", F.lit("events"), no_rate)
-        .unionByName(section(n_alerts, "total", F.lit("alerts"), percent_text(F.col("n"), n_events.scalar())))
-        .unionByName(section(by_type, "type", F.col("alert_type"), no_rate))
-        .unionByName(
-            section(by_user.orderBy(F.desc("n"), "user_id").limit(top_users), "user", F.col("user_id"), no_rate)
-        )
+    def line(section, name, n, rate=""):
+        rate = rate if isinstance(rate, Column) else F.lit(rate)
+        return F.struct(F.lit(section).alias("section"), F.lit(name).alias("name"), n.alias("n"), rate.alias("rate"))
+
+    lines = [
+        line("total", "events", F.col("events")),
+        line("total", "alerts", F.col("alerts"), percent_text(F.col("alerts"), F.col("events"))),
+        *[line("type", rule, F.col(flag)) for rule, flag in FLAGS.items()],
+    ]
+    overall = totals.select(F.explode(F.array(*lines)).alias("l")).select("l.*").filter("section = 'total' OR n > 0")
+    users = per_user.filter("alerts > 0").orderBy(F.desc("alerts"), "user_id").limit(top_users)
+    return overall.unionByName(
+        users.select(F.lit("user").alias("section"), F.col("user_id").alias("name"), F.col("alerts").alias("n"), F.lit("").alias("rate"))
     )

@@ -9,14 +9,15 @@ from gatelens.config import BRUTE_FORCE, COMPROMISED_ACCOUNT, DEFAULT_POLICY, OF
 from gatelens.functions import predicates as p
 from gatelens.functions import scoring
 from gatelens.functions.text import mask_ip
-from gatelens.operators.lookups import on_watchlist
-from gatelens.operators.slices import failure_moments, failures_ahead, with_previous_failure
+from gatelens.operators.lookups import materialised, on_watchlist
+from gatelens.operators.bursts import burst_windows, failure_moments
+from gatelens.operators.slices import with_previous_failure
 from gatelens.plans import analytics, batch_rules, enrichment, feed, outbox, profiles, stream_rules
 from gatelens.session import run_dir
 from gatelens.sinks import tables
 from gatelens.sources.access_log import parse_events, read_alerts, read_raw_log
 from gatelens.sources.adapter import access_events
-from gatelens.streaming import jobs, replay
+from gatelens.streaming import replay
 
 REGISTRY = {}
 
@@ -186,7 +187,9 @@ over_events("detection_rate", lambda ev: batch_rules.detection_rate(ev, batch_ru
 
 over_events(
     "failure_windows",
-    lambda ev: failures_ahead(failure_moments(ev)).select("user_id", "ts", "failures", "window_failures"),
+    lambda ev: burst_windows(failure_moments(ev)).select(
+        "user_id", "ts", "failures", "window_failures", "window_last", "window_max_risk"
+    ),
 )
 over_events("trailing_failures", lambda ev: stream_rules.contextual_risk(ev).select("event_id", "user_id", "ts", "trailing_failures"))
 over_events(
@@ -198,7 +201,7 @@ over_events(
 over_events("user_event_ordinal", profiles.event_ordinals)
 over_events("user_profile", profiles.user_profile)
 over_events("baseline_resources", profiles.baseline_resources)
-over_events("running_kpis", lambda ev: stream_rules.running_kpis(ev, stream_rules.stream_alerts(ev)))
+over_events("running_kpis", lambda ev: stream_rules.running_kpis(materialised(stream_rules.detect(ev))))
 
 # Stream rules in window form --------------------------------------------------------------------------------------
 
@@ -228,7 +231,7 @@ over_events(
     "stream_enriched_alerts",
     lambda ev: recommendations_as_text(enrichment.enrich(stream_rules.stream_alerts(ev), keep=("event_id",))),
 )
-over_events("stream_summary", lambda ev: stream_rules.stream_summary(ev, stream_rules.stream_alerts(ev)))
+over_events("stream_summary", lambda ev: stream_rules.stream_summary(stream_rules.detect(ev)))
 over_events(
     "recent_alerts",
     lambda ev: stream_rules.stream_alerts(ev)
@@ -257,7 +260,7 @@ def stream_user_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def stream_alerts_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     run = replay.run_detection(spark, sf_dir)
-    return jobs.fired_alerts(replay.scored_table(spark, run)).select(*STREAM_ALERT)
+    return stream_rules.fired_alerts(replay.scored_table(spark, run)).select(*STREAM_ALERT)
 
 
 @query

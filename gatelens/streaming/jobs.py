@@ -18,9 +18,9 @@ from gatelens.functions.predicates import is_failed
 from gatelens.functions.numbers import percent_text
 from gatelens.operators.alert_record import record_aggregates, to_alert
 from gatelens.operators.running import with_running_totals
-from gatelens.plans.feed import assemble_feed
+from gatelens.plans.feed import feed_records
 from gatelens.plans.outbox import first_high_risk, render
-from gatelens.plans.stream_rules import CONTEXT, alert_detail, contextual_score
+from gatelens.plans.stream_rules import CONTEXT, contextual_score, n_alerts
 from gatelens.session import ROCKSDB_PROVIDER
 from gatelens.streaming.processor import OUTPUT, DetectionProcessor
 
@@ -67,21 +67,6 @@ def detect(events: DataFrame, policy: Policy = DEFAULT_POLICY, delay: str = "10
     )
 
 
-def fired_alerts(scored: DataFrame, policy: Policy = DEFAULT_POLICY) -> DataFrame:
-    """One row per alert from the flags of :func:`detect`; works on a stream and on the stored table."""
-    flags = {rule: rule.lower() for rule in config.STREAM_RULE_ORDER}
-    fired = [
-        F.when(F.col(flag), F.struct(F.lit(i + 1).alias("rule_order"), F.lit(rule).alias("alert_type")))
-        for i, (rule, flag) in enumerate(flags.items())
-    ]
-    return (
-        scored.withColumn("rule", F.explode(F.array_compact(F.array(*fired))))
-        .select("*", "rule.*")
-        .drop("rule", *flags.values())
-        .withColumn("detail", alert_detail(policy))
-    )
-
-
 def slow_brute_force(events: DataFrame, policy: Policy = DEFAULT_POLICY, delay: str = "10 minutes") -> DataFrame:
     """The slow brute-force rule as a tumbling day window that reports once the day is closed."""
     failures = with_event_time(events, delay).filter(is_failed())
@@ -102,11 +87,10 @@ def slow_brute_force(events: DataFrame, policy: Policy = DEFAULT_POLICY, delay:
 
 def hourly_kpis(scored: DataFrame, delay: str = "10 minutes") -> DataFrame:
     """Events and alerts per closed hour; :func:`cumulative` turns the stored hours into running totals."""
-    n_alerts = sum((F.col(rule.lower()).cast("int") for rule in config.STREAM_RULE_ORDER), start=F.lit(0))
     return (
         with_event_time(scored, delay)
         .groupBy(F.window("event_time", "1 hour").alias("hour"))
-        .agg(F.count("*").alias("events"), F.sum(n_alerts).alias("alerts"))
+        .agg(F.count("*").alias("events"), F.sum(n_alerts()).alias("alerts"))
         .select(F.col("hour.start").cast("timestamp_ntz").alias("hour"), "events", "alerts")
     )
 
@@ -166,20 +150,18 @@ def write_feed(scored: DataFrame, folder: str, checkpoint: str, role: str = "adm
 
     def publish(batch: DataFrame, epoch: int) -> None:
         own = batch.sparkSession
-        alerts = fired_alerts(batch, policy)
-        n_alerts = sum((F.col(rule.lower()).cast("int") for rule in config.STREAM_RULE_ORDER), start=F.lit(0))
-        counted = batch.withColumn("one", F.lit(1)).withColumn("n_alerts", n_alerts)
+        counted = batch.withColumn("one", F.lit(1)).withColumn("event_alerts", n_alerts())
         _store(
-            counted.agg(F.count("*").alias("events"), F.coalesce(F.sum("n_alerts"), F.lit(0)).alias("alerts")), totals, epoch
+            counted.agg(F.count("*").alias("events"), F.coalesce(F.sum("event_alerts"), F.lit(0)).alias("alerts")), totals, epoch
         )
         before = _stored(own, totals, epoch, sums).agg(F.sum("events").alias("events"), F.sum("alerts").alias("alerts"))
-        running = with_running_totals(counted, {"run_events": "one", "run_alerts": "n_alerts"})
-        seen = running.select(
-            "event_id",
-            (F.col("run_events") + before.select("events").scalar()).alias("total_events"),
-            (F.col("run_alerts") + before.select("alerts").scalar()).alias("total_alerts"),
-        ).withColumn("rate", percent_text(F.col("total_alerts"), F.col("total_events")))
-        _store(assemble_feed(batch, alerts, seen, role, policy), records, epoch)
+        running = (
+            with_running_totals(counted, {"total_events": "one", "total_alerts": "event_alerts"})
+            .withColumn("total_events", F.col("total_events") + before.select("events").scalar())
+            .withColumn("total_alerts", F.col("total_alerts") + before.select("alerts").scalar())
+            .withColumn("rate", percent_text(F.col("total_alerts"), F.col("total_events")))
+        )
+        _store(feed_records(running, role, policy), records, epoch)
 
     return (
         scored.writeStream.foreachBatch(publish)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gatelens.config import DEFAULT_POLICY, Policy
+from gatelens.plans.stream_rules import fired_alerts
 from gatelens.schema import ALERT, RAW_EVENT
 from gatelens.session import run_dir
 from gatelens.sources.adapter import adapt
@@ -111,6 +112,6 @@ def run_outbox(spark: SparkSession, run: str, policy: Policy = DEFAULT_POLICY) -
     schema = scored_table(session, run).schema
     scored = session.readStream.schema(schema).parquet(f"{run}/scored")
     folder = run_dir(spark, "outbox")
-    finish(jobs.write_outbox(jobs.fired_alerts(scored, policy), f"{folder}/outbox", f"{folder}/checkpoint", policy))
+    finish(jobs.write_outbox(fired_alerts(scored, policy), f"{folder}/outbox", f"{folder}/checkpoint", policy))
     stored = spark.read.option("mergeSchema", "true").parquet(f"{folder}/outbox")
     return stored.filter(F.col("epoch") >= 0).drop("epoch")
