@@ -1,4 +1,7 @@
-"""Row predicates. A null input makes a predicate false, never null."""
+"""Row predicates in SQL logic: unknown input gives an unknown result, which filters and ``when`` treat as false.
+
+They are kept as plain comparisons so that filters reach the file scan.
+"""
 
 from __future__ import annotations
 
@@ -8,32 +11,28 @@ from pyspark.sql import functions as F
 from gatelens.config import DEFAULT_POLICY, Policy
 
 
-def _known(condition: Column) -> Column:
-    return F.coalesce(condition, F.lit(False))
-
-
 def is_failed(status="status") -> Column:
-    return _known(F.col(status) == "failed")
+    return F.col(status) == "failed"
 
 
 def from_suspicious_country(policy: Policy = DEFAULT_POLICY, country="country") -> Column:
-    return _known(F.col(country).isin(*policy.suspicious_countries))
+    return F.col(country).isin(*policy.suspicious_countries)
 
 
 def on_sensitive_resource(policy: Policy = DEFAULT_POLICY, resource="resource") -> Column:
-    return _known(F.col(resource).isin(*policy.sensitive_resources))
+    return F.col(resource).isin(*policy.sensitive_resources)
 
 
 def at_night(policy: Policy = DEFAULT_POLICY, ts="ts") -> Column:
     """The rule's hours: from ``night_start`` up to, not including, ``night_end``."""
-    return _known((F.hour(ts) >= policy.night_start) & (F.hour(ts) < policy.night_end))
+    return (F.hour(ts) >= policy.night_start) & (F.hour(ts) < policy.night_end)
 
 
 def at_scored_hours(policy: Policy = DEFAULT_POLICY, hour: Column | None = None) -> Column:
     """The score's hours: the night and the late evening."""
     hour = F.hour("ts") if hour is None else hour
-    return _known((hour < policy.score_night_end) | (hour >= policy.score_evening_start))
+    return (hour < policy.score_night_end) | (hour >= policy.score_evening_start)
 
 
 def is_high_risk(policy: Policy = DEFAULT_POLICY, score="risk_score") -> Column:
-    return _known(F.col(score) >= policy.high_risk)
+    return F.col(score) >= policy.high_risk

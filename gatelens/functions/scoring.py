@@ -16,7 +16,7 @@ def risk_score(attempts: Column, policy: Policy = DEFAULT_POLICY, hour: Column |
         (on_sensitive_resource(policy), policy.weight_resource),
         (is_failed(), policy.weight_failed),
         (at_scored_hours(policy, hour), policy.weight_hours),
-        (F.coalesce(attempts > policy.attempts_over, F.lit(False)), policy.weight_attempts),
+        (attempts > policy.attempts_over, policy.weight_attempts),
     )
     total = sum((F.when(holds, weight).otherwise(0) for holds, weight in factors), start=F.lit(0))
     return F.least(total, F.lit(policy.score_cap)).cast("int")

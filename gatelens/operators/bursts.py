@@ -75,6 +75,8 @@ def pick_bursts(anchors: DataFrame, policy: Policy = DEFAULT_POLICY) -> DataFram
     columns = [c for c in anchors.columns if c not in ("user_id", "ts")]
     per_slice = (
         anchors.withColumn("slice", slice_start("ts", policy.slice_seconds))
+        # Both uses below then have the same plan, and the second one reads the first one's shuffle.
+        .filter(F.col("user_id").isNotNull() & F.col("slice").isNotNull())
         .groupBy("user_id", "slice")
         .agg(F.array_sort(F.collect_list(F.struct("ts", *columns))).alias("anchors"))
     )

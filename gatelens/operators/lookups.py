@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gatelens.session import shared_dir
+from gatelens.session import run_dir
 
 MAX_BROADCAST_ROWS = 100_000
 
@@ -20,11 +20,10 @@ def broadcast_if_small(table: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) ->
 
 
 def materialised(table: DataFrame) -> DataFrame:
-    """Run the plan once and keep its rows in the shared checkpoint folder."""
-    context = table.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(shared_dir(table.sparkSession))
-    return table.checkpoint()
+    """Run the plan once and keep its rows as a table in the shared folder, for plans that read them several times."""
+    path = run_dir(table.sparkSession, "table")
+    table.write.parquet(path)
+    return table.sparkSession.read.schema(table.schema).parquet(path)
 
 
 def on_watchlist(events: DataFrame, watchlist: DataFrame, column: str, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:

@@ -16,6 +16,8 @@ from gatelens.functions.timeparts import day_of, slice_start
 def with_running_totals(rows: DataFrame, measures: dict[str, str]) -> DataFrame:
     """Adds one running sum per entry of ``measures`` (new column -> summed column)."""
     placed = rows.withColumn("_second", slice_start("ts", 1)).withColumn("_day", day_of("ts"))
+    # Stated here, the condition the joins imply is the same in every branch, so branches share their shuffles.
+    placed = placed.filter(F.col("_second").isNotNull() & F.col("_day").isNotNull())
     sums = [F.sum(source).alias(name) for name, source in measures.items()]
     per_second = placed.groupBy("_day", "_second").agg(*sums)
     per_day = per_second.groupBy("_day").agg(*[F.sum(name).alias(name) for name in measures])

@@ -69,7 +69,7 @@ def with_recent_failures(events: DataFrame, policy: Policy = DEFAULT_POLICY) ->
         events.withColumn("home", slice_start("ts", policy.slice_seconds))
         .withColumn("slice", F.explode(F.when(reaches_next, F.array("home", edge)).otherwise(F.array("home"))))
         .withColumn("own", F.col("slice") == F.col("home"))
-        .withColumn("failure", is_failed().cast("long"))
+        .withColumn("failure", F.when(is_failed(), 1).otherwise(0))
     )
     so_far = in_slice_order().rowsBetween(Window.unboundedPreceding, Window.currentRow)
     too_old = F.expr(

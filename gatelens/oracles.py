@@ -475,5 +475,11 @@ FROM scored GROUP BY user_id""",
     "stream_alerts_dedup": f"{_SCORED} {_STREAM_ALERT}",
     "feed_json": _FEED,
     "stream_notifications": _OUTBOX,
+    "stream_hourly_kpis": f"""{_SCORED}{_RUNNING}, hours AS (
+  SELECT date_trunc('hour', ts) AS hour, count(*) AS events, CAST(sum(n_alerts) AS BIGINT) AS alerts FROM per_event GROUP BY 1
+), totals AS (
+  SELECT *, CAST(sum(events) OVER (ORDER BY hour) AS BIGINT) AS total_events,
+         CAST(sum(alerts) OVER (ORDER BY hour) AS BIGINT) AS total_alerts FROM hours
+) SELECT *, {_rate_text('total_alerts', 'total_events')} AS rate FROM totals""",
     "stream_slow_brute_force": _SLOW,
 }

@@ -273,6 +273,11 @@ def stream_notifications(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replay.run_outbox(spark, replay.run_detection(spark, sf_dir))
 
 
+@query
+def stream_hourly_kpis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return replay.run_hourly_kpis(spark, replay.run_detection(spark, sf_dir))
+
+
 @query
 def stream_slow_brute_force(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replay.run_slow_brute_force(spark, sf_dir)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+# ``event_id`` (unique), ``ts`` and ``user_id`` are never null; ``sources.access_log.parse_events`` sets other rows aside.
 ACCESS_EVENT = T.StructType(
     [
         T.StructField("event_id", T.LongType()),

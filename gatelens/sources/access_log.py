@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,7 +33,7 @@ def read_raw_log(spark: SparkSession, path: str) -> DataFrame:
 
 
 def parse_events(raw: DataFrame) -> DataFrame:
-    """Type a text log. ``parse_ok`` is false on rows whose id, timestamp or score cannot be read."""
+    """Type a text log. ``parse_ok`` is false on rows without a user or whose id, timestamp or score cannot be read."""
     typed = raw.select(
         *[
             F.col(f.name).try_cast(f.dataType).alias(f.name)
@@ -41,8 +43,8 @@ def parse_events(raw: DataFrame) -> DataFrame:
         ],
         F.col("ts").alias("ts_text"),
     )
-    ok = F.col("event_id").isNotNull() & F.col("ts").isNotNull() & F.col("risk_score").isNotNull()
-    return typed.withColumn("parse_ok", ok)
+    needed = [F.col(c).isNotNull() for c in ("event_id", "ts", "user_id", "risk_score")]
+    return typed.withColumn("parse_ok", reduce(Column.__and__, needed))
 
 
 def accepted(parsed: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import gatelens
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gatelens import config
@@ -95,6 +95,26 @@ def hourly_kpis(scored: DataFrame, delay: str = "10 minutes") -> DataFrame:
     )
 
 
+def cumulative(hours: DataFrame) -> DataFrame:
+    """Running totals and alert rate over stored hours; one row per hour, so a single ordered pass is enough."""
+    so_far = Window.orderBy("hour").rowsBetween(Window.unboundedPreceding, 0)
+    total_events, total_alerts = F.sum("events").over(so_far), F.sum("alerts").over(so_far)
+    return hours.select(
+        "hour",
+        "events",
+        "alerts",
+        total_events.alias("total_events"),
+        total_alerts.alias("total_alerts"),
+        percent_text(total_alerts, total_events).alias("rate"),
+    )
+
+
+def late_rows(query) -> int:
+    """Rows a query has left out because they came after the watermark had passed them."""
+    operators = [op for progress in query.recentProgress for op in progress["stateOperators"]]
+    return sum(op["numRowsDroppedByWatermark"] for op in operators)
+
+
 def to_files(stream: DataFrame, path: str, checkpoint: str, trigger: dict | None = None):
     """Start appending a stream to a parquet table, each row exactly once."""
     return (

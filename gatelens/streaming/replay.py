@@ -115,3 +115,13 @@ def run_outbox(spark: SparkSession, run: str, policy: Policy = DEFAULT_POLICY) -
     finish(jobs.write_outbox(fired_alerts(scored, policy), f"{folder}/outbox", f"{folder}/checkpoint", policy))
     stored = spark.read.option("mergeSchema", "true").parquet(f"{folder}/outbox")
     return stored.filter(F.col("epoch") >= 0).drop("epoch")
+
+
+def run_hourly_kpis(spark: SparkSession, run: str) -> DataFrame:
+    """Running totals per hour of a detection run."""
+    session = jobs.job_session(spark)
+    schema = scored_table(session, run).schema
+    scored = session.readStream.schema(schema).parquet(f"{run}/scored")
+    folder = run_dir(spark, "hours")
+    finish(jobs.to_files(jobs.hourly_kpis(closed(session, scored, folder)), f"{folder}/hours", f"{folder}/checkpoint"))
+    return jobs.cumulative(spark.read.parquet(f"{folder}/hours"))
