@@ -249,35 +249,35 @@ over_events(
 
 @query
 def stream_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return replay.run_stream_events(spark, sf_dir)
+    return replay.run_stream_events(spark, replay.adapted_stream(sf_dir))
 
 
 @query
 def stream_user_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return replay.user_state(spark, replay.run_detection(spark, sf_dir))
+    return replay.user_state(spark, replay.run_detection(spark, replay.adapted_stream(sf_dir)))
 
 
 @query
 def stream_alerts_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    run = replay.run_detection(spark, sf_dir)
+    run = replay.run_detection(spark, replay.adapted_stream(sf_dir))
     return stream_rules.fired_alerts(replay.scored_table(spark, run)).select(*STREAM_ALERT)
 
 
 @query
 def feed_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return replay.run_feed(spark, replay.run_detection(spark, sf_dir))
+    return replay.run_feed(spark, replay.run_detection(spark, replay.adapted_stream(sf_dir)))
 
 
 @query
 def stream_notifications(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return replay.run_outbox(spark, replay.run_detection(spark, sf_dir))
+    return replay.run_outbox(spark, replay.run_detection(spark, replay.adapted_stream(sf_dir)))
 
 
 @query
 def stream_hourly_kpis(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return replay.run_hourly_kpis(spark, replay.run_detection(spark, sf_dir))
+    return replay.run_hourly_kpis(spark, replay.run_detection(spark, replay.adapted_stream(sf_dir)))
 
 
 @query
 def stream_slow_brute_force(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return replay.run_slow_brute_force(spark, sf_dir)
+    return replay.run_slow_brute_force(spark, replay.adapted_stream(sf_dir))

@@ -19,6 +19,14 @@ def read_access_log(spark: SparkSession, path: str, fmt: str = "parquet") -> Dat
     return validate_schema(reader.format(fmt).load(path), ACCESS_EVENT)
 
 
+def stream_access_log(spark: SparkSession, folder: str, max_files: int | None = None) -> DataFrame:
+    """New files of a log folder as a stream. Arrival order does not matter to the jobs, only the watermark does."""
+    reader = spark.readStream.schema(ACCESS_EVENT)
+    if max_files is not None:
+        reader = reader.option("maxFilesPerTrigger", max_files)
+    return reader.parquet(folder)
+
+
 def read_alerts(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
     reader = spark.read.schema(ALERT)
     if fmt == "csv":

@@ -22,15 +22,20 @@ from gatelens.config import DEFAULT_POLICY, Policy
 
 MICROS = 1_000_000
 
-# Rows that wait for the watermark; ``at`` is the event time in microseconds.
-_PENDING = "event_id long, at long, ip_address string, country string, status string, resource string"
-_PENDING_COLUMNS = ["event_id", "at", "ip_address", "country", "status", "resource"]
+# Rows that wait for the watermark, one list element per user and micro-batch, column by column. ``at`` is the event
+# time in microseconds.
+_COLUMNS = ["event_id", "at", "ip_address", "country", "status", "resource"]
+_PENDING = (
+    "event_id array<long>, at array<long>, ip_address array<string>, country array<string>, status array<string>,"
+    " resource array<string>"
+)
 
+# ``wake_at`` is the timer that is set for the earliest waiting row; ``failures`` are the recent failures' times.
 _PROFILE = (
-    "events long, first_at long, last_at long, fired_minute long, fired_day long, countries array<string>,"
-    " hours array<int>, baseline array<string>, recent array<string>, fired_countries array<string>"
+    "wake_at long, events long, first_at long, last_at long, fired_minute long, fired_day long, failures array<long>,"
+    " countries array<string>, hours array<int>, baseline array<string>, recent array<string>, fired_countries array<string>"
 )
-_NEW_PROFILE = (0, None, None, None, None, [], [], [], [], [])
+_NEW_PROFILE = (None, 0, None, None, None, None, [], [], [], [], [], [])
 
 OUTPUT = T.StructType(
     [
@@ -53,13 +58,17 @@ OUTPUT = T.StructType(
 
 def _first_of_each(holds: np.ndarray, keys: np.ndarray, fired) -> np.ndarray:
     """Marks, among the rows that hold, the first one per key that is not in ``fired``."""
-    rows = pd.Series(keys)[holds]
-    fresh = rows[~rows.duplicated() & ~rows.isin(list(fired))]
     marks = np.zeros(len(keys), dtype=bool)
-    marks[fresh.index] = True
+    rows = np.flatnonzero(holds)
+    found, first = np.unique(keys[rows], return_index=True)
+    marks[[rows[i] for key, i in zip(found.tolist(), first) if key not in fired]] = True
     return marks
 
 
+def _add(known: list, values: np.ndarray) -> list:
+    return sorted((set(known) | set(values.tolist())) - {None})
+
+
 class DetectionProcessor(StatefulProcessor):
     def __init__(self, policy: Policy = DEFAULT_POLICY):
         self._policy = policy
@@ -67,94 +76,98 @@ class DetectionProcessor(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._handle = handle
         self._profile = handle.getValueState("profile", _PROFILE)
-        self._failures = handle.getListState("failures", "at long")
         self._pending = handle.getListState("pending", _PENDING)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         earliest = None
         for batch in rows:
-            self._pending.appendList(list(batch[_PENDING_COLUMNS].itertuples(index=False, name=None)))
+            self._pending.appendValue(tuple(batch[c].tolist() for c in _COLUMNS))
             first = int(batch["at"].min())
             earliest = first if earliest is None else min(earliest, first)
-        if earliest is not None:
-            self._wake_at(earliest)
+        self._wake(self._profile.get() or _NEW_PROFILE, earliest)
         return iter(())
 
-    def _wake_at(self, at: int) -> None:
-        """Keep one timer per user, for its earliest waiting row."""
+    def _wake(self, profile: tuple, at: int) -> None:
+        """Make sure that a timer is set for a row at ``at``, and store the profile if that is news."""
         wanted = at // 1000 + 1
-        timers = list(self._handle.listTimers())
-        if timers and min(timers) <= wanted:
-            return
-        for timer in timers:
-            self._handle.deleteTimer(timer)
-        self._handle.registerTimer(wanted)
+        if profile[0] is None or wanted < profile[0]:
+            self._handle.registerTimer(wanted)
+            self._profile.update((wanted, *profile[1:]))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        passed = timerValues.getCurrentWatermarkInMs() * 1000
-        waiting = pd.DataFrame(list(self._pending.get()), columns=_PENDING_COLUMNS)
-        ready = waiting[waiting["at"] <= passed].sort_values(["at", "event_id"], ignore_index=True)
-        later = waiting[waiting["at"] > passed]
-        if len(later):
-            self._pending.put(list(later.itertuples(index=False, name=None)))
-            self._wake_at(int(later["at"].min()))
+        passed = timerValues.getCurrentWatermarkInMs()
+        profile = self._profile.get()
+        if profile[0] is None or profile[0] > passed:
+            # An earlier timer has already taken the rows this one was set for.
+            return
+        parts = list(self._pending.get())
+        waiting = {c: [value for part in parts for value in part[i]] for i, c in enumerate(_COLUMNS)}
+        at = np.array(waiting["at"], dtype="int64")
+        order = np.lexsort((np.array(waiting["event_id"], dtype="int64"), at))
+        n_ready = int(np.searchsorted(at[order], passed * 1000, side="right"))
+        ready, later = order[:n_ready].tolist(), order[n_ready:].tolist()
+        wake_at = None
+        if later:
+            self._pending.put([tuple([waiting[c][i] for i in later] for c in _COLUMNS)])
+            wake_at = int(at[later[0]]) // 1000 + 1
+            self._handle.registerTimer(wake_at)
         else:
             self._pending.clear()
-        if len(ready):
-            yield self._apply(key[0], ready)
+        rows = {c: [waiting[c][i] for i in ready] for c in _COLUMNS}
+        out, profile = self._apply(key[0], rows, profile)
+        self._profile.update((wake_at, *profile))
+        yield out
 
-    def _apply(self, user_id: str, rows: pd.DataFrame) -> pd.DataFrame:
-        """Take rows in order: update the user's state and report what each row saw."""
+    def _apply(self, user_id: str, rows: dict[str, list], profile: tuple) -> tuple[pd.DataFrame, tuple]:
+        """Take rows in order: what each row saw, and the profile after the last one."""
         policy = self._policy
-        profile = self._profile.get() if self._profile.exists() else _NEW_PROFILE
-        events, first_at, _, fired_minute, fired_day, countries, hours, baseline, recent, fired_countries = profile
+        _, events, first_at, _, fired_minute, fired_day, kept, countries, hours, baseline, recent, fired_countries = profile
+
+        at = np.array(rows["at"], dtype="int64")
+        country, resource = np.array(rows["country"], dtype=object), np.array(rows["resource"], dtype=object)
+        failed = np.array([s == "failed" for s in rows["status"]])
+        sensitive = np.array([r in policy.sensitive_resources for r in rows["resource"]])
+        watched = np.array([c in policy.suspicious_countries for c in rows["country"]])
 
-        at = rows["at"].to_numpy()
-        failed = (rows["status"] == "failed").to_numpy()
-        kept = np.array([row[0] for row in self._failures.get()], dtype="int64")
-        failures = np.concatenate([kept, at[failed]])
+        failures = np.concatenate([np.array(kept, dtype="int64"), at[failed]])
         reach = policy.burst_seconds * MICROS
         trailing = len(kept) + failed.cumsum() - np.searchsorted(failures, at - reach, side="left")
-        ordinal = events + 1 + np.arange(len(rows))
-
-        minute, day = at // (60 * MICROS), at // (86_400 * MICROS)
-        hour = (at // (3_600 * MICROS)) % 24
-        sensitive = rows["resource"].isin(policy.sensitive_resources).to_numpy()
-        watched = rows["country"].isin(policy.suspicious_countries).to_numpy()
+        ordinal = events + 1 + np.arange(len(at))
+        minute, day, hour = at // (60 * MICROS), at // (86_400 * MICROS), (at // (3_600 * MICROS)) % 24
         night = (hour >= policy.night_start) & (hour < policy.night_end)
-        used_before = set(baseline) | set(recent)
-
-        out = rows.assign(user_id=user_id, trailing_failures=trailing, ordinal=ordinal)
-        out["brute_force"] = _first_of_each(trailing > policy.stream_burst_over, minute, [fired_minute])
-        out["suspicious_country"] = _first_of_each(watched & sensitive, rows["country"].to_numpy(), fired_countries)
-        out["off_hours"] = _first_of_each(night & sensitive, day, [fired_day])
-        first_use = _first_of_each(sensitive, rows["resource"].to_numpy(), used_before)
-        out["compromised_account"] = first_use & (ordinal > policy.baseline_events)
-
-        def add(known, values):
-            return sorted(set(known) | set(values.dropna().tolist()))
 
+        brute_force = _first_of_each(trailing > policy.stream_burst_over, minute, [fired_minute])
+        from_country = _first_of_each(watched & sensitive, country, fired_countries)
+        off_hours = _first_of_each(night & sensitive, day, [fired_day])
+        first_use = _first_of_each(sensitive, resource, [*baseline, *recent])
         early = ordinal <= policy.baseline_events
-        self._profile.update(
-            (
-                int(ordinal[-1]),
-                int(at[0]) if first_at is None else first_at,
-                int(at[-1]),
-                int(minute[out["brute_force"]][-1]) if out["brute_force"].any() else fired_minute,
-                int(day[out["off_hours"]][-1]) if out["off_hours"].any() else fired_day,
-                add(countries, rows["country"]),
-                add(hours, pd.Series(hour)),
-                add(baseline, rows["resource"][early]),
-                add(recent, rows["resource"][~early]),
-                add(fired_countries, rows["country"][out["suspicious_country"].to_numpy()]),
-            )
+
+        out = pd.DataFrame(
+            {
+                **rows,
+                "user_id": user_id,
+                "trailing_failures": trailing,
+                "ordinal": ordinal,
+                "brute_force": brute_force,
+                "suspicious_country": from_country,
+                "off_hours": off_hours,
+                "compromised_account": first_use & ~early,
+            }
         )
-        alive = failures[failures >= at[-1] - reach]
-        if len(alive):
-            self._failures.put([(int(t),) for t in alive])
-        else:
-            self._failures.clear()
-        return out[OUTPUT.fieldNames()]
+        after = (
+            int(ordinal[-1]),
+            int(at[0]) if first_at is None else first_at,
+            int(at[-1]),
+            int(minute[brute_force][-1]) if brute_force.any() else fired_minute,
+            int(day[off_hours][-1]) if off_hours.any() else fired_day,
+            failures[failures >= at[-1] - reach].tolist(),
+            _add(countries, country),
+            _add(hours, hour),
+            _add(baseline, resource[early]),
+            _add(recent, resource[~early]),
+            _add(fired_countries, country[from_country]),
+        )
+        return out[OUTPUT.fieldNames()], after
 
     def close(self) -> None:
         pass

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,16 +11,27 @@ from gatelens.config import DEFAULT_POLICY, Policy
 from gatelens.plans.stream_rules import fired_alerts
 from gatelens.schema import ALERT, RAW_EVENT
 from gatelens.session import run_dir
+from gatelens.sources.access_log import stream_access_log
 from gatelens.sources.adapter import adapt
 from gatelens.streaming import jobs
 
 
-def table_stream(session: SparkSession, folder: str, file_glob: str, max_files: int | None = None) -> DataFrame:
-    """A folder of raw event files as a stream of access events."""
-    reader = session.readStream.schema(RAW_EVENT).option("pathGlobFilter", file_glob)
-    if max_files is not None:
-        reader = reader.option("maxFilesPerTrigger", max_files)
-    return adapt(reader.parquet(folder))
+OpenStream = Callable[[SparkSession], DataFrame]
+
+
+def adapted_stream(folder: str) -> OpenStream:
+    """The ``events`` test table of a folder as a stream of access events."""
+
+    def open_stream(session: SparkSession) -> DataFrame:
+        reader = session.readStream.schema(RAW_EVENT).option("pathGlobFilter", "events.parquet")
+        return adapt(reader.parquet(folder))
+
+    return open_stream
+
+
+def log_stream(folder: str, max_files: int | None = None) -> OpenStream:
+    """A folder of access-log files as a stream; ``max_files`` bounds a micro-batch."""
+    return lambda session: stream_access_log(session, folder, max_files)
 
 
 def closing_stream(session: SparkSession, like: DataFrame, run: str) -> DataFrame:
@@ -43,17 +56,12 @@ def finish(query) -> None:
 
 
 def run_detection(
-    spark: SparkSession,
-    folder: str,
-    file_glob: str = "events.parquet",
-    policy: Policy = DEFAULT_POLICY,
-    delay: str = "10 minutes",
-    max_files: int | None = None,
+    spark: SparkSession, open_stream: OpenStream, policy: Policy = DEFAULT_POLICY, delay: str = "10 minutes"
 ) -> str:
-    """Run the detection job over a folder; returns the run's folder, with the result below ``scored``."""
+    """Run the detection job to its end; returns the run's folder, with the result below ``scored``."""
     session = jobs.job_session(spark)
     run = run_dir(spark, "detection")
-    events = closed(session, table_stream(session, folder, file_glob, max_files), run)
+    events = closed(session, open_stream(session), run)
     finish(jobs.to_files(jobs.detect(events, policy, delay), f"{run}/scored", f"{run}/scored-checkpoint"))
     return run
 
@@ -80,18 +88,18 @@ def user_state(spark: SparkSession, run: str) -> DataFrame:
     )
 
 
-def run_stream_events(spark: SparkSession, folder: str, file_glob: str = "events.parquet") -> DataFrame:
-    """Pass a folder through the stream source and the file sink unchanged."""
+def run_stream_events(spark: SparkSession, open_stream: OpenStream) -> DataFrame:
+    """Pass events through the stream source and the file sink unchanged."""
     session = jobs.job_session(spark)
     run = run_dir(spark, "events")
-    finish(jobs.to_files(table_stream(session, folder, file_glob), f"{run}/events", f"{run}/checkpoint"))
+    finish(jobs.to_files(open_stream(session), f"{run}/events", f"{run}/checkpoint"))
     return spark.read.parquet(f"{run}/events")
 
 
-def run_slow_brute_force(spark: SparkSession, folder: str, file_glob: str = "events.parquet", policy: Policy = DEFAULT_POLICY) -> DataFrame:
+def run_slow_brute_force(spark: SparkSession, open_stream: OpenStream, policy: Policy = DEFAULT_POLICY) -> DataFrame:
     session = jobs.job_session(spark)
     run = run_dir(spark, "slow")
-    events = closed(session, table_stream(session, folder, file_glob), run)
+    events = closed(session, open_stream(session), run)
     finish(jobs.to_files(jobs.slow_brute_force(events, policy), f"{run}/alerts", f"{run}/checkpoint"))
     return spark.read.schema(ALERT).parquet(f"{run}/alerts")
 
