@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gatelens.config import DEFAULT_POLICY, Policy
 from gatelens.plans.stream_rules import fired_alerts
@@ -34,19 +35,12 @@ def log_stream(folder: str, max_files: int | None = None) -> OpenStream:
     return lambda session: stream_access_log(session, folder, max_files)
 
 
-def closing_stream(session: SparkSession, like: DataFrame, run: str) -> DataFrame:
-    """A stream of one far-future row, which moves the watermark past the last event of a finite table."""
-    folder = f"{run}/closing"
-    values = [
-        F.expr(f"TIMESTAMP_NTZ '{jobs.END_OF_REPLAY}'").alias("ts") if f.name == "ts" else F.lit(None).cast(f.dataType).alias(f.name)
-        for f in like.schema.fields
-    ]
-    session.range(1).select(*values).write.parquet(folder)
-    return session.readStream.schema(like.schema).parquet(folder)
-
-
-def closed(session: SparkSession, events: DataFrame, run: str) -> DataFrame:
-    return events.unionByName(closing_stream(session, events, run))
+def _closing_row(session: SparkSession, schema: T.StructType) -> DataFrame:
+    """A row far in the future. It is a failure, since a job's failure filter is applied before the watermark sees it."""
+    values = {"ts": F.expr(f"TIMESTAMP_NTZ '{jobs.END_OF_REPLAY}'"), "status": F.lit("failed")}
+    return session.range(1).select(
+        *[values.get(f.name, F.lit(None).cast(f.dataType)).alias(f.name) for f in schema.fields]
+    )
 
 
 def finish(query) -> None:
@@ -55,14 +49,32 @@ def finish(query) -> None:
         raise query.exception()
 
 
+def run_to_end(session: SparkSession, events: DataFrame, start: Callable[[DataFrame], object], run: str) -> None:
+    """Run a job over all of a finite stream, then once more with a far-future row.
+
+    The watermark never passes a finite stream's last events by itself. The closing row, which must not come before
+    any real row, moves it on; the second run continues from the first one's checkpoint.
+    """
+    folder = f"{run}/closing"
+    closing = _closing_row(session, events.schema)
+    closing.limit(0).write.parquet(folder)
+    both = events.unionByName(session.readStream.schema(events.schema).parquet(folder))
+    finish(start(both))
+    closing.write.mode("append").parquet(folder)
+    finish(start(both))
+
+
 def run_detection(
     spark: SparkSession, open_stream: OpenStream, policy: Policy = DEFAULT_POLICY, delay: str = "10 minutes"
 ) -> str:
     """Run the detection job to its end; returns the run's folder, with the result below ``scored``."""
     session = jobs.job_session(spark)
     run = run_dir(spark, "detection")
-    events = closed(session, open_stream(session), run)
-    finish(jobs.to_files(jobs.detect(events, policy, delay), f"{run}/scored", f"{run}/scored-checkpoint"))
+
+    def start(events):
+        return jobs.to_files(jobs.detect(events, policy, delay), f"{run}/scored", f"{run}/scored-checkpoint")
+
+    run_to_end(session, open_stream(session), start, run)
     return run
 
 
@@ -99,8 +111,11 @@ def run_stream_events(spark: SparkSession, open_stream: OpenStream) -> DataFrame
 def run_slow_brute_force(spark: SparkSession, open_stream: OpenStream, policy: Policy = DEFAULT_POLICY) -> DataFrame:
     session = jobs.job_session(spark)
     run = run_dir(spark, "slow")
-    events = closed(session, open_stream(session), run)
-    finish(jobs.to_files(jobs.slow_brute_force(events, policy), f"{run}/alerts", f"{run}/checkpoint"))
+
+    def start(events):
+        return jobs.to_files(jobs.slow_brute_force(events, policy), f"{run}/alerts", f"{run}/checkpoint")
+
+    run_to_end(session, open_stream(session), start, run)
     return spark.read.schema(ALERT).parquet(f"{run}/alerts")
 
 
@@ -131,5 +146,9 @@ def run_hourly_kpis(spark: SparkSession, run: str) -> DataFrame:
     schema = scored_table(session, run).schema
     scored = session.readStream.schema(schema).parquet(f"{run}/scored")
     folder = run_dir(spark, "hours")
-    finish(jobs.to_files(jobs.hourly_kpis(closed(session, scored, folder)), f"{folder}/hours", f"{folder}/checkpoint"))
+
+    def start(rows):
+        return jobs.to_files(jobs.hourly_kpis(rows), f"{folder}/hours", f"{folder}/checkpoint")
+
+    run_to_end(session, scored, start, folder)
     return jobs.cumulative(spark.read.parquet(f"{folder}/hours"))

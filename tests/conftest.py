@@ -14,7 +14,7 @@ from gatelens.session import local_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    session = local_session("8", shuffle_partitions=4, app="gatelens-tests", memory="8g")
+    session = local_session("8", shuffle_partitions=2, app="gatelens-tests", memory="8g")
     yield session
     session.stop()
 

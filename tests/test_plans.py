@@ -1,0 +1,100 @@
+"""Shapes of physical plans that have to hold at scale."""
+
+import re
+
+import pytest
+
+from gatelens.plans import analytics, batch_rules, outbox, profiles, stream_rules
+from gatelens.session import run_dir
+from gatelens.sources.access_log import read_access_log
+from gatelens.sources.adapter import access_events
+
+SF = "/root/testdata/sf0.001"
+
+RULES = {
+    "brute_force": batch_rules.brute_force,
+    "suspicious_country": batch_rules.suspicious_country,
+    "off_hours": batch_rules.off_hours,
+    "compromised_account": batch_rules.compromised_account,
+    "slow_brute_force": batch_rules.slow_brute_force,
+    "stream_alerts": stream_rules.stream_alerts,
+    "contextual_risk": stream_rules.contextual_risk,
+    "alert_evidence": batch_rules.alert_evidence,
+    "outbox": lambda ev: outbox.notification_outbox(stream_rules.stream_alerts(ev)),
+    "user_profile": profiles.user_profile,
+}
+
+
+@pytest.fixture(scope="module")
+def log(spark):
+    path = run_dir(spark, "log")
+    access_events(spark, SF).write.parquet(path)
+    return read_access_log(spark, path)
+
+
+def plan(df) -> str:
+    """The plan before adaptive changes, expression ids removed."""
+    text = df._jdf.queryExecution().executedPlan().toString()
+    return re.sub(r"#\d+L?", "", text)
+
+
+def exchanges(text):
+    return re.findall(r"Exchange (\w+)(\([^)]*\))?", text)
+
+
+@pytest.mark.parametrize("name", RULES)
+def test_rules_stay_in_the_jvm_and_distributed(log, name):
+    text = plan(RULES[name](log))
+    assert not re.search(r"EvalPython|InPandas|InArrow|CartesianProduct|NestedLoop", text)
+    assert not any(kind == "SinglePartition" for kind, _ in exchanges(text))
+
+
+@pytest.mark.parametrize("name", RULES)
+def test_event_level_windows_are_split_by_time(log, name):
+    """A window over a whole user only ever ranks pre-aggregated slices, never events."""
+    for line in plan(RULES[name](log)).splitlines():
+        if " Window [" in line:
+            keys = re.search(r"\], \[(user_id[^\]]*)\]", line).group(1)
+            assert keys in ("user_id, slice", "user_id, cell") or "slice" in line
+
+
+def test_filters_and_columns_reach_the_scan(log):
+    text = batch_rules.suspicious_country(log)._jdf.queryExecution().explainString(
+        log.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+    )
+    assert re.search(r"PushedFilters: \[.*In\(country.*In\(resource|PushedFilters: \[.*In\(resource.*In\(country", text)
+    schema = re.search(r"ReadSchema: struct<(.*)>", text).group(1)
+    assert "ip_address" not in schema and "scenario" not in schema and "action" not in schema
+
+
+def test_failures_are_filtered_in_the_scan(log):
+    text = batch_rules.brute_force(log)._jdf.queryExecution().explainString(
+        log.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+    )
+    assert "EqualTo(status,failed)" in text
+
+
+def test_detection_shuffles_events_once(log):
+    """Events go through one exchange; the others carry aggregates."""
+    text = plan(stream_rules.detect(log))
+    wide = [line for line in text.splitlines() if "FileScan" in line and "ip_address" in line]
+    assert len(wide) == 1
+    assert text.count("sortOrder") == 0
+    assert len(re.findall(r"Sort \[user_id ASC NULLS FIRST, slice ASC NULLS FIRST, ts ASC NULLS FIRST, event_id", text)) == 1
+
+
+def test_baseline_ranks_before_the_shuffle(log):
+    text = plan(profiles.baseline_resources(log))
+    assert "WindowGroupLimit" in text and "Partial" in text
+
+
+def test_top_k_does_not_sort_everything(log):
+    assert "TakeOrderedAndProject" in plan(analytics.top_active_users(log))
+    assert "TakeOrderedAndProject" in plan(analytics.high_risk_events(log))
+
+
+def test_failure_windows_share_one_shuffle(log):
+    df = batch_rules.brute_force(log)
+    df.collect()
+    text = df._jdf.queryExecution().executedPlan().toString()
+    assert "ReusedExchange" in text
