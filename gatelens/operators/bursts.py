@@ -64,8 +64,9 @@ def pick_bursts(anchors: DataFrame, policy: Policy = DEFAULT_POLICY) -> DataFram
     the last one taken. The walk is sequential, but its only memory is the last anchor taken, and that matters only for
     ``burst_seconds``. So the anchors are cut into time slices and walked in three steps:
 
-    1. per slice, for each anchor that could be the first one taken there (those within ``burst_seconds`` of the
-       slice's start, and the first one after), the last anchor that a walk from it takes;
+    1. per slice, for each anchor that could be the first one taken there, the last anchor that a walk from it takes.
+       If the slice before ends with anchors, those up to ``burst_seconds`` after its last one can be, and the first
+       one after that; else only the slice's first;
     2. per user, a walk over the slices that looks these answers up and so finds where each slice really starts;
     3. per slice again, the walk from that start.
 
@@ -73,12 +74,19 @@ def pick_bursts(anchors: DataFrame, policy: Policy = DEFAULT_POLICY) -> DataFram
     """
     reach = seconds(policy.burst_seconds)
     columns = [c for c in anchors.columns if c not in ("user_id", "ts")]
+    next_slice = F.col("home") + seconds(policy.slice_seconds)
+    reaches_next = F.col("ts") >= next_slice - reach
     per_slice = (
-        anchors.withColumn("slice", slice_start("ts", policy.slice_seconds))
+        anchors.withColumn("home", slice_start("ts", policy.slice_seconds))
+        .withColumn("slice", F.explode(F.when(reaches_next, F.array("home", next_slice)).otherwise(F.array("home"))))
         # Both uses below then have the same plan, and the second one reads the first one's shuffle.
         .filter(F.col("user_id").isNotNull() & F.col("slice").isNotNull())
         .groupBy("user_id", "slice")
-        .agg(F.array_sort(F.collect_list(F.struct("ts", *columns))).alias("anchors"))
+        .agg(
+            F.sort_array(F.collect_list(F.when(F.col("slice") == F.col("home"), F.struct("ts", *columns)))).alias("anchors"),
+            F.max(F.when(F.col("slice") != F.col("home"), F.col("ts"))).alias("last_before"),
+        )
+        .filter(F.size("anchors") > 0)
     )
 
     def last_taken(anchors, start):
@@ -94,10 +102,10 @@ def pick_bursts(anchors: DataFrame, policy: Policy = DEFAULT_POLICY) -> DataFram
             ).otherwise(taken),
         )
 
-    near_edge = F.col("slice") + reach
+    contested = F.coalesce(F.col("last_before") + reach, F.col("slice") - reach)
     candidates = F.concat(
-        F.filter("anchors", lambda a: a["ts"] <= near_edge),
-        F.slice(F.filter("anchors", lambda a: a["ts"] > near_edge), 1, 1),
+        F.filter("anchors", lambda a: a["ts"] <= contested),
+        F.slice(F.filter("anchors", lambda a: a["ts"] > contested), 1, 1),
     )
     answers = per_slice.select(
         "user_id",
@@ -122,7 +130,7 @@ def pick_bursts(anchors: DataFrame, policy: Policy = DEFAULT_POLICY) -> DataFram
         F.lit(None).cast("timestamp_ntz").alias("last"),
         F.array().cast("array<struct<slice:timestamp_ntz,start:timestamp_ntz>>").alias("starts"),
     )
-    steps = answers.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("slice", "answers"))).alias("steps"))
+    steps = answers.groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("slice", "answers"))).alias("steps"))
     starts = (
         steps.select("user_id", F.explode(F.aggregate("steps", nothing, advance)["starts"]).alias("s"))
         .select("user_id", "s.slice", "s.start")

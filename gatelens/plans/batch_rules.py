@@ -61,7 +61,7 @@ def suspicious_country(events: DataFrame, policy: Policy = DEFAULT_POLICY) -> Da
         F.max("last_event").alias("last_event"),
         F.max("max_risk_score").alias("max_risk_score"),
         F.sum("event_count").alias("event_count"),
-        F.array_sort(F.collect_list(F.struct("first.ts", "first.event_id", "used"))).alias("seen"),
+        F.sort_array(F.collect_list(F.struct("first.ts", "first.event_id", "used"))).alias("seen"),
     )
     detail = F.concat(
         F.lit("Sensitive resources reached from "),
@@ -144,7 +144,7 @@ def compromised_account(events: DataFrame, policy: Policy = DEFAULT_POLICY) -> D
             F.max("last_event").alias("last_event"),
             F.max("max_risk_score").alias("max_risk_score"),
             F.sum("event_count").alias("event_count"),
-            F.array_sort(F.collect_list("used")).alias("resources"),
+            F.sort_array(F.collect_list("used")).alias("resources"),
         )
         .filter(F.col("event_count") > policy.new_resource_over)
     )

@@ -84,7 +84,7 @@ def feed_records(totalled: DataFrame, role: str, policy: Policy = DEFAULT_POLICY
     loud = fired_alerts(rows.filter(any_alert()).withColumn("about", about), policy)
     enriched = enrich(loud, policy, keep=("event_id", "rule_order", "about")).drop("colour")
     fields = [c for c in enriched.columns if c not in ("event_id", "rule_order", "about")]
-    listed = F.array_sort(F.collect_list(F.struct("rule_order", F.struct(*fields).alias("alert"))))
+    listed = F.sort_array(F.collect_list(F.struct("rule_order", F.struct(*fields).alias("alert"))))
     with_alerts = enriched.groupBy("event_id").agg(
         F.any_value("about").alias("about"), F.transform(listed, lambda a: a["alert"]).alias("alerts")
     )

@@ -33,7 +33,7 @@ def test_query_equals_sql(spark, con, name):
     "name", [n for n in QUERIES if n.startswith(("rule_", "stream_rule_")) or n in ("alert_evidence", "notification_outbox")]
 )
 def test_no_rule_is_empty(con, name):
-    assert con.sql(f"SELECT count(*) FROM ({SQL[name]})").fetchone()[0] > 0
+    assert con.sql(f"SELECT count(*) FROM ({SQL[name]})").fetchall()[0][0] > 0
 
 
 def test_flagship(spark):
