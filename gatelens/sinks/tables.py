@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from gatelens.functions.timeparts import ts_text
+from gatelens.sources.access_log import TEXT_OPTIONS
 
 
 def write_alerts(alerts: DataFrame, path: str, fmt: str = "parquet") -> int:
@@ -16,7 +17,7 @@ def write_alerts(alerts: DataFrame, path: str, fmt: str = "parquet") -> int:
     written = Observation()
     counted = alerts.observe(written, F.count(F.lit(1)).alias("n"))
     if fmt == "csv":
-        counted.write.mode("errorifexists").option("header", "true").option("escape", '"').csv(path)
+        counted.write.mode("errorifexists").options(**TEXT_OPTIONS).csv(path)
     else:
         counted.write.mode("errorifexists").partitionBy("alert_type").format(fmt).save(path)
     return written.get["n"]
@@ -32,7 +33,7 @@ def normalised_log(events: DataFrame) -> DataFrame:
 
 
 def export_log(events: DataFrame, path: str) -> None:
-    normalised_log(events).write.mode("errorifexists").option("header", "true").option("escape", '"').csv(path)
+    normalised_log(events).write.mode("errorifexists").options(**TEXT_OPTIONS).csv(path)
 
 
 def alert_export(alerts: DataFrame, role: str) -> DataFrame:

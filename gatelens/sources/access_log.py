@@ -11,33 +11,37 @@ from pyspark.sql import types as T
 from gatelens.schema import ACCESS_EVENT, ALERT, validate_schema
 
 
+# How text formats write a log.
+TEXT_OPTIONS = {"header": "true", "escape": '"', "timestampNTZFormat": "yyyy-MM-dd HH:mm:ss[.SSSSSS]"}
+
+
+def _options(fmt: str) -> dict[str, str]:
+    return TEXT_OPTIONS if fmt in ("csv", "json") else {}
+
+
 def read_access_log(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
     """Access events with a declared schema; nothing is inferred."""
-    reader = spark.read.schema(ACCESS_EVENT)
-    if fmt == "csv":
-        reader = reader.option("header", "true").option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss[.SSSSSS]")
-    return validate_schema(reader.format(fmt).load(path), ACCESS_EVENT)
+    events = spark.read.schema(ACCESS_EVENT).format(fmt).options(**_options(fmt)).load(path)
+    return validate_schema(events, ACCESS_EVENT)
 
 
-def stream_access_log(spark: SparkSession, folder: str, max_files: int | None = None) -> DataFrame:
+def stream_access_log(spark: SparkSession, folder: str, max_files: int | None = None, fmt: str = "parquet") -> DataFrame:
     """New files of a log folder as a stream. Arrival order does not matter to the jobs, only the watermark does."""
-    reader = spark.readStream.schema(ACCESS_EVENT)
+    reader = spark.readStream.schema(ACCESS_EVENT).format(fmt).options(**_options(fmt))
     if max_files is not None:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    return reader.parquet(folder)
+    return reader.load(folder)
 
 
 def read_alerts(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    reader = spark.read.schema(ALERT)
-    if fmt == "csv":
-        reader = reader.option("header", "true").option("escape", '"')
-    return reader.format(fmt).load(path).select(*ALERT.fieldNames())
+    stored = spark.read.schema(ALERT).format(fmt).options(**_options(fmt)).load(path)
+    return stored.select(*ALERT.fieldNames())
 
 
 def read_raw_log(spark: SparkSession, path: str) -> DataFrame:
     """A CSV access log with every column still text, for :func:`parse_events`."""
     text = T.StructType([T.StructField(f.name, T.StringType()) for f in ACCESS_EVENT.fields])
-    return spark.read.schema(text).option("header", "true").option("escape", '"').csv(path)
+    return spark.read.schema(text).options(**TEXT_OPTIONS).csv(path)
 
 
 def parse_events(raw: DataFrame) -> DataFrame:

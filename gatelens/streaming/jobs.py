@@ -31,17 +31,20 @@ END_OF_REPLAY = "9999-01-01 00:00:00"
 cloudpickle.register_pickle_by_value(gatelens)
 
 
-def job_session(spark: SparkSession) -> SparkSession:
+def job_session(spark: SparkSession, state_partitions: int | None = None) -> SparkSession:
     """A session of its own for streaming jobs, so the caller's settings stay as they are.
 
     Event time has to be a zoned timestamp for a watermark; with the zone fixed to UTC the zone-less times of the log
-    keep their digits.
+    keep their digits. The number of state partitions is fixed for the life of a checkpoint; if not given, it is the
+    session's shuffle setting, but not more than two per core.
     """
     session = spark.newSession()
     session.conf.set("spark.sql.session.timeZone", "UTC")
     session.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB_PROVIDER)
     session.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
-    session.conf.set("spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions"))
+    configured = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    most = 2 * spark.sparkContext.defaultParallelism
+    session.conf.set("spark.sql.shuffle.partitions", str(state_partitions or min(configured, most)))
     return session
 
 

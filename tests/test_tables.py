@@ -33,12 +33,13 @@ def test_no_alert_writes_no_data(spark, alerts):
     assert access_log.read_alerts(spark, path).count() == 0
 
 
-@pytest.mark.parametrize("fmt", ["parquet", "csv"])
+@pytest.mark.parametrize("fmt", ["parquet", "csv", "json", "orc"])
 def test_access_log_scan(spark, frame, fmt):
     path = run_dir(spark, "log")
     events = frame([row("10:00:00.000007"), row("11:00:00", country="Iran")])
     events.write.option("header", "true").option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss.SSSSSS").format(fmt).save(path)
     assert sorted(map(tuple, access_log.read_access_log(spark, path, fmt).collect())) == sorted(map(tuple, events.collect()))
+    assert access_log.stream_access_log(spark, path, fmt=fmt).isStreaming
 
 
 def test_export_is_sorted_and_readable(spark, frame):
