@@ -35,7 +35,7 @@ def adapt(raw: DataFrame, policy: Policy = DEFAULT_POLICY) -> DataFrame:
         F.col("user_id").alias("uid"),
         (F.col("user_id") % 10).alias("prof"),
         (F.floor(F.col("user_id") / 10) % 5).alias("d"),
-        F.get_json_object("props", "$.k").cast("int").alias("k"),
+        F.regexp_extract("props", r'"k": *(\d+)', 1).cast("int").alias("k"),
     )
     roles = base.select(
         "*",
