@@ -45,5 +45,14 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def run_dir(spark: SparkSession, name: str) -> str:
-    """A new, unique folder for one run under the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new, unique folder for one run, in this application's folder under the shared one.
+
+    The application's folder is deleted when its driver ends.
+    """
+    top = f"{shared_dir(spark)}/gatelens-{spark.sparkContext.applicationId}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(top)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(path):
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+    return f"{top}/{name}-{uuid.uuid4().hex}"
