@@ -14,6 +14,7 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gatelens.llm.tables import read_table, saved
 from gatelens.llm.words import as_bytes
@@ -24,7 +25,7 @@ WEIGHTS = 3
 ADDED = ("size", "source_size", "target", "rate", "copies")
 
 
-@F.arrow_udf("long")
+@F.arrow_udf(T.LongType())
 def word_count(text: pa.Array) -> pa.Array:
     """Words between white space, 0 for null; splitting bytes takes a third of the time of a regular expression."""
     return pa.array([len(t.split()) if t else 0 for t in as_bytes(text)], pa.int64())
