@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from gatelens.llm import phrase_index, source_mix, substring_dedup
+from gatelens.llm import ngram_join, phrase_index, source_mix, substring_dedup
 
-MODULES = (phrase_index, source_mix, substring_dedup)
+MODULES = (ngram_join, phrase_index, source_mix, substring_dedup)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
