@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from gatelens.llm import language_id, language_model, ngram_join, phrase_index, source_mix, substring_dedup
+from gatelens.llm import language_id, language_model, ngram_join, phrase_index, quality_rank, source_mix, substring_dedup, toxicity
 
-MODULES = (language_id, language_model, ngram_join, phrase_index, source_mix, substring_dedup)
+MODULES = (language_id, language_model, ngram_join, phrase_index, quality_rank, source_mix, substring_dedup, toxicity)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
