@@ -29,7 +29,7 @@ from gatelens.llm.words import ALNUM, as_bytes
 
 FOLDS, HELD = 5, 0
 BITS = 18
-BEGINNINGS = (4, 5)
+BEGINNINGS = (4, 5, 6, 7)
 KEPT_FEATURES, LEAST_ASSOCIATION = 20_000, 12.0  # the second: a chi-square value
 OUT_OF_FOLD = 3
 MOST_FITTED = {1: 2500, 0: 5000}
@@ -50,10 +50,15 @@ class _Cells(dict):
 _cells = _Cells()
 
 
-def features(text: bytes | None) -> np.ndarray:
-    """The distinct hashed features of a text's words (runs of letters and digits, A-Z lower-cased)."""
+Row = tuple[np.ndarray, np.ndarray]
+
+
+def features(text: bytes | None) -> Row:
+    """The hashed features of a text's distinct words (runs of letters and digits, A-Z lower-cased) and their values,
+    log2(1 + the distinct words that have the feature)."""
     words = set(text.translate(ALNUM).split()) if text else ()
-    return np.array(sorted({c for w in words for c in _cells[w]}), np.int32)
+    cells, counts = np.unique(np.array([c for w in words for c in _cells[w]], np.int32), return_counts=True)
+    return cells, np.log2(1 + counts).astype(np.float32)
 
 
 @dataclass
@@ -64,9 +69,9 @@ class Linear:
     chained: np.ndarray
     bias: float
 
-    def logit(self, rows: list[np.ndarray], earlier: np.ndarray) -> np.ndarray:
+    def logit(self, rows: list[Row], earlier: np.ndarray) -> np.ndarray:
         """``earlier``: (rows, earlier categories)."""
-        own = np.array([self.weights[r].sum() for r in rows]) if rows else np.zeros(0)
+        own = np.array([self.weights[cells] @ values for cells, values in rows]) if rows else np.zeros(0)
         return own + earlier @ self.chained + self.bias
 
 
@@ -74,13 +79,14 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def fit_linear(rows: list[np.ndarray], earlier: np.ndarray, y: np.ndarray, rounds: int = 120, ridge: float = 2e-4) -> Linear:
+def fit_linear(rows: list[Row], earlier: np.ndarray, y: np.ndarray, rounds: int = 120, ridge: float = 2e-3) -> Linear:
     """Balanced logistic regression by accelerated gradient steps, over the features most associated with the label."""
     weights, chained = np.zeros(1 << BITS, np.float32), np.zeros(earlier.shape[1])
     rate = y.mean() if len(y) else 0.0
     if rate in (0.0, 1.0):
         return Linear(weights, chained, 8.0 if rate else -8.0)
-    cells, owner = np.concatenate(rows), np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    cells, values = (np.concatenate(x) for x in zip(*rows))
+    owner = np.repeat(np.arange(len(rows)), [len(r[0]) for r in rows])
     seen = np.bincount(cells, minlength=1 << BITS).astype(float)
     positive = np.bincount(cells, y[owner], minlength=1 << BITS)
     n, p = len(y), y.sum()
@@ -91,17 +97,17 @@ def fit_linear(rows: list[np.ndarray], earlier: np.ndarray, y: np.ndarray, round
     place = np.full(1 << BITS, -1)
     place[kept] = np.arange(len(kept))
     inside = place[cells] >= 0
-    columns, owner = place[cells[inside]], owner[inside]
+    columns, owner, values = place[cells[inside]], owner[inside], values[inside]
     balance = np.where(y == 1, 0.5 / p, 0.5 / (n - p))
     w, c, b = np.zeros(len(kept)), np.zeros(earlier.shape[1]), 0.0
     # A feature's step shrinks with its share of the documents; Nesterov's momentum over all parameters.
-    share = np.bincount(columns, balance[owner], len(kept)) if len(kept) else np.zeros(0)
+    share = np.bincount(columns, balance[owner] * values * values, len(kept)) if len(kept) else np.zeros(0)
     size = np.sqrt(np.maximum(np.bincount(owner, minlength=n).mean(), 1) * np.maximum(share, 1e-4))
     vw, vc, vb = w.copy(), c.copy(), b
     for t in range(rounds):
-        z = np.bincount(owner, vw[columns], n) + earlier @ vc + vb
+        z = np.bincount(owner, vw[columns] * values, n) + earlier @ vc + vb
         g = (_sigmoid(z) - y) * balance
-        nw = vw - (np.bincount(columns, g[owner], len(kept)) + ridge * vw) / size
+        nw = vw - (np.bincount(columns, g[owner] * values, len(kept)) + ridge * vw) / size
         nc, nb = vc - 0.2 * (earlier.T @ g + ridge * vc), vb - g.sum()
         m = t / (t + 3)
         vw, vc, vb = nw + m * (nw - w), nc + m * (nc - c), nb + m * (nb - b)
@@ -118,7 +124,7 @@ class Chain:
     models: list[Linear]
     thresholds: list[float]
 
-    def probabilities(self, rows: list[np.ndarray]) -> np.ndarray:
+    def probabilities(self, rows: list[Row]) -> np.ndarray:
         logits = np.zeros((len(rows), 0))
         for model in self.models:
             logits = np.column_stack([logits, np.clip(model.logit(rows, logits), -8, 8)])
@@ -135,7 +141,7 @@ def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
     return float((p[order][k] + (p[order][k + 1] if k + 1 < len(y) else 0)) / 2)
 
 
-def fit_chain(rows: list[np.ndarray], labels: np.ndarray, categories: tuple[str, ...], folds: np.ndarray) -> Chain:
+def fit_chain(rows: list[Row], labels: np.ndarray, categories: tuple[str, ...], folds: np.ndarray) -> Chain:
     """``labels``: (documents, categories); ``folds``: each document's part for out-of-fold predictions."""
     logits, models, thresholds = np.zeros((len(rows), 0)), [], []
     for k in range(len(categories)):
@@ -156,13 +162,14 @@ def fit(sample: DataFrame, categories: tuple[str, ...]) -> Chain:
 
     def extract(batches):
         for batch in batches:
-            rows = [features(t).tobytes() for t in as_bytes(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary()), *batch.columns[2:]], names=["doc_id", "cells", *categories])
+            rows = [features(t) for t in as_bytes(batch.column(1))]
+            packed = [pa.array([r[k].tobytes() for r in rows], pa.binary()) for k in range(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *packed, *batch.columns[2:]], names=["doc_id", "cells", "values", *categories])
 
     known = sample.select("doc_id", "text", *(F.col(c).cast("int") for c in categories)).dropna(subset=list(categories))
-    got = known.mapInArrow(extract, "doc_id long, cells binary, " + ", ".join(f"`{c}` int" for c in categories)).toPandas()
+    got = known.mapInArrow(extract, "doc_id long, cells binary, values binary, " + ", ".join(f"`{c}` int" for c in categories)).toPandas()
     got = got.sort_values("doc_id", kind="stable")
-    rows = [np.frombuffer(c, np.int32) for c in got["cells"]]
+    rows = [(np.frombuffer(c, np.int32), np.frombuffer(v, np.float32)) for c, v in zip(got["cells"], got["values"])]
     folds = np.array([xxhash.xxh3_64_intdigest(b"fold%d" % i) % OUT_OF_FOLD for i in got["doc_id"]], int)
     return fit_chain(rows, got[list(categories)].to_numpy(), categories, folds)
 
