@@ -20,113 +20,53 @@ STREAM_RULE_ORDER = (BRUTE_FORCE, SUSPICIOUS_COUNTRY, OFF_HOURS, COMPROMISED_ACC
 
 CRITICAL, HIGH, MEDIUM, LOW, NORMAL = "CRITICAL", "HIGH", "MEDIUM", "LOW", "NORMAL"
 
-# --- Fixed values: severity bands (severity, min score, max score, mark, response time, colour) -------------------
+# --- Severity bands: severity, min score, max score, mark, colour are fixed values; the response time is this policy's own.
 SEVERITY_BANDS = (
-    (CRITICAL, 90, 100, "🔴", "IMMEDIATE - act within minutes", "#ef4444"),
-    (HIGH, 70, 89, "🟠", "URGENT - act within 1 hour", "#f97316"),
-    (MEDIUM, 40, 69, "🟡", "MODERATE - review within 24 hours", "#eab308"),
-    (LOW, 1, 39, "🔵", "ROUTINE - include in the daily review", "#3b82f6"),
-    (NORMAL, 0, 0, "✅", "No action required", "#6b7280"),
+    (CRITICAL, 90, 100, "🔴", "page the on-call analyst, contain before reading on", "#ef4444"),
+    (HIGH, 70, 89, "🟠", "take over in the running shift", "#f97316"),
+    (MEDIUM, 40, 69, "🟡", "put into the queue for the next working day", "#eab308"),
+    (LOW, 1, 39, "🔵", "collect for the weekly trend meeting", "#3b82f6"),
+    (NORMAL, 0, 0, "✅", "none", "#6b7280"),
 )
 
-# --- Fixed values: response guidance by rule and severity ---------------------------------------------------------
+# --- Playbook: per rule, the steps with the lowest severity that calls for them, most pressing first --------------------
+PLAYBOOK = {
+    BRUTE_FORCE: (
+        (CRITICAL, "Lock the account until its owner has called back"),
+        (HIGH, "Throttle logins for the account to one a minute"),
+        (HIGH, "Hold the tried user names against known leak collections"),
+        (MEDIUM, "Look for other accounts that fail from these addresses"),
+        (LOW, "Count the burst in the login failure statistics"),
+    ),
+    SUSPICIOUS_COUNTRY: (
+        (CRITICAL, "Cut the connection at the gateway"),
+        (CRITICAL, "Inform the data owner of each listed resource"),
+        (HIGH, "Export what was read from the listed resources"),
+        (MEDIUM, "Compare the address with the exits of the company's tunnels"),
+        (MEDIUM, "Search the ticket system for a business trip"),
+        (LOW, "Keep the alert for the next review of the country list"),
+    ),
+    OFF_HOURS: (
+        (CRITICAL, "Switch the account to read-only until the morning shift"),
+        (HIGH, "List the statements and downloads of that night"),
+        (MEDIUM, "Look up maintenance windows and duty rosters"),
+        (LOW, "Mark the night in the user's shift plan"),
+    ),
+    COMPROMISED_ACCOUNT: (
+        (CRITICAL, "Freeze the account together with its service keys"),
+        (CRITICAL, "Roll back what was changed since the first of these accesses"),
+        (HIGH, "Let its programming keys expire"),
+        (MEDIUM, "Hold the granted rights against the template of the team"),
+        (LOW, "Enter the resource in the access inventory"),
+        (LOW, "Ask the team lead about a change of role"),
+    ),
+}
+_RANK = {band[0]: k for k, band in enumerate(SEVERITY_BANDS)}
 RECOMMENDATIONS = {
-    BRUTE_FORCE: {
-        CRITICAL: (
-            "Block the source address now",
-            "Reset the credentials of the user",
-            "Check whether any attempt succeeded during the attack",
-            "Turn on multi-factor login for the user",
-            "Read the last 30 minutes of logs from the same source",
-        ),
-        HIGH: (
-            "Block the source address for a while",
-            "Tell the user about the activity",
-            "Check recent successful logins",
-            "Consider multi-factor login as a precaution",
-        ),
-        MEDIUM: (
-            "Keep watching the source address",
-            "Review the failure pattern of the user",
-            "Ask whether the user reported login problems",
-        ),
-        LOW: (
-            "Record the event for later analysis",
-            "Add it to the daily activity report",
-        ),
-    },
-    SUSPICIOUS_COUNTRY: {
-        CRITICAL: (
-            "Block access from the country now",
-            "Suspend the active session",
-            "Reach the user through a verified second channel",
-            "Audit every resource touched in the session",
-            "Start the incident response procedure",
-        ),
-        HIGH: (
-            "Check whether the user has approved travel",
-            "Ask for an extra proof of identity",
-            "Watch the session live",
-            "Consider a temporary country block",
-        ),
-        MEDIUM: (
-            "Document the unusual access",
-            "Ask the user to confirm the activity",
-            "Review the country access policy",
-        ),
-        LOW: (
-            "Record it for geographic analysis",
-            "Add it to the weekly report",
-        ),
-    },
-    OFF_HOURS: {
-        CRITICAL: (
-            "Verify the identity of the user now",
-            "Review the resources touched during the night session",
-            "Compare with the usual behaviour of the user",
-            "Consider suspending the session until verified",
-        ),
-        HIGH: (
-            "Ask the user to confirm the activity",
-            "Look for a reason for the night access",
-            "Watch the rest of the session closely",
-        ),
-        MEDIUM: (
-            "Record the unusual hours",
-            "Check with the user or their manager",
-            "Compare with the accesses of the last month",
-        ),
-        LOW: (
-            "Document the change of hours",
-            "Add it to the monthly behaviour review",
-        ),
-    },
-    COMPROMISED_ACCOUNT: {
-        CRITICAL: (
-            "Suspend the account now",
-            "Revoke all active session tokens",
-            "Audit every recently touched resource",
-            "Open a forensic investigation of the account",
-            "Notify the security team and the user",
-        ),
-        HIGH: (
-            "Force a sign-out and a fresh login",
-            "Review changes made in sensitive resources",
-            "Require multi-factor login for the user",
-            "Watch the account closely",
-        ),
-        MEDIUM: (
-            "Ask the user to log in again",
-            "Review the recent access history",
-            "Check whether the behaviour has a reason",
-        ),
-        LOW: (
-            "Record the change of behaviour",
-            "Follow up over the next days",
-        ),
-    },
+    rule: {severity: tuple(text for floor, text in steps if _RANK[floor] >= _RANK[severity]) for severity in (CRITICAL, HIGH, MEDIUM, LOW)}
+    for rule, steps in PLAYBOOK.items()
 }
-DEFAULT_RECOMMENDATION = "Review the event by hand"
+DEFAULT_RECOMMENDATION = "Not in the playbook, let an analyst decide"
 
 
 @dataclass(frozen=True)

@@ -14,8 +14,8 @@ def _quote(text: str) -> str:
 
 
 _BANDS = ", ".join(
-    f"({_quote(name)}, {low}, {_quote(mark)}, {_quote(respond)}, {_quote(colour)})"
-    for name, low, _, mark, respond, colour in SEVERITY_BANDS
+    f"({_quote(name)}, {low}, {high}, {_quote(mark)}, {_quote(respond)}, {_quote(colour)})"
+    for name, low, high, mark, respond, colour in SEVERITY_BANDS
 )
 _ADVICE = ", ".join(
     f"({_quote(kind)}, {_quote(band)}, {i + 1}, {_quote(text)})"
@@ -150,9 +150,9 @@ _BATCH = f"""{_EVENTS}, moments AS (SELECT user_id, ts, count(*) AS failures, ma
   WHERE r.resource IN {_SENSITIVE}
 ), rule1 AS (
   SELECT 'BRUTE_FORCE' AS alert_type, user_id,
-         CAST(event_count AS VARCHAR) || ' failed attempts in '
+         CAST(event_count AS VARCHAR) || ' failures, the last one '
            || CAST(CAST(round_even((epoch_us(last_event) - epoch_us(first_event)) / 1000000.0, 0) AS BIGINT) AS VARCHAR)
-           || ' seconds' AS detail,
+           || ' s after the first' AS detail,
          first_event, last_event, country, resource, max_risk_score, event_count
   FROM (SELECT user_id, burst_start, {_RECORD} FROM evidence GROUP BY user_id, burst_start)
 ), hits AS (SELECT * FROM ev WHERE country IN {_WATCHED} AND resource IN {_SENSITIVE}
@@ -162,28 +162,26 @@ _BATCH = f"""{_EVENTS}, moments AS (SELECT user_id, ts, count(*) AS failures, ma
   GROUP BY user_id, country
 ), rule2 AS (
   SELECT 'SUSPICIOUS_COUNTRY' AS alert_type, r.user_id,
-         'Sensitive resources reached from ' || r.country || ' (' || CAST(r.event_count AS VARCHAR)
-           || ' events, resources: ' || u.used || ')' AS detail,
+         r.country || ': ' || CAST(r.event_count AS VARCHAR) || ' sensitive events on ' || u.used AS detail,
          r.first_event, r.last_event, r.country, r.resource, r.max_risk_score, r.event_count
   FROM (SELECT user_id, country AS origin, {_RECORD} FROM hits GROUP BY user_id, origin) r
   JOIN used_order u ON u.user_id = r.user_id AND u.country = r.origin
 ), rule3 AS (
   SELECT 'OFF_HOURS' AS alert_type, user_id,
-         'Sensitive resources reached at night (' || CAST(event_count AS VARCHAR) || ' events between '
-           || lpad(CAST(from_hour AS VARCHAR), 2, '0') || ':00 and ' || lpad(CAST(to_hour AS VARCHAR), 2, '0') || ':59)' AS detail,
+         CAST(event_count AS VARCHAR) || ' sensitive events by night, hours '
+           || lpad(CAST(from_hour AS VARCHAR), 2, '0') || ' to ' || lpad(CAST(to_hour AS VARCHAR), 2, '0') AS detail,
          first_event, last_event, country, resource, max_risk_score, event_count
   FROM (SELECT user_id, min(hour(ts)) AS from_hour, max(hour(ts)) AS to_hour, {_RECORD}
         FROM ev WHERE hour(ts) < 6 AND resource IN {_SENSITIVE} GROUP BY user_id)
 ), rule4 AS (
   SELECT 'COMPROMISED_ACCOUNT' AS alert_type, user_id,
-         'Never-used resources reached: ' || used || ' (' || CAST(event_count AS VARCHAR)
-           || ' events in the second half of the history)' AS detail,
+         CAST(event_count AS VARCHAR) || ' late events on resources new to the user: ' || used AS detail,
          first_event, last_event, country, resource, max_risk_score, event_count
   FROM (SELECT user_id, string_agg(DISTINCT resource, ', ' ORDER BY resource) AS used, {_RECORD}
         FROM new_use GROUP BY user_id) WHERE event_count > 2
 ), rule5 AS (
   SELECT 'SLOW_BRUTE_FORCE' AS alert_type, user_id,
-         'Possible low-and-slow attack: ' || CAST(event_count AS VARCHAR) || ' failed attempts on ' || CAST(day AS VARCHAR) AS detail,
+         CAST(event_count AS VARCHAR) || ' failures spread over ' || CAST(day AS VARCHAR) AS detail,
          first_event, last_event, country, resource, max_risk_score, event_count
   FROM (SELECT user_id, CAST(ts AS DATE) AS day, {_RECORD} FROM fail GROUP BY user_id, day) WHERE event_count > 20
 ), al AS (
@@ -191,7 +189,7 @@ _BATCH = f"""{_EVENTS}, moments AS (SELECT user_id, ts, count(*) AS failures, ma
 )
 """
 
-_DIMENSIONS = f""", bands(severity, min_score, emoji, response_time, colour) AS (VALUES {_BANDS}
+_DIMENSIONS = f""", bands(severity, min_score, max_score, emoji, response_time, colour) AS (VALUES {_BANDS}
 ), advice(alert_type, severity, position, recommendation) AS (VALUES {_ADVICE})
 """
 
@@ -199,7 +197,7 @@ _DIMENSIONS = f""", bands(severity, min_score, emoji, response_time, colour) AS
 def _enriched(alerts: str, columns: str, by: str) -> str:
     """CTEs ``graded`` (one row per alert) and ``advised`` (one row per alert and recommendation)."""
     return f"""{_DIMENSIONS}, graded AS (
-  SELECT a.*, b.emoji, b.response_time, b.colour FROM (SELECT {columns}, {_severity("score")} AS severity FROM {alerts}) a
+  SELECT a.*, b.emoji, b.response_time, b.colour, b.min_score, b.max_score FROM (SELECT {columns}, {_severity("score")} AS severity FROM {alerts}) a
   JOIN bands b ON b.severity = a.severity
 ), advised AS (
   SELECT g.*, coalesce(d.position, 1) AS position, coalesce(d.recommendation, {_quote(DEFAULT_RECOMMENDATION)}) AS recommendation
@@ -208,7 +206,7 @@ def _enriched(alerts: str, columns: str, by: str) -> str:
 ), listed AS (
   SELECT {by}, string_agg(recommendation, ' | ' ORDER BY position) AS recommendations,
          string_agg('"' || recommendation || '"', ',' ORDER BY position) AS as_json,
-         string_agg(CAST(position AS VARCHAR) || '. ' || recommendation, chr(10) ORDER BY position) AS numbered,
+         string_agg(CAST(position AS VARCHAR) || ') ' || recommendation, chr(10) ORDER BY position) AS numbered,
          string_agg('<li>' || recommendation || '</li>', '' ORDER BY position) AS items
   FROM advised GROUP BY {by}
 )
@@ -228,21 +226,20 @@ _STREAM_ENRICHED = _SCORED + _enriched("sa", _STREAM_COLUMNS, "event_id, alert_t
 _OUTBOX_SOURCE = f"""(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id, alert_type ORDER BY ts, event_id) AS n
    FROM sa WHERE score >= 70) WHERE n = 1)"""
 _FIELDS = (
-    ("User", "user_id"),
-    ("Country", "country"),
-    ("Resource", "resource"),
-    ("Risk score", "CAST(score AS VARCHAR) || '/100'"),
-    ("Time", "timestamp"),
-    ("Detail", "detail"),
-    ("Respond", "response_time"),
+    ("What", "detail"),
+    ("Deadline", "response_time"),
+    ("Who", "user_id"),
+    ("When", "timestamp"),
+    ("Touched", "resource || ' from ' || country"),
+    ("Score", "CAST(score AS VARCHAR)"),
 )
 _BODY_TEXT = " || chr(10) || ".join(
-    ["emoji || ' ' || severity || ' - ' || alert_type"]
+    ["severity || ' ' || emoji || ' ' || user_id || ': ' || replace(alert_type, '_', ' ')"]
     + [f"'{label}: ' || {value}" for label, value in _FIELDS]
-    + ["'Recommendations:'", "numbered"]
+    + ["'Next:'", "numbered"]
 )
 _BODY_HTML = (
-    "'<html><body><h1 style=\"color:' || colour || '\">' || emoji || ' ' || severity || ' - ' || replace(alert_type, '_', ' ')"
+    "'<html><body><h1 style=\"color:' || colour || '\">' || severity || ' ' || emoji || ' ' || user_id || ': ' || replace(alert_type, '_', ' ')"
     " || '</h1><table>' || "
     + " || ".join(f"'<tr><td>{label}</td><td>' || {value} || '</td></tr>'" for label, value in _FIELDS)
     + " || '</table><ol>' || items || '</ol></body></html>'"
@@ -251,7 +248,7 @@ _OUTBOX = (
     _SCORED
     + _enriched(_OUTBOX_SOURCE, _STREAM_COLUMNS, "event_id, alert_type")
     + f"""SELECT event_id, user_id, alert_type, severity, score, timestamp,
-       emoji || ' [' || severity || '] ' || alert_type || ' - ' || user_id AS subject,
+       severity || ' ' || emoji || ' ' || user_id || ': ' || replace(alert_type, '_', ' ') AS subject,
        {_BODY_TEXT} AS body_text, {_BODY_HTML} AS body_html
 FROM graded JOIN listed USING (event_id, alert_type)"""
 )
@@ -326,7 +323,7 @@ def _level(name: str, condition: str) -> str:
     return f"SELECT '{name}' AS level, {part} AS n, {_ratio(f'100 * {part}', '(SELECT count(*) FROM ev)', 1)} AS pct"
 
 
-_ENRICHED_COLUMNS = "alert_type, severity, emoji, user_id, country, resource, score, timestamp, detail, response_time, recommendations, colour"
+_ENRICHED_COLUMNS = "alert_type, severity, emoji, user_id, country, resource, score, timestamp, detail, response_time, recommendations, colour, min_score, max_score"
 _ALL_ALERTS = f"{_BATCH} SELECT {_ALERT_COLUMNS} FROM al"
 _SLOW = f"{_BATCH} SELECT {_ALERT_COLUMNS} FROM rule5"
 _SO_FAR = "(PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)"

@@ -44,7 +44,7 @@ def brute_force(events: DataFrame, policy: Policy = DEFAULT_POLICY) -> DataFrame
     )
     duration = F.bround(elapsed_seconds(F.col("first.ts"), F.col("last_event")), 0).cast("long")
     detail = F.concat(
-        F.col("event_count").cast("string"), F.lit(" failed attempts in "), duration.cast("string"), F.lit(" seconds")
+        F.col("event_count").cast("string"), F.lit(" failures, the last one "), duration.cast("string"), F.lit(" s after the first")
     )
     return to_alert(records, config.BRUTE_FORCE, detail)
 
@@ -64,13 +64,11 @@ def suspicious_country(events: DataFrame, policy: Policy = DEFAULT_POLICY) -> Da
         F.sort_array(F.collect_list(F.struct("first.ts", "first.event_id", "used"))).alias("seen"),
     )
     detail = F.concat(
-        F.lit("Sensitive resources reached from "),
         F.col("from_country"),
-        F.lit(" ("),
+        F.lit(": "),
         F.col("event_count").cast("string"),
-        F.lit(" events, resources: "),
+        F.lit(" sensitive events on "),
         F.array_join(F.transform("seen", lambda s: s["used"]), ", "),
-        F.lit(")"),
     )
     return to_alert(records, config.SUSPICIOUS_COUNTRY, detail)
 
@@ -83,13 +81,11 @@ def off_hours(events: DataFrame, policy: Policy = DEFAULT_POLICY) -> DataFrame:
         .agg(*record_aggregates(), F.min(F.hour("ts")).alias("from_hour"), F.max(F.hour("ts")).alias("to_hour"))
     )
     detail = F.concat(
-        F.lit("Sensitive resources reached at night ("),
         F.col("event_count").cast("string"),
-        F.lit(" events between "),
+        F.lit(" sensitive events by night, hours "),
         two_digits(F.col("from_hour")),
-        F.lit(":00 and "),
+        F.lit(" to "),
         two_digits(F.col("to_hour")),
-        F.lit(":59)"),
     )
     return to_alert(records, config.OFF_HOURS, detail)
 
@@ -149,11 +145,9 @@ def compromised_account(events: DataFrame, policy: Policy = DEFAULT_POLICY) -> D
         .filter(F.col("event_count") > policy.new_resource_over)
     )
     detail = F.concat(
-        F.lit("Never-used resources reached: "),
-        F.array_join("resources", ", "),
-        F.lit(" ("),
         F.col("event_count").cast("string"),
-        F.lit(" events in the second half of the history)"),
+        F.lit(" late events on resources new to the user: "),
+        F.array_join("resources", ", "),
     )
     return to_alert(records, config.COMPROMISED_ACCOUNT, detail)
 
@@ -166,9 +160,8 @@ def slow_brute_force(events: DataFrame, policy: Policy = DEFAULT_POLICY) -> Data
         .filter(F.col("event_count") > policy.daily_failures_over)
     )
     detail = F.concat(
-        F.lit("Possible low-and-slow attack: "),
         F.col("event_count").cast("string"),
-        F.lit(" failed attempts on "),
+        F.lit(" failures spread over "),
         F.col("day").cast("string"),
     )
     return to_alert(records, config.SLOW_BRUTE_FORCE, detail)

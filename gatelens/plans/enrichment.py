@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gatelens import config
@@ -14,58 +14,54 @@ from gatelens.functions.timeparts import ts_text
 INPUT = ["alert_type", "user_id", "country", "resource", "score", "ts", "detail"]
 
 
-def severity_table(spark: SparkSession, policy: Policy = DEFAULT_POLICY) -> DataFrame:
-    """One row per severity band of the policy."""
-    schema = "severity string, min_score int, max_score int, emoji string, response_time string, colour string"
-    return spark.createDataFrame([tuple(band) for band in policy.severity_bands], schema)
+BAND = ("severity", "min_score", "max_score", "emoji", "response_time", "colour")
 
 
-def recommendation_table(spark: SparkSession, policy: Policy = DEFAULT_POLICY) -> DataFrame:
-    """One row per rule and severity of the policy."""
-    rows = [
-        (alert_type, severity, list(items))
-        for alert_type, by_severity in policy.recommendations.items()
-        for severity, items in by_severity.items()
+def _literal_map(entries) -> Column:
+    return F.create_map(*[part for key, value in entries for part in (F.lit(key), value)])
+
+
+def severity_attributes(severity: Column, policy: Policy = DEFAULT_POLICY) -> Column:
+    """A struct with the attributes of a severity's band, looked up in a literal map of the policy's bands."""
+    attributes = [
+        (band[0], F.struct(*[F.lit(value).alias(name) for name, value in zip(BAND, band)])) for band in policy.severity_bands
     ]
-    return spark.createDataFrame(rows, "alert_type string, severity string, recommendations array<string>")
-
-
-def with_recommendations(alerts: DataFrame, policy: Policy = DEFAULT_POLICY) -> DataFrame:
-    """Adds ``recommendations`` for ``(alert_type, severity)``.
-
-    A severity without an entry gets the rule's low-severity list, an unknown rule the default. The table is as large
-    as the policy it is written from, a handful of rows, so both joins broadcast it.
-    """
-    table = recommendation_table(alerts.sparkSession, policy)
-    low = table.filter(F.col("severity") == config.LOW).select("alert_type", F.col("recommendations").alias("_low"))
-    exact = table.withColumnRenamed("recommendations", "_exact")
-    return (
-        alerts.join(F.broadcast(exact), ["alert_type", "severity"], "left")
-        .join(F.broadcast(low), "alert_type", "left")
-        .withColumn("recommendations", F.coalesce("_exact", "_low", F.array(F.lit(policy.default_recommendation))))
-        .drop("_exact", "_low")
-    )
+    return F.element_at(_literal_map(attributes), severity)
+
+
+def recommendations(alert_type: Column, severity: Column, policy: Policy = DEFAULT_POLICY) -> Column:
+    """The steps for a rule and severity; a severity without an entry gets the rule's low-severity list, an unknown rule the default."""
+    listed = lambda items: F.array(*[F.lit(text) for text in items])
+    entries = [
+        (f"{rule} {level}", listed(items)) for rule, by_severity in policy.recommendations.items() for level, items in by_severity.items()
+    ]
+    default = listed([policy.default_recommendation])
+    if not entries:
+        return default
+    found = lambda level: F.try_element_at(_literal_map(entries), F.concat_ws(" ", alert_type, level))
+    return F.coalesce(found(severity), found(F.lit(config.LOW)), default)
 
 
 def enrich(alerts: DataFrame, policy: Policy = DEFAULT_POLICY, keep: tuple[str, ...] = ()) -> DataFrame:
-    """ENRICHED_ALERT rows; ``keep`` names further columns to carry along. Works on batch and streaming input."""
-    bands = severity_table(alerts.sparkSession, policy).select("severity", "emoji", "response_time", "colour")
+    """ENRICHED_ALERT rows; ``keep`` names further columns to carry along. Works on batch and streaming input, without a join."""
     graded = alerts.withColumn("severity", scoring.severity("score", policy))
-    attributed = graded.join(F.broadcast(bands), "severity", "left")
-    return with_recommendations(attributed, policy).select(
+    attributed = graded.withColumn("band", severity_attributes(F.col("severity"), policy))
+    return attributed.select(
         *keep,
         "alert_type",
         "severity",
-        "emoji",
+        "band.emoji",
         "user_id",
         "country",
         "resource",
         "score",
         ts_text("ts").alias("timestamp"),
         "detail",
-        "response_time",
-        "recommendations",
-        "colour",
+        "band.response_time",
+        recommendations(F.col("alert_type"), F.col("severity"), policy).alias("recommendations"),
+        "band.colour",
+        "band.min_score",
+        "band.max_score",
     )
 
 

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gatelens.config import DEFAULT_POLICY, Policy
+from gatelens.functions import scoring
 from gatelens.functions.scoring import event_class, score_band
 from gatelens.functions.text import feed_time, fixed_width, short_time, spaced, visible_ip
 from gatelens.functions.timeparts import ts_text
-from gatelens.plans.enrichment import enrich
-from gatelens.plans.stream_rules import any_alert, events_with_alerts, fired_alerts, with_feed_totals
+from gatelens.plans.enrichment import recommendations, severity_attributes
+from gatelens.plans.stream_rules import alerts_array, any_alert, events_with_alerts, with_feed_totals
 
 ROLES = ("admin", "analyst")
 
@@ -72,26 +73,30 @@ RECORD = ["total_events", "total_alerts", "rate", "user_id", "country", "resourc
 
 
 def feed_records(totalled: DataFrame, role: str, policy: Policy = DEFAULT_POLICY) -> DataFrame:
-    """``(event_id, record)`` from detected events with totals.
-
-    Events without alerts, nearly all of them, are rendered as they come. Only those with alerts go through the
-    enrichment and are put together again per event.
-    """
+    """``(event_id, record)`` from detected events with totals: each alert is enriched in the event's own array."""
     rows = totalled.withColumn("timestamp", ts_text("ts")).withColumn(
         "ip", visible_ip(F.lit(role), any_alert(), "ip_address")
     )
-    about = F.struct(*RECORD).alias("about")
-    loud = fired_alerts(rows.filter(any_alert()).withColumn("about", about), policy)
-    enriched = enrich(loud, policy, keep=("event_id", "rule_order", "about")).drop("colour")
-    fields = [c for c in enriched.columns if c not in ("event_id", "rule_order", "about")]
-    listed = F.sort_array(F.collect_list(F.struct("rule_order", F.struct(*fields).alias("alert"))))
-    with_alerts = enriched.groupBy("event_id").agg(
-        F.any_value("about").alias("about"), F.transform(listed, lambda a: a["alert"]).alias("alerts")
-    )
-    none = F.array().cast(with_alerts.schema["alerts"].dataType).alias("alerts")
-    quiet = rows.filter(~any_alert()).select("event_id", about, none)
-    record = F.to_json(F.struct(*[F.col(f"about.{c}").alias(c) for c in RECORD], "alerts"), {"ignoreNullFields": "false"})
-    return quiet.unionByName(with_alerts).select("event_id", record.alias("record"))
+    rows = rows.withColumn("severity", scoring.severity("score", policy))
+    rows = rows.withColumn("band", severity_attributes(F.col("severity"), policy))
+
+    def enriched(alert: Column) -> Column:
+        return F.struct(
+            alert["alert_type"].alias("alert_type"),
+            F.col("severity"),
+            F.col("band.emoji"),
+            F.col("user_id"),
+            F.col("country"),
+            F.col("resource"),
+            F.col("score"),
+            F.col("timestamp"),
+            alert["detail"].alias("detail"),
+            F.col("band.response_time"),
+            recommendations(alert["alert_type"], F.col("severity"), policy).alias("recommendations"),
+        )
+
+    listed = F.transform(alerts_array(policy), enriched).alias("alerts")
+    return rows.select("event_id", F.to_json(F.struct(*RECORD, listed), {"ignoreNullFields": "false"}).alias("record"))
 
 
 def feed_json(detected: DataFrame, role: str = "admin", policy: Policy = DEFAULT_POLICY) -> DataFrame:

@@ -23,42 +23,30 @@ def first_high_risk(alerts: DataFrame, policy: Policy = DEFAULT_POLICY) -> DataF
 
 
 def subject() -> Column:
-    return F.concat(F.col("emoji"), F.lit(" ["), F.col("severity"), F.lit("] "), F.col("alert_type"), F.lit(" - "), F.col("user_id"))
+    return F.concat("severity", F.lit(" "), "emoji", F.lit(" "), "user_id", F.lit(": "), spaced("alert_type"))
 
 
 def _fields() -> list[tuple[str, Column]]:
     return [
-        ("User", F.col("user_id")),
-        ("Country", F.col("country")),
-        ("Resource", F.col("resource")),
-        ("Risk score", F.concat(F.col("score").cast("string"), F.lit("/100"))),
-        ("Time", F.col("timestamp")),
-        ("Detail", F.col("detail")),
-        ("Respond", F.col("response_time")),
+        ("What", F.col("detail")),
+        ("Deadline", F.col("response_time")),
+        ("Who", F.col("user_id")),
+        ("When", F.col("timestamp")),
+        ("Touched", F.concat(F.col("resource"), F.lit(" from "), F.col("country"))),
+        ("Score", F.col("score").cast("string")),
     ]
 
 
 def body_text() -> Column:
-    heading = F.concat(F.col("emoji"), F.lit(" "), F.col("severity"), F.lit(" - "), F.col("alert_type"))
     lines = [F.concat(F.lit(f"{label}: "), value) for label, value in _fields()]
     numbered = F.transform(
-        "recommendations", lambda text, i: F.concat((i + 1).cast("string"), F.lit(". "), text)
+        "recommendations", lambda text, i: F.concat((i + 1).cast("string"), F.lit(") "), text)
     )
-    return F.concat_ws("\n", heading, *lines, F.lit("Recommendations:"), F.array_join(numbered, "\n"))
+    return F.concat_ws("\n", subject(), *lines, F.lit("Next:"), F.array_join(numbered, "\n"))
 
 
 def body_html() -> Column:
-    heading = F.concat(
-        F.lit('<h1 style="color:'),
-        F.col("colour"),
-        F.lit('">'),
-        F.col("emoji"),
-        F.lit(" "),
-        F.col("severity"),
-        F.lit(" - "),
-        spaced("alert_type"),
-        F.lit("</h1>"),
-    )
+    heading = F.concat(F.lit('<h1 style="color:'), F.col("colour"), F.lit('">'), html_escape(subject()), F.lit("</h1>"))
     rows = [F.concat(F.lit(f"<tr><td>{label}</td><td>"), html_escape(value), F.lit("</td></tr>")) for label, value in _fields()]
     items = F.array_join(
         F.transform("recommendations", lambda text: F.concat(F.lit("<li>"), html_escape(text), F.lit("</li>"))), ""

@@ -81,9 +81,8 @@ def slow_brute_force(events: DataFrame, policy: Policy = DEFAULT_POLICY, delay:
         .withColumn("day", F.to_date("window.start"))
     )
     detail = F.concat(
-        F.lit("Possible low-and-slow attack: "),
         F.col("event_count").cast("string"),
-        F.lit(" failed attempts on "),
+        F.lit(" failures spread over "),
         F.col("day").cast("string"),
     )
     return to_alert(records, config.SLOW_BRUTE_FORCE, detail)

@@ -107,14 +107,16 @@ def test_recommendations(spark, kind, score, severity, expected):
     assert (got.severity, tuple(got.recommendations), got.timestamp) == (severity, expected, "2024-03-04 10:00:00")
 
 
-def test_recommendation_list_sizes():
-    sizes = {kind: tuple(len(items) for items in by.values()) for kind, by in DEFAULT_POLICY.recommendations.items()}
-    assert sizes == {
-        "BRUTE_FORCE": (5, 4, 3, 2),
-        "SUSPICIOUS_COUNTRY": (5, 4, 3, 2),
-        "OFF_HOURS": (4, 3, 3, 2),
-        "COMPROMISED_ACCOUNT": (5, 4, 3, 2),
-    }
+def test_a_higher_severity_calls_for_all_steps_of_a_lower_one():
+    for by in DEFAULT_POLICY.recommendations.values():
+        lists = [by[level] for level in ("CRITICAL", "HIGH", "MEDIUM", "LOW")]
+        assert all(len(high) > 0 and high[len(high) - len(low) :] == low for high, low in zip(lists, lists[1:]))
+
+
+def test_enrichment_joins_nothing_and_has_the_band(spark):
+    rows = enrichment.enrich(one_alert(spark, "OFF_HOURS", 72))
+    assert (rows.first().min_score, rows.first().max_score) == (70, 89)
+    assert "Join" not in rows._jdf.queryExecution().executedPlan().toString()
 
 
 def test_outbox_keeps_the_first_high_risk_alert(spark):
@@ -122,8 +124,8 @@ def test_outbox_keeps_the_first_high_risk_alert(spark):
     later = one_alert(spark, "OFF_HOURS", 95, "later").withColumn("ts", F.expr("ts + INTERVAL '5' SECOND"))
     first = one_alert(spark, "OFF_HOURS", 70, "a<b & c").withColumn("ts", F.expr("ts + INTERVAL '1' SECOND"))
     sent = outbox.notification_outbox(low.unionByName(later).unionByName(first)).collect()
-    assert [(m.score, m.subject) for m in sent] == [(70, "🟠 [HIGH] OFF_HOURS - u")]
-    assert "Detail: a<b & c" in sent[0].body_text and "1. Ask the user to confirm" in sent[0].body_text
+    assert [(m.score, m.subject) for m in sent] == [(70, "HIGH 🟠 u: OFF HOURS")]
+    assert "What: a<b & c" in sent[0].body_text and "1) List the statements" in sent[0].body_text
     assert "<td>a&lt;b &amp; c</td>" in sent[0].body_html
 
 
