@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gatelens.config import DEFAULT_POLICY, Policy
 from gatelens.functions.predicates import is_failed
-from gatelens.functions.timeparts import seconds, slice_start
+from gatelens.functions.timeparts import elapsed_seconds, seconds, slice_start
+from gatelens.operators import walks
 
 
 def failure_moments(events: DataFrame) -> DataFrame:
@@ -57,89 +62,71 @@ def burst_windows(moments: DataFrame, policy: Policy = DEFAULT_POLICY) -> DataFr
     )
 
 
+#: Stretches whose functions are composed, each of several of the one before. A user's months are the last level.
+DAY, MONTH = 86_400, 32 * 86_400
+_CAME = "user_id string, slice timestamp_ntz, came_with long"
+_STEPS = "user_id string, slice timestamp_ntz, starts array<long>, lasts array<long>, rest long"
+
+
 def pick_bursts(anchors: DataFrame, policy: Policy = DEFAULT_POLICY) -> DataFrame:
     """The anchors taken by a greedy walk; ``anchors`` has distinct ``(user_id, ts)`` and any further columns.
 
     Walking through a user's anchors in time order, an anchor is taken when it lies more than ``burst_seconds`` after
-    the last one taken. The walk is sequential, but its only memory is the last anchor taken, and that matters only for
-    ``burst_seconds``. So the anchors are cut into time slices and walked in three steps:
-
-    1. per slice, for each anchor that could be the first one taken there, the last anchor that a walk from it takes.
-       If the slice before ends with anchors, those up to ``burst_seconds`` after its last one can be, and the first
-       one after that; else only the slice's first;
-    2. per user, a walk over the slices that looks these answers up and so finds where each slice really starts;
-    3. per slice again, the walk from that start.
-
-    No step sees more of one user than one slice's anchors, or one short list per active slice.
+    the last one taken. The anchors are cut into time slices, and a slice is walked on its own if none of the user's
+    anchors lies within ``burst_seconds`` before its first one: the walk starts afresh there. Only where bursts run on from
+    slice to slice does the walk depend on where it comes from. Each of these slices is turned into a function (see ``walks``),
+    functions are composed per day and month, and what comes in is handed down again: to months, days and slices. Each
+    step is linear in the anchors; no row or group holds more than a slice's anchors or a month's functions, whose size
+    is that of ``burst_seconds`` of anchors.
     """
-    reach = seconds(policy.burst_seconds)
-    columns = [c for c in anchors.columns if c not in ("user_id", "ts")]
-    next_slice = F.col("home") + seconds(policy.slice_seconds)
-    reaches_next = F.col("ts") >= next_slice - reach
-    per_slice = (
-        anchors.withColumn("home", slice_start("ts", policy.slice_seconds))
-        .withColumn("slice", F.explode(F.when(reaches_next, F.array("home", next_slice)).otherwise(F.array("home"))))
-        # Both uses below then have the same plan, and the second one reads the first one's shuffle.
-        .filter(F.col("user_id").isNotNull() & F.col("slice").isNotNull())
-        .groupBy("user_id", "slice")
-        .agg(
-            F.sort_array(F.collect_list(F.when(F.col("slice") == F.col("home"), F.struct("ts", *columns)))).alias("anchors"),
-            F.max(F.when(F.col("slice") != F.col("home"), F.col("ts"))).alias("last_before"),
-        )
-        .filter(F.size("anchors") > 0)
-    )
-
-    def last_taken(anchors, start):
-        return F.aggregate(anchors, start, lambda last, a: F.when(a["ts"] > last + reach, a["ts"]).otherwise(last))
-
-    def all_taken(anchors, start):
-        from_start = F.filter(anchors, lambda a: a["ts"] >= start)
-        return F.aggregate(
-            from_start,
-            F.slice(from_start, 1, 1),
-            lambda taken, a: F.when(
-                a["ts"] > F.element_at(taken, -1)["ts"] + reach, F.concat(taken, F.array(a))
-            ).otherwise(taken),
-        )
-
-    contested = F.coalesce(F.col("last_before") + reach, F.col("slice") - reach)
-    candidates = F.concat(
-        F.filter("anchors", lambda a: a["ts"] <= contested),
-        F.slice(F.filter("anchors", lambda a: a["ts"] > contested), 1, 1),
-    )
-    answers = per_slice.select(
+    reach = policy.burst_seconds * 1_000_000
+    slice_seconds = policy.slice_seconds
+    placed = anchors.withColumn("slice", slice_start("ts", slice_seconds))
+    by_user = Window.partitionBy("user_id").orderBy("slice")
+    within = F.lit(policy.burst_seconds)
+    spans = placed.groupBy("user_id", "slice").agg(F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+    spans = spans.select(
         "user_id",
         "slice",
-        F.transform(
-            candidates,
-            lambda a: F.struct(a["ts"].alias("start"), last_taken(F.col("anchors"), a["ts"]).alias("last")),
-        ).alias("answers"),
-    )
-
-    def advance(state, step):
-        allowed = F.filter(step["answers"], lambda a: state["last"].isNull() | (a["start"] > state["last"] + reach))
-        found = F.get(allowed, F.lit(0))
-        return F.struct(
-            F.coalesce(found["last"], state["last"]).alias("last"),
-            F.concat(
-                state["starts"], F.array(F.struct(step["slice"].alias("slice"), found["start"].alias("start")))
-            ).alias("starts"),
-        )
-
-    nothing = F.struct(
-        F.lit(None).cast("timestamp_ntz").alias("last"),
-        F.array().cast("array<struct<slice:timestamp_ntz,start:timestamp_ntz>>").alias("starts"),
-    )
-    steps = answers.groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("slice", "answers"))).alias("steps"))
-    starts = (
-        steps.select("user_id", F.explode(F.aggregate("steps", nothing, advance)["starts"]).alias("s"))
-        .select("user_id", "s.slice", "s.start")
-        .filter(F.col("start").isNotNull())
-    )
-    taken = per_slice.join(starts, ["user_id", "slice"]).select(
-        "user_id", F.explode(all_taken(F.col("anchors"), F.col("start"))).alias("a")
+        F.coalesce(elapsed_seconds(F.lag("last_ts").over(by_user), F.col("first_ts")) <= within, F.lit(False)).alias("runs_in"),
+        F.coalesce(elapsed_seconds(F.col("last_ts"), F.lead("first_ts").over(by_user)) <= within, F.lit(False)).alias("runs_on"),
     )
-    return taken.select("user_id", "a.*")
+    joined = spans.filter("runs_in OR runs_on").select("user_id", "slice")
+
+    def function(rows: pd.DataFrame) -> pd.DataFrame:
+        starts, lasts, rest = walks.of_slice(np.sort(walks.micros(rows["ts"])), int(walks.micros(rows["slice"][:1])[0]), reach)
+        return pd.DataFrame({"user_id": rows["user_id"][:1], "slice": rows["slice"][:1], "starts": [starts], "lasts": [lasts], "rest": pd.array([rest], "Int64")})
+
+    def compose(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("slice")
+        made = reduce(lambda a, b: walks.composed(a, b, reach), map(walks.steps_of, rows.itertuples()))
+        return pd.DataFrame({"user_id": rows["user_id"][:1], "slice": rows["into"][:1], "starts": [made[0]], "lasts": [made[1]], "rest": pd.array([made[2]], "Int64")})
+
+    def hand_down(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("slice")
+        came = rows["came_with"].iloc[0]
+        came, seen = None if pd.isna(came) else int(came), []
+        for row in rows.itertuples():
+            seen.append(came)
+            came = walks.left_with(walks.steps_of(row), came, reach)
+        return pd.DataFrame({"user_id": rows["user_id"], "slice": rows["slice"], "came_with": pd.array(seen, "Int64")})
+
+    def take(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("ts")
+        came = rows["came_with"].iloc[0]
+        return rows.iloc[walks.taken(walks.micros(rows["ts"]), None if pd.isna(came) else int(came), reach)]
+
+    slices = placed.select("user_id", "ts", "slice").join(joined, ["user_id", "slice"]).groupBy("user_id", "slice").applyInPandas(function, _STEPS)
+    into = lambda functions, width: functions.withColumn("into", slice_start("slice", width))
+    by_day = into(slices, DAY)
+    by_month = into(by_day.groupBy("user_id", "into").applyInPandas(compose, _STEPS), MONTH)
+    months = by_month.groupBy("user_id", "into").applyInPandas(compose, _STEPS)
+    came = months.withColumn("came_with", F.lit(None).cast("long")).groupBy("user_id").applyInPandas(hand_down, _CAME)
+    for parts in (by_month, by_day):
+        parents = came.select("user_id", F.col("slice").alias("into"), "came_with")
+        came = parts.join(parents, ["user_id", "into"]).groupBy("user_id", "into").applyInPandas(hand_down, _CAME)
+    walked = placed.join(came, ["user_id", "slice"], "left")
+    return walked.groupBy("user_id", "slice").applyInPandas(take, walked.schema).select(*anchors.columns)
 
 
 def within_bursts(rows: DataFrame, bursts: DataFrame, policy: Policy = DEFAULT_POLICY) -> DataFrame:
