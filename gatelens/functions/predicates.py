@@ -23,9 +23,14 @@ def on_sensitive_resource(policy: Policy = DEFAULT_POLICY, resource="resource")
     return F.col(resource).isin(*policy.sensitive_resources)
 
 
+def night_hour(hour: Column, policy: Policy = DEFAULT_POLICY) -> Column:
+    """The rule's hours: from ``night_start`` up to, not including, ``night_end``; a night may cross midnight."""
+    late, early = hour >= policy.night_start, hour < policy.night_end
+    return late & early if policy.night_start <= policy.night_end else late | early
+
+
 def at_night(policy: Policy = DEFAULT_POLICY, ts="ts") -> Column:
-    """The rule's hours: from ``night_start`` up to, not including, ``night_end``."""
-    return (F.hour(ts) >= policy.night_start) & (F.hour(ts) < policy.night_end)
+    return night_hour(F.hour(ts), policy)
 
 
 def at_scored_hours(policy: Policy = DEFAULT_POLICY, hour: Column | None = None) -> Column:

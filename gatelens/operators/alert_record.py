@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gatelens.schema import ALERT
 
+
 def record_aggregates() -> list[Column]:
     """Aggregates over an event set; "first" is by ``(ts, event_id)``."""
     return [
@@ -17,6 +18,16 @@ def record_aggregates() -> list[Column]:
     ]
 
 
+def folded_records() -> list[Column]:
+    """The same over rows that already are such records."""
+    return [
+        F.min("first").alias("first"),
+        F.max("last_event").alias("last_event"),
+        F.max("max_risk_score").alias("max_risk_score"),
+        F.sum("event_count").alias("event_count"),
+    ]
+
+
 def to_alert(records: DataFrame, alert_type: str, detail: Column) -> DataFrame:
     """ALERT rows from aggregated records."""
     return records.select(

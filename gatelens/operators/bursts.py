@@ -18,7 +18,8 @@ from gatelens.operators import walks
 def failure_moments(events: DataFrame) -> DataFrame:
     """Failures folded to one row per user and instant, with what an alert needs to know about them."""
     return (
-        events.filter(is_failed())
+        # Later joins would add the null checks to some branches only, and these could not share this scan.
+        events.filter(is_failed() & F.col("user_id").isNotNull() & F.col("ts").isNotNull())
         .groupBy("user_id", "ts")
         .agg(
             F.count("*").alias("failures"),
@@ -81,11 +82,13 @@ def pick_bursts(anchors: DataFrame, policy: Policy = DEFAULT_POLICY) -> DataFram
     """
     reach = policy.burst_seconds * 1_000_000
     slice_seconds = policy.slice_seconds
-    placed = anchors.withColumn("slice", slice_start("ts", slice_seconds))
+    placed = anchors.withColumn("slice", slice_start("ts", slice_seconds)).filter(F.col("slice").isNotNull())
     by_user = Window.partitionBy("user_id").orderBy("slice")
     within = F.lit(policy.burst_seconds)
-    spans = placed.groupBy("user_id", "slice").agg(F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
-    spans = spans.select(
+    # All columns, here and for the functions below: then every branch has the same plan up to here and is computed once.
+    whole = F.struct("ts", *[c for c in anchors.columns if c not in ("user_id", "ts")])
+    spans = placed.groupBy("user_id", "slice").agg(F.min(whole).alias("first"), F.max("ts").alias("last_ts"))
+    spans = spans.withColumn("first_ts", F.col("first.ts")).select(
         "user_id",
         "slice",
         F.coalesce(elapsed_seconds(F.lag("last_ts").over(by_user), F.col("first_ts")) <= within, F.lit(False)).alias("runs_in"),
@@ -116,7 +119,7 @@ def pick_bursts(anchors: DataFrame, policy: Policy = DEFAULT_POLICY) -> DataFram
         came = rows["came_with"].iloc[0]
         return rows.iloc[walks.taken(walks.micros(rows["ts"]), None if pd.isna(came) else int(came), reach)]
 
-    slices = placed.select("user_id", "ts", "slice").join(joined, ["user_id", "slice"]).groupBy("user_id", "slice").applyInPandas(function, _STEPS)
+    slices = placed.join(joined, ["user_id", "slice"]).groupBy("user_id", "slice").applyInPandas(function, _STEPS)
     into = lambda functions, width: functions.withColumn("into", slice_start("slice", width))
     by_day = into(slices, DAY)
     by_month = into(by_day.groupBy("user_id", "into").applyInPandas(compose, _STEPS), MONTH)

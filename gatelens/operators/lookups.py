@@ -7,18 +7,6 @@ from pyspark.sql import functions as F
 
 from gatelens.session import run_dir
 
-MAX_BROADCAST_ROWS = 100_000
-
-
-def broadcast_if_small(table: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """Ask for a broadcast only if the table is known to have at most ``max_rows`` rows.
-
-    The check reads at most ``max_rows + 1`` rows. A larger table is returned as it is, for a shuffled join.
-    """
-    fits = table.limit(max_rows + 1).count() <= max_rows
-    return F.broadcast(table) if fits else table
-
-
 def materialised(table: DataFrame) -> DataFrame:
     """Run the plan once and keep its rows as a table in the shared folder, for plans that read them several times."""
     path = run_dir(table.sparkSession, "table")
@@ -26,7 +14,7 @@ def materialised(table: DataFrame) -> DataFrame:
     return table.sparkSession.read.schema(table.schema).parquet(path)
 
 
-def on_watchlist(events: DataFrame, watchlist: DataFrame, column: str, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """Events whose ``column`` is in the one-column table ``watchlist``."""
+def on_watchlist(events: DataFrame, watchlist: DataFrame, column: str) -> DataFrame:
+    """Events whose ``column`` is in the one-column table ``watchlist``; Spark picks the join by the table's size."""
     names = watchlist.select(F.col(watchlist.columns[0]).alias(column)).distinct()
-    return events.join(broadcast_if_small(names, max_rows), column, "left_semi")
+    return events.join(names, column, "left_semi")

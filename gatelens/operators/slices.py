@@ -33,19 +33,24 @@ def with_slice(df: DataFrame, policy: Policy = DEFAULT_POLICY) -> DataFrame:
     return df.withColumn("slice", slice_start("ts", policy.slice_seconds))
 
 
-def slice_history(events: DataFrame, policy: Policy = DEFAULT_POLICY) -> DataFrame:
-    """One row per user and active slice: ``slice_events``, ``events_before`` the slice and ``user_events`` in all."""
-    counts = with_slice(events.select("user_id", "ts"), policy).groupBy(*SLICE).agg(F.count("*").alias("slice_events"))
+def with_history(per_slice: DataFrame) -> DataFrame:
+    """Adds ``events_before`` the slice and ``user_events`` in all to rows per user and slice with ``slice_events``."""
     by_user = Window.partitionBy("user_id")
     before = by_user.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    return counts.select(
-        *SLICE,
-        "slice_events",
-        F.coalesce(F.sum("slice_events").over(before), F.lit(0)).alias("events_before"),
-        F.sum("slice_events").over(by_user).alias("user_events"),
+    return per_slice.withColumns(
+        {
+            "events_before": F.coalesce(F.sum("slice_events").over(before), F.lit(0)),
+            "user_events": F.sum("slice_events").over(by_user),
+        }
     )
 
 
+def slice_history(events: DataFrame, policy: Policy = DEFAULT_POLICY) -> DataFrame:
+    """One row per user and active slice: ``slice_events``, ``events_before`` the slice and ``user_events`` in all."""
+    counts = with_slice(events.select("user_id", "ts"), policy).groupBy(*SLICE).agg(F.count("*").alias("slice_events"))
+    return with_history(counts)
+
+
 def with_ordinal(events: DataFrame, policy: Policy = DEFAULT_POLICY) -> DataFrame:
     """Adds ``ordinal`` (1-based position in the user's history), ``user_events`` (its length) and ``slice``."""
     ranked = with_slice(events, policy).withColumn("rank_in_slice", F.row_number().over(in_slice_order()))

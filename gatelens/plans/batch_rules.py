@@ -10,18 +10,18 @@ from pyspark.sql import functions as F
 from gatelens import config
 from gatelens.config import DEFAULT_POLICY, Policy
 from gatelens.functions.numbers import percent
-from gatelens.functions.predicates import at_night, from_suspicious_country, is_failed, on_sensitive_resource
+from gatelens.functions.predicates import at_night, from_suspicious_country, is_failed, night_hour, on_sensitive_resource
 from gatelens.functions.text import two_digits
-from gatelens.functions.timeparts import day_of, elapsed_seconds, slice_start
-from gatelens.operators.alert_record import record_aggregates, to_alert
+from gatelens.functions.timeparts import day_of, elapsed_seconds
+from gatelens.operators.alert_record import folded_records, record_aggregates, to_alert
 from gatelens.operators.bursts import burst_windows, failure_moments, pick_bursts, within_bursts
-from gatelens.operators.lookups import broadcast_if_small, materialised
-from gatelens.operators.slices import SLICE, slice_history, with_ordinal, with_slice
+from gatelens.operators.slices import SLICE, with_history, with_ordinal, with_slice
 
 
-def brute_force_bursts(events: DataFrame, policy: Policy = DEFAULT_POLICY) -> DataFrame:
+def brute_force_bursts(events: DataFrame, policy: Policy = DEFAULT_POLICY, failures: DataFrame | None = None) -> DataFrame:
     """The chosen windows with more than ``batch_burst_over`` failures, each with its alert record."""
-    anchors = burst_windows(failure_moments(events), policy).filter(F.col("window_failures") > policy.batch_burst_over)
+    failures = failure_moments(events) if failures is None else failures
+    anchors = burst_windows(failures, policy).filter(F.col("window_failures") > policy.batch_burst_over)
     record = anchors.select(
         "user_id",
         "ts",
@@ -34,8 +34,8 @@ def brute_force_bursts(events: DataFrame, policy: Policy = DEFAULT_POLICY) -> Da
     return pick_bursts(record, policy)
 
 
-def brute_force(events: DataFrame, policy: Policy = DEFAULT_POLICY) -> DataFrame:
-    records = brute_force_bursts(events, policy).select(
+def brute_force(events: DataFrame, policy: Policy = DEFAULT_POLICY, failures: DataFrame | None = None) -> DataFrame:
+    records = brute_force_bursts(events, policy, failures).select(
         "user_id",
         F.struct("ts", "country", "resource").alias("first"),
         F.col("window_last").alias("last_event"),
@@ -49,18 +49,19 @@ def brute_force(events: DataFrame, policy: Policy = DEFAULT_POLICY) -> DataFrame
     return to_alert(records, config.BRUTE_FORCE, detail)
 
 
-def suspicious_country(events: DataFrame, policy: Policy = DEFAULT_POLICY) -> DataFrame:
-    """One alert per user and watched country from which a sensitive resource was reached."""
-    hits = events.filter(from_suspicious_country(policy) & on_sensitive_resource(policy))
-    # The second grouping sees one row per sensitive resource.
-    per_resource = hits.groupBy("user_id", F.col("country").alias("from_country"), F.col("resource").alias("used")).agg(
-        *record_aggregates()
-    )
-    records = per_resource.groupBy("user_id", "from_country").agg(
-        F.min("first").alias("first"),
-        F.max("last_event").alias("last_event"),
-        F.max("max_risk_score").alias("max_risk_score"),
-        F.sum("event_count").alias("event_count"),
+def suspicious_country(events: DataFrame, policy: Policy = DEFAULT_POLICY, uses: DataFrame | None = None) -> DataFrame:
+    """One alert per user and watched country from which a sensitive resource was reached.
+
+    ``uses`` (:func:`sensitive_uses`) saves a scan where several rules run; without it the filters reach the file.
+    """
+    if uses is None:
+        hits = events.filter(from_suspicious_country(policy) & on_sensitive_resource(policy))
+        # The second grouping sees one row per sensitive resource.
+        uses = hits.groupBy("user_id", F.col("country").alias("from_country"), F.col("resource").alias("used")).agg(
+            *record_aggregates()
+        )
+    records = uses.filter(from_suspicious_country(policy, "from_country")).groupBy("user_id", "from_country").agg(
+        *folded_records(),
         F.sort_array(F.collect_list(F.struct("first.ts", "first.event_id", "used"))).alias("seen"),
     )
     detail = F.concat(
@@ -68,17 +69,20 @@ def suspicious_country(events: DataFrame, policy: Policy = DEFAULT_POLICY) -> Da
         F.lit(": "),
         F.col("event_count").cast("string"),
         F.lit(" sensitive events on "),
-        F.array_join(F.transform("seen", lambda s: s["used"]), ", "),
+        F.array_join(F.array_distinct(F.transform("seen", lambda s: s["used"])), ", "),
     )
     return to_alert(records, config.SUSPICIOUS_COUNTRY, detail)
 
 
-def off_hours(events: DataFrame, policy: Policy = DEFAULT_POLICY) -> DataFrame:
+def off_hours(events: DataFrame, policy: Policy = DEFAULT_POLICY, uses: DataFrame | None = None) -> DataFrame:
     """One alert per user over the whole period for sensitive accesses at night."""
+    if uses is None:
+        hits = events.filter(at_night(policy) & on_sensitive_resource(policy))
+        uses = hits.groupBy("user_id", F.hour("ts").alias("at_hour")).agg(*record_aggregates())
     records = (
-        events.filter(at_night(policy) & on_sensitive_resource(policy))
+        uses.filter(night_hour(F.col("at_hour"), policy))
         .groupBy("user_id")
-        .agg(*record_aggregates(), F.min(F.hour("ts")).alias("from_hour"), F.max(F.hour("ts")).alias("to_hour"))
+        .agg(*folded_records(), F.min("at_hour").alias("from_hour"), F.max("at_hour").alias("to_hour"))
     )
     detail = F.concat(
         F.col("event_count").cast("string"),
@@ -97,43 +101,73 @@ def history_halves(events: DataFrame, policy: Policy = DEFAULT_POLICY) -> DataFr
     )
 
 
-def new_sensitive_resources(events: DataFrame, policy: Policy = DEFAULT_POLICY) -> DataFrame:
+_USE = ["user_id", "used", "first", "last_event", "max_risk_score", "event_count"]
+
+
+def sensitive_uses(events: DataFrame, policy: Policy = DEFAULT_POLICY) -> DataFrame:
+    """One row per user, slice, country, sensitive resource and hour with its record and the slice's place in the
+    user's history (``slice_events``, ``events_before``, ``user_events``), from one pass over the log.
+
+    The log is folded to a row per user, slice and use before it moves; other accesses are counted in the same pass.
+    """
+    sensitive = on_sensitive_resource(policy)
+    folded = (
+        with_slice(events.select("user_id", "ts", "event_id", "country", "resource", "risk_score"), policy)
+        .filter(F.col("user_id").isNotNull() & F.col("slice").isNotNull())
+        .withColumn("used", F.when(sensitive, F.col("resource")))
+        .withColumn("from_country", F.when(sensitive, F.col("country")))
+        .withColumn("at_hour", F.when(sensitive, F.hour("ts")))
+        .groupBy(*SLICE, "used", "from_country", "at_hour")
+        .agg(*record_aggregates())
+    )
+    record = F.struct("used", "from_country", "at_hour", "first", "last_event", "max_risk_score", "event_count")
+    per_slice = folded.groupBy(*SLICE).agg(
+        F.sum("event_count").alias("slice_events"), F.collect_list(F.when(F.col("used").isNotNull(), record)).alias("uses")
+    )
+    return with_history(per_slice).select(*SLICE, "slice_events", "events_before", "user_events", F.explode("uses").alias("use")).select(
+        *SLICE, "slice_events", "events_before", "user_events", "use.*"
+    )
+
+
+def new_sensitive_resources(events: DataFrame, policy: Policy = DEFAULT_POLICY, uses: DataFrame | None = None) -> DataFrame:
     """Sensitive resources a user reached in the second half of the history and never in the first.
 
     A resource is new if the user's first access to it comes after the first half. Its position in the history is known
     to within one time slice from the slice counts, which settles nearly all cases without ordering any events. Only
     where the middle of the history lies in the slice of the first access are that slice's events counted one by one.
     """
-    uses = (
-        events.filter(on_sensitive_resource(policy))
-        .groupBy("user_id", F.col("resource").alias("used"))
-        .agg(*record_aggregates())
-        .withColumn("slice", slice_start("first.ts", policy.slice_seconds))
+    uses = sensitive_uses(events, policy) if uses is None else uses
+    place = F.struct("first", "slice", "slice_events", "events_before", "user_events")
+    firsts = uses.groupBy("user_id", "used").agg(
+        F.min(place).alias("place"),
+        F.max("last_event").alias("last_event"),
+        F.max("max_risk_score").alias("max_risk_score"),
+        F.sum("event_count").alias("event_count"),
     )
-    half = F.floor(F.col("user_events") / 2)
-    placed = uses.join(slice_history(events, policy), SLICE).withColumn("early_events", half - F.col("events_before"))
     # ``early_events``: how many of the slice's events belong to the first half, if positive.
-    open_cases = materialised(placed.filter(F.col("early_events") < F.col("slice_events")))
+    early = F.floor(F.col("place.user_events") / 2) - F.col("place.events_before")
+    placed = firsts.select(
+        "user_id", "used", "place.first", "last_event", "max_risk_score", "event_count",
+        "place.slice", "place.slice_events", early.alias("early_events"),
+    )
+    open_cases = placed.filter(F.col("early_events") < F.col("slice_events"))
     decided = open_cases.filter(F.col("early_events") <= 0)
     undecided = open_cases.filter(F.col("early_events") > 0)
 
-    position = F.struct("ts", "event_id")
-    points = undecided.select(*SLICE, "used", F.struct("first.ts", "first.event_id").alias("point"))
-    not_later = (
-        with_slice(events.select("user_id", "ts", "event_id"), policy)
-        .join(broadcast_if_small(points), SLICE)
-        .filter(position <= F.col("point"))
-        .groupBy(*SLICE, "used")
+    moments = with_slice(events.select("user_id", "ts", "event_id"), policy).withColumnRenamed("event_id", "id")
+    late = (
+        undecided.join(moments, SLICE)
+        .filter(F.struct("ts", F.col("id").alias("event_id")) <= F.struct("first.ts", "first.event_id"))
+        .groupBy(*_USE, "early_events")
         .agg(F.count("*").alias("rank_in_slice"))
+        .filter(F.col("rank_in_slice") > F.col("early_events"))
     )
-    late = undecided.join(not_later, [*SLICE, "used"]).filter(F.col("rank_in_slice") > F.col("early_events"))
-    columns = ["user_id", "used", "first", "last_event", "max_risk_score", "event_count"]
-    return decided.select(*columns).unionByName(late.select(*columns))
+    return decided.select(*_USE).unionByName(late.select(*_USE))
 
 
-def compromised_account(events: DataFrame, policy: Policy = DEFAULT_POLICY) -> DataFrame:
+def compromised_account(events: DataFrame, policy: Policy = DEFAULT_POLICY, uses: DataFrame | None = None) -> DataFrame:
     records = (
-        new_sensitive_resources(events, policy)
+        new_sensitive_resources(events, policy, uses)
         .groupBy("user_id")
         .agg(
             F.min("first").alias("first"),
@@ -152,11 +186,16 @@ def compromised_account(events: DataFrame, policy: Policy = DEFAULT_POLICY) -> D
     return to_alert(records, config.COMPROMISED_ACCOUNT, detail)
 
 
-def slow_brute_force(events: DataFrame, policy: Policy = DEFAULT_POLICY) -> DataFrame:
+def slow_brute_force(events: DataFrame, policy: Policy = DEFAULT_POLICY, failures: DataFrame | None = None) -> DataFrame:
+    failures = failure_moments(events) if failures is None else failures
     records = (
-        events.filter(is_failed())
-        .groupBy("user_id", day_of("ts").alias("day"))
-        .agg(*record_aggregates())
+        failures.groupBy("user_id", day_of("ts").alias("day"))
+        .agg(
+            F.min(F.struct("ts", "first.event_id", "first.country", "first.resource")).alias("first"),
+            F.max("ts").alias("last_event"),
+            F.max("max_risk").alias("max_risk_score"),
+            F.sum("failures").alias("event_count"),
+        )
         .filter(F.col("event_count") > policy.daily_failures_over)
     )
     detail = F.concat(
@@ -168,11 +207,19 @@ def slow_brute_force(events: DataFrame, policy: Policy = DEFAULT_POLICY) -> Data
 
 
 def all_alerts(events: DataFrame, policy: Policy = DEFAULT_POLICY, include_slow: bool = False) -> DataFrame:
-    """The alert table. The slow brute-force rule is reported apart unless asked for."""
-    rules = [brute_force, suspicious_country, off_hours, compromised_account]
+    """The alert table. The slow brute-force rule is reported apart unless asked for.
+
+    The three rules on sensitive accesses share one pass over the log, both brute-force rules share the failures.
+    """
+    uses = sensitive_uses(events, policy)
+    failures = failure_moments(events)
+    rules = [
+        brute_force(events, policy, failures),
+        *[rule(events, policy, uses) for rule in (suspicious_country, off_hours, compromised_account)],
+    ]
     if include_slow:
-        rules.append(slow_brute_force)
-    return reduce(DataFrame.unionByName, [rule(events, policy) for rule in rules])
+        rules.append(slow_brute_force(events, policy, failures))
+    return reduce(DataFrame.unionByName, rules)
 
 
 def alert_evidence(events: DataFrame, policy: Policy = DEFAULT_POLICY) -> DataFrame:

@@ -171,9 +171,14 @@ def with_feed_totals(detected: DataFrame) -> DataFrame:
     return totals.withColumn("rate", percent_text(F.col("total_alerts"), F.col("total_events"))).drop("one", "event_alerts")
 
 
-def running_kpis(detected: DataFrame) -> DataFrame:
-    """Totals, alert rate and number of alerted users after each event."""
-    counted = detected.select("event_id", "ts", "user_id", F.lit(1).alias("one"), n_alerts().alias("event_alerts"))
+def alert_counts(detected: DataFrame) -> DataFrame:
+    """Detected events as far as :func:`running_kpis` needs them."""
+    return detected.select("event_id", "ts", "user_id", n_alerts().alias("event_alerts"))
+
+
+def running_kpis(counts: DataFrame) -> DataFrame:
+    """Totals, alert rate and number of alerted users after each event of :func:`alert_counts`."""
+    counted = counts.withColumn("one", F.lit(1))
     first_alert = counted.filter("event_alerts > 0").groupBy("user_id").agg(F.min(F.struct("ts", "event_id")).alias("first"))
     # A user's first alert adds a row of its own at the event's position, instead of a join back to the events.
     arrivals = first_alert.select(

@@ -201,7 +201,7 @@ over_events(
 over_events("user_event_ordinal", profiles.event_ordinals)
 over_events("user_profile", profiles.user_profile)
 over_events("baseline_resources", profiles.baseline_resources)
-over_events("running_kpis", lambda ev: stream_rules.running_kpis(materialised(stream_rules.detect(ev))))
+over_events("running_kpis", lambda ev: stream_rules.running_kpis(materialised(stream_rules.alert_counts(stream_rules.detect(ev)))))
 
 # Stream rules in window form --------------------------------------------------------------------------------------
 

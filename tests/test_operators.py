@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from gatelens.config import Policy
 from gatelens.functions.numbers import percent, percent_text, ratio
 from gatelens.operators.frequency import frequency, top
-from gatelens.operators.lookups import broadcast_if_small, materialised, on_watchlist
+from gatelens.operators.lookups import materialised, on_watchlist
 from gatelens.operators.running import with_running_totals
 from gatelens.operators.slices import with_ordinal, with_previous_failure
 from gatelens.plans import analytics, profiles
@@ -78,17 +78,16 @@ def test_baseline_resources(frame):
     assert sorted((r.resource, r.first_ordinal, r.uses) for r in got) == [("api", 1, 49), ("r49", 50, 1)]
 
 
-def test_broadcast_only_below_the_limit(spark):
-    table = spark.range(10)
-    assert "broadcast" in broadcast_if_small(table, 10)._jdf.queryExecution().logical().toString()
-    assert "broadcast" not in broadcast_if_small(table, 9)._jdf.queryExecution().logical().toString()
-
-
-@pytest.mark.parametrize("limit", [1, 100])
-def test_watchlist_either_way(spark, frame, limit):
+@pytest.mark.parametrize("threshold", ["-1", "10MB"])
+def test_watchlist_by_any_join(spark, frame, threshold):
     events = frame([row("10:00:00", country=c) for c in ("Iran", "Spain", "China", None)])
     watchlist = spark.createDataFrame([("Iran",), ("China",), ("China",)], "name string")
-    got = on_watchlist(events, watchlist, "country", limit).collect()
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    try:
+        got = on_watchlist(events, watchlist, "country").collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert sorted(r.country for r in got) == ["China", "Iran"]
 
 

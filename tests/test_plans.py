@@ -1,5 +1,6 @@
 """Shapes of physical plans that have to hold at scale."""
 
+import itertools
 import re
 
 import pytest
@@ -42,13 +43,51 @@ def exchanges(text):
     return re.findall(r"Exchange (\w+)(\([^)]*\))?", text)
 
 
+#: Rules that walk through burst anchors, which is done in Python; nothing else may be.
+WALKED = ("brute_force", "alert_evidence")
+
+
 @pytest.mark.parametrize("name", RULES)
 def test_rules_stay_in_the_jvm_and_distributed(log, name):
     text = plan(RULES[name](log))
-    assert not re.search(r"EvalPython|InPandas|InArrow|CartesianProduct|NestedLoop", text)
+    assert not re.search(r"EvalPython|MapIn|InArrow|CartesianProduct|NestedLoop", text)
+    assert name in WALKED or "InPandas" not in text
     assert not any(kind == "SinglePartition" for kind, _ in exchanges(text))
 
 
+@pytest.mark.parametrize("name", WALKED)
+def test_only_anchors_reach_the_walk(log, name):
+    """Below each Python step the failures have been cut down to the anchors of bursts."""
+    lines = plan(RULES[name](log)).splitlines()
+    depth = lambda line: len(line) - len(line.lstrip(" :+-|"))
+    for k, line in enumerate(lines):
+        if "InPandas" in line:
+            below = list(itertools.takewhile(lambda x: depth(x) > depth(line), lines[k + 1 :]))
+            assert any("Filter" in x and "> 10)" in x for x in below)
+
+
+def test_building_the_alert_table_runs_no_job(spark):
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("lazy", "lazy")
+    try:
+        batch_rules.all_alerts(access_events(spark, SF), include_slow=True)
+        assert len(tracker.getJobIdsForGroup("lazy")) == 0
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+@pytest.mark.parametrize("with_slow", [False, True])
+def test_alert_table_scans_the_log_three_times(log, with_slow):
+    """Failures, uses with slice counts, and positions; all other branches read an exchange of these."""
+    spark = log.sparkSession
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        text = batch_rules.all_alerts(log, include_slow=with_slow)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert len(re.findall(r"FileScan", text)) <= 3
+
+
 @pytest.mark.parametrize("name", RULES)
 def test_event_level_windows_are_split_by_time(log, name):
     """A window over a whole user only ever ranks pre-aggregated slices, never events."""

@@ -140,7 +140,7 @@ def test_running_kpis_equal_model(frame):
         events, alerts = events + 1, alerts + len(per_event[r["event_id"]][3])
         users |= {r["user_id"]} if per_event[r["event_id"]][3] else set()
         expected[r["event_id"]] = (events, alerts, len(users))
-    got = stream_rules.running_kpis(stream_rules.detect(frame(rows))).collect()
+    got = stream_rules.running_kpis(stream_rules.alert_counts(stream_rules.detect(frame(rows)))).collect()
     assert {r.event_id: (r.total_events, r.total_alerts, r.alerted_users) for r in got} == expected
     last = max(got, key=lambda r: r.total_events)
     assert abs(float(last.rate) - 100 * alerts / events) <= 0.005
