@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from gatelens.config import DEFAULT_POLICY, Policy
+from gatelens.config import DEFAULT_POLICY, MEDIUM, Policy
 from gatelens.functions.predicates import at_scored_hours, from_suspicious_country, is_failed, on_sensitive_resource
 
 
@@ -36,11 +36,12 @@ def severity(score, policy: Policy = DEFAULT_POLICY) -> Column:
 RISK_LEVELS = ("none", "low", "medium", "high")
 
 
-def risk_level(score) -> Column:
-    """Descriptive level: 0, 1-39, 40-69, 70 and over; no level without a score."""
+def risk_level(score, policy: Policy = DEFAULT_POLICY) -> Column:
+    """Descriptive level: 0, up to the medium band, up to the high-risk score, and from there on; no level without a score."""
     score = F.col(score) if isinstance(score, str) else score
     none, low, medium, high = RISK_LEVELS
-    return F.when(score == 0, none).when(score < 40, low).when(score < 70, medium).when(score >= 70, high)
+    middle = next(band[1] for band in policy.severity_bands if band[0] == MEDIUM)
+    return F.when(score == 0, none).when(score < middle, low).when(score < policy.high_risk, medium).when(score >= policy.high_risk, high)
 
 
 def event_class(alerts: Column, score: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gatelens.functions.numbers import percent, ratio
+from gatelens.functions.numbers import ratio
 
 
 def frequency(df: DataFrame, key: str, name: str = "n") -> DataFrame:
@@ -13,11 +13,6 @@ def frequency(df: DataFrame, key: str, name: str = "n") -> DataFrame:
     return df.groupBy(key).agg(F.count("*").alias(name)).filter(F.col(key).isNotNull())
 
 
-def with_share(counts: DataFrame, total: DataFrame, name: str = "n", places: int = 1) -> DataFrame:
-    """Adds ``pct``, the share of the one-row, one-column table ``total``."""
-    return counts.withColumn("pct", percent(F.col(name), total.scalar(), places))
-
-
 def top(counts: DataFrame, key: str, k: int | None = None, name: str = "n") -> DataFrame:
     """Largest counts first, ties by key; all rows if ``k`` is not given."""
     ordered = counts.orderBy(F.desc(name), key)

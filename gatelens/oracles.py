@@ -338,6 +338,9 @@ ORACLES = {
     "export_events": f"{_EVENTS} SELECT {_TEXT_EVENTS} FROM ev",
     "parsed_events": f"""{_EVENTS} SELECT event_id, {_TEXT_TS.format('ts')} AS ts_text, date_trunc('second', ts) AS ts, user_id,
        risk_score, true AS parse_ok FROM ev""",
+    "plain_log_users": f"""{_EVENTS} SELECT user_id, count(*) AS events, count(DISTINCT event_id) AS ids, min(date_trunc('second', ts)) AS first_event,
+       max(date_trunc('second', ts)) AS last_event, CAST(sum(CASE WHEN status = 'failed' THEN 1 ELSE 0 END) AS BIGINT) AS failures
+FROM ev GROUP BY user_id""",
     "alert_export": f"{_SCORED} SELECT alert_type, user_id, country, score, detail FROM sa",
     "notification_outbox": _OUTBOX,
     # Projections and filters
@@ -400,7 +403,7 @@ FROM new_use GROUP BY user_id, resource""",
     "events_by_hour": f"""{_EVENTS}, hours AS (SELECT CAST(hour(ts) AS INTEGER) AS hour, count(*) AS n FROM ev GROUP BY 1)
 SELECT hour, n, hour < 6 AS off_hours, repeat('█', CAST(n // 20 AS INTEGER)) AS bar,
        (SELECT {_ratio('sum(n)', 'count(*)', 2)} FROM hours) AS mean_n FROM hours""",
-    "risk_by_country": _mean_risk("country"),
+    "risk_by_country": f"SELECT *, country IN {_WATCHED} AS suspicious FROM ({_mean_risk('country')})",
     "risk_by_scenario": _mean_risk("scenario"),
     "risk_stats": f"""{_EVENTS} SELECT count(risk_score) AS n, {_ratio('sum(risk_score)', 'count(risk_score)', 1)} AS mean,
        round(stddev_samp(risk_score), 1) AS std, min(risk_score) AS min, round(quantile_cont(risk_score, 0.25), 1) AS p25,

@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from gatelens.config import DEFAULT_POLICY, Policy
 from gatelens.functions.numbers import percent, ratio
-from gatelens.functions.predicates import from_suspicious_country, is_failed, is_high_risk, on_sensitive_resource
+from gatelens.functions.predicates import from_suspicious_country, is_failed, is_high_risk, night_hour, on_sensitive_resource
 from gatelens.functions.scoring import RISK_LEVELS, risk_level
 from gatelens.functions.timeparts import day_of, hour_of, month_name, weekday_name
-from gatelens.operators.frequency import frequency, mean_by, top, with_share
+from gatelens.operators.frequency import frequency, mean_by, top
 
 
 def time_features(events: DataFrame) -> DataFrame:
@@ -41,9 +41,10 @@ def top_failed_users(events: DataFrame, k: int = 10) -> DataFrame:
 
 
 def share_of(events: DataFrame, key: str) -> DataFrame:
-    """Frequency of ``key`` with its share of all rows."""
-    total = events.agg(F.count("*").alias("total"))
-    return top(with_share(frequency(events, key), total), key)
+    """Frequency of ``key`` with its share of all rows, of which those without a key are a part; one pass over the log."""
+    counts = events.groupBy(key).agg(F.count("*").alias("n")).withColumn("total", F.sum("n").over(Window.partitionBy()))
+    shares = counts.filter(F.col(key).isNotNull()).select(key, "n", percent(F.col("n"), F.col("total"), 1).alias("pct"))
+    return top(shares, key)
 
 
 def events_by_country(events: DataFrame, policy: Policy = DEFAULT_POLICY) -> DataFrame:
@@ -69,14 +70,15 @@ def events_by_hour(events: DataFrame, policy: Policy = DEFAULT_POLICY, per_block
     return by_hour.select(
         "hour",
         "n",
-        (F.col("hour") < policy.night_end).alias("off_hours"),
+        night_hour(F.col("hour"), policy).alias("off_hours"),
         F.repeat(F.lit("█"), F.call_function("div", F.col("n"), F.lit(per_block)).cast("int")).alias("bar"),
         mean.scalar().alias("mean_n"),
     ).orderBy("hour")
 
 
-def risk_by_country(events: DataFrame) -> DataFrame:
-    return mean_by(events, "country", "risk_score", "mean_risk").orderBy(F.desc("mean_risk"), "country")
+def risk_by_country(events: DataFrame, policy: Policy = DEFAULT_POLICY) -> DataFrame:
+    means = mean_by(events, "country", "risk_score", "mean_risk").withColumn("suspicious", from_suspicious_country(policy))
+    return means.orderBy(F.desc("mean_risk"), "country")
 
 
 def risk_by_scenario(events: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ from gatelens.operators.slices import with_previous_failure
 from gatelens.plans import analytics, batch_rules, enrichment, feed, outbox, profiles, stream_rules
 from gatelens.session import run_dir
 from gatelens.sinks import tables
-from gatelens.sources.access_log import parse_events, read_alerts, read_raw_log
+from gatelens.sources.access_log import TEXT_OPTIONS, parse_events, read_access_log, read_alerts, read_raw_log
 from gatelens.sources.adapter import access_events
 from gatelens.streaming import replay
 
@@ -70,7 +70,25 @@ def parsed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def alert_export(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tables.alert_export(stream_rules.stream_alerts(access_events(spark, sf_dir)), "admin")
+    path = run_dir(spark, "alert-export")
+    tables.write_alert_export(stream_rules.stream_alerts(access_events(spark, sf_dir)), "admin", path)
+    return spark.read.schema(tables.EXPORTED).options(**TEXT_OPTIONS).csv(path)
+
+
+@query
+def plain_log_users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A log as other systems write it: CSV, its own column order, ``timestamp`` for the time, and no ids."""
+    path = run_dir(spark, "plain-log")
+    log = tables.normalised_log(access_events(spark, sf_dir)).withColumnRenamed("ts", "timestamp")
+    log.select("user_id", "timestamp", "country", "ip_address", "status", "action", "resource", "scenario", "risk_score").write.options(**TEXT_OPTIONS).csv(path)
+    events = read_access_log(spark, path, "csv", {"timestamp": "ts"})
+    return events.groupBy("user_id").agg(
+        F.count("*").alias("events"),
+        F.count_distinct("event_id").alias("ids"),
+        F.min("ts").alias("first_event"),
+        F.max("ts").alias("last_event"),
+        F.count_if(F.col("status") == "failed").alias("failures"),
+    )
 
 
 over_events("notification_outbox", lambda ev: outbox.notification_outbox(stream_rules.stream_alerts(ev)))
@@ -265,7 +283,7 @@ def stream_alerts_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def feed_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return replay.run_feed(spark, replay.run_detection(spark, replay.adapted_stream(sf_dir)))
+    return replay.run_feed(spark, replay.adapted_stream(sf_dir))
 
 
 @query

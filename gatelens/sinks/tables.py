@@ -41,3 +41,11 @@ def alert_export(alerts: DataFrame, role: str) -> DataFrame:
     if role != "admin":
         raise PermissionError("alert export needs the admin role")
     return alerts.select("alert_type", "user_id", "country", F.col("score"), "detail")
+
+
+EXPORTED = "alert_type string, user_id string, country string, score int, detail string"
+
+
+def write_alert_export(alerts: DataFrame, role: str, path: str) -> None:
+    """The export as CSV files with a header, every value quoted."""
+    alert_export(alerts, role).write.mode("errorifexists").options(**TEXT_OPTIONS, quoteAll="true").csv(path)

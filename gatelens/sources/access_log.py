@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,10 +19,71 @@ def _options(fmt: str) -> dict[str, str]:
     return TEXT_OPTIONS if fmt in ("csv", "json") else {}
 
 
-def read_access_log(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    """Access events with a declared schema; nothing is inferred."""
-    events = spark.read.schema(ACCESS_EVENT).format(fmt).options(**_options(fmt)).load(path)
-    return validate_schema(events, ACCESS_EVENT)
+TEXT_FORMATS = ("csv", "json")
+
+
+def _as_text(spark: SparkSession, path: str, fmt: str, columns: dict[str, str]) -> DataFrame:
+    """A text log with every column still text, by the names in its header or records."""
+    if fmt == "csv":
+        raw = spark.read.options(**TEXT_OPTIONS).csv(path)
+    else:
+        back = {new: old for old, new in columns.items()}
+        names = [back.get(f.name, f.name) for f in ACCESS_EVENT.fields]
+        raw = spark.read.schema(T.StructType([T.StructField(n, T.StringType()) for n in names])).options(**TEXT_OPTIONS).json(path)
+    return raw.withColumnsRenamed(columns)
+
+
+def _numbered(log: DataFrame) -> DataFrame:
+    """Adds an ``event_id`` that depends on the row's content alone; equal rows are told apart by their number."""
+    digest = F.xxhash64(*[F.col(c) for c in sorted(log.columns)])
+    keyed = log.withColumn("digest", digest)
+    copy = F.row_number().over(Window.partitionBy("digest").orderBy(*sorted(log.columns)))
+    return keyed.withColumn("event_id", F.xxhash64("digest", copy)).drop("digest")
+
+
+def _checked_columns(log: DataFrame) -> None:
+    missing = [f.name for f in ACCESS_EVENT.fields if f.name not in log.columns and f.name != "event_id"]
+    if missing:
+        raise ValueError(f"missing columns: {', '.join(missing)}")
+
+
+def load_access_log(
+    spark: SparkSession, path: str, fmt: str = "parquet", columns: dict[str, str] | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """Access events, and the rows set aside: without user, time or id, or with text that can't be read.
+
+    ``columns`` maps a log's names to those of ``ACCESS_EVENT``, ``{"timestamp": "ts"}`` for example. Types and names
+    are those that the files have: a missing column or another type is an error, CSV goes by its header, further columns are
+    left out. A log without ``event_id`` gets one; in Parquet from file and row, in other formats from the row's content.
+    """
+    columns = columns or {}
+    if fmt in TEXT_FORMATS:
+        raw = _as_text(spark, path, fmt, columns)
+        _checked_columns(raw)
+        raw = raw.select(*[f.name for f in ACCESS_EVENT.fields if f.name in raw.columns])
+        # JSON has a column for each field asked for; one that no record fills isn't there.
+        without_id = "event_id" not in raw.columns or fmt == "json" and raw.filter("event_id IS NOT NULL").isEmpty()
+        parsed = parse_events(_numbered(raw.drop("event_id")) if without_id else raw)
+        return accepted(parsed), quarantined(parsed)
+    log = spark.read.format(fmt).load(path)
+    if "event_id" not in map(lambda c: columns.get(c, c), log.columns):
+        if fmt == "parquet":
+            place = F.xxhash64("_metadata.file_path", "_metadata.row_index")
+            log = log.withColumn("event_id", place).withColumnsRenamed(columns)
+        else:
+            log = _numbered(log.withColumnsRenamed(columns))
+    else:
+        log = log.withColumnsRenamed(columns)
+    log = validate_schema(log, ACCESS_EVENT).select(*ACCESS_EVENT.fieldNames())
+    whole = F.col("event_id").isNotNull() & F.col("ts").isNotNull() & F.col("user_id").isNotNull()
+    return log.filter(whole), log.filter(~whole)
+
+
+def read_access_log(
+    spark: SparkSession, path: str, fmt: str = "parquet", columns: dict[str, str] | None = None
+) -> DataFrame:
+    """The access events of a log; :func:`load_access_log` also gives the rows set aside."""
+    return load_access_log(spark, path, fmt, columns)[0]
 
 
 def stream_access_log(spark: SparkSession, folder: str, max_files: int | None = None, fmt: str = "parquet") -> DataFrame:

@@ -1,28 +1,34 @@
 """Streaming jobs: detection, feed, notifications and the daily slow-attack window.
 
-Each job is its own query with its own checkpoint; a new checkpoint folder starts a new run with empty state, while the
-outbox keeps its own folder and so remembers what was sent. The size of a micro-batch, and with it the size of one
-user's group in a batch, is set by the source's admission options (``maxFilesPerTrigger`` and the like).
+Each job is its own query with its own checkpoint. A new checkpoint folder starts a new run: it has empty state and a key
+of its own, under which it writes, so earlier runs' output stays. The outbox doesn't notify again what an earlier run has.
+The size of a micro-batch is set by the source's admission options (``maxFilesPerTrigger`` and the like).
 """
 
 from __future__ import annotations
 
+import uuid
+from collections import defaultdict
+from threading import Event
+
 import gatelens
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 
 from gatelens import config
 from gatelens.config import DEFAULT_POLICY, Policy
-from gatelens.functions.predicates import is_failed
+from gatelens.functions.predicates import is_failed, is_high_risk
 from gatelens.functions.numbers import percent_text
 from gatelens.operators.alert_record import record_aggregates, to_alert
 from gatelens.operators.running import with_running_totals
 from gatelens.plans.feed import feed_records
-from gatelens.plans.outbox import first_high_risk, render
+from gatelens.plans.enrichment import INPUT
+from gatelens.plans.outbox import render
 from gatelens.plans.stream_rules import CONTEXT, contextual_score, n_alerts
 from gatelens.session import ROCKSDB_PROVIDER
-from gatelens.streaming.processor import OUTPUT, DetectionProcessor
+from gatelens.streaming.processor import OUTPUT, DetectionProcessor, FirstAlertProcessor
 
 # Event time of the row that ends a finite replay; it lies after any real event and is never reported.
 END_OF_REPLAY = "9999-01-01 00:00:00"
@@ -36,15 +42,13 @@ def job_session(spark: SparkSession, state_partitions: int | None = None) -> Spa
 
     Event time has to be a zoned timestamp for a watermark; with the zone fixed to UTC the zone-less times of the log
     keep their digits. The number of state partitions is fixed for the life of a checkpoint; if not given, it is the
-    session's shuffle setting, but not more than two per core.
+    session's shuffle setting.
     """
     session = spark.newSession()
     session.conf.set("spark.sql.session.timeZone", "UTC")
     session.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB_PROVIDER)
     session.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
-    configured = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    most = 2 * spark.sparkContext.defaultParallelism
-    session.conf.set("spark.sql.shuffle.partitions", str(state_partitions or min(configured, most)))
+    session.conf.set("spark.sql.shuffle.partitions", str(state_partitions or spark.conf.get("spark.sql.shuffle.partitions")))
     return session
 
 
@@ -112,10 +116,37 @@ def cumulative(hours: DataFrame) -> DataFrame:
     )
 
 
-def late_rows(query) -> int:
-    """Rows a query has left out because they came after the watermark had passed them."""
-    operators = [op for progress in query.recentProgress for op in progress["stateOperators"]]
-    return sum(op["numRowsDroppedByWatermark"] for op in operators)
+class LateRows(StreamingQueryListener):
+    """Counts, over all batches of a session's queries, the rows left out since they came after the watermark had passed them."""
+
+    def __init__(self):
+        self._dropped: dict[str, int] = defaultdict(int)
+        self._ended: dict[str, Event] = defaultdict(Event)
+
+    @classmethod
+    def watch(cls, session: SparkSession) -> LateRows:
+        listener = cls()
+        session.streams.addListener(listener)
+        return listener
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        progress = event.progress
+        self._dropped[str(progress.id)] += sum(op.numRowsDroppedByWatermark for op in progress.stateOperators)
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        self._ended[str(event.runId)].set()
+
+    def of(self, query, seconds: float = 60) -> int:
+        """The count of a query that has ended, with those of its earlier runs from the same checkpoint."""
+        if not self._ended[str(query.runId)].wait(seconds):
+            raise TimeoutError("the query's last progress hasn't been reported")
+        return self._dropped[str(query.id)]
 
 
 def to_files(stream: DataFrame, path: str, checkpoint: str, trigger: dict | None = None):
@@ -130,64 +161,97 @@ def to_files(stream: DataFrame, path: str, checkpoint: str, trigger: dict | None
     )
 
 
-def _stored(session: SparkSession, folder: str, before: int, schema: str) -> DataFrame:
-    """Rows that epochs before this one have written below ``folder``."""
-    earlier = session.read.schema(f"{schema}, epoch long").option("basePath", folder).parquet(folder)
-    return earlier.filter(F.col("epoch") < before)
+def run_key(spark: SparkSession, checkpoint: str) -> str:
+    """The name of the run that a checkpoint folder belongs to, made when the folder is first used."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{checkpoint}/run-key")
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(path):
+        out = files.create(path)
+        out.writeBytes(uuid.uuid4().hex)
+        out.close()
+    source = files.open(path)
+    try:
+        return spark._jvm.org.apache.hadoop.io.IOUtils.readFullyToByteArray(source).decode()
+    finally:
+        source.close()
 
 
-def _store(rows: DataFrame, folder: str, epoch: int) -> None:
+def _store(rows: DataFrame, folder: str, run: str, epoch: int) -> None:
     """Write one epoch's rows. A repeated epoch replaces its own folder, so a retry adds nothing twice."""
-    rows.write.mode("overwrite").parquet(f"{folder}/epoch={epoch}")
+    rows.write.mode("overwrite").parquet(f"{folder}/run={run}/epoch={epoch}")
+
+
+def stored(spark: SparkSession, folder: str, schema: str) -> DataFrame:
+    """What all runs have written below ``folder``, with ``run`` and ``epoch``."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        return spark.createDataFrame([], f"{schema}, run string, epoch long")
+    return spark.read.schema(f"{schema}, run string, epoch long").option("basePath", folder).parquet(folder)
+
+
+OUTBOX = (
+    "event_id long, user_id string, alert_type string, severity string, score int, timestamp string, subject string,"
+    " body_text string, body_html string"
+)
 
 
 def write_outbox(alerts: DataFrame, folder: str, checkpoint: str, policy: Policy = DEFAULT_POLICY, trigger=None):
-    """Append notifications for alerts whose user and rule were not notified before."""
+    """Append notifications for alerts whose user and rule were not notified before, in this run or an earlier one.
+
+    What this run has notified is keyed state; what earlier runs have is listed once, when the job starts.
+    """
     session = alerts.sparkSession
-    keys = "user_id string, alert_type string"
-    _store(session.createDataFrame([], keys), folder, -1)
+    run, keys = run_key(session, checkpoint), ["user_id", "alert_type"]
+    earlier = f"{checkpoint}/notified-before"
+    stored(session, folder, OUTBOX).filter(F.col("run") != run).select(*keys).distinct().write.mode("overwrite").parquet(earlier)
+    columns = alerts.filter(is_high_risk(policy, "score")).select("event_id", *INPUT)
+    first = columns.groupBy(*keys).transformWithStateInPandas(
+        statefulProcessor=FirstAlertProcessor(), outputStructType=columns.schema, outputMode="append", timeMode="None"
+    )
 
     def notify(batch: DataFrame, epoch: int) -> None:
-        own = batch.sparkSession
-        sent = _stored(own, folder, epoch, keys).select("user_id", "alert_type")
-        fresh = first_high_risk(batch, policy).join(sent, ["user_id", "alert_type"], "left_anti")
-        _store(render(fresh, policy), folder, epoch)
+        sent = batch.sparkSession.read.schema("user_id string, alert_type string").parquet(earlier)
+        _store(render(batch.join(sent, keys, "left_anti"), policy), folder, run, epoch)
 
     return (
-        alerts.writeStream.foreachBatch(notify)
+        first.writeStream.foreachBatch(notify)
         .option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"availableNow": True}))
         .start()
     )
 
 
-def write_feed(scored: DataFrame, folder: str, checkpoint: str, role: str = "admin", policy: Policy = DEFAULT_POLICY, trigger=None):
-    """Append one JSON record per scored event, with totals that run on from batch to batch.
+def write_feed(
+    events: DataFrame, folder: str, checkpoint: str, role: str = "admin", policy: Policy = DEFAULT_POLICY, delay: str = "10 minutes", trigger=None
+):
+    """Detect, and append one JSON record per event with totals that run on from batch to batch.
 
-    Detection reports events in watermark order, so a batch's events come after those of all earlier batches.
+    A batch of the detection query holds all events between two watermarks, however the input was admitted, so it comes
+    wholly after the batches before it. Totals are stored cumulated, so a batch reads those of the one before only.
     """
-    session = scored.sparkSession
-    records, totals = f"{folder}/records", f"{folder}/totals"
+    session = events.sparkSession
+    run = run_key(session, checkpoint)
     sums = "events long, alerts long"
-    _store(session.createDataFrame([(0, 0)], sums), totals, -1)
 
     def publish(batch: DataFrame, epoch: int) -> None:
         own = batch.sparkSession
-        counted = batch.withColumn("one", F.lit(1)).withColumn("event_alerts", n_alerts())
-        _store(
-            counted.agg(F.count("*").alias("events"), F.coalesce(F.sum("event_alerts"), F.lit(0)).alias("alerts")), totals, epoch
-        )
-        before = _stored(own, totals, epoch, sums).agg(F.sum("events").alias("events"), F.sum("alerts").alias("alerts"))
-        running = (
-            with_running_totals(counted, {"total_events": "one", "total_alerts": "event_alerts"})
-            .withColumn("total_events", F.col("total_events") + before.select("events").scalar())
-            .withColumn("total_alerts", F.col("total_alerts") + before.select("alerts").scalar())
-            .withColumn("rate", percent_text(F.col("total_alerts"), F.col("total_events")))
-        )
-        _store(feed_records(running, role, policy), records, epoch)
+        counted = batch.withColumn("one", F.lit(1)).withColumn("event_alerts", n_alerts()).persist()
+        try:
+            n, alerts = counted.agg(F.count("*"), F.coalesce(F.sum("event_alerts"), F.lit(0))).first()
+            before = (0, 0) if epoch == 0 else own.read.schema(sums).parquet(f"{folder}/totals/run={run}/epoch={epoch - 1}").first()
+            running = (
+                with_running_totals(counted, {"total_events": "one", "total_alerts": "event_alerts"})
+                .withColumn("total_events", F.col("total_events") + F.lit(before[0]))
+                .withColumn("total_alerts", F.col("total_alerts") + F.lit(before[1]))
+                .withColumn("rate", percent_text(F.col("total_alerts"), F.col("total_events")))
+            )
+            _store(feed_records(running, role, policy), f"{folder}/records", run, epoch)
+            _store(own.createDataFrame([(before[0] + n, before[1] + alerts)], sums), f"{folder}/totals", run, epoch)
+        finally:
+            counted.unpersist()
 
     return (
-        scored.writeStream.foreachBatch(publish)
+        detect(events, policy, delay).writeStream.foreachBatch(publish)
         .option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"availableNow": True}))
         .start()

@@ -1,8 +1,9 @@
 """Keyed state of the detection stream.
 
-Rows of a user may arrive in any order within the watermark delay. They wait in state until the watermark has passed
-them and are then taken in ``(ts, event_id)`` order, so the result does not depend on arrival order or batching. The
-processor only finds what needs history: the event's ordinal, the recent failures, and which rules fire for the first
+Rows of a user may arrive in any order within the watermark delay. They wait in state, in buckets of a minute, until the
+watermark has passed their bucket, and are then taken bucket by bucket in ``(ts, event_id)`` order, so the result does not
+depend on arrival order or batching as long as no row comes after the watermark has passed it. No step holds more than
+one bucket of one user. The processor only finds what needs history: the event's ordinal, the recent failures, and which rules fire for the first
 time for their key. Scores and texts are column expressions on its output.
 
 What is kept per user is bounded: failures of the last ``burst_seconds``, the last minute and day that fired (events
@@ -22,20 +23,21 @@ from gatelens.config import DEFAULT_POLICY, Policy
 
 MICROS = 1_000_000
 
-# Rows that wait for the watermark, one list element per user and micro-batch, column by column. ``at`` is the event
+# Rows that wait for the watermark, one map entry per bucket and arriving frame, column by column. ``at`` is the event
 # time in microseconds.
+BUCKET = 60 * MICROS
 _COLUMNS = ["event_id", "at", "ip_address", "country", "status", "resource"]
 _PENDING = (
     "event_id array<long>, at array<long>, ip_address array<string>, country array<string>, status array<string>,"
     " resource array<string>"
 )
 
-# ``wake_at`` is the timer that is set for the earliest waiting row; ``failures`` are the recent failures' times.
+# ``failures`` are the recent failures' times.
 _PROFILE = (
-    "wake_at long, events long, first_at long, last_at long, fired_minute long, fired_day long, failures array<long>,"
+    "events long, first_at long, last_at long, fired_minute long, fired_day long, failures array<long>,"
     " countries array<string>, hours array<int>, baseline array<string>, recent array<string>, fired_countries array<string>"
 )
-_NEW_PROFILE = (None, 0, None, None, None, None, [], [], [], [], [], [])
+_NEW_PROFILE = (0, None, None, None, None, [], [], [], [], [], [])
 
 OUTPUT = T.StructType(
     [
@@ -76,52 +78,40 @@ class DetectionProcessor(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._handle = handle
         self._profile = handle.getValueState("profile", _PROFILE)
-        self._pending = handle.getListState("pending", _PENDING)
+        self._pending = handle.getMapState("pending", "bucket long, part int", _PENDING)
+        self._parts = handle.getMapState("parts", "bucket long", "parts int")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        earliest = None
         for batch in rows:
-            self._pending.appendValue(tuple(batch[c].tolist() for c in _COLUMNS))
-            first = int(batch["at"].min())
-            earliest = first if earliest is None else min(earliest, first)
-        self._wake(self._profile.get() or _NEW_PROFILE, earliest)
+            for bucket, part in batch.groupby(batch["at"] // BUCKET):
+                bucket = int(bucket)
+                known = self._parts.getValue((bucket,))[0] if self._parts.containsKey((bucket,)) else 0
+                if not known:
+                    self._handle.registerTimer((bucket + 1) * BUCKET // 1000)
+                self._pending.updateValue((bucket, known), tuple(part[c].tolist() for c in _COLUMNS))
+                self._parts.updateValue((bucket,), (known + 1,))
         return iter(())
 
-    def _wake(self, profile: tuple, at: int) -> None:
-        """Make sure that a timer is set for a row at ``at``, and store the profile if that is news."""
-        wanted = at // 1000 + 1
-        if profile[0] is None or wanted < profile[0]:
-            self._handle.registerTimer(wanted)
-            self._profile.update((wanted, *profile[1:]))
-
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        passed = timerValues.getCurrentWatermarkInMs()
-        profile = self._profile.get()
-        if profile[0] is None or profile[0] > passed:
-            # An earlier timer has already taken the rows this one was set for.
-            return
-        parts = list(self._pending.get())
-        waiting = {c: [value for part in parts for value in part[i]] for i, c in enumerate(_COLUMNS)}
-        at = np.array(waiting["at"], dtype="int64")
-        order = np.lexsort((np.array(waiting["event_id"], dtype="int64"), at))
-        n_ready = int(np.searchsorted(at[order], passed * 1000, side="right"))
-        ready, later = order[:n_ready].tolist(), order[n_ready:].tolist()
-        wake_at = None
-        if later:
-            self._pending.put([tuple([waiting[c][i] for i in later] for c in _COLUMNS)])
-            wake_at = int(at[later[0]]) // 1000 + 1
-            self._handle.registerTimer(wake_at)
-        else:
-            self._pending.clear()
-        rows = {c: [waiting[c][i] for i in ready] for c in _COLUMNS}
-        out, profile = self._apply(key[0], rows, profile)
-        self._profile.update((wake_at, *profile))
-        yield out
+        """Take the buckets that the watermark has passed, the earliest first; a timer finds nothing if one before it did."""
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        for bucket in sorted(b for (b,) in list(self._parts.keys()) if (b + 1) * BUCKET <= passed):
+            parts = [(bucket, part) for part in range(self._parts.getValue((bucket,))[0])]
+            waiting = [self._pending.getValue(part) for part in parts]
+            columns = {c: [value for part in waiting for value in part[i]] for i, c in enumerate(_COLUMNS)}
+            order = np.lexsort((np.array(columns["event_id"], dtype="int64"), np.array(columns["at"], dtype="int64")))
+            rows = {c: [values[i] for i in order] for c, values in columns.items()}
+            out, profile = self._apply(key[0], rows, self._profile.get() or _NEW_PROFILE)
+            self._profile.update(profile)
+            for part in parts:
+                self._pending.removeKey(part)
+            self._parts.removeKey((bucket,))
+            yield out
 
     def _apply(self, user_id: str, rows: dict[str, list], profile: tuple) -> tuple[pd.DataFrame, tuple]:
         """Take rows in order: what each row saw, and the profile after the last one."""
         policy = self._policy
-        _, events, first_at, _, fired_minute, fired_day, kept, countries, hours, baseline, recent, fired_countries = profile
+        events, first_at, _, fired_minute, fired_day, kept, countries, hours, baseline, recent, fired_countries = profile
 
         at = np.array(rows["at"], dtype="int64")
         country, resource = np.array(rows["country"], dtype=object), np.array(rows["resource"], dtype=object)
@@ -134,7 +124,8 @@ class DetectionProcessor(StatefulProcessor):
         trailing = len(kept) + failed.cumsum() - np.searchsorted(failures, at - reach, side="left")
         ordinal = events + 1 + np.arange(len(at))
         minute, day, hour = at // (60 * MICROS), at // (86_400 * MICROS), (at // (3_600 * MICROS)) % 24
-        night = (hour >= policy.night_start) & (hour < policy.night_end)
+        late, early_hour = hour >= policy.night_start, hour < policy.night_end
+        night = late & early_hour if policy.night_start <= policy.night_end else late | early_hour
 
         brute_force = _first_of_each(trailing > policy.stream_burst_over, minute, [fired_minute])
         from_country = _first_of_each(watched & sensitive, country, fired_countries)
@@ -171,3 +162,22 @@ class DetectionProcessor(StatefulProcessor):
 
     def close(self) -> None:
         pass
+
+
+class FirstAlertProcessor(StatefulProcessor):
+    """Passes on the first alert of each user and rule, once for the life of the checkpoint."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._sent = handle.getValueState("sent", "sent boolean")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        first = None
+        for batch in rows:
+            candidates = batch if first is None else pd.concat([first, batch])
+            first = candidates.sort_values(["ts", "event_id"], kind="stable").head(1)
+        if not self._sent.exists():
+            self._sent.update((True,))
+            yield first
+
+    def close(self) -> None:
+        pass

@@ -20,17 +20,25 @@ from gatelens.streaming import jobs
 OpenStream = Callable[[SparkSession], DataFrame]
 
 
-def adapted_stream(folder: str) -> OpenStream:
+#: Files that a replay admits to a micro-batch.
+MAX_FILES = 16
+
+
+class LateEvents(RuntimeError):
+    """A finite replay has left out rows that came after the watermark had passed them."""
+
+
+def adapted_stream(folder: str, max_files: int = MAX_FILES) -> OpenStream:
     """The ``events`` test table of a folder as a stream of access events."""
 
     def open_stream(session: SparkSession) -> DataFrame:
-        reader = session.readStream.schema(RAW_EVENT).option("pathGlobFilter", "events.parquet")
+        reader = session.readStream.schema(RAW_EVENT).option("pathGlobFilter", "events.parquet").option("maxFilesPerTrigger", max_files)
         return adapt(reader.parquet(folder))
 
     return open_stream
 
 
-def log_stream(folder: str, max_files: int | None = None) -> OpenStream:
+def log_stream(folder: str, max_files: int | None = MAX_FILES) -> OpenStream:
     """A folder of access-log files as a stream; ``max_files`` bounds a micro-batch."""
     return lambda session: stream_access_log(session, folder, max_files)
 
@@ -49,26 +57,41 @@ def finish(query) -> None:
         raise query.exception()
 
 
-def run_to_end(session: SparkSession, events: DataFrame, start: Callable[[DataFrame], object], run: str) -> None:
-    """Run a job over all of a finite stream, then once more with a far-future row.
+def run_to_end(
+    session: SparkSession, events: DataFrame, start: Callable[[DataFrame], object], run: str, allow_late: bool = False
+) -> int:
+    """Run a job over all of a finite stream, then once more with a far-future row; returns the count of late rows.
 
     The watermark never passes a finite stream's last events by itself. The closing row, which must not come before
-    any real row, moves it on; the second run continues from the first one's checkpoint.
+    any real row, moves it on; the second run continues from the first one's checkpoint. Rows that are further out of
+    order than the job's delay are left out; unless ``allow_late``, that raises :class:`LateEvents`.
     """
     folder = f"{run}/closing"
     closing = _closing_row(session, events.schema)
     closing.limit(0).write.parquet(folder)
     both = events.unionByName(session.readStream.schema(events.schema).parquet(folder))
-    # What the first run's watermark has passed can wait for the second run, which flushes everything.
-    session.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
-    finish(start(both))
-    closing.write.mode("append").parquet(folder)
-    session.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "true")
-    finish(start(both))
+    watch = jobs.LateRows.watch(session)
+    try:
+        query = start(both)
+        finish(query)
+        watch.of(query)
+        closing.write.mode("append").parquet(folder)
+        query = start(both)
+        finish(query)
+        late = watch.of(query)
+    finally:
+        session.streams.removeListener(watch)
+    if late and not allow_late:
+        raise LateEvents(f"{late} rows came after the watermark had passed them; use a longer delay")
+    return late
 
 
 def run_detection(
-    spark: SparkSession, open_stream: OpenStream, policy: Policy = DEFAULT_POLICY, delay: str = "10 minutes"
+    spark: SparkSession,
+    open_stream: OpenStream,
+    policy: Policy = DEFAULT_POLICY,
+    delay: str = "10 minutes",
+    allow_late: bool = False,
 ) -> str:
     """Run the detection job to its end; returns the run's folder, with the result below ``scored``."""
     session = jobs.job_session(spark)
@@ -77,10 +100,15 @@ def run_detection(
     def start(events):
         return jobs.to_files(jobs.detect(events, policy, delay), f"{run}/scored", f"{run}/scored-checkpoint")
 
-    run_to_end(session, open_stream(session), start, run)
+    run_to_end(session, open_stream(session), start, run, allow_late)
     return run
 
 
+def late_events(log: DataFrame, scored: DataFrame) -> DataFrame:
+    """The side table of a finished replay: the log's events that it has left out."""
+    return log.join(scored.select("event_id"), "event_id", "left_anti")
+
+
 def scored_table(spark: SparkSession, run: str) -> DataFrame:
     return spark.read.parquet(f"{run}/scored")
 
@@ -122,14 +150,18 @@ def run_slow_brute_force(spark: SparkSession, open_stream: OpenStream, policy: P
     return spark.read.schema(ALERT).parquet(f"{run}/alerts")
 
 
-def run_feed(spark: SparkSession, run: str, role: str = "admin", policy: Policy = DEFAULT_POLICY) -> DataFrame:
-    """Feed records of a detection run."""
+def run_feed(
+    spark: SparkSession, open_stream: OpenStream, role: str = "admin", policy: Policy = DEFAULT_POLICY, delay: str = "10 minutes"
+) -> DataFrame:
+    """Feed records of a finite stream."""
     session = jobs.job_session(spark)
-    schema = scored_table(session, run).schema
-    scored = session.readStream.schema(schema).parquet(f"{run}/scored")
     folder = run_dir(spark, "feed")
-    finish(jobs.write_feed(scored, folder, f"{folder}/checkpoint", role, policy))
-    return spark.read.schema("event_id long, record string").parquet(f"{folder}/records").drop("epoch")
+
+    def start(events):
+        return jobs.write_feed(events, folder, f"{folder}/checkpoint", role, policy, delay)
+
+    run_to_end(session, open_stream(session), start, folder)
+    return jobs.stored(spark, f"{folder}/records", "event_id long, record string").drop("run", "epoch")
 
 
 def run_outbox(spark: SparkSession, run: str, policy: Policy = DEFAULT_POLICY) -> DataFrame:
@@ -139,8 +171,7 @@ def run_outbox(spark: SparkSession, run: str, policy: Policy = DEFAULT_POLICY) -
     scored = session.readStream.schema(schema).parquet(f"{run}/scored")
     folder = run_dir(spark, "outbox")
     finish(jobs.write_outbox(fired_alerts(scored, policy), f"{folder}/outbox", f"{folder}/checkpoint", policy))
-    stored = spark.read.option("mergeSchema", "true").parquet(f"{folder}/outbox")
-    return stored.filter(F.col("epoch") >= 0).drop("epoch")
+    return jobs.stored(spark, f"{folder}/outbox", jobs.OUTBOX).drop("run", "epoch")
 
 
 def run_hourly_kpis(spark: SparkSession, run: str) -> DataFrame:

@@ -1,7 +1,10 @@
 """The streaming jobs give what the window form gives, whatever the arrival order and batching."""
 
 import random
+from datetime import datetime, timedelta
+from types import SimpleNamespace
 
+import pandas as pd
 import pytest
 from conftest import row
 from pyspark.sql import functions as F
@@ -12,6 +15,7 @@ from gatelens.plans.enrichment import enrich
 from gatelens.schema import ACCESS_EVENT
 from gatelens.session import run_dir
 from gatelens.streaming import jobs, replay
+from gatelens.streaming.processor import BUCKET, DetectionProcessor
 
 
 @pytest.fixture(scope="module")
@@ -56,8 +60,13 @@ def test_state_holds_the_whole_history(spark, run, log):
         assert state[user].hours == ",".join(str(h) for h in sorted({r["ts"].hour for r in own}))
 
 
-def test_feed_equals_window_form(spark, frame, run, log):
-    assert same(replay.run_feed(spark, run, "analyst"), feed.feed_json(stream_rules.detect(frame(log)), "analyst"))
+@pytest.mark.parametrize("delay", ["3 days", "1 minute"])
+def test_feed_equals_window_form_under_any_admission(spark, frame, log, delay):
+    """A file per batch, several state partitions; shuffled files with a long delay, ordered ones with a short one."""
+    rows = random.Random(3).sample(log, len(log)) if delay == "3 days" else sorted(log, key=lambda r: (r["ts"], r["event_id"]))
+    folder = write_files(spark, frame, [rows[i::4] for i in range(4)] if delay == "3 days" else [rows[i * 150 : (i + 1) * 150] for i in range(3)])
+    got = replay.run_feed(spark, replay.log_stream(folder, max_files=1), "analyst", delay=delay)
+    assert same(got, feed.feed_json(stream_rules.detect(frame(log)), "analyst"))
 
 
 def test_outbox_equals_window_form(spark, frame, run, log):
@@ -73,39 +82,90 @@ def test_hourly_totals_end_at_the_overall_totals(spark, run):
     assert last.total_alerts == stream_rules.fired_alerts(scored).count()
 
 
-def test_batches_in_time_order_continue_state_feed_and_outbox(spark, frame, log):
-    """With a short delay, each file is reported in batches of its own, and a second run of the sinks adds nothing."""
+def test_outbox_remembers_over_batches_and_runs(spark, frame, log):
+    """A restart adds nothing; a new checkpoint keeps the first run's rows and notifies only what no run has."""
     ordered = sorted(log, key=lambda r: (r["ts"], r["event_id"]))
-    cuts = [ordered[i * 150 : (i + 1) * 150] for i in range(3)]
-    folder = write_files(spark, frame, cuts)
+    folder = write_files(spark, frame, [ordered[i * 150 : (i + 1) * 150] for i in range(3)])
     run = replay.run_detection(spark, replay.log_stream(folder, max_files=1), delay="1 minute")
-    assert same(replay.scored_table(spark, run), stream_rules.detect(frame(log)))
+    scored = replay.scored_table(spark, run)
+    assert same(scored, stream_rules.detect(frame(log)))
 
     session = jobs.job_session(spark)
-    schema = replay.scored_table(spark, run).schema
     out = run_dir(spark, "sinks")
+    half = run_dir(spark, "half")
+    scored.filter(F.col("ts") < ordered[220]["ts"]).write.parquet(half)
+
+    def sent(source, checkpoint):
+        stream = session.readStream.schema(scored.schema).option("maxFilesPerTrigger", 1).parquet(source)
+        replay.finish(jobs.write_outbox(stream_rules.fired_alerts(stream), f"{out}/outbox", f"{out}/{checkpoint}"))
+        return sorted(tuple(r) for r in jobs.stored(spark, f"{out}/outbox", jobs.OUTBOX).select("run", "user_id", "alert_type", "event_id").collect())
+
+    first = sent(half, "one")
+    assert len(first) == len({r[1:3] for r in first}) > 0
+    assert sent(half, "one") == first
+    both = sent(f"{run}/scored", "two")
+    assert set(first) <= set(both) and len(both) == len({r[1:3] for r in both})
+    everything = outbox.notification_outbox(stream_rules.stream_alerts(frame(log))).select("user_id", "alert_type").collect()
+    assert {r[1:3] for r in both} == {tuple(r) for r in everything}
+
+
+def test_late_rows_are_left_out_counted_and_found(spark, frame):
+    """Newest file first, over more than a hundred batches: rows out and late rows make up the rows in."""
+    rows = [row(f"2024-03-04 {10 + h:02d}:{m:02d}:00") for h in range(12) for m in range(0, 60, 6)]
+    rows = [{**r, "event_id": i} for i, r in enumerate(rows)]
+    folder = write_files(spark, frame, [[r] for r in reversed(rows)])
+    stream = replay.log_stream(folder, max_files=1)
+    with pytest.raises(replay.LateEvents):
+        replay.run_detection(spark, replay.log_stream(folder, max_files=40))
+    run = replay.run_detection(spark, stream, allow_late=True)
+    scored = replay.scored_table(spark, run)
+    late = replay.late_events(frame(rows), scored)
+    assert scored.count() + late.count() == len(rows) and late.count() > 100
 
-    def sinks():
-        scored = session.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{run}/scored")
-        replay.finish(jobs.write_outbox(stream_rules.fired_alerts(scored), f"{out}/outbox", f"{out}/outbox-checkpoint"))
-        stored = spark.read.option("mergeSchema", "true").parquet(f"{out}/outbox").filter("epoch >= 0")
-        return stored.select("user_id", "alert_type").collect()
 
-    first = sinks()
-    assert len(first) == len(set(first)) > 0
-    assert sorted(sinks()) == sorted(first)
+class FakeState(dict):
+    """The map and value states of a processor, kept in memory."""
 
+    def getValue(self, key):
+        return self[key]
 
-def test_late_rows_are_left_out_and_counted(spark, frame):
-    rows = [row("10:00:00"), row("12:00:00"), row("12:00:01"), row("09:00:00")]
-    rows = [{**r, "event_id": i} for i, r in enumerate(rows)]
-    folder = write_files(spark, frame, [rows[:2], rows[2:3], rows[3:]])
-    session, out = jobs.job_session(spark), run_dir(spark, "late")
-    events = replay.log_stream(folder, 1)(session)
-    query = jobs.to_files(jobs.detect(events, delay="10 minutes"), f"{out}/scored", f"{out}/checkpoint")
-    replay.finish(query)
-    assert jobs.late_rows(query) == 1
-    assert [r.event_id for r in spark.read.parquet(f"{out}/scored").collect()] == [0]
+    def containsKey(self, key):
+        return key in self
+
+    def updateValue(self, key, value):
+        self[key] = value
+
+    def removeKey(self, key):
+        del self[key]
+
+    def get(self):
+        return self.setdefault("value", None)
+
+    def update(self, value):
+        self["value"] = value
+
+
+def test_a_step_handles_one_bucket_of_a_user(log):
+    taken = []
+
+    class Watched(DetectionProcessor):
+        def _apply(self, user_id, rows, profile):
+            taken.append(sorted({at // BUCKET for at in rows["at"]}))
+            return super()._apply(user_id, rows, profile)
+
+    processor = Watched()
+    handle = SimpleNamespace(getValueState=lambda *a: FakeState(), getMapState=lambda *a: FakeState(), registerTimer=lambda at: None)
+    processor.init(handle)
+    own = [r for r in log if r["user_id"] == log[0]["user_id"]]
+    micros = lambda r: int((r["ts"] - datetime(1970, 1, 1)) / timedelta(microseconds=1))
+    frame = pd.DataFrame([{**r, "at": micros(r)} for r in random.Random(1).sample(own, len(own))])
+    for part in (frame[: len(frame) // 2], frame[len(frame) // 2 :]):
+        list(processor.handleInputRows((log[0]["user_id"],), iter([part]), None))
+    clock = SimpleNamespace(getCurrentWatermarkInMs=lambda: 10**14)
+    out = pd.concat(processor.handleExpiredTimer((log[0]["user_id"],), clock, None))
+    assert all(len(t) == 1 for t in taken) and [t[0] for t in taken] == sorted({micros(r) // BUCKET for r in own})
+    assert out["ordinal"].tolist() == list(range(1, len(own) + 1)) and out["at"].is_monotonic_increasing
+    assert not processor._pending and not processor._parts
 
 
 def test_slow_brute_force_equals_batch(spark, frame):

@@ -5,6 +5,7 @@ from conftest import row
 from pyspark.sql import functions as F
 
 from gatelens.config import DEFAULT_POLICY, DEFAULT_RECOMMENDATION, Policy
+from gatelens.functions.predicates import at_night
 from gatelens.plans import batch_rules, enrichment, outbox
 from gatelens.schema import ACCESS_EVENT, ALERT, validate_schema
 from gatelens.session import run_dir, shared_dir
@@ -79,6 +80,59 @@ def test_schema_check(spark, frame):
         validate_schema(events.withColumn("risk_score", F.lit("1")), ACCESS_EVENT)
 
 
+def test_log_files_are_checked_and_null_keys_set_aside(spark, frame):
+    rows = [row("10:00:00"), {**row("10:01:00"), "user_id": None}, row("10:02:00", country=None)]
+    good, missing, typed = (run_dir(spark, n) for n in ("good", "missing", "typed"))
+    frame(rows).withColumn("extra", F.lit(1)).write.parquet(good)
+    frame(rows).drop("status").write.parquet(missing)
+    frame(rows).withColumn("risk_score", F.lit("1")).write.parquet(typed)
+    events, aside = access_log.load_access_log(spark, good)
+    assert (events.count(), aside.count(), events.schema) == (2, 1, ACCESS_EVENT)
+    with pytest.raises(ValueError, match="missing columns: status"):
+        access_log.read_access_log(spark, missing)
+    with pytest.raises(ValueError, match="risk_score is string"):
+        access_log.read_access_log(spark, typed)
+
+
+def test_csv_goes_by_its_header(spark, frame):
+    events = frame([row("10:00:00", country="Iran"), row("10:01:00", resource="api")])
+    path, short = run_dir(spark, "csv"), run_dir(spark, "csv")
+    text = events.withColumn("ts", F.col("ts").cast("string")).select(*reversed(ACCESS_EVENT.fieldNames()))
+    text.write.options(**access_log.TEXT_OPTIONS).csv(path)
+    text.drop("country").write.options(**access_log.TEXT_OPTIONS).csv(short)
+    got, aside = access_log.load_access_log(spark, path, "csv")
+    assert sorted(got.collect()) == sorted(events.collect()) and aside.count() == 0
+    with pytest.raises(ValueError, match="missing columns: country"):
+        access_log.read_access_log(spark, short, "csv")
+
+
+@pytest.mark.parametrize("fmt", ["parquet", "csv", "json", "orc"])
+def test_a_log_without_ids_gets_them(spark, frame, fmt):
+    twice = [row("10:00:00"), row("10:00:00"), row("10:00:00", country="Iran")]
+    path = run_dir(spark, "plain")
+    plain = frame(twice).drop("event_id").withColumnRenamed("ts", "timestamp")
+    if fmt in ("csv", "json"):
+        plain = plain.withColumn("timestamp", F.col("timestamp").cast("string"))
+    plain.coalesce(1).write.format(fmt).options(**access_log._options(fmt)).save(path)
+    read = lambda: sorted((r.event_id, r.country) for r in access_log.read_access_log(spark, path, fmt, {"timestamp": "ts"}).collect())
+    assert len({i for i, _ in read()}) == 3 and read() == read()
+
+
+def test_alert_export_is_quoted(spark, frame):
+    path = run_dir(spark, "export")
+    alerts = frame([row("03:00:00")]).select(F.lit("X").alias("alert_type"), "user_id", F.lit('a "b", c').alias("country"), F.lit(1).alias("score"), F.lit("d").alias("detail"))
+    tables.write_alert_export(alerts, "admin", path)
+    assert '"a ""b"", c"' in "".join(r[0] for r in spark.read.text(path).collect())
+    assert spark.read.schema(tables.EXPORTED).options(**access_log.TEXT_OPTIONS).csv(path).first().country == 'a "b", c'
+
+
+@pytest.mark.parametrize("start, end, hours", [(0, 6, {0, 5}), (22, 6, {0, 5, 22, 23}), (6, 6, set())])
+def test_nights_may_cross_midnight(frame, start, end, hours):
+    events = frame([row(f"{h:02d}:00:00") for h in (0, 5, 6, 12, 21, 22, 23)])
+    got = events.filter(at_night(Policy(night_start=start, night_end=end))).collect()
+    assert {r.ts.hour for r in got} == hours
+
+
 def test_only_admins_export(frame):
     events = frame([row("03:00:00", resource="billing")])
     alerts = events.select(F.lit("X").alias("alert_type"), "user_id", "country", F.lit(1).alias("score"), F.lit("d").alias("detail"), "ts")
