@@ -7,8 +7,10 @@ list, pairs must pass the length filter and the positional filter; each pair the
 filter and is verified by its exact intersection. Links give connected components.
 
 Pairs are taken in two rounds, so that a group of many copies isn't expanded into all its pairs. Round 1 proposes, per
-gram, each set with the list's first and with its predecessor. Round 2 proposes every other pair whose two sets
-round 1 has left in different components: the pairs left out can't change a component, so components are exact.
+gram, each set with the list's oldest document and with a random neighbour, and of these a set's pairs from most lists. Round 2
+proposes every other pair whose two sets round 1 has left in different components: the pairs left out can't change a
+component, so components are exact. Before texts are moved, a pair must pass an upper bound of its intersection from both sets'
+counts in 128 ranges of the hash.
 Lists of a gram that very many sets hold are split into cells that cover all pairs of their parts.
 
 Defined cases: words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased; with fewer than n words the whole sequence is one
@@ -26,7 +28,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gatelens.llm.tables import components, read_table, saved, shuffle_partitions
@@ -34,11 +36,14 @@ from gatelens.llm.words import LOWER, WordHashes, as_bytes, bucket_slices, mixed
 
 GRAM = 4
 PERCENT = 85
-SKETCH_BITS, SKETCH_PARTS = 19, 64
+SKETCH_BITS, SKETCH_PARTS = 22, 64
 ENTRIES_PER_BUCKET = 500_000
 #: A gram's list is split when its count is beyond the mean count of the table by more than this.
 LONG_LIST = 200_000
 FILTER_BITS = 22
+#: Round 1 keeps so many of a set's pairs from long lists, those that most lists propose.
+TRIED = 6
+RANGES = 128
 
 _hashes = WordHashes()
 
@@ -70,35 +75,41 @@ def _cell(h: np.ndarray) -> np.ndarray:
     return (h & np.uint64((1 << SKETCH_BITS) - 1)).astype(np.int64)
 
 
+def range_counts(h: np.ndarray) -> np.ndarray:
+    """How many of the hashes lie in each range; a count that doesn't fit stands for any number."""
+    return np.minimum(np.bincount((h >> np.uint64(57)).astype(np.int64), minlength=RANGES), 65535).astype(np.uint16)
+
+
 def _sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
     """A row per document; then the partition's counts per hash cell, in parts, with a null in place of the set."""
-    counts = np.zeros(1 << SKETCH_BITS, np.int64)
+    counts = np.zeros(1 << SKETCH_BITS, np.uint32)
     for batch in batches:
-        ids, sizes = [], []
+        ids, sizes, ranges = [], [], []
         for text in as_bytes(batch.column(1)):
             h = grams(text, n)
-            counts += np.bincount(_cell(h), minlength=len(counts)) if len(h) > 20_000 else 0
-            if len(h) <= 20_000:
-                np.add.at(counts, _cell(h), 1)
+            np.add.at(counts, _cell(h), 1)
             ids.append(set_id(h))
             sizes.append(len(h))
+            ranges.append(range_counts(h).tobytes() if len(h) else None)
         nothing = pa.nulls(len(ids))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), nothing.cast(pa.int32()), nothing.cast(pa.binary())], schema=SETS)
+        columns = [batch.column(0), pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(ranges, pa.binary()), nothing.cast(pa.int32()), nothing.cast(pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, schema=SETS)
     parts = [p.tobytes() for p in counts.reshape(SKETCH_PARTS, -1)]
     yield pa.RecordBatch.from_pylist([{"part": k, "counts": p} for k, p in enumerate(parts)], schema=SETS)
 
 
-SETS = pa.schema([("doc_id", pa.int64()), ("sid", pa.int64()), ("n", pa.int64()), ("part", pa.int32()), ("counts", pa.binary())])
-SETS_DDL = "doc_id long, sid long, n long, part int, counts binary"
+SETS = pa.schema([("doc_id", pa.int64()), ("sid", pa.int64()), ("n", pa.int64()), ("ranges", pa.binary()), ("part", pa.int32()), ("counts", pa.binary())])
+SETS_DDL = "doc_id long, sid long, n long, ranges binary, part int, counts binary"
 
 
 def _summed(rows: pa.Table) -> pa.Table:
-    total = np.sum([np.frombuffer(c, np.int64) for c in rows.column("counts").to_pylist()], axis=0)
+    total = np.sum([np.frombuffer(c, np.uint32) for c in rows.column("counts").to_pylist()], axis=0, dtype=np.int64)
     return pa.table({"part": rows.column("part")[:1], "counts": pa.array([total.tobytes()], pa.binary())})
 
 
-ENTRY = [("keys", np.uint32), ("sids", np.int64), ("sizes", np.int32), ("places", np.int32)]
-LISTS_DDL = "bucket long, keys binary, sids binary, sizes binary, places binary"
+ENTRY = [("keys", np.uint32), ("sids", np.int64), ("docs", np.int64), ("sizes", np.int32), ("places", np.int32)]
+LISTS_DDL = "bucket long, keys binary, sids binary, docs binary, sizes binary, places binary"
+NO_ID = np.iinfo(np.int64).max
 LISTS = pa.schema([("bucket", pa.int64()), *((c, pa.binary()) for c, _ in ENTRY)])
 
 
@@ -107,15 +118,15 @@ def _prefixes(batches: Iterator[pa.RecordBatch], counts: np.ndarray, buckets: in
     usual, held, n_held = counts.mean(), [], 0
 
     def flush() -> pa.RecordBatch:
-        keys, sids, sizes, places = (np.concatenate(x) for x in zip(*held))
+        keys, sids, docs, sizes, places = (np.concatenate(x) for x in zip(*held))
         order = np.argsort(keys, kind="stable")
         keys = keys[order]
-        own = {"keys": keys.astype(np.uint32), "sids": sids[order], "sizes": sizes[order], "places": places[order]}
+        own = {"keys": keys.astype(np.uint32), "sids": sids[order], "docs": docs[order], "sizes": sizes[order], "places": places[order]}
         rows = [{"bucket": b} | {c: own[c][s].tobytes() for c, _ in ENTRY} for b, s in bucket_slices(keys, buckets)]
         return pa.RecordBatch.from_pylist(rows, schema=LISTS)
 
     for batch in batches:
-        for text in as_bytes(batch.column(0)):
+        for doc_id, text in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1))):
             h = grams(text, n)
             if not len(h):
                 continue
@@ -131,7 +142,8 @@ def _prefixes(batches: Iterator[pa.RecordBatch], counts: np.ndarray, buckets: in
                 places = np.r_[places, np.full(m, places[k], np.int32)]
             whole = np.r_[parts == 1, np.ones(len(keys) - len(first), bool)]
             keys, places = mixed(keys[whole]), places[whole]
-            held.append((keys, np.full(len(keys), sid, np.int64), np.full(len(keys), len(h), np.int32), places))
+            own = NO_ID if doc_id is None else doc_id
+            held.append((keys, np.full(len(keys), sid, np.int64), np.full(len(keys), own, np.int64), np.full(len(keys), len(h), np.int32), places))
             n_held += len(keys)
             if n_held >= 400_000:
                 yield flush()
@@ -142,13 +154,13 @@ def _prefixes(batches: Iterator[pa.RecordBatch], counts: np.ndarray, buckets: in
 
 def _lists(rows: pa.Table) -> pa.Table:
     """A bucket's lists that hold two different sets or more, by key, size and set."""
-    key, sid, size, place = (np.concatenate([np.frombuffer(b, t) for b in rows.column(c).to_pylist()]) for c, t in ENTRY)
-    order = np.lexsort((sid, size, key))
-    key, sid, size, place = key[order], sid[order], size[order], place[order]
-    new = np.r_[True, (key[1:] != key[:-1]) | (sid[1:] != sid[:-1])]  # copies are one node
-    key, sid, size, place = key[new], sid[new], size[new], place[new]
+    key, sid, doc, size, place = (np.concatenate([np.frombuffer(b, t) for b in rows.column(c).to_pylist()]) for c, t in ENTRY)
+    order = np.lexsort((doc, sid, size, key))
+    key, sid, doc, size, place = key[order], sid[order], doc[order], size[order], place[order]
+    new = np.r_[True, (key[1:] != key[:-1]) | (sid[1:] != sid[:-1])]  # copies are one node, by the smallest id
+    key, sid, doc, size, place = key[new], sid[new], doc[new], size[new], place[new]
     alone = np.r_[True, key[1:] != key[:-1]] & np.r_[key[1:] != key[:-1], True]
-    out = [x[~alone].tobytes() for x in (key, sid, size, place)]
+    out = [x[~alone].tobytes() for x in (key, sid, doc, size, place)]
     return pa.Table.from_pylist([dict(zip(LISTS.names, (rows.column("bucket")[0].as_py(), *out)))] if out[0] else [], schema=LISTS)
 
 
@@ -169,28 +181,60 @@ def _starts(key: np.ndarray) -> np.ndarray:
 
 
 def _first_pairs(batches: Iterator[pd.DataFrame], percent: int) -> Iterator[pd.DataFrame]:
-    """Each entry with its list's first, and with its predecessor."""
+    """Each entry with its list's oldest document and with its successor in an order by hash of set and gram; all pairs of
+    lists of up to three. ``whole`` says that the list has all its pairs here."""
     for batch in batches:
         for row in batch.itertuples(index=False):
-            key, sid, size, place = (np.frombuffer(getattr(row, c), t) for c, t in ENTRY)
-            start = np.repeat(_starts(key), np.diff(np.r_[_starts(key), len(key)]))
-            j = np.flatnonzero(np.arange(len(key)) > start)
-            i, j = np.r_[start[j], j - 1], np.r_[j, j]
+            key, sid, doc, size, place = (np.frombuffer(getattr(row, c), t) for c, t in ENTRY)
+            starts = _starts(key)
+            lengths = np.diff(np.r_[starts, len(key)])
+            start, length, at = np.repeat(starts, lengths), np.repeat(lengths, lengths), np.arange(len(key))
+            shuffled = np.lexsort((mixed(sid.view(np.uint64) ^ key.astype(np.uint64)), key))
+            oldest = np.repeat(np.lexsort((doc, key))[starts], lengths)
+            short = length <= 3
+            one, two = at[short & (at + 1 < start + length)], at[short & (at + 2 < start + length)]
+            many = at[(length > 3) & (at + 1 < start + length)]
+            far = at[(length > 3) & (oldest != at)]
+            i = np.r_[one, two, shuffled[many], oldest[far]]
+            j = np.r_[one + 1, two + 2, shuffled[many + 1], far]
+            whole = np.r_[np.ones(len(one) + len(two), bool), np.zeros(len(many) + len(far), bool)]
+            i, j = np.minimum(i, j), np.maximum(i, j)  # entries of a list are in order of size
             ok = _passing(i, j, size, place, percent)
-            yield _pair_table(sid[i[ok]], sid[j[ok]])
+            i, j, whole = i[ok], j[ok], whole[ok]
+            yield pd.DataFrame({"a": np.minimum(sid[i], sid[j]), "b": np.maximum(sid[i], sid[j]), "whole": whole})
+
+
+def tried_first(pairs: DataFrame) -> DataFrame:
+    """The pairs of round 1, each once: those from whole lists, and of each set's others the ones that most lists propose."""
+    counted = saved(pairs.groupBy("a", "b").agg(F.max("whole").alias("whole"), F.count("*").alias("lists")), "proposed")
+    rank = lambda side, other: F.row_number().over(Window.partitionBy(side).orderBy(F.desc("lists"), other))
+    others = counted.filter("not whole")
+    best = [others.withColumn("rank", rank(side, other)).filter(F.col("rank") <= TRIED).select("a", "b") for side, other in (("a", "b"), ("b", "a"))]
+    return counted.filter("whole").select("a", "b").union(best[0].union(best[1]).distinct())
 
 
 def _open_entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """The entries of lists of four and more: in shorter ones round 1 has met every pair."""
     for batch in batches:
         for row in batch.itertuples(index=False):
-            key, sid, size, place = (np.frombuffer(getattr(row, c), t) for c, t in ENTRY)
+            key, sid, _, size, place = (np.frombuffer(getattr(row, c), t) for c, t in ENTRY)
             starts = _starts(key)
             many = np.repeat(np.diff(np.r_[starts, len(key)]) > 3, np.diff(np.r_[starts, len(key)]))
             if many.any():
                 yield pd.DataFrame({"bucket": row.bucket, "key": key[many].astype(np.int64), "sid": sid[many], "size": size[many], "place": place[many]})
 
 
+def _possible(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Pairs whose range counts allow the intersection that they need."""
+    for batch in batches:
+        x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint16).reshape(-1, RANGES).astype(np.int64) for k in (2, 3))
+        size_x, size_y = (batch.column(k).to_numpy() for k in (4, 5))
+        most = np.minimum(x, y).sum(1)
+        unknown = (np.minimum(x, y) == 65535).any(1)
+        keep = unknown | (most >= least_overlap(size_x, size_y, percent))
+        yield batch.select([0, 1]).filter(pa.array(keep))
+
+
 def _cross_pairs(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
     """All pairs of a list whose sets are in different components and pass the filters."""
     rows = rows.sort_values(["key", "size", "sid"])
@@ -249,7 +293,7 @@ def jaccard_components(docs: DataFrame, n: int = GRAM, percent: int = PERCENT) -
 
     # Sets and counts. The counts are a table of fixed size.
     both = saved(source.mapInArrow(lambda batches: _sets(batches, n), SETS_DDL), "sets")
-    sets = both.filter("part is null").select("doc_id", "sid", "n")
+    sets = both.filter("part is null").select("doc_id", "sid", "n", "ranges")
     summed = both.filter("part is not null").groupBy("part").applyInArrow(_summed, "part int, counts binary").collect()
     counts = np.concatenate([np.frombuffer(r.counts, np.int64) for r in sorted(summed, key=lambda r: r.part)]) if summed else np.zeros(1 << SKETCH_BITS, np.int64)
     sent = spark.sparkContext.broadcast(counts)
@@ -257,34 +301,30 @@ def jaccard_components(docs: DataFrame, n: int = GRAM, percent: int = PERCENT) -
     buckets = max(math.ceil(int(entries) / ENTRIES_PER_BUCKET), shuffle_partitions(spark))
 
     # The lists of prefix grams.
-    packed = source.select("text").mapInArrow(lambda batches: _prefixes(batches, sent.value, buckets, n, percent), LISTS_DDL)
+    packed = source.mapInArrow(lambda batches: _prefixes(batches, sent.value, buckets, n, percent), LISTS_DDL)
     lists = saved(packed.groupBy("bucket").applyInArrow(_lists, LISTS_DDL), "lists")
-    pairs = saved(lists.mapInPandas(lambda batches: _first_pairs(batches, percent), "a long, b long").distinct(), "pairs")
 
-    # The texts of sets that are in some list: one document each. Other documents are mostly kept out by a bit table of
-    # fixed size before the join.
-    listed = lists.mapInPandas(_listed, "sid long").distinct()
-    chosen = saved(sets.groupBy("sid").agg(F.min(F.struct(F.col("doc_id"))).getField("doc_id").alias("doc_id")).join(listed, "sid", "left_semi"), "chosen")
-    cell = F.pmod(F.xxhash64("doc_id"), F.lit(1 << FILTER_BITS))
-    bits = np.zeros(1 << FILTER_BITS, bool)
-    bits[[r[0] for r in chosen.select(cell).distinct().collect()]] = True
-    mask = spark.sparkContext.broadcast(np.packbits(bits))
-    likely = source.withColumn("cell", cell).mapInArrow(_masker(mask), "doc_id long, text string")
-    met = likely.join(chosen, likely["doc_id"].eqNullSafe(chosen["doc_id"])).select("sid", "text")
-    texts = saved(met.mapInArrow(lambda batches: _own_texts(batches, n), "sid long, text string").dropDuplicates(["sid"]), "texts")
+    of_set = saved(sets.filter("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("ranges").alias("ranges")), "nodes")
+    a, b = (of_set.select(F.col("sid").alias(s), F.col("doc_id").alias(f"doc_{s}"), F.col("n").alias(f"n_{s}"), F.col("ranges").alias(f"ranges_{s}")) for s in "ab")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        with_a = texts.select(F.col("sid").alias("a"), F.col("text").alias("text_a")).join(pairs, "a")
+        """The links among the pairs. Texts are moved for pairs that their range counts leave possible."""
+        known = pairs.join(a, "a").join(b, "b").select("a", "b", "ranges_a", "ranges_b", "n_a", "n_b")
+        possible = saved(known.mapInArrow(lambda batches: _possible(batches, percent), "a long, b long"), "pairs")
+        wanted = possible.select(F.col("a").alias("sid")).union(possible.select(F.col("b").alias("sid"))).distinct()
+        chosen = saved(of_set.select("sid", "doc_id").join(wanted, "sid"), "chosen")
+        texts = texts_of(source, chosen, n)
+        with_a = texts.select(F.col("sid").alias("a"), F.col("text").alias("text_a")).join(possible, "a")
         with_b = texts.select(F.col("sid").alias("b"), F.col("text").alias("text_b")).join(with_a, "b")
         return saved(with_b.select("a", "b", "text_a", "text_b").mapInArrow(lambda batches: _verified(batches, n, percent), "a long, b long"), "links")
 
-    first_links = verified(pairs)
-    labels = saved(components(first_links), "labels")
+    pairs = saved(tried_first(lists.mapInPandas(lambda batches: _first_pairs(batches, percent), "a long, b long, whole boolean")), "pairs")
+    labels = saved(components(verified(pairs)), "labels")
     entry = lists.mapInPandas(_open_entries, "bucket long, key long, sid long, size long, place long")
     labelled = entry.join(labels.withColumnRenamed("node", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
     more = labelled.groupBy("bucket").applyInPandas(lambda rows: _cross_pairs(rows, percent), "a long, b long").distinct()
-    links = verified(more.join(pairs, ["a", "b"], "left_anti")).union(first_links)
-    labels = saved(components(links), "labels")
+    stars = labels.filter("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b"))
+    labels = saved(components(verified(more.join(pairs, ["a", "b"], "left_anti")).union(stars)), "labels")
 
     nodes = sets.join(labels.withColumnRenamed("node", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
     named = nodes.filter("sid is not null").groupBy("component").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("n_component"))
@@ -296,10 +336,18 @@ def jaccard_components(docs: DataFrame, n: int = GRAM, percent: int = PERCENT) -
     )
 
 
-def _listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        for sids in batch["sids"]:
-            yield pd.DataFrame({"sid": np.unique(np.frombuffer(sids, np.int64))})
+def texts_of(source: DataFrame, chosen: DataFrame, n: int) -> DataFrame:
+    """``sid`` and ``text`` for chosen sets (``sid``, ``doc_id`` of one of their documents).
+
+    Most other documents are kept out by a bit table of fixed size before the join.
+    """
+    cell = F.pmod(F.xxhash64("doc_id"), F.lit(1 << FILTER_BITS))
+    bits = np.zeros(1 << FILTER_BITS, bool)
+    bits[[r[0] for r in chosen.select(cell).distinct().collect()]] = True
+    mask = source.sparkSession.sparkContext.broadcast(np.packbits(bits))
+    likely = source.withColumn("cell", cell).mapInArrow(_masker(mask), "doc_id long, text string")
+    met = likely.join(chosen, likely["doc_id"].eqNullSafe(chosen["doc_id"])).select("sid", "text")
+    return saved(met.mapInArrow(lambda batches: _own_texts(batches, n), "sid long, text string").dropDuplicates(["sid"]), "texts")
 
 
 def _masker(mask):
