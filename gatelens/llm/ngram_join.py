@@ -36,7 +36,7 @@ from gatelens.llm.words import LOWER, WordHashes, as_bytes, bucket_slices, mixed
 
 GRAM = 4
 PERCENT = 85
-SKETCH_BITS, SKETCH_PARTS = 22, 64
+SKETCH_BITS, SKETCH_PARTS = 21, 64
 ENTRIES_PER_BUCKET = 500_000
 #: A gram's list is split when its count is beyond the mean count of the table by more than this.
 LONG_LIST = 200_000
@@ -134,7 +134,7 @@ def _prefixes(batches: Iterator[pa.RecordBatch], counts: np.ndarray, buckets: in
             first = np.lexsort((h, count))[: prefix_length(len(h), percent)]
             sid = set_id(h)
             keys, places = h[first], np.arange(len(first), dtype=np.int32)
-            parts = np.ceil(np.maximum(count[first] - usual, 1) / LONG_LIST).astype(np.int64)
+            parts = np.ceil(np.maximum(count[first].astype(float) - usual, 1) / LONG_LIST).astype(np.int64)
             for k in np.flatnonzero(parts > 1):  # every pair of parts has a cell; a set goes to the cells of its part
                 own, m = sid % int(parts[k]), int(parts[k])
                 cells = np.array([min(own, o) * m + max(own, o) + 1 for o in range(m)], np.uint64)
@@ -296,7 +296,7 @@ def jaccard_components(docs: DataFrame, n: int = GRAM, percent: int = PERCENT) -
     sets = both.filter("part is null").select("doc_id", "sid", "n", "ranges")
     summed = both.filter("part is not null").groupBy("part").applyInArrow(_summed, "part int, counts binary").collect()
     counts = np.concatenate([np.frombuffer(r.counts, np.int64) for r in sorted(summed, key=lambda r: r.part)]) if summed else np.zeros(1 << SKETCH_BITS, np.int64)
-    sent = spark.sparkContext.broadcast(counts)
+    sent = spark.sparkContext.broadcast(np.minimum(counts, np.iinfo(np.uint32).max).astype(np.uint32))
     entries = sets.agg(F.sum(F.col("n") - F.floor((F.col("n") * percent + 99) / 100) + 1)).first()[0] or 0
     buckets = max(math.ceil(int(entries) / ENTRIES_PER_BUCKET), shuffle_partitions(spark))
 

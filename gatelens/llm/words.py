@@ -15,7 +15,7 @@ ALNUM = bytes(
     c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256)
 )
 MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], dtype=np.uint64)
-MOST_CACHED = 300_000
+MOST_CACHED = 100_000
 
 
 def as_bytes(column: pa.Array | pa.ChunkedArray) -> list[bytes | None]:
