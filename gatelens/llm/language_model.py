@@ -34,10 +34,11 @@ MOST_FITTED, SHARDS, ROUNDS, EPOCHS = 1500, 6, 2, 2
 
 SENT = pa.schema([("bucket", pa.int64()), ("block", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary()), ("shapes", pa.binary())])
 SENT_DDL = "bucket long, block int, keys binary, counts binary, shapes binary"
-GOT = pa.schema([("block", pa.int32()), ("bucket", pa.int64()), ("counts", pa.binary()), ("word", pa.int64()), ("shape", pa.int32()), ("n", pa.int64()), ("v", pa.int64())])
-GOT_DDL = "block int, bucket long, counts binary, word long, shape int, n long, v long"
-#: In place of a block: a row about a frequent word, or about a shape.
-WORD, SHAPE = -1, -2
+GOT = pa.schema([("block", pa.int32()), ("bucket", pa.int64()), ("counts", pa.binary()), ("keys", pa.binary()), ("shapes", pa.binary())])
+GOT_DDL = "block int, bucket long, counts binary, keys binary, shapes binary"
+#: In place of a block: the row with a bucket's frequent words, and the one with its shapes' totals.
+WORDS, TOTALS = -1, -2
+MERGED = 16
 SCORES_DDL = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
 _hashes = WordHashes()
@@ -84,11 +85,32 @@ def _count(rows: pa.Table, vocabulary: int) -> pa.Table:
     ends = np.cumsum([len(p) for p in parts])
     bucket = rows.column("bucket")[0].as_py()
     out = [{"block": b, "bucket": bucket, "counts": counts[number[e - len(p) : e]].tobytes()} for b, e, p in zip(rows.column("block").to_pylist(), ends, parts)]
+    totals = np.stack([np.bincount(shapes, counts, SHAPES), np.bincount(shapes, counts > 0, SHAPES)]).astype(np.int64)
+    return pa.Table.from_pylist(out + _summary(bucket, keys, counts, shapes, totals, vocabulary), schema=GOT)
+
+
+def _summary(bucket: int, keys: np.ndarray, counts: np.ndarray, shapes: np.ndarray, totals: np.ndarray, vocabulary: int) -> list[dict]:
+    """The most frequent words, ties by hash, in one row, and the shapes' counts and distinct words in another."""
     top = np.lexsort((keys, -counts))[:vocabulary]
-    out += [{"block": WORD, "bucket": bucket, "word": int(keys[k].astype(np.int64)), "shape": int(shapes[k]), "n": int(counts[k])} for k in top if counts[k]]
-    n, v = np.bincount(shapes, counts, SHAPES), np.bincount(shapes, counts > 0, SHAPES)
-    out += [{"block": SHAPE, "bucket": bucket, "shape": k, "n": int(n[k]), "v": int(v[k])} for k in np.flatnonzero(v)]
-    return pa.Table.from_pylist(out, schema=GOT)
+    top = top[counts[top] > 0]
+    words = {"block": WORDS, "bucket": bucket, "counts": counts[top].tobytes(), "keys": keys[top].tobytes(), "shapes": shapes[top].tobytes()}
+    return [words, {"block": TOTALS, "bucket": bucket, "counts": totals.tobytes()}]
+
+
+def _unpacked(rows: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes, counts and shapes of several summaries' words, and the sum of their totals."""
+    words = [r for r in rows if r["block"] == WORDS]
+    join = lambda name, kind: np.concatenate([np.frombuffer(r[name], kind) for r in words] or [np.zeros(0, kind)])
+    totals = sum((np.frombuffer(r["counts"], np.int64) for r in rows if r["block"] == TOTALS), np.zeros(2 * SHAPES, np.int64))
+    return join("keys", np.uint64), join("counts", np.int64), join("shapes", np.uint8), totals.reshape(2, SHAPES)
+
+
+def _merger(vocabulary: int):
+    def merge(rows: pa.Table) -> pa.Table:
+        keys, counts, shapes, totals = _unpacked(rows.to_pylist())
+        return pa.Table.from_pylist(_summary(0, keys, counts, shapes, totals, vocabulary), schema=GOT)
+
+    return merge
 
 
 class Symbols:
@@ -154,16 +176,14 @@ def score_documents(docs: DataFrame, vocabulary: int = VOCABULARY, most_fitted:
 
     training = blocks.filter(fold_of("doc_id", FOLDS) != HELD)
     n_docs = training.count()
-    top = got.filter(F.col("block") == WORD).orderBy(F.desc("n"), "word").limit(vocabulary).select("word", "shape", "n").collect()
-    totals = got.filter(F.col("block") == SHAPE).groupBy("shape").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect()
-    shape_n, shape_v = np.zeros(SHAPES, np.int64), np.zeros(SHAPES, np.int64)
-    for r in totals:
-        shape_n[r["shape"]], shape_v[r["shape"]] = r["n"], r["v"]
+    summaries = got.filter("block < 0").groupBy(F.pmod("bucket", F.lit(MERGED)).alias("part")).applyInArrow(_merger(vocabulary), GOT_DDL)
+    words, counts, shapes, (shape_n, shape_v) = _unpacked([r.asDict() for r in summaries.collect()])  # at most MERGED of each
     train_tokens, distinct = int(shape_n.sum()) + n_docs, int(shape_v.sum()) + (n_docs > 0)
-    for r in top:
-        shape_n[r["shape"]] -= r["n"]
-        shape_v[r["shape"]] -= 1
-    symbols = Symbols(np.array([r["word"] for r in top], np.int64).astype(np.uint64), np.array([r["n"] for r in top], np.int64), shape_n, shape_v, n_docs)
+    top = np.lexsort((words, -counts))[:vocabulary]
+    words, counts, shapes = words[top], counts[top], shapes[top]
+    shape_n = shape_n - np.bincount(shapes, counts, SHAPES).astype(np.int64)
+    shape_v = shape_v - np.bincount(shapes, minlength=SHAPES)
+    symbols = Symbols(words, counts, shape_n, shape_v, n_docs)
 
     order = F.xxhash64("doc_id", F.lit("fit"))
     chosen = F.broadcast(training.select("doc_id").distinct().orderBy(order, "doc_id").limit(most_fitted))
