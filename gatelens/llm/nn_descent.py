@@ -4,10 +4,10 @@ Equal vectors are one node that carries the smallest ids of its rows, enough for
 hyperplane cells, in which small chunks are compared whole. Each round then gathers at every node the vectors of its neighbours and
 reverse neighbours (a Spark join), compares them with each other (neighbours of neighbours), and keeps each node's best.
 Rounds end when few edges change. Queries start at their own node and expand their best unexpanded nodes, a join a round, until
-none of the best ``BEAM`` is unexpanded; the found nodes are ranked by the exact cosine in double precision.
+none of the best ``BEAM`` is unexpanded; these are ranked by the exact cosine in double precision.
 
 The graph's joins carry vectors as unit vectors of 16-bit floats; hubs take part with at most ``REVERSE`` reverse neighbours a
-round, chosen by hash, as the method does. All rows are nodes; nothing is gathered beyond a node's lists.
+round, new ones first, then by hash, as the method does. All rows are nodes; nothing is gathered beyond a node's lists.
 
 Defined cases: vectors that are null, empty, zero, or hold a null or non-finite component take no part, as do rows with a
 null id and vectors of another length than the commonest; a repeated id with the same vector counts once, with different
@@ -27,9 +27,11 @@ from pyspark.sql import functions as F
 
 from gatelens.llm.tables import read_table, saved, shuffle_partitions
 
-NEIGHBOURS, REVERSE, BEAM, EXPANDED = 20, 12, 48, 8
+NEIGHBOURS, REVERSE, BEAM, EXPANDED = 30, 30, 96, 16
 TREES, CHUNK, CELL = 3, 160, 2000
-MOST_ROUNDS, MOST_STEPS, FEW = 6, 12, 0.01
+MOST_ROUNDS, MOST_STEPS, FEW = 8, 12, 0.01
+#: A node hands on so many of a member's best new neighbours a round; the others can come up in later rounds.
+HANDED_ON = 8
 EVERY, WANTED = 50, 5
 
 EDGES_DDL = "node long, near long, score float"
@@ -147,7 +149,10 @@ def _local_join(rows: pa.Table) -> pa.Table:
         scores = unit[s:e] @ unit[s:e].T
         scores[~(fresh[s:e, None] | fresh[None, s:e])] = -2
         np.fill_diagonal(scores, -2)
-        i, j = np.nonzero(scores > worst[s:e, None])
+        better = scores > worst[s:e, None]
+        if e - s > HANDED_ON:
+            better &= scores >= np.partition(scores, -HANDED_ON, axis=1)[:, -HANDED_ON, None]
+        i, j = np.nonzero(better)
         out.append((node[s + i], node[s + j], scores[i, j]))
     return _edges(out)
 
@@ -180,7 +185,15 @@ def neighbour_graph(nodes: DataFrame) -> DataFrame:
     return graph.select("node", "near", "score")
 
 
+def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Cosines of 16-bit unit vectors, for the walk."""
+    for batch in batches:
+        q, v = (_units(batch.column(k)) if batch.num_rows else np.zeros((0, 1)) for k in (2, 3))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.einsum("nd,nd->n", q, v).astype(np.float64))], names=["query", "node", "score"])
+
+
 def _scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Cosines in double precision."""
     for batch in batches:
         q, v = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.float32).reshape(batch.num_rows, -1).astype(np.float64) for k in (2, 3)) if batch.num_rows else (np.zeros((0, 1)),) * 2
         s = np.einsum("nd,nd->n", q, v) / (np.sqrt(np.einsum("nd,nd->n", q, q)) * np.sqrt(np.einsum("nd,nd->n", v, v)))
@@ -190,21 +203,21 @@ def _scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def search(nodes: DataFrame, graph: DataFrame, queries: DataFrame, beam: int = BEAM, steps: int = MOST_STEPS) -> DataFrame:
     """``query``, ``node``, ``score``: the best ``beam`` nodes that a greedy walk from the query's own node has met.
 
-    ``queries`` holds ``query`` (a node) and its ``vector``. Each step is stored; it joins the nodes to expand with
+    ``queries`` holds ``query`` (a node) and its ``unit`` vector. Each step is stored; it joins the nodes to expand with
     their edges in both directions and with the vectors of what they lead to.
     """
     place = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("score"), "near"))
     back = graph.select(F.col("near").alias("node"), F.col("node").alias("near"), "score").withColumn("place", place).filter(F.col("place") <= REVERSE).drop("place")
     links = saved(graph.union(back).select("node", "near").distinct(), "links")
-    vectors = nodes.select("node", "vector")
+    vectors, asked = nodes.select("node", "unit"), queries.select("query", F.col("unit").alias("of"))
     order = Window.partitionBy("query").orderBy(F.desc("score"), "node")
     state = saved(queries.select("query", F.col("query").alias("node"), F.lit(1.0).alias("score"), F.lit(False).alias("expanded")), "state")
     for _ in range(steps):
         open_ = state.filter("not expanded").withColumn("place", F.row_number().over(order)).filter(F.col("place") <= EXPANDED).select("query", "node")
         reached = open_.join(links, "node").select("query", F.col("near").alias("node")).distinct()
         reached = reached.join(state.select("query", "node"), ["query", "node"], "left_anti")
-        pairs = reached.join(vectors, "node").join(queries.withColumnRenamed("vector", "of"), "query").select("query", "node", "of", "vector")
-        new = pairs.mapInArrow(_scores, "query long, node long, score double").withColumn("expanded", F.lit(False))
+        pairs = reached.join(vectors, "node").join(asked, "query").select("query", "node", "of", "unit")
+        new = pairs.mapInArrow(_near, "query long, node long, score double").withColumn("expanded", F.lit(False))
         done = open_.withColumn("now", F.lit(True))
         old = state.join(done, ["query", "node"], "left").withColumn("expanded", F.col("expanded") | F.col("now").isNotNull()).drop("now")
         both = old.unionByName(new).withColumn("place", F.row_number().over(order))
@@ -221,8 +234,10 @@ def nearest(rows: DataFrame, wanted: int = WANTED, every: int = EVERY, id_column
     asked = saved(usable(rows, id_column, vector_column).filter(F.col("id") % every == 0).dropDuplicates(["id", "vector"]), "asked")
     packed = asked.select("vector", "id", F.array("id").alias("ids")).mapInArrow(_pack, "id long, unit binary, vector binary, ids array<long>")
     own = packed.select("id", "vector").join(nodes.select("node", "vector"), "vector")
-    queries = saved(own.select(F.col("node").alias("query"), "vector").distinct(), "queries")
-    found = search(nodes, graph, queries)
+    queries = saved(own.select("node").distinct().join(nodes.select(F.col("node").alias("query"), "unit", "vector"), F.col("node") == F.col("query")).drop("node"), "queries")
+    met = search(nodes, graph, queries).select("query", "node")
+    pairs = met.join(queries.select("query", F.col("vector").alias("of")), "query").join(nodes.select("node", "vector"), "node")
+    found = pairs.select("query", "node", "of", "vector").mapInArrow(_scores, "query long, node long, score double")
     each = own.select("id", F.col("node").alias("query")).join(found, "query").join(nodes.select("node", F.explode("ids").alias("found")), "node")
     best = each.filter("found <> id").groupBy("id", "found").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("score"), "found"))
