@@ -109,8 +109,9 @@ class Network:
         out = [self._pooled(x[k : k + 1024])[2] @ self.w["out"] + self.w["out_bias"][0] for k in range(0, len(x), 1024)]
         return np.concatenate(out) if out else np.zeros(0)
 
-    def train(self, x: np.ndarray, y: np.ndarray, epochs: int = 8, batch: int = 128, rate: float = 0.004, seed: int = 3) -> None:
+    def train(self, x: np.ndarray, y: np.ndarray, epochs: int = 8, least_steps: int = 800, batch: int = 128, rate: float = 0.004, seed: int = 3) -> None:
         rng = np.random.default_rng(seed)
+        epochs = max(epochs, -(-least_steps * batch // max(1, len(x))))
         first, second = ({k: np.zeros_like(v) for k, v in self.w.items()} for _ in range(2))
         step = 0
         for _ in range(epochs):
