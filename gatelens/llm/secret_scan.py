@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gatelens.llm.tables import read_table, saved
+from gatelens.llm.words import in_parts
 
 FOLDS, HELD = 5, 0
 MOST_FITTED = 2000
@@ -185,7 +186,7 @@ def labelled_candidates(docs: DataFrame) -> DataFrame:
     """Every candidate of every text with its label; ``stratum`` parts them by label and by having a digit."""
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(k, 500) for b in batches for k in range(0, b.num_rows, 500)):
             rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 held = zlib.crc32((doc_id or "").encode()) % FOLDS == HELD
@@ -261,7 +262,7 @@ def with_findings(docs: DataFrame, scanner: Scanner, column: str = "findings") -
 
     @F.arrow_udf(FINDINGS)
     def find(text: pa.Array) -> pa.Array:
-        found = sent.value.findings(text.to_pylist())
+        found = [f for part in in_parts(text) for f in sent.value.findings(part.to_pylist())]
         rows = [[{"start": s, "kind": KINDS[k], "end": e} for s, k, e in f] for f in found]
         return pa.array(rows, pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.string()), ("end", pa.int32())])))
 
@@ -274,8 +275,11 @@ def redacted(docs: DataFrame, scanner: Scanner) -> DataFrame:
 
     @F.arrow_udf(T.StringType())
     def replace(text: pa.Array) -> pa.Array:
-        texts = text.to_pylist()
-        return pa.array([without(t, f) for t, f in zip(texts, sent.value.findings(texts))], pa.string())
+        out = []
+        for part in in_parts(text):
+            texts = part.to_pylist()
+            out.append(pa.array([without(t, f) for t, f in zip(texts, sent.value.findings(texts))], pa.string()))
+        return pa.concat_arrays(out)
 
     changed = replace(F.col("text").cast("string"))
     out = docs.withColumn("__kept_text", F.col("text")).withColumn("text", changed)

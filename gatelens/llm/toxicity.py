@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 
 from gatelens.llm.labelled import labelled_sample
 from gatelens.llm.tables import fold_of, read_table
-from gatelens.llm.words import ALNUM, as_bytes
+from gatelens.llm.words import ALNUM, as_bytes, in_parts
 
 FOLDS, HELD = 5, 0
 BITS = 18
@@ -40,7 +40,7 @@ class _Cells(dict):
     """The hashed features of a word: itself and its beginnings. Emptied when large."""
 
     def __missing__(self, word: bytes) -> tuple[int, ...]:
-        if len(self) >= 300_000:
+        if len(self) >= 50_000:
             self.clear()
         parts = [b"w" + word, *(b"%d" % n + word[:n] for n in BEGINNINGS if len(word) >= n)]
         value = self[word] = tuple(xxhash.xxh3_64_intdigest(p) & ((1 << BITS) - 1) for p in parts)
@@ -182,7 +182,7 @@ def with_toxicity(docs: DataFrame, chain: Chain, column: str = "toxicity") -> Da
     @F.arrow_udf(T.StructType(fields))
     def score(text: pa.Array) -> pa.Array:
         model: Chain = sent.value
-        p = model.probabilities([features(t) for t in as_bytes(text)])
+        p = np.concatenate([model.probabilities([features(t) for t in as_bytes(part)]) for part in in_parts(text)])
         columns = [pa.array(p[:, k]) for k in range(p.shape[1])] + [pa.array((p[:, k] >= t).astype(np.int32)) for k, t in enumerate(model.thresholds)]
         return pa.StructArray.from_arrays(columns, names=[f.name for f in fields])
 

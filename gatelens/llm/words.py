@@ -5,6 +5,8 @@ Texts are handled as UTF-8 bytes: ``bytes.split()`` splits at exactly the charac
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -23,6 +25,12 @@ def as_bytes(column: pa.Array | pa.ChunkedArray) -> list[bytes | None]:
     return column.cast(pa.binary()).to_pylist()
 
 
+def in_parts(column: pa.Array, size: int = 500) -> Iterator[pa.Array]:
+    """A column some texts at a time, so that what is made of them stays small; an empty one as one empty part."""
+    for start in range(0, max(1, len(column)), size):
+        yield column.slice(start, size)
+
+
 class WordHashes(dict):
     """64-bit hashes of words, computed once per word; emptied when large, so its memory is bounded."""
 
