@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gatelens.llm.tables import fold_of, read_table, saved
+from gatelens.llm.words import MULTIPLIERS, mixed
 
 FOLDS, HELD = 5, 0
 MOST_FITTED, ROUNDS = 1000, 4
@@ -56,21 +57,65 @@ def words_of(text: str | None) -> list[str]:
     return out
 
 
-def lattice(words: list[str], pieces: dict[str, int]) -> np.ndarray:
+class PieceTable:
+    """The pieces by hash, in two tables, so that many parts of words are looked up at once."""
+
+    BITS = 21
+
+    def __init__(self, pieces: dict[str, int]):
+        self.size = len(pieces)
+        hashes = np.zeros(self.size, np.uint64)
+        for piece, k in pieces.items():
+            h = np.zeros((1, 1), np.uint64)
+            for code in _codes([piece]).T:
+                h = _longer(h, code[:, None])
+            hashes[k] = _finished(h, len(piece))[0, 0]
+        ids, (first, second) = np.arange(self.size, dtype=np.int32), self._slots(hashes)
+        self.hashes = np.append(hashes, np.uint64(0))
+        self.tables = [np.full(1 << self.BITS, self.size, np.int32) for _ in range(2)]
+        self.tables[0][first] = ids
+        lost = self.tables[0][first] != ids
+        self.tables[1][second[lost]] = ids[lost]
+        if (self.tables[1][second[lost]] != ids[lost]).any():
+            raise ValueError("two pieces share both slots; use more bits")
+
+    def _slots(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return (h >> np.uint64(64 - self.BITS)).astype(np.int64), (h & np.uint64((1 << self.BITS) - 1)).astype(np.int64)
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """The pieces' numbers; ``size + 1`` for none."""
+        out = np.full(h.shape, self.size + 1, np.int32)
+        for table, slot in zip(self.tables, self._slots(h)):
+            k = table[slot]
+            hit = (self.hashes[k] == h) & (k < self.size)
+            out[hit] = k[hit]
+        return out
+
+
+def _codes(words: list[str]) -> np.ndarray:
+    """Code points of words of one length, a row per word."""
+    return np.frombuffer("".join(words).encode("utf-32-le"), "<u4").reshape(len(words), -1).astype(np.uint64)
+
+
+def _longer(h: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    return h * MULTIPLIERS[0] + codes + np.uint64(1)
+
+
+def _finished(h: np.ndarray, size: int) -> np.ndarray:
+    return mixed(h ^ (np.uint64(size) << np.uint64(56)))
+
+
+def lattice(words: list[str], pieces: PieceTable) -> np.ndarray:
     """Of words of one length: the piece that ends at each letter with each length. Two numbers beyond the pieces mean the unknown piece and none."""
-    unknown, none = len(pieces), len(pieces) + 1
-    m = len(words[0])
+    unknown, none = pieces.size, pieces.size + 1
+    codes, m = _codes(words), len(words[0])
     found = np.full((len(words), m, LONGEST_PIECE), none, np.int32)
-    get = pieces.get
-    for n, word in enumerate(words):
-        row = found[n]
-        for end in range(1, m + 1):
-            for size in range(1, min(LONGEST_PIECE, end) + 1):
-                k = get(word[end - size : end])
-                if k is not None:
-                    row[end - 1, size - 1] = k
-                elif size == 1:
-                    row[end - 1, 0] = unknown
+    h = np.zeros(codes.shape, np.uint64)
+    for size in range(1, min(LONGEST_PIECE, m) + 1):
+        h = _longer(h[:, : m - size + 1], codes[:, size - 1 :])
+        found[:, size - 1 :, size - 1] = pieces.find(_finished(h, size))
+    letters = found[:, :, 0]
+    letters[letters == none] = unknown
     return found
 
 
@@ -114,7 +159,7 @@ def by_length(words: list[str]) -> Iterator[np.ndarray]:
 class LanguageModel:
     """``languages`` in order of name, and their piece probabilities (pieces + 2, languages); the last row is 0."""
 
-    def __init__(self, languages: list[str], pieces: dict[str, int], p: np.ndarray):
+    def __init__(self, languages: list[str], pieces: PieceTable, p: np.ndarray):
         self.languages, self.pieces, self.p = languages, pieces, p
 
     def word_scores(self, words: list[str]) -> np.ndarray:
@@ -182,17 +227,18 @@ def fit(docs: DataFrame, pieces: dict[str, int], most_fitted: int = MOST_FITTED,
     chosen = chosen.select("doc_id", "lang").distinct()
     counts = saved(word_counts(known.join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi")).repartition("word"), "words")
     languages = sorted(r[0] for r in counts.select("lang").distinct().collect())
+    table = PieceTable(pieces)
     p = np.full((len(pieces) + 2, len(languages)), 1 / (len(pieces) + 1))
     p[-1] = 0
     for _ in range(rounds if languages else 0):
-        model = spark.sparkContext.broadcast(LanguageModel(languages, pieces, p))
+        model = spark.sparkContext.broadcast(LanguageModel(languages, table, p))
         got = counts.mapInPandas(_expectation(model), "piece int, lang int, n double").groupBy("piece", "lang").agg(F.sum("n").alias("n")).toPandas()
         n = np.zeros_like(p)
         n[got["piece"], got["lang"]] = got["n"]
         n[:-1] += 0.1  # no piece is impossible
         n[-1] = 0
         p = n / n.sum(0)
-    return LanguageModel(languages, pieces, p)
+    return LanguageModel(languages, table, p)
 
 
 def predicted(docs: DataFrame, model: LanguageModel, id_column: str = "doc_id") -> DataFrame:

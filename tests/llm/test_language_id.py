@@ -49,7 +49,7 @@ def test_forward_sums_all_segmentations(small):
     pieces, p = small
     for word in ("▁abab", "▁bba", "▁axb", "▁"):
         every = sum(chance(s, pieces, p) for s in segmentations(word))
-        assert np.allclose(m.forward(m.lattice([word], pieces), p)[0, -1], every)
+        assert np.allclose(m.forward(m.lattice([word], m.PieceTable(pieces)), p)[0, -1], every)
 
 
 def test_expected_counts(small):
@@ -62,7 +62,7 @@ def test_expected_counts(small):
         for s, c in all_:
             for part in s if c else ():
                 count[pieces.get(part, len(pieces))] += n * c / total
-    assert np.allclose(m.expected(m.lattice(words, pieces), p[:, :1], times)[:-1], count[:-1])
+    assert np.allclose(m.expected(m.lattice(words, m.PieceTable(pieces)), p[:, :1], times)[:-1], count[:-1])
 
 
 def test_held_out_accuracy_and_learning_rows(spark, docs, folder):
