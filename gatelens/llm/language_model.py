@@ -2,13 +2,12 @@
 
 Documents are stored once in blocks; blocks send their distinct words' hashes and counts to buckets and get back the
 counts over all training documents (see ``tables``). From these counts come the unigram base, the vocabulary (the most
-frequent words) and, for the rest, word shapes: 64 classes by a word's last two bytes, each with its own counts. The network's
-symbols are the end, the vocabulary and the shapes; a word outside the vocabulary has the probability of its shape times
+frequent words, as many as the square root of the training words, ``VOCABULARY`` at least) and, for the rest, word shapes: 64
+classes by a word's last two bytes, each with its own counts. The network's symbols are the end, the vocabulary and the shapes; a word outside the vocabulary has the probability of its shape times
 (c + 1) / (N + V + 1) among the shape's words. Symbols are grouped by frequency into classes for the factored softmax.
 
-The network is fitted by truncated backpropagation in numpy to whole training documents, chosen by hash, at most
-``MOST_FITTED`` of them; shards fit copies in parallel, and their weights are averaged after each round. Counts, vocabulary and
-scores cover all documents. In scoring, documents run side by side and their states go on from window to window.
+The network is fitted by truncated backpropagation in numpy to every training document: in each round each block fits a copy
+to its own ones, and the copies' weights are averaged, weighted by tokens, on the executors. In scoring, documents run side by side and their states go on from window to window.
 
 Defined cases: null text counts as empty, which is one end token; rows with equal ids are scored each; a null id counts as
 empty text for its fold; without training documents N = V = 0 and the network is unfitted; an empty table gives an empty result; other columns are not read.
@@ -25,12 +24,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gatelens.llm.gru import Gru
-from gatelens.llm.tables import fold_of, in_blocks, ordered, read_table, saved
+from gatelens.llm.tables import BLOCK_BYTES, fold_of, in_blocks, ordered, read_table, saved
 from gatelens.llm.words import LOWER, WordHashes, as_bytes, bucket_slices, mixed
 
 FOLDS, HELD = 7, 2
-VOCABULARY, SHAPES, CLASSES, HIDDEN = 959, 64, 32, 16
-MOST_FITTED, SHARDS, ROUNDS, EPOCHS = 1500, 6, 2, 2
+#: The vocabulary and the classes of symbols grow from these on.
+VOCABULARY, CLASSES = 959, 32
+SHAPES, HIDDEN = 64, 16
+#: So many copies' weights are averaged at a time.
+SHARDS = 6
+ROUNDS, EPOCHS = 2, 2
 
 SENT = pa.schema([("bucket", pa.int64()), ("block", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary()), ("shapes", pa.binary())])
 SENT_DDL = "bucket long, block int, keys binary, counts binary, shapes binary"
@@ -39,6 +42,8 @@ GOT_DDL = "block int, bucket long, counts binary, keys binary, shapes binary"
 #: In place of a block: the row with a bucket's frequent words, and the one with its shapes' totals.
 WORDS, TOTALS = -1, -2
 MERGED = 16
+WEIGHTS = pa.schema([("part", pa.int64()), ("n", pa.int64()), ("weights", pa.binary())])
+WEIGHTS_DDL = "part long, n long, weights binary"
 SCORES_DDL = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
 _hashes = WordHashes()
@@ -140,55 +145,78 @@ def _with_end(docs: list[np.ndarray], symbols: np.ndarray) -> list[np.ndarray]:
     return [np.append(symbols[d], 0).astype(np.int32) for d in docs]
 
 
-def fitted(sample: DataFrame, symbols: Symbols, shards: int = SHARDS, rounds: int = ROUNDS, epochs: int = EPOCHS) -> Gru:
-    """The network fitted to a bounded sample of training documents (``doc_id``, ``text``, ``shard``)."""
-    spark = sample.sparkSession
-    model = Gru.started(symbols.counts.astype(float), CLASSES, HIDDEN)
-    known = spark.sparkContext.broadcast(symbols)
+def vocabulary_size(least: int, n_words: int) -> int:
+    return max(least, math.isqrt(n_words))
 
-    def shard_trainer(weights):
-        def train(table: pa.Table) -> pa.Table:
-            block = Block(table)
-            own = Gru.loaded(weights.value)
-            docs = [block.key_of[d] for d in block.docs]
-            own.train(_with_end(docs, known.value.of(block)[0]), epochs)
-            return pa.table({"weights": pa.array([own.dumped()], pa.binary())})
 
-        return train
+def _trainer(weights, known, epochs: int):
+    def train(table: pa.Table) -> pa.Table:
+        """The weights after the block's training documents, and how many tokens these have."""
+        block = Block(table)
+        docs = _with_end([block.key_of[d] for d, held in zip(block.docs, block.held) if not held], known.value.of(block)[0])
+        if not docs:
+            return WEIGHTS.empty_table()
+        own = Gru.loaded(weights.value)
+        own.train(docs, epochs)
+        return pa.Table.from_pylist([{"part": table.column("block")[0].as_py(), "n": sum(map(len, docs)), "weights": own.dumped()}], schema=WEIGHTS)
 
+    return train
+
+
+def _averager(parts: int):
+    def average(rows: pa.Table) -> pa.Table:
+        total, n = {}, rows.column("n").to_pylist()
+        for k, data in enumerate(rows.column("weights")):
+            for name, w in Gru.loaded(data.as_py()).w.items():
+                total[name] = total.get(name, 0) + w.astype(np.float64) * n[k]
+        mean = Gru({name: (w / sum(n)).astype(np.float32) for name, w in total.items()})
+        return pa.Table.from_pylist([{"part": rows.column("part")[0].as_py() % parts, "n": sum(n), "weights": mean.dumped()}], schema=WEIGHTS)
+
+    return average
+
+
+def fitted(blocks: DataFrame, n_blocks: int, symbols: Symbols, rounds: int, epochs: int) -> tuple[Gru, int]:
+    """The network fitted to the training documents of all blocks, and the tokens that a round took in.
+
+    A round's weights meet in a tree, so that no task holds more than some copies, and the driver one.
+    """
+    context = blocks.sparkSession.sparkContext
+    model, taken = Gru.started(symbols.counts.astype(float), max(CLASSES, math.isqrt(len(symbols.counts))), HIDDEN), 0
+    known = context.broadcast(symbols)
     for _ in range(rounds):
-        weights = spark.sparkContext.broadcast(model.dumped())
-        got = sample.repartition(shards, "shard").groupBy("shard").applyInArrow(shard_trainer(weights), "weights binary").collect()
+        weights = context.broadcast(model.dumped())
+        made = saved(blocks.groupBy("block").applyInArrow(_trainer(weights, known, epochs), WEIGHTS_DDL), "weights")
+        left = n_blocks
+        while left > 1:
+            left = -(-left // max(2, SHARDS))
+            made = made.groupBy(F.pmod("part", F.lit(left)).alias("to")).applyInArrow(_averager(left), WEIGHTS_DDL)
+        got = made.collect()  # one row at most
         if not got:
             break
-        parts = [Gru.loaded(bytes(r.weights)).w for r in got]
-        model = Gru({k: np.mean([p[k] for p in parts], axis=0, dtype=np.float64).astype(np.float32) for k in Gru.NAMES})
-    return model
+        model, taken = Gru.loaded(bytes(got[0].weights)), got[0].n
+    return model, taken
 
 
-def score_documents(docs: DataFrame, vocabulary: int = VOCABULARY, most_fitted: int = MOST_FITTED) -> DataFrame:
+def score_documents(docs: DataFrame, vocabulary: int = VOCABULARY) -> DataFrame:
     """Per row of ``doc_id`` and ``text``: ``doc_id``, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score`` and ``score``."""
     spark = docs.sparkSession
     blocks, n_blocks = in_blocks(docs)
     by_block = blocks.groupBy("block")
     sent = by_block.applyInArrow(_sender(n_blocks), SENT_DDL)
-    got = saved(sent.groupBy("bucket").applyInArrow(_counter(vocabulary), GOT_DDL), "counts")
+    most = vocabulary_size(vocabulary, n_blocks * BLOCK_BYTES)  # no text has more words than bytes
+    got = saved(sent.groupBy("bucket").applyInArrow(_counter(most), GOT_DDL), "counts")
 
-    training = blocks.filter(fold_of("doc_id", FOLDS) != HELD)
-    n_docs = training.count()
-    summaries = got.filter("block < 0").groupBy(F.pmod("bucket", F.lit(MERGED)).alias("part")).applyInArrow(_merger(vocabulary), GOT_DDL)
+    n_docs = blocks.filter(fold_of("doc_id", FOLDS) != HELD).count()
+    summaries = got.filter("block < 0").groupBy(F.pmod("bucket", F.lit(MERGED)).alias("part")).applyInArrow(_merger(most), GOT_DDL)
     words, counts, shapes, (shape_n, shape_v) = _unpacked([r.asDict() for r in summaries.collect()])  # at most MERGED of each
     train_tokens, distinct = int(shape_n.sum()) + n_docs, int(shape_v.sum()) + (n_docs > 0)
-    top = np.lexsort((words, -counts))[:vocabulary]
+    top = np.lexsort((words, -counts))[: vocabulary_size(vocabulary, int(shape_n.sum()))]
     words, counts, shapes = words[top], counts[top], shapes[top]
     shape_n = shape_n - np.bincount(shapes, counts, SHAPES).astype(np.int64)
     shape_v = shape_v - np.bincount(shapes, minlength=SHAPES)
     symbols = Symbols(words, counts, shape_n, shape_v, n_docs)
 
-    order = F.xxhash64("doc_id", F.lit("fit"))
-    chosen = F.broadcast(training.select("doc_id").distinct().orderBy(order, "doc_id").limit(most_fitted))
-    sample = saved(training.join(chosen, "doc_id").select("doc_id", "text", F.pmod(order, F.lit(SHARDS)).alias("shard")), "sample")
-    model = fitted(sample, symbols)
+    model, _ = fitted(blocks, n_blocks, symbols, ROUNDS, EPOCHS)
 
     scorer = _scorer(spark.sparkContext.broadcast(model.dumped()), spark.sparkContext.broadcast(symbols), train_tokens, distinct, n_docs)
     scores = by_block.cogroup(got.filter("block >= 0").select("block", "bucket", "counts").groupBy("block")).applyInArrow(scorer, SCORES_DDL)

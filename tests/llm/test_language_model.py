@@ -50,6 +50,30 @@ def test_base_equals_plain_counts_and_the_network_beats_it(spark, docs, folder,
     assert all(r.score < 0 for r in got)
 
 
+def test_every_training_document_is_learned_from(spark, docs):
+    """Turning round the words of training documents leaves all counts as they are, but not what the network learns."""
+    rows = [(k, f"a{k % 7} b{k % 5} c{k % 3} d{k % 2} e") for k in range(2200)]
+    ids = [r[0] for r in docs(rows).orderBy(m.F.xxhash64("doc_id", m.F.lit("fit")).desc()).select("doc_id").collect()]
+    last = [i for i in ids if fold(i, 7) != 2][:60]
+    turned = [(k, " ".join(reversed(t.split())) if k in last else t) for k, t in rows]
+    one, two = ({r.doc_id: (r.base_score, r.score) for r in m.score_documents(docs(x)).collect()} for x in (rows, turned))
+    other = [k for k, _ in rows if k not in last]
+    assert all(abs(one[k][0] - two[k][0]) < 1e-9 for k, _ in rows)
+    assert sum(abs(one[k][1] - two[k][1]) > 1e-6 for k in other) > 0.9 * len(other)
+
+
+def test_a_round_takes_in_all_training_tokens(docs):
+    rows = corpus(400)
+    blocks, n = m.in_blocks(docs(rows), block_bytes=4000)
+    symbols = m.Symbols(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.ones(m.SHAPES, np.int64), np.ones(m.SHAPES, np.int64), 1)
+    assert n > 2 * m.SHARDS
+    assert m.fitted(blocks, n, symbols, 1, 1)[1] == sum(len(t.split()) + 1 for k, t in rows if fold(k, 7) != 2)
+
+
+def test_the_vocabulary_grows():
+    assert m.vocabulary_size(m.VOCABULARY, 1000) == m.VOCABULARY and m.vocabulary_size(m.VOCABULARY, 10**10) == 100_000
+
+
 def test_no_training_documents(spark, docs, folder):
     only_held = [(k, "some words") for k in range(60) if fold(k, 7) == 2]
     got = m.op8_language_model(spark, folder(documents=docs(only_held))).collect()
