@@ -20,28 +20,36 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return toxicity.with_toxicity(docs, chain, "__toxicity").filter(F.col("__toxicity.toxic") == 0).drop("__toxicity")
 
 
-def without_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The documents whose ``doc_id`` isn't in the stored table ``ids``; Spark knows its size and joins it accordingly."""
-    gone = saved(ids.select(F.col("doc_id").cast("long").alias("__gone")).distinct(), "gone")
-    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+def with_key(docs: DataFrame) -> DataFrame:
+    """The documents, stored with a ``__key`` of each row: ids may be null or repeated, and each row is decided on by itself."""
+    return saved(docs.withColumn("__key", F.monotonically_increasing_id()), "keyed")
+
+
+def keys_as_ids(keyed: DataFrame) -> DataFrame:
+    return keyed.select(F.col("__key").alias("doc_id"), "text")
+
+
+def without_keys(keyed: DataFrame, keys: DataFrame) -> DataFrame:
+    """The documents whose key isn't among ``doc_id`` of ``keys``, which is stored: Spark knows its size and joins it accordingly."""
+    gone = saved(keys.select(F.col("doc_id").alias("__gone")), "gone")
+    return keyed.join(gone, keyed["__key"] == gone["__gone"], "left_anti").drop("__key")
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each component of the n-gram join; of rows with one id, one. A null id names no document, so its rows stay."""
-    found = saved(ngram_join.jaccard_components(docs), "components")
-    kept = without_ids(docs, found.filter(F.col("component_id") < F.col("doc_id")))
-    again = saved(found.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").count().filter("count > 1"), "again").select(F.col("doc_id").alias("__again"))
-    if again.isEmpty():
-        return kept
-    rest = kept.join(again, kept["doc_id"] == again["__again"], "left_anti")
-    repeated = kept.join(again, kept["doc_id"] == again["__again"], "left_semi")
-    return rest.unionByName(repeated.dropDuplicates(["doc_id"]))
+    """One row of each component of the n-gram join: that with the smallest id, null ids last, and of equal ids the first stored."""
+    keyed = with_key(docs)
+    found = ngram_join.jaccard_components(keys_as_ids(keyed)).filter("n_component > 1").withColumnRenamed("doc_id", "__key")
+    named = saved(found.select("__key", "component_id").join(keyed.select("__key", "doc_id"), "__key"), "components")
+    first = named.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "__key")).alias("first"))
+    gone = named.join(first.select(F.col("first.__key").alias("__key")), "__key", "left_anti")
+    return without_keys(keyed, gone.select(F.col("__key").alias("doc_id")))
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which the phrase index finds no benchmark phrase."""
-    found = phrase_index.contamination(docs, read_table(spark, sf_dir, "benchmark"))
-    return without_ids(docs, found.filter("n_hit > 0"))
+    keyed = with_key(docs)
+    found = phrase_index.contamination(keys_as_ids(keyed), read_table(spark, sf_dir, "benchmark"))
+    return without_keys(keyed, found.filter("n_hit > 0"))
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

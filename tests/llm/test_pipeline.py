@@ -85,6 +85,28 @@ def test_stages(spark, tables):
         before = after
 
 
+def texts_after(stage, spark, docs, folder, rows):
+    path = folder(documents=docs(rows), benchmark=spark.createDataFrame(ITEMS, "item_id long, text string"))
+    out = stage(spark, spark.read.parquet(f"{path}/documents.parquet"), path)
+    assert "__key" not in out.columns
+    return sorted(((r.doc_id, r.text) for r in out.collect()), key=str)
+
+
+def test_near_duplicates_are_decided_by_row(spark, docs, folder, prose):
+    one, two, three, four, five = (prose(60) for _ in range(5))
+    rows = [(1, one), (2, one + " x"), (2, two), (3, three), (3, four), (None, five), (None, five + " x"), (None, two + " y"), (4, None), (4, None)]
+    got = texts_after(corpus_pipeline.without_near_duplicates, spark, docs, folder, rows)
+    five_kept = [r for r in got if r[1] in (five, five + " x")]
+    assert len(five_kept) == 1
+    assert sorted(five_kept + [(1, one), (2, two), (3, three), (3, four), (4, None), (4, None)], key=str) == got
+
+
+def test_benchmark_passages_are_decided_by_row(spark, docs, folder, prose):
+    clean, other = prose(40), prose(40)
+    rows = [(1, clean), (1, other + " " + ITEMS[0][1]), (None, clean + " z"), (None, other + " " + ITEMS[1][1])]
+    assert texts_after(corpus_pipeline.without_benchmark, spark, docs, folder, rows) == sorted([rows[0], rows[2]], key=str)
+
+
 def test_run_gives_the_last_stage(spark, tables):
     out = corpus_pipeline.run(spark, tables[2])
     assert out.columns == ["doc_id", "text", "lang", "source", "n_chars", "copy"] and out.count() > 50
