@@ -35,10 +35,14 @@ def without_keys(keyed: DataFrame, keys: DataFrame) -> DataFrame:
     return keyed.join(gone, keyed["__key"] == gone["__gone"], "left_anti").drop("__key")
 
 
+#: Of the stage's shingles; op7's own contract has other values.
+SHINGLE_WORDS, SHINGLE_PERCENT = 5, 80
+
+
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each component of the n-gram join: that with the smallest id, null ids last, and of equal ids the first stored."""
     keyed = with_key(docs)
-    found = ngram_join.jaccard_components(keys_as_ids(keyed)).filter("n_component > 1").withColumnRenamed("doc_id", "__key")
+    found = ngram_join.jaccard_components(keys_as_ids(keyed), n=SHINGLE_WORDS, percent=SHINGLE_PERCENT).filter("n_component > 1").withColumnRenamed("doc_id", "__key")
     named = saved(found.select("__key", "component_id").join(keyed.select("__key", "doc_id"), "__key"), "components")
     first = named.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "__key")).alias("first"))
     gone = named.join(first.select(F.col("first.__key").alias("__key")), "__key", "left_anti")

@@ -101,6 +101,17 @@ def test_near_duplicates_are_decided_by_row(spark, docs, folder, prose):
     assert sorted(five_kept + [(1, one), (2, two), (3, three), (3, four), (4, None), (4, None)], key=str) == got
 
 
+def test_near_duplicates_have_five_word_shingles_and_80_percent(spark, docs, folder):
+    """80 of 100 shingles in common, 79 of 100, and scattered edits that four words and 0.85 miss."""
+    words = [f"a{k}" for k in range(104)]
+    other, edited = [f"b{k}" for k in range(104)], [f"c{k}" for k in range(200)]
+    edits = [f"edit{k}" if k % 50 == 25 else w for k, w in enumerate(edited)]
+    rows = [(k, " ".join(w)) for k, w in enumerate([words, words[:84], other, other[:83], edited, edits])]
+    expected = {c for _, _, c in plain_components(rows, 5, 80)}
+    assert expected == {0, 2, 3, 4} and len({c for _, _, c in plain_components(rows)}) == 6
+    assert texts_after(corpus_pipeline.without_near_duplicates, spark, docs, folder, rows) == sorted((rows[k] for k in expected), key=str)
+
+
 def test_benchmark_passages_are_decided_by_row(spark, docs, folder, prose):
     clean, other = prose(40), prose(40)
     rows = [(1, clean), (1, other + " " + ITEMS[0][1]), (None, clean + " z"), (None, other + " " + ITEMS[1][1])]
