@@ -1,8 +1,9 @@
 """Secret scans with a character convolutional network over every candidate and its context.
 
 Fixed patterns give the base findings. Candidates are the base findings' secrets and all other runs of 16 or more token
-characters (12 or more with a digit). The network sees 62 characters: 18 before, the candidate's first 20 and last 16, and 8
-after. It is trained on labelled candidates (label: a base pattern found it), a bounded sample by hash; in a part of
+characters (12 or more with a digit), or parts of such runs left and right of a base finding. The network sees 62 characters:
+18 before, 36 of the candidate, and 8 after. Over a longer candidate it slides in overlapping windows, and the largest logit
+counts. It is trained on windows of labelled candidates (label: a base pattern found it), a bounded sample by hash; in a part of
 the training the context is blanked, so that a secret without a telling key is known by itself. Logits of all held-out
 candidates, counted in a histogram per kind, calibrate the probability and set, per kind, the highest threshold that
 keeps the wanted recall. Candidates at or above it are added to the base findings, which always stay.
@@ -61,24 +62,45 @@ def base_findings(text: str) -> list[tuple[int, int, int, int, int]]:
 
 
 def candidates(text: str, base: list[tuple[int, int, int, int, int]]) -> list[tuple[int, int, int]]:
-    """``(start, end, label)``: the base findings' secrets, and the token runs that touch no base finding."""
+    """``(start, end, label)``: the base findings' secrets, and the token runs' parts outside base findings."""
     out = [(s, e, 1) for _, _, _, s, e in base]
     spans = sorted((b[0], b[2]) for b in base)
     for m in TOKEN.finditer(text):
-        s, e = m.span()
-        if (e - s >= 16 or HAS_DIGIT.search(m[0])) and not any(a < e and s < b for a, b in spans):
-            out.append((s, e, 0))
+        for s, e in outside(*m.span(), spans):
+            if e - s >= 16 or e - s >= 12 and HAS_DIGIT.search(text, s, e):
+                out.append((s, e, 0))
     return out
 
 
+def outside(start: int, end: int, spans: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """The parts of a run that no span covers; ``spans`` are in order of start."""
+    for a, b in spans:
+        if a >= end:
+            break
+        if b > start:
+            if a > start:
+                yield start, a
+            start = b
+    if start < end:
+        yield start, end
+
+
 def window(text: str, start: int, end: int) -> bytes:
-    """The network's view of a candidate: ASCII, others as ``?``, blanks as 0. A long candidate is seen by its two ends."""
+    """The network's view of a candidate: ASCII, others as ``?``, blanks as 0. Of a candidate longer than head and tail it holds the two ends only; see ``windows``."""
     head = text[start : min(end, start + HEAD)]
     tail = text[max(start + len(head), end - TAIL) : end]
     view = text[max(0, start - BEFORE) : start].rjust(BEFORE, "\0") + head.ljust(HEAD, "\0") + tail.rjust(TAIL, "\0") + text[end : end + AFTER].ljust(AFTER, "\0")
     return view.encode("ascii", "replace")
 
 
+def windows(text: str, start: int, end: int) -> bytes:
+    """The candidate's windows one after another: each of its characters is in one or more, with what is around it."""
+    size = HEAD + TAIL
+    if end - start <= size:
+        return window(text, start, end)
+    return b"".join(window(text, k, k + size) for k in [*range(start, end - size, size // 2), end - size])
+
+
 def kind_of(token: str) -> int:
     """0 lower-case hex, 1 upper case and digits, 2 other."""
     return 0 if re.fullmatch(r"[0-9a-f]+", token) else 1 if re.fullmatch(r"[A-Z0-9]+", token) else 2
@@ -88,6 +110,11 @@ def codes(windows: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(windows), np.uint8).reshape(-1, WIDTH)
 
 
+def largest(values: np.ndarray, views: list[bytes]) -> np.ndarray:
+    """Of each candidate's windows' values the largest."""
+    return np.maximum.reduceat(values, np.cumsum([0] + [len(v) // WIDTH for v in views[:-1]])) if views else values
+
+
 class Network:
     """Embedding, one convolution, the largest response before, in and after the candidate, and a logistic output."""
 
@@ -168,10 +195,10 @@ class Scanner:
             if text and self.network:
                 for s, e, label in candidates(text, base):
                     if not label:
-                        views.append(window(text, s, e))
+                        views.append(windows(text, s, e))
                         places.append((k, s, e, kind_of(text[s:e])))
         if views:
-            p = self.probabilities(codes(views))
+            p = largest(self.probabilities(codes(views)), views)
             for (k, s, e, kind), chance in zip(places, p):
                 if chance >= self.thresholds[kind]:
                     out[k].append((s, 3, e))
@@ -183,7 +210,7 @@ CANDIDATES_DDL = "held boolean, label int, kind int, stratum int, view binary"
 
 
 def labelled_candidates(docs: DataFrame) -> DataFrame:
-    """Every candidate of every text with its label; ``stratum`` parts them by label and by having a digit."""
+    """Every candidate of every text with its label and, in ``view``, its windows; ``stratum`` parts them by label and by having a digit."""
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (b.slice(k, 500) for b in batches for k in range(0, b.num_rows, 500)):
@@ -192,18 +219,20 @@ def labelled_candidates(docs: DataFrame) -> DataFrame:
                 held = zlib.crc32((doc_id or "").encode()) % FOLDS == HELD
                 for s, e, label in candidates(text, base_findings(text)) if text else ():
                     token = text[s:e]
-                    rows.append((held, label, kind_of(token), 2 * label + bool(HAS_DIGIT.search(token)), window(text, s, e)))
+                    rows.append((held, label, kind_of(token), 2 * label + bool(HAS_DIGIT.search(token)), windows(text, s, e)))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [()] * 5, CANDIDATES)], schema=CANDIDATES)
 
     return docs.select(F.col("doc_id").cast("string"), F.col("text").cast("string")).mapInArrow(extract, CANDIDATES_DDL)
 
 
 def fit(docs: DataFrame, most_fitted: int = MOST_FITTED, recall: float = RECALL) -> Scanner:
-    """The network is fitted to at most ``most_fitted`` candidates per stratum; calibration and thresholds take all held-out ones."""
+    """The network is fitted to at most ``most_fitted`` candidates' windows per stratum; calibration and thresholds take all held-out ones."""
     spark = docs.sparkSession
     known = saved(labelled_candidates(docs), "candidates")
     order = F.xxhash64("view")
-    parts = [known.filter(~F.col("held") & (F.col("stratum") == s)).dropDuplicates(["view"]).orderBy(order, "view").limit(most_fitted) for s in range(4)]
+    starts = F.sequence(F.lit(1), F.octet_length("view"), F.lit(WIDTH))
+    each = known.filter(~F.col("held")).select("label", "stratum", F.explode(F.transform(starts, lambda k: F.substring("view", k, WIDTH))).alias("view"))
+    parts = [each.filter(F.col("stratum") == s).dropDuplicates(["view"]).orderBy(order, "view").limit(most_fitted) for s in range(4)]
     sample = reduce(DataFrame.union, parts).toPandas()
     y = sample["label"].to_numpy(np.float32)
     if not len(y) or y.min() == y.max():
@@ -215,7 +244,8 @@ def fit(docs: DataFrame, most_fitted: int = MOST_FITTED, recall: float = RECALL)
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((2, 3, BINS), np.int64)
         for batch in batches:
-            z = sent.value.logits(codes(batch.column(2).to_pylist()))
+            views = batch.column(2).to_pylist()
+            z = largest(sent.value.logits(codes(views)), views)
             at = np.clip((z + REACH) / (2 * REACH) * BINS, 0, BINS - 1).astype(int)
             np.add.at(total, (batch.column(0).to_numpy(), batch.column(1).to_numpy(), at), 1)
         label, kind, cell = np.nonzero(total)

@@ -112,6 +112,44 @@ def test_redaction(docs, scanner):
     assert got[2] == ("clean", 5) and got[3] == (None, None) and got[4] == ("", 0)
 
 
+class Marked(m.Network):
+    """Finds windows that hold a mark."""
+
+    def logits(self, x):
+        return np.array([20.0 if b"Q9Q9" in bytes(v) else -20.0 for v in x])
+
+
+def test_the_middle_of_a_long_candidate_is_seen():
+    scanner = m.Scanner(Marked(), thresholds=(0.5, 0.5, 0.5))
+    for n in (0, 20, 31, 60, 100, 500):
+        run = "x/y" * n + "Q9Q9" + "z.z" * (600 - n)
+        assert scanner.findings([f"so {run} ended", "so " + "x/y" * 600, "so x1x1x1x1x1x1"]) == [[(3, 3, 3 + len(run))], [], []]
+
+
+def test_every_character_is_in_a_window():
+    for n in (1, 36, 37, 54, 55, 200):
+        text = "".join(chr(33 + k % 90) for k in range(n))
+        views = m.codes([m.windows(text, 0, n)])
+        seen = "".join(bytes(v[m.BEFORE : m.BEFORE + m.HEAD + m.TAIL]).decode() for v in views)
+        assert all(text[k : k + 5] in seen for k in range(max(1, n - 4)))
+
+
+def test_parts_beside_a_base_finding_are_candidates():
+    left, right = "Zx9" * 8 + "+", "+" + "Yw7" * 8
+    text = f"a {left}{'0a' * 12}{right} b"
+    base = m.base_findings(text)
+    own = [text[s:e] for s, e, label in m.candidates(text, base) if not label]
+    assert own == [left, right] and [text[b[0] : b[2]] for b in base] == ["0a" * 12]
+    assert m.candidates("token=abcdefgh", m.base_findings("token=abcdefgh")) == [(6, 14, 1)]
+
+
+def test_long_candidates_are_fitted(docs):
+    rng = random.Random(8)
+    rows = [(5000 + k, "at " + "/".join("".join(rng.choice("klmnop") for _ in range(6)) for _ in range(30))) for k in range(60)]
+    made = m.fit(docs(corpus(200) + rows))
+    assert made.network and sum(map(len, made.findings([t for _, t in rows]))) < 10
+
+
 def test_no_candidates(docs):
     assert m.fit(docs([(1, "no secrets here")])).network is None
     assert m.fit(docs([]).limit(0)).findings(["token=abcdefgh"]) == [[(0, 0, 14)]]
