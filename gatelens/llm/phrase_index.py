@@ -8,7 +8,8 @@ and intersects each phrase's offset-adjusted lists, beginning with its rarest te
 
 Phrases are taken in blocks of bounded size, so a benchmark of any size works; the corpus is never gathered.
 
-Defined cases: null and empty texts have no words and hit nothing; an item without words has no window; rows with equal
+Defined cases: null and empty texts have no words and hit nothing; an item without words has no window; an item with
+a null id counts in ``n_hit``, but has no name among the items; rows with equal
 ids are separate documents (with separate results); an empty table gives an empty result; other columns are not read.
 """
 
@@ -97,7 +98,7 @@ def phrases_of(items: DataFrame, width: int = WINDOW) -> DataFrame:
             out = []
             for item, text in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1))):
                 words = words_of(text)
-                if words and item is not None:
+                if words:
                     out += [{"item": item, "window": k, "words": words[k : k + width]} for k in range(max(1, len(words) - width + 1))]
             yield pa.RecordBatch.from_pylist(out, schema=schema)
 
@@ -194,7 +195,8 @@ def find(index: DataFrame, phrases: DataFrame, slop: int = 0, per_block: int = P
     """
     spark = index.sparkSession
     blocks = max(1, math.ceil(phrases.count() / per_block))
-    phrases = saved(phrases.withColumn("part", F.pmod(F.xxhash64("item"), F.lit(blocks))), "phrases")
+    hashed = F.when(F.col("item").isNull(), F.xxhash64("words")).otherwise(F.xxhash64("item"))
+    phrases = saved(phrases.withColumn("part", F.pmod(hashed, F.lit(blocks))), "phrases")
     found = spark.createDataFrame([], MATCHES_DDL)
     for part in range(blocks):
         items: dict[str, list[list[bytes]]] = {}

@@ -79,6 +79,15 @@ def test_near_items_have_no_exact_phrase(spark, docs):
     assert found == {1: ([], ["1"]), 2: (["1"], []), 3: ([], ["2"]), 4: ([], [])}
 
 
+def test_items_without_id_count_as_hits(spark, docs):
+    items = items_table(spark, [(1, "one two three"), (None, "four five six"), (None, "three four"), (None, None)])
+    rows = docs([(1, "x four five six y"), (2, "one two three four five six"), (3, "nothing")])
+    assert {r.doc_id: (r.n_hit, list(r["items"])) for r in m.contamination(rows, items).collect()} == {1: (3, []), 2: (6, ["1"]), 3: (0, [])}
+    phrases = m.phrases_of(items)
+    found = m.find(m.build_index(rows), phrases, per_block=1).collect()
+    assert sorted((r.doc_id, r["item"] or "", r.start, r.end) for r in found) == [(1, "", 1, 4), (2, "", 2, 4), (2, "", 3, 6), (2, "1", 0, 3)]
+
+
 def test_phrases_do_not_cross_documents(spark, docs):
     items = items_table(spark, [(1, "left right")])
     rows = docs([(1, "x left"), (2, "right y"), (3, "left right")], 1)
