@@ -5,7 +5,7 @@ from datetime import timedelta
 
 import model
 import pytest
-from conftest import at, row
+from events import at, row
 
 from gatelens.config import DEFAULT_POLICY, Policy
 from gatelens.plans import batch_rules

@@ -4,7 +4,7 @@ import random
 from datetime import timedelta
 
 import pytest
-from conftest import at, row
+from events import at, row
 from pyspark.sql import functions as F
 
 from gatelens.config import Policy

@@ -1,7 +1,7 @@
 """Score factors, severity and level boundaries, masking and role view."""
 
 import pytest
-from conftest import at, row
+from events import at, row
 from pyspark.sql import functions as F
 
 from gatelens.config import DEFAULT_POLICY, Policy

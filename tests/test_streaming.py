@@ -6,7 +6,7 @@ from types import SimpleNamespace
 
 import pandas as pd
 import pytest
-from conftest import row
+from events import row
 from pyspark.sql import functions as F
 from test_stream_rules import random_log
 

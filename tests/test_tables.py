@@ -1,7 +1,7 @@
 """Sources and sinks, enrichment and messages."""
 
 import pytest
-from conftest import row
+from events import row
 from pyspark.sql import functions as F
 
 from gatelens.config import DEFAULT_POLICY, DEFAULT_RECOMMENDATION, Policy

@@ -5,7 +5,7 @@ from datetime import timedelta
 
 import numpy as np
 import pytest
-from conftest import at
+from events import at
 
 from gatelens.config import Policy
 from gatelens.operators import bursts, walks
