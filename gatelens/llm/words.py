@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import xxhash
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -72,3 +73,19 @@ def bucket_slices(sorted_hashes: np.ndarray, buckets: int):
     starts = np.flatnonzero(np.r_[True, own[1:] != own[:-1]]) if len(own) else np.zeros(0, np.int64)
     for a, b in zip(starts, np.r_[starts[1:], len(own)]):
         yield int(own[a]), slice(int(a), int(b))
+
+
+def by_bytes(column: pa.Array, most: int = 4_000_000) -> Iterator[pa.Array]:
+    """A string column in slices of consecutive texts of ``most`` bytes, or of one longer text; an empty one as one empty slice."""
+    sizes = np.array(pa.compute.binary_length(column).fill_null(0).to_numpy(zero_copy_only=False), np.int64)
+    part = np.cumsum(sizes) // most
+    starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(part) else np.zeros(1, int)
+    for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(part)]):
+        yield column.slice(a, b - a)
+
+
+def windows_of(ids: np.ndarray, lengths: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the windows of ``width`` ids within each of the texts that ``lengths`` cuts ``ids`` into, and their number per text."""
+    h = window_hashes(ids, width)
+    ends = np.repeat(np.cumsum(lengths), lengths)[: len(h)]
+    return h[np.arange(len(h)) + width <= ends], np.maximum(lengths - width + 1, 0)
