@@ -5,8 +5,13 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import gatelens
+from pyspark import cloudpickle
 from pyspark.sql import SparkSession
 
+# Functions of this package travel to the Python workers with their jobs, so workers need not have it installed.
+cloudpickle.register_pickle_by_value(gatelens)
+
 ROCKSDB_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 

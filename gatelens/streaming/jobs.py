@@ -9,10 +9,9 @@ from __future__ import annotations
 
 import uuid
 from collections import defaultdict
+from datetime import timedelta
 from threading import Event
 
-import gatelens
-from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQueryListener
@@ -33,9 +32,6 @@ from gatelens.streaming.processor import OUTPUT, DetectionProcessor, FirstAlertP
 # Event time of the row that ends a finite replay; it lies after any real event and is never reported.
 END_OF_REPLAY = "9999-01-01 00:00:00"
 
-# The processor travels to the Python workers with the job, so they need not have this package installed.
-cloudpickle.register_pickle_by_value(gatelens)
-
 
 def job_session(spark: SparkSession, state_partitions: int | None = None) -> SparkSession:
     """A session of its own for streaming jobs, so the caller's settings stay as they are.
@@ -59,11 +55,15 @@ def with_event_time(events: DataFrame, delay: str) -> DataFrame:
     return timed.filter(F.col("event_time") < F.to_timestamp(F.lit(END_OF_REPLAY)))
 
 
-def detect(events: DataFrame, policy: Policy = DEFAULT_POLICY, delay: str = "10 minutes") -> DataFrame:
-    """Stream of scored events with one flag per rule that fires."""
+def detect(events: DataFrame, policy: Policy = DEFAULT_POLICY, delay: str = "10 minutes", idle_ttl: timedelta | None = None) -> DataFrame:
+    """Stream of scored events with one flag per rule that fires.
+
+    ``idle_ttl``: how long after the last event a user's state is kept, in event time; without it, for ever. A user who comes
+    back later counts as new: the ordinal starts at 1, and countries and resources fire again.
+    """
     rows = with_event_time(events.select(*CONTEXT), delay).withColumn("at", F.unix_micros("event_time"))
     seen = rows.groupBy("user_id").transformWithStateInPandas(
-        statefulProcessor=DetectionProcessor(policy),
+        statefulProcessor=DetectionProcessor(policy, idle_ttl and int(idle_ttl.total_seconds() * 1000)),
         outputStructType=OUTPUT,
         outputMode="append",
         timeMode="EventTime",

@@ -1,13 +1,17 @@
 """Keyed state of the detection stream.
 
-Rows of a user may arrive in any order within the watermark delay. They wait in state, in buckets of a minute, until the
-watermark has passed their bucket, and are then taken bucket by bucket in ``(ts, event_id)`` order, so the result does not
-depend on arrival order or batching as long as no row comes after the watermark has passed it. No step holds more than
-one bucket of one user. The processor only finds what needs history: the event's ordinal, the recent failures, and which rules fire for the first
-time for their key. Scores and texts are column expressions on its output.
+Rows of a user may arrive in any order within the watermark delay. They wait in state, in sorted parts of an arriving frame,
+until the watermark has passed them, and are then taken in ``(ts, event_id)`` order, so the result does not depend on arrival order
+or batching as long as no row comes after the watermark has passed it. Parts are merged by their first times: one is read when
+all rows before it have been taken, so only rows of parts that overlap in time are held at once. A user has a timer at the
+earliest waiting row of a frame; when it fires, all that the watermark has passed is taken in one scan. The processor
+only finds what needs history: the event's ordinal, the recent failures, and which rules fire for the first time for their key. Scores
+and texts are column expressions on its output.
 
 What is kept per user is bounded: failures of the last ``burst_seconds``, the last minute and day that fired (events
-come in time order, so older ones cannot return), and sets limited by the watch lists, resources, countries and hours.
+come in time order, so older ones cannot return), and sets limited by the watch lists, resources, countries and hours. With a
+time to live, a user's state goes when the watermark has passed the user's last event by that much; a user who comes back
+then starts anew.
 """
 
 from __future__ import annotations
@@ -23,9 +27,9 @@ from gatelens.config import DEFAULT_POLICY, Policy
 
 MICROS = 1_000_000
 
-# Rows that wait for the watermark, one map entry per bucket and arriving frame, column by column. ``at`` is the event
-# time in microseconds.
-BUCKET = 60 * MICROS
+# Rows that wait for the watermark, one map entry per part, column by column. ``at`` is the event time in microseconds.
+# A part has at most PART_ROWS rows, and a step of the rules takes at most STEP_ROWS.
+PART_ROWS, STEP_ROWS = 2_000, 10_000
 _COLUMNS = ["event_id", "at", "ip_address", "country", "status", "resource"]
 _PENDING = (
     "event_id array<long>, at array<long>, ip_address array<string>, country array<string>, status array<string>,"
@@ -72,41 +76,61 @@ def _add(known: list, values: np.ndarray) -> list:
 
 
 class DetectionProcessor(StatefulProcessor):
-    def __init__(self, policy: Policy = DEFAULT_POLICY):
-        self._policy = policy
+    def __init__(self, policy: Policy = DEFAULT_POLICY, ttl_ms: int | None = None):
+        self._policy, self._ttl_ms = policy, ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._handle = handle
         self._profile = handle.getValueState("profile", _PROFILE)
-        self._pending = handle.getMapState("pending", "bucket long, part int", _PENDING)
-        self._parts = handle.getMapState("parts", "bucket long", "parts int")
+        self._pending = handle.getMapState("pending", "first long, part int", _PENDING)
+
+    def _wait(self, rows: pd.DataFrame) -> None:
+        """Keep rows, which are in order, and have a timer at the first one's time."""
+        for start in range(0, len(rows), PART_ROWS):
+            own = rows[start : start + PART_ROWS]
+            key = (int(own["at"].iloc[0]), 0)
+            while self._pending.containsKey(key):
+                key = (key[0], key[1] + 1)
+            self._pending.updateValue(key, tuple(own[c].tolist() for c in _COLUMNS))
+        self._handle.registerTimer(int(rows["at"].iloc[0]) // 1000)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         for batch in rows:
-            for bucket, part in batch.groupby(batch["at"] // BUCKET):
-                bucket = int(bucket)
-                known = self._parts.getValue((bucket,))[0] if self._parts.containsKey((bucket,)) else 0
-                if not known:
-                    self._handle.registerTimer((bucket + 1) * BUCKET // 1000)
-                self._pending.updateValue((bucket, known), tuple(part[c].tolist() for c in _COLUMNS))
-                self._parts.updateValue((bucket,), (known + 1,))
+            self._wait(batch[_COLUMNS].sort_values(["at", "event_id"], kind="stable"))
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        """Take the buckets that the watermark has passed, the earliest first; a timer finds nothing if one before it did."""
+        """Take what the watermark has passed; a timer finds nothing if one before it did."""
         passed = timerValues.getCurrentWatermarkInMs() * 1000
-        for bucket in sorted(b for (b,) in list(self._parts.keys()) if (b + 1) * BUCKET <= passed):
-            parts = [(bucket, part) for part in range(self._parts.getValue((bucket,))[0])]
-            waiting = [self._pending.getValue(part) for part in parts]
-            columns = {c: [value for part in waiting for value in part[i]] for i, c in enumerate(_COLUMNS)}
-            order = np.lexsort((np.array(columns["event_id"], dtype="int64"), np.array(columns["at"], dtype="int64")))
-            rows = {c: [values[i] for i in order] for c, values in columns.items()}
-            out, profile = self._apply(key[0], rows, self._profile.get() or _NEW_PROFILE)
+        waiting = sorted(self._pending.keys())
+        held = pd.DataFrame({c: [] for c in _COLUMNS})
+        profile = before = self._profile.get()
+        for k, part in enumerate(waiting):
+            if part[0] >= passed:
+                break
+            read = pd.DataFrame(dict(zip(_COLUMNS, self._pending.getValue(part))), dtype=object)
+            self._pending.removeKey(part)
+            held = (pd.concat([held, read]) if len(held) else read).sort_values(["at", "event_id"], kind="stable")
+            until = min(waiting[k + 1][0], passed) if k + 1 < len(waiting) else passed
+            n = int((held["at"] < until).sum())
+            for start in range(0, n, STEP_ROWS):
+                taken = held[start : min(start + STEP_ROWS, n)]
+                out, profile = self._apply(key[0], {c: taken[c].tolist() for c in _COLUMNS}, profile or _NEW_PROFILE)
+                yield out
+            held = held[n:]
+        if len(held):
+            self._wait(held)
+        left = [part for part in waiting if part[0] >= passed]
+        if left:
+            self._handle.registerTimer(left[0][0] // 1000)
+        if profile is not before:
             self._profile.update(profile)
-            for part in parts:
-                self._pending.removeKey(part)
-            self._parts.removeKey((bucket,))
-            yield out
+        if profile and self._ttl_ms is not None and not left and not len(held):
+            gone = profile[2] // 1000 + self._ttl_ms
+            if gone * 1000 < passed:
+                self._profile.clear()
+            else:
+                self._handle.registerTimer(gone)
 
     def _apply(self, user_id: str, rows: dict[str, list], profile: tuple) -> tuple[pd.DataFrame, tuple]:
         """Take rows in order: what each row saw, and the profile after the last one."""

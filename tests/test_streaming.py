@@ -15,7 +15,8 @@ from gatelens.plans.enrichment import enrich
 from gatelens.schema import ACCESS_EVENT
 from gatelens.session import run_dir
 from gatelens.streaming import jobs, replay
-from gatelens.streaming.processor import BUCKET, DetectionProcessor
+from gatelens.streaming import processor as processing
+from gatelens.streaming.processor import DetectionProcessor
 
 
 @pytest.fixture(scope="module")
@@ -145,27 +146,66 @@ class FakeState(dict):
         self["value"] = value
 
 
-def test_a_step_handles_one_bucket_of_a_user(log):
-    taken = []
+@pytest.mark.parametrize("part_rows, step_rows", [(3, 5), (2_000, 10_000)])
+def test_a_step_handles_a_bounded_number_of_rows_in_order(log, monkeypatch, part_rows, step_rows):
+    monkeypatch.setattr(processing, "PART_ROWS", part_rows)
+    monkeypatch.setattr(processing, "STEP_ROWS", step_rows)
+    taken, timers = [], set()
 
     class Watched(DetectionProcessor):
         def _apply(self, user_id, rows, profile):
-            taken.append(sorted({at // BUCKET for at in rows["at"]}))
+            taken.append(len(rows["at"]))
             return super()._apply(user_id, rows, profile)
 
     processor = Watched()
-    handle = SimpleNamespace(getValueState=lambda *a: FakeState(), getMapState=lambda *a: FakeState(), registerTimer=lambda at: None)
+    handle = SimpleNamespace(getValueState=lambda *a: FakeState(), getMapState=lambda *a: FakeState(), registerTimer=timers.add)
     processor.init(handle)
     own = [r for r in log if r["user_id"] == log[0]["user_id"]]
     micros = lambda r: int((r["ts"] - datetime(1970, 1, 1)) / timedelta(microseconds=1))
     frame = pd.DataFrame([{**r, "at": micros(r)} for r in random.Random(1).sample(own, len(own))])
     for part in (frame[: len(frame) // 2], frame[len(frame) // 2 :]):
         list(processor.handleInputRows((log[0]["user_id"],), iter([part]), None))
-    clock = SimpleNamespace(getCurrentWatermarkInMs=lambda: 10**14)
-    out = pd.concat(processor.handleExpiredTimer((log[0]["user_id"],), clock, None))
-    assert all(len(t) == 1 for t in taken) and [t[0] for t in taken] == sorted({micros(r) // BUCKET for r in own})
+    assert len(timers) <= 2  # one for each arriving frame
+    out = []
+    middle = sorted(frame["at"])[len(frame) // 2] // 1000
+    for now in (middle, middle, 10**14):
+        clock = SimpleNamespace(getCurrentWatermarkInMs=lambda: now)
+        out += processor.handleExpiredTimer((log[0]["user_id"],), clock, None)
+        assert sum(map(len, out)) == (frame["at"] < now * 1000).sum()
+        assert processor._pending or now == 10**14
+    out = pd.concat(out)
+    assert max(taken) <= step_rows
     assert out["ordinal"].tolist() == list(range(1, len(own) + 1)) and out["at"].is_monotonic_increasing
-    assert not processor._pending and not processor._parts
+    assert not processor._pending
+
+
+def days_of(users):
+    """Events at noon of the given days of March."""
+    rows = [row(f"2024-03-{d:02d} 12:{m:02d}:00", user=u, resource="billing") for u, days in users.items() for d in days for m in (0, 20, 40)]
+    return [{**r, "event_id": i} for i, r in enumerate(sorted(rows, key=lambda r: (r["ts"], r["user_id"])))]
+
+
+def test_idle_users_lose_their_state_and_active_ones_keep_it(spark, frame):
+    """Batches in time order, without a closing row: the watermark ends at the last day less the delay."""
+    rows = days_of({"idle": [1], "active": range(1, 13), "back": [1, 11]})
+    folder = write_files(spark, frame, [[r for r in rows if r["ts"].day == d] for d in range(1, 13)])
+    session = jobs.job_session(spark)
+
+    def run(name, **more):
+        out = run_dir(spark, name)
+        stream = replay.log_stream(folder, max_files=1)(session)
+        replay.finish(jobs.to_files(jobs.detect(stream, delay="1 minute", **more), f"{out}/scored", f"{out}/scored-checkpoint"))
+        rows = replay.scored_table(spark, out).select("user_id", "event_id", "ordinal", "compromised_account", "score").collect()
+        return {r.event_id: r for r in rows}, {r.user_id: r.events for r in replay.user_state(spark, out).collect()}
+
+    kept, all_state = run("kept")
+    got, state = run("ttl", idle_ttl=timedelta(days=3))
+    assert set(all_state) == {"idle", "active", "back"}
+    assert set(state) == {"active", "back"}
+    assert [got[i] for i in got if got[i].user_id == "active"] == [kept[i] for i in got if kept[i].user_id == "active"]
+    assert got.keys() == kept.keys()
+    back = [r for r in got.values() if r.user_id == "back"]
+    assert sorted(r.ordinal for r in back) == [1, 1, 2, 2, 3, 3]  # anew after ten days
 
 
 def test_slow_brute_force_equals_batch(spark, frame):
