@@ -31,9 +31,20 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-x))
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
+def _softmax(x: np.ndarray) -> np.ndarray:
+    """Over the first axis, in place: reductions along it are the quick ones."""
+    x -= x.max(axis=0)
+    np.exp(x, out=x)
+    x /= x.sum(axis=0)
+    return x
+
+
+def _log_chance(x: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    """Log probability of one row of each column of ``x``, which is overwritten."""
+    x -= x.max(axis=0)
+    own = x[chosen, np.arange(x.shape[1])]
+    np.exp(x, out=x)
+    return own - np.log(x.sum(axis=0))
 
 
 class Gru:
@@ -95,17 +106,21 @@ class Gru:
             out[t] = h
         return out
 
+    def by_class(self, y: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+        """An order of symbols by class, and for each class met its number and its slice in that order."""
+        order = np.argsort((y // self.size).astype(np.int16), kind="stable")
+        met, start = np.unique(y[order] // self.size, return_index=True)
+        return order, list(zip(met.tolist(), start.tolist(), [*start[1:].tolist(), len(y)]))
+
     def log_probabilities(self, h: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Natural log probabilities of symbols ``y`` (flat) after states ``h``: of the class, then of the symbol in it."""
-        rows = np.arange(len(y))
-        cls, inside = y // self.size, y % self.size
-        out = _log_softmax(h @ self.w["class_w"] + self.w["class_b"])[rows, cls].astype(np.float64)
-        order = np.argsort(cls, kind="stable")
-        bounds = np.searchsorted(cls[order], np.arange(self.classes + 1))
-        for c in range(self.classes):
-            at = order[bounds[c] : bounds[c + 1]]
-            if len(at):
-                out[at] += _log_softmax(h[at] @ self.w["word_w"][c] + self.w["word_b"][c])[np.arange(len(at)), inside[at]]
+        w, out = self.w, np.empty(len(y))
+        order, classes = self.by_class(y)
+        h, y = h[order], y[order]
+        found = _log_chance(w["class_w"].T @ h.T + w["class_b"][:, None], y // self.size)
+        for c, i, j in classes:
+            found[i:j] += _log_chance(w["word_w"][c].T @ h[i:j].T + w["word_b"][c][:, None], y[i:j] % self.size)
+        out[order] = found
         return out
 
     def laid_out(self, docs: list[np.ndarray], most_lanes: int):
@@ -119,7 +134,7 @@ class Gru:
             y[k, s:e], x[k, s + 1 : e], doc[k, s:e], fresh[k, s] = docs[d], docs[d][:-1], d, True
         return (*(np.ascontiguousarray(a.T) for a in (x, y, doc, fresh)), used)
 
-    def score(self, docs: list[np.ndarray], most_lanes: int = 192, window: int = 64) -> np.ndarray:
+    def score(self, docs: list[np.ndarray], most_lanes: int = 512, window: int = 24) -> np.ndarray:
         """Natural log probability of each whole document (symbols that end with 0). States go on from window to window."""
         total = np.zeros(len(docs))
         if not docs:
@@ -136,11 +151,16 @@ class Gru:
             total += np.bincount(doc[s, :live].ravel()[own], logs, len(docs))
         return total
 
-    def train(self, docs: list[np.ndarray], epochs: int, lanes: int = 48, window: int = 24, rate: float = 0.01) -> None:
-        """Adam on windows in order; gradients end at a window's start, states don't."""
+    def train(self, docs: list[np.ndarray], epochs: int, lanes: int = 512, window: int = 24, rate: float = 0.02, least_steps: int = 60) -> None:
+        """Adam on windows in order; gradients end at a window's start, states don't.
+
+        The fewer tokens there are, the fewer lanes (down to 16), so that an epoch has about ``least_steps`` steps or more. Input rows and
+        classes that a window doesn't hold are left as they are, with their averages.
+        """
         if not docs:
             return
-        x, y, doc, fresh, used = self.laid_out(docs, lanes)
+        tokens = sum(map(len, docs))
+        x, y, doc, fresh, used = self.laid_out(docs, int(np.clip(tokens // (window * least_steps), 16, lanes)))
         first = {k: np.zeros_like(v) for k, v in self.w.items()}
         second = {k: np.zeros_like(v) for k, v in self.w.items()}
         step = 0
@@ -151,29 +171,38 @@ class Gru:
                 s = slice(t, t + window)
                 grads, h = self._gradients(h[:live], x[s, :live], y[s, :live], doc[s, :live] >= 0, fresh[s, :live])
                 step += 1
-                for k, g in grads.items():
-                    first[k] += (g - first[k]) * 0.1
-                    second[k] += (g * g - second[k]) * 0.005
-                    self.w[k] -= rate * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.995**step)) + 1e-6)
+                for k, (rows, g) in grads.items():
+                    np.clip(g, -0.5, 0.5, out=g)
+                    m, v = first[k][rows], second[k][rows]
+                    m += (g - m) * np.float32(0.1)
+                    v += (g * g - v) * np.float32(0.005)
+                    if not isinstance(rows, slice):
+                        first[k][rows], second[k][rows] = m, v
+                    self.w[k][rows] -= np.float32(rate / (1 - 0.9**step)) * m / (np.sqrt(v * np.float32(1 / (1 - 0.995**step))) + np.float32(1e-6))
 
     def _gradients(self, h, x, y, own, fresh):
-        H, w = self.hidden, self.w
+        """For each weight the rows that have a gradient, and it; and the last states."""
+        H, w, every_row = self.hidden, self.w, slice(None)
         keep: list = []
         states = self.steps(h, x, fresh, keep)
-        last, flat, own = states[-1], states.reshape(-1, H), own.ravel()
-        at_own, y = np.flatnonzero(own), y.ravel()[own]
-        scale, hs = np.float32(1 / max(1, len(y))), flat[own]
-        cls, inside = y // self.size, y % self.size
-        d = np.exp(_log_softmax(hs @ w["class_w"] + w["class_b"]))
-        d[np.arange(len(y)), cls] -= 1
-        grads = {"class_w": hs.T @ d * scale, "class_b": d.sum(0) * scale, "word_w": np.zeros_like(w["word_w"]), "word_b": np.zeros_like(w["word_b"])}
-        dh = d @ w["class_w"].T
-        for c in np.unique(cls):
-            at = np.flatnonzero(cls == c)
-            d = np.exp(_log_softmax(hs[at] @ w["word_w"][c] + w["word_b"][c]))
-            d[np.arange(len(at)), inside[at]] -= 1
-            grads["word_w"][c], grads["word_b"][c] = hs[at].T @ d * scale, d.sum(0) * scale
-            dh[at] += d @ w["word_w"][c].T
+        last, flat = states[-1], states.reshape(-1, H)
+        at_own, y = np.flatnonzero(own.ravel()), y.ravel()[own.ravel()]
+        order, classes = self.by_class(y)  # each class's tokens are one slice
+        at_own, y = at_own[order], y[order]
+        scale, hs, n = np.float32(1 / max(1, len(y))), flat[at_own], np.arange(len(y))
+        d = _softmax(w["class_w"].T @ hs.T + w["class_b"][:, None])
+        d[y // self.size, n] -= 1
+        grads = {"class_w": (every_row, (d @ hs).T * scale), "class_b": (every_row, d.sum(1) * scale)}
+        dh = (w["class_w"] @ d).T
+        word_w, word_b = np.empty((len(classes), H, self.size), np.float32), np.empty((len(classes), self.size), np.float32)
+        for k, (c, i, j) in enumerate(classes):
+            part = hs[i:j]
+            d = _softmax(w["word_w"][c].T @ part.T + w["word_b"][c][:, None])
+            d[y[i:j] % self.size, n[: j - i]] -= 1
+            word_w[k], word_b[k] = (d @ part).T, d.sum(1)
+            dh[i:j] += (w["word_w"][c] @ d).T
+        met = np.array([c for c, _, _ in classes], np.int64)
+        grads["word_w"], grads["word_b"] = (met, word_w * scale), (met, word_b * scale)
         every = np.zeros_like(flat)
         every[at_own] = dh * scale
         every = every.reshape(states.shape)
@@ -183,18 +212,19 @@ class Gru:
             before, z, r, n, u = keep[t]
             dh = every[t] + back
             dn = dh * (1 - z) * (1 - n * n)
-            dz = dh * (before - n) * z * (1 - z)
-            dr = dn * u * r * (1 - r)
-            d_in[t] = np.concatenate([dz, dr, dn], 1)
-            du = np.concatenate([dz, dr, dn * r], 1)
+            own_in = d_in[t]
+            own_in[:, :H] = dh * (before - n) * z * (1 - z)
+            own_in[:, H : 2 * H] = dn * u * r * (1 - r)
+            own_in[:, 2 * H :] = dn
+            du = own_in.copy()
+            du[:, 2 * H :] *= r
             d_state += before.T @ du
-            back = np.where(fresh[t][:, None], np.float32(0), dh * z + du @ w["state"].T)
-        grads["state"], grads["bias"] = d_state, d_in.sum((0, 1))
+            back = dh * z + du @ w["state"].T
+            if fresh[t].any():
+                back[fresh[t]] = 0
         d_x = d_in.reshape(-1, 3 * H)
+        grads["state"], grads["bias"] = (every_row, d_state), (every_row, d_x.sum(0))
         order = np.argsort(x.ravel(), kind="stable")
         ids, first = np.unique(x.ravel()[order], return_index=True)
-        grads["inputs"] = np.zeros_like(w["inputs"])
-        grads["inputs"][ids] = np.add.reduceat(d_x[order], first, axis=0)
-        for g in grads.values():
-            np.clip(g, -0.5, 0.5, out=g)
+        grads["inputs"] = (ids, np.add.reduceat(d_x[order], first, axis=0))
         return grads, last

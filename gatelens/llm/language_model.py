@@ -6,8 +6,8 @@ frequent words, as many as the square root of the training words, ``VOCABULARY``
 classes by a word's last two bytes, each with its own counts. The network's symbols are the end, the vocabulary and the shapes; a word outside the vocabulary has the probability of its shape times
 (c + 1) / (N + V + 1) among the shape's words. Symbols are grouped by frequency into classes for the factored softmax.
 
-The network is fitted by truncated backpropagation in numpy to every training document: in each round each block fits a copy
-to its own ones, and the copies' weights are averaged, weighted by tokens, on the executors. In scoring, documents run side by side and their states go on from window to window.
+The network is fitted by truncated backpropagation in numpy to every training document: blocks are dealt to rounds, in a round each of
+its blocks fits a copy to its own training documents, and the copies' weights are averaged, weighted by tokens, on the executors. In scoring, documents run side by side and their states go on from window to window.
 
 Defined cases: null text counts as empty, which is one end token; rows with equal ids are scored each; a null id counts as
 empty text for its fold; without training documents N = V = 0 and the network is unfitted; an empty table gives an empty result; other columns are not read.
@@ -33,7 +33,8 @@ VOCABULARY, CLASSES = 959, 32
 SHAPES, HIDDEN = 64, 16
 #: So many copies' weights are averaged at a time.
 SHARDS = 6
-ROUNDS, EPOCHS = 2, 2
+#: Each round takes in one of so many shares of the blocks, and so the next round starts from what it has learned.
+ROUNDS, EPOCHS = 2, 1
 
 SENT = pa.schema([("bucket", pa.int64()), ("block", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary()), ("shapes", pa.binary())])
 SENT_DDL = "bucket long, block int, keys binary, counts binary, shapes binary"
@@ -176,31 +177,32 @@ def _averager(parts: int):
 
 
 def fitted(blocks: DataFrame, n_blocks: int, symbols: Symbols, rounds: int, epochs: int) -> tuple[Gru, int]:
-    """The network fitted to the training documents of all blocks, and the tokens that a round took in.
+    """The network fitted to the training documents of all blocks, and the tokens that all rounds took in.
 
     A round's weights meet in a tree, so that no task holds more than some copies, and the driver one.
     """
     context = blocks.sparkSession.sparkContext
     model, taken = Gru.started(symbols.counts.astype(float), max(CLASSES, math.isqrt(len(symbols.counts))), HIDDEN), 0
     known = context.broadcast(symbols)
-    for _ in range(rounds):
+    for k in range(rounds):
         weights = context.broadcast(model.dumped())
-        made = saved(blocks.groupBy("block").applyInArrow(_trainer(weights, known, epochs), WEIGHTS_DDL), "weights")
+        own = blocks.filter(F.pmod("block", F.lit(rounds)) == k)
+        made = saved(own.groupBy("block").applyInArrow(_trainer(weights, known, epochs), WEIGHTS_DDL), "weights")
         left = n_blocks
         while left > 1:
             left = -(-left // max(2, SHARDS))
             made = made.groupBy(F.pmod("part", F.lit(left)).alias("to")).applyInArrow(_averager(left), WEIGHTS_DDL)
         got = made.collect()  # one row at most
-        if not got:
-            break
-        model, taken = Gru.loaded(bytes(got[0].weights)), got[0].n
+        if got:
+            model, taken = Gru.loaded(bytes(got[0].weights)), taken + got[0].n
+        weights.destroy()
     return model, taken
 
 
 def score_documents(docs: DataFrame, vocabulary: int = VOCABULARY) -> DataFrame:
     """Per row of ``doc_id`` and ``text``: ``doc_id``, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score`` and ``score``."""
     spark = docs.sparkSession
-    blocks, n_blocks = in_blocks(docs)
+    blocks, n_blocks = in_blocks(docs, by_id=False)
     by_block = blocks.groupBy("block")
     sent = by_block.applyInArrow(_sender(n_blocks), SENT_DDL)
     most = vocabulary_size(vocabulary, n_blocks * BLOCK_BYTES)  # no text has more words than bytes

@@ -41,18 +41,19 @@ def fold_of(id_column: str, folds: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col(id_column).cast("string"), F.lit("")).cast("binary")), F.lit(folds))
 
 
-def in_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, int]:
+def in_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES, by_id: bool = True) -> tuple[DataFrame, int]:
     """Documents (``doc_id``, ``text``) in blocks of consecutive ids, stored bucketed by ``block``, and the block count.
 
-    Joins on ``block`` then leave the texts where they are. Equal ids are in one block, null ids in the first.
+    Joins on ``block`` then leave the texts where they are. Equal ids are in one block, null ids in the first; if not ``by_id``,
+    rows are dealt evenly, whatever their ids.
     """
     spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(math.ceil(size / block_bytes), shuffle_partitions(spark))
     path, table = run_dir(spark, "blocks"), f"blocks_{uuid.uuid4().hex}"
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     (
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-        .repartitionByRange(n, "doc_id")
+        (rows.repartitionByRange(n, "doc_id") if by_id else rows.repartition(n))
         .withColumn("block", F.spark_partition_id())
         .write.option("compression", "zstd")
         .option("path", path)
