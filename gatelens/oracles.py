@@ -473,6 +473,9 @@ ORDER BY ts DESC, event_id DESC LIMIT 100""",
        coalesce(string_agg(DISTINCT resource, ',' ORDER BY resource) FILTER (WHERE ordinal > 50), '') AS recent
 FROM scored GROUP BY user_id""",
     "stream_alerts_dedup": f"{_SCORED} {_STREAM_ALERT}",
+    "stream_epoch_alerts": f"{_SCORED} {_STREAM_ALERT}",
+    "stream_alert_keys": f"""{_SCORED} SELECT user_id, alert_type, CASE rule_order WHEN 1 THEN strftime(ts, '%Y-%m-%d %H:%M')
+       WHEN 2 THEN country WHEN 3 THEN CAST(CAST(ts AS DATE) AS VARCHAR) ELSE resource END AS key FROM sa""",
     "feed_json": _FEED,
     "stream_notifications": _OUTBOX,
     "stream_hourly_kpis": f"""{_SCORED}{_RUNNING}, hours AS (

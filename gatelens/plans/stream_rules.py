@@ -6,6 +6,8 @@ job produces rows of the same form, so everything after :func:`detect` serves bo
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,11 +37,25 @@ def contextual_risk(events: DataFrame, policy: Policy = DEFAULT_POLICY) -> DataF
     )
 
 
-def first_uses(events: DataFrame, policy: Policy = DEFAULT_POLICY) -> DataFrame:
-    """Per user and slice, the sensitive accesses that are a user's first for some rule key.
+@dataclass(frozen=True)
+class Before:
+    """What has been settled before the events that :func:`detect` is given: ``tail``, the events of the last ``tail_seconds``;
+    ``counts``, each user's ``events``; ``keys``, each ``user_id``, ``rule`` and ``key`` that has been used."""
+
+    tail: DataFrame
+    counts: DataFrame
+    keys: DataFrame
+
+
+def tail_seconds(policy: Policy = DEFAULT_POLICY) -> int:
+    """How far back the brute-force rule looks: to the start of the clock minute, and from there over a burst."""
+    return policy.burst_seconds + 60
+
+
+def first_per_key(events: DataFrame, policy: Policy = DEFAULT_POLICY) -> DataFrame:
+    """Per user, ``rule`` and ``key`` the ``first`` sensitive access, by a partial aggregate over the sensitive accesses alone.
 
-    Keys are the country, the day and the resource, so a slice's list is bounded by the watch lists. The first access
-    per key is a partial aggregate over the sensitive accesses alone.
+    Keys are the country, the day and the resource, so a user's list for a slice is bounded by the watch lists.
     """
     keyed = events.filter(on_sensitive_resource(policy)).select(
         "user_id",
@@ -60,31 +76,48 @@ def first_uses(events: DataFrame, policy: Policy = DEFAULT_POLICY) -> DataFrame:
             )
         ).alias("k"),
     )
-    firsts = keyed.groupBy("user_id", "k").agg(F.min("at").alias("first"))
+    return keyed.groupBy("user_id", "k").agg(F.min("at").alias("first")).select("user_id", "k.rule", "k.key", "first")
+
+
+def first_uses(events: DataFrame, policy: Policy = DEFAULT_POLICY, used: DataFrame | None = None) -> DataFrame:
+    """Per user and slice, the sensitive accesses that are a user's first for some rule key not in ``used``."""
+    firsts = first_per_key(events, policy)
+    if used is not None:
+        firsts = firsts.join(used, ["user_id", "rule", "key"], "left_anti")
     return (
         firsts.withColumn("slice", slice_start("first.ts", policy.slice_seconds))
         .groupBy(*SLICE)
-        .agg(F.collect_list(F.struct("k.rule", "first.event_id")).alias("firsts"))
+        .agg(F.collect_list(F.struct("rule", "first.event_id")).alias("firsts"))
     )
 
 
-def detect(events: DataFrame, policy: Policy = DEFAULT_POLICY) -> DataFrame:
+def detect(events: DataFrame, policy: Policy = DEFAULT_POLICY, before: Before | None = None) -> DataFrame:
     """Every event with ``trailing_failures``, ``ordinal``, ``score`` and one flag per rule that fires on it.
 
     The events are shuffled once, on ``(user_id, slice)``. A brute-force alert fires on the first event of a clock
     minute with too many recent failures, which lies within a slice; for the other rules the first event per key comes
-    with the slice from :func:`first_uses`.
+    with the slice from :func:`first_uses`. With ``before``, the events go on from it; all of them are later than its tail.
     """
     over = F.col("trailing_failures") > policy.stream_burst_over
     minute = F.col("ts") - F.make_dt_interval(secs=F.extract(F.lit("SECOND"), "ts"))
     earlier = in_slice_order().rowsBetween(Window.unboundedPreceding, -1)
     last_over = F.max(F.when(over, F.col("ts"))).over(earlier)
+    rows = events.select(*CONTEXT)
+    if before is not None:
+        rows = rows.withColumn("settled", F.lit(False)).unionByName(before.tail.select(*CONTEXT, F.lit(True).alias("settled")))
     recent = (
-        with_recent_failures(events.select(*CONTEXT), policy)
+        with_recent_failures(rows, policy)
         .withColumn("last_over", last_over)
         .withColumn(FLAGS[config.BRUTE_FORCE], over & (F.col("last_over").isNull() | (F.col("last_over") < minute)))
     )
-    slices = slice_history(events, policy).join(first_uses(events, policy), SLICE, "left")
+    slices = slice_history(events, policy)
+    if before is not None:
+        own = F.sum((~F.col("settled")).cast("long")).over(in_slice_order().rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        recent = recent.withColumn("rank_in_slice", own).filter(~F.col("settled"))
+        known = F.coalesce(F.col("settled_events"), F.lit(0))
+        counts = before.counts.select("user_id", F.col("events").alias("settled_events"))
+        slices = slices.join(counts, "user_id", "left").withColumn("events_before", F.col("events_before") + known)
+    slices = slices.join(first_uses(events, policy, before and before.keys), SLICE, "left")
     placed = recent.join(slices, SLICE).withColumn("ordinal", F.col("rank_in_slice") + F.col("events_before"))
 
     def is_first(rule):
@@ -105,6 +138,20 @@ def detect(events: DataFrame, policy: Policy = DEFAULT_POLICY) -> DataFrame:
     )
 
 
+def alert_candidates(detected: DataFrame, policy: Policy = DEFAULT_POLICY) -> DataFrame:
+    """``user_id``, ``alert_type`` and ``key`` for each event that meets a rule's condition, whether or not its key has fired
+    before. A key is the minute, country, day or resource for which a rule fires once. Use of a new resource is the event's flag."""
+    sensitive = on_sensitive_resource(policy)
+    met = [
+        (config.BRUTE_FORCE, F.col("trailing_failures") > policy.stream_burst_over, F.date_format("ts", "yyyy-MM-dd HH:mm")),
+        (config.SUSPICIOUS_COUNTRY, from_suspicious_country(policy) & sensitive, F.col("country")),
+        (config.OFF_HOURS, at_night(policy) & sensitive, day_of("ts").cast("string")),
+        (config.COMPROMISED_ACCOUNT, F.col(FLAGS[config.COMPROMISED_ACCOUNT]), F.col("resource")),
+    ]
+    held = [F.when(holds, F.struct(F.lit(rule).alias("alert_type"), key.alias("key"))) for rule, holds, key in met]
+    return detected.withColumn("met", F.explode(F.array_compact(F.array(*held)))).select("*", "met.*").drop("met")
+
+
 def alert_details(policy: Policy = DEFAULT_POLICY) -> dict[str, Column]:
     """The text of each rule's alert on a detected event."""
     reached = F.concat(F.lit("Access to "), F.col("resource"))

@@ -17,7 +17,7 @@ from gatelens.session import run_dir
 from gatelens.sinks import tables
 from gatelens.sources.access_log import TEXT_OPTIONS, parse_events, read_access_log, read_alerts, read_raw_log
 from gatelens.sources.adapter import access_events
-from gatelens.streaming import replay
+from gatelens.streaming import epochs, replay
 
 REGISTRY = {}
 
@@ -299,3 +299,14 @@ def stream_hourly_kpis(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def stream_slow_brute_force(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replay.run_slow_brute_force(spark, replay.adapted_stream(sf_dir))
+
+
+@query
+def stream_epoch_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = epochs.run_epochs(spark, replay.adapted_stream(sf_dir))
+    return stream_rules.fired_alerts(epochs.scored(spark, folder)).select(*STREAM_ALERT)
+
+
+@query
+def stream_alert_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return replay.run_alert_keys(spark, replay.run_detection(spark, replay.adapted_stream(sf_dir)))

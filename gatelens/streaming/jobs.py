@@ -25,7 +25,7 @@ from gatelens.operators.running import with_running_totals
 from gatelens.plans.feed import feed_records
 from gatelens.plans.enrichment import INPUT
 from gatelens.plans.outbox import render
-from gatelens.plans.stream_rules import CONTEXT, contextual_score, n_alerts
+from gatelens.plans.stream_rules import CONTEXT, alert_candidates, contextual_score, n_alerts
 from gatelens.session import ROCKSDB_PROVIDER
 from gatelens.streaming.processor import OUTPUT, DetectionProcessor, FirstAlertProcessor
 
@@ -75,6 +75,17 @@ def detect(events: DataFrame, policy: Policy = DEFAULT_POLICY, delay: str = "10
     )
 
 
+def alert_keys(scored: DataFrame, policy: Policy = DEFAULT_POLICY, span: str = "1 day") -> DataFrame:
+    """Stream of distinct alerts, ``user_id``, ``alert_type`` and ``key``, by Spark's own deduplication: no Python, and state that goes by itself.
+
+    Of a key's events any one may be the first to arrive, so only what they share is given. A key is kept for ``span`` after its first
+    event, and rows may be late by as much: a day covers the rules whose key is a minute or a day; a country that
+    comes up again after a longer time is an alert again.
+    """
+    keys = ["user_id", "alert_type", "key"]
+    return with_event_time(alert_candidates(scored, policy), span).dropDuplicatesWithinWatermark(keys).select(*keys)
+
+
 def slow_brute_force(events: DataFrame, policy: Policy = DEFAULT_POLICY, delay: str = "10 minutes") -> DataFrame:
     """The slow brute-force rule as a tumbling day window that reports once the day is closed."""
     failures = with_event_time(events, delay).filter(is_failed())

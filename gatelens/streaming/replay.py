@@ -174,6 +174,16 @@ def run_outbox(spark: SparkSession, run: str, policy: Policy = DEFAULT_POLICY) -
     return jobs.stored(spark, f"{folder}/outbox", jobs.OUTBOX).drop("run", "epoch")
 
 
+def run_alert_keys(spark: SparkSession, run: str, policy: Policy = DEFAULT_POLICY, span: str = "3650 days") -> DataFrame:
+    """Distinct alerts of a detection run; with so long a span each key is kept to the end."""
+    session = jobs.job_session(spark)
+    schema = scored_table(session, run).schema
+    scored = session.readStream.schema(schema).option("maxFilesPerTrigger", MAX_FILES).parquet(f"{run}/scored")
+    folder = run_dir(spark, "keys")
+    finish(jobs.to_files(jobs.alert_keys(scored, policy, span), f"{folder}/keys", f"{folder}/checkpoint"))
+    return spark.read.schema("user_id string, alert_type string, key string").parquet(f"{folder}/keys")
+
+
 def run_hourly_kpis(spark: SparkSession, run: str) -> DataFrame:
     """Running totals per hour of a detection run."""
     session = jobs.job_session(spark)

@@ -70,6 +70,24 @@ def test_feed_equals_window_form_under_any_admission(spark, frame, log, delay):
     assert same(got, feed.feed_json(stream_rules.detect(frame(log)), "analyst"))
 
 
+def test_builtin_dedup_gives_each_key_once(spark, run, log):
+    """Equal to the keys of the alerts that fired; and with a short span a key comes again after it."""
+    scored = replay.scored_table(spark, run)
+    got = [tuple(r) for r in replay.run_alert_keys(spark, run).collect()]
+    fired = stream_rules.fired_alerts(scored).select("user_id", "alert_type").collect()
+    assert len(got) == len(set(got)) == len(fired) > 0
+    assert sorted(r[:2] for r in got) == sorted(map(tuple, fired))
+    assert set(got) == {tuple(r) for r in stream_rules.alert_candidates(scored).select("user_id", "alert_type", "key").collect()}
+    session, out = jobs.job_session(spark), run_dir(spark, "keys")
+    ordered = run_dir(spark, "ordered")
+    for k in range(5):  # the same events in five months; a key goes in the batch after the one that moved the watermark past it
+        scored.withColumn("ts", F.col("ts") + F.make_interval(months=F.lit(k))).coalesce(1).write.mode("append").parquet(ordered)
+    stream = session.readStream.schema(scored.schema).option("maxFilesPerTrigger", 1).parquet(ordered)
+    replay.finish(jobs.to_files(jobs.alert_keys(stream, span="8 days"), f"{out}/keys", f"{out}/checkpoint"))
+    again = [tuple(r) for r in spark.read.parquet(f"{out}/keys").collect()]
+    assert len(again) > len(set(again)) and set(got) <= set(again)
+
+
 def test_outbox_equals_window_form(spark, frame, run, log):
     expected = outbox.notification_outbox(stream_rules.stream_alerts(frame(log)))
     assert expected.count() > 0
