@@ -486,3 +486,10 @@ FROM scored GROUP BY user_id""",
 ) SELECT *, {_rate_text('total_alerts', 'total_events')} AS rate FROM totals""",
     "stream_slow_brute_force": _SLOW,
 }
+
+# What an epoch keeps up must, at the end, hold what the queries over the whole table give
+ORACLES["stream_newest_alerts"] = ORACLES["recent_alerts"]
+ORACLES["stream_newest_events"] = ORACLES["recent_events"]
+ORACLES["stream_report"] = ORACLES["stream_summary"]
+ORACLES["stream_totals"] = f"""{_SCORED} SELECT (SELECT count(*) FROM ev) AS events, (SELECT count(*) FROM sa) AS alerts,
+       (SELECT count(DISTINCT user_id) FROM sa) AS alerted_users"""

@@ -252,7 +252,11 @@ def stream_summary(detected: DataFrame, policy: Policy = DEFAULT_POLICY, top_use
     One pass counts events and alerts per user; each section is then a sum over that table.
     """
     counts = [F.count_if(flag).alias(flag) for flag in FLAGS.values()]
-    per_user = detected.groupBy("user_id").agg(F.count("*").alias("events"), *counts)
+    return summary_of(detected.groupBy("user_id").agg(F.count("*").alias("events"), *counts), top_users)
+
+
+def summary_of(per_user: DataFrame, top_users: int = 5) -> DataFrame:
+    """The report from ``events`` and the alerts of each rule per user."""
     per_user = per_user.withColumn("alerts", sum((F.col(flag) for flag in FLAGS.values()), start=F.lit(0)))
     totals = per_user.agg(
         F.coalesce(F.sum("events"), F.lit(0)).alias("events"),

@@ -310,3 +310,14 @@ def stream_epoch_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def stream_alert_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replay.run_alert_keys(spark, replay.run_detection(spark, replay.adapted_stream(sf_dir)))
+
+
+def over_epochs(name, read):
+    """Register what a run by epochs over the table has kept up."""
+    REGISTRY[name] = lambda spark, sf_dir: read(spark, epochs.run_epochs(spark, replay.adapted_stream(sf_dir)))
+
+
+over_epochs("stream_newest_alerts", lambda spark, folder: epochs.newest_alerts(spark, folder).select(*STREAM_ALERT))
+over_epochs("stream_newest_events", epochs.newest_events)
+over_epochs("stream_totals", epochs.totals)
+over_epochs("stream_report", epochs.report)

@@ -10,6 +10,9 @@ only earlier ones, so a retry or a restart adds nothing twice.
 The same query writes what it doesn't take, with a reason, to a table of its own: rows without id, time or user, or that a parser has
 marked (``unreadable``), and rows from before the watermark (``late``). Accepted and set-aside rows together are the input.
 
+Beside that each epoch keeps up what a dashboard shows: the newest events and alerts, by merging an epoch's own newest with those before,
+and alert counts by user and rule, from which totals, alerted users and the closing report can be read at any time.
+
 Compared with the keyed state of ``processor.py``: an epoch costs a pass over counts and keys, so batches should be large.
 """
 
@@ -23,16 +26,20 @@ from pyspark.sql import functions as F
 from gatelens import config
 from gatelens.config import DEFAULT_POLICY, Policy
 from gatelens.functions.timeparts import seconds
-from gatelens.plans.stream_rules import CONTEXT, Before, detect, first_per_key, tail_seconds
+from gatelens.plans.stream_rules import CONTEXT, FLAGS, Before, detect, fired_alerts, first_per_key, summary_of, tail_seconds
 from gatelens.schema import ACCESS_EVENT
 from gatelens.session import run_dir
 from gatelens.streaming import jobs, replay
 
 WHOLE_EVERY = 10
+NEWEST_EVENTS, NEWEST_ALERTS = 100, 50
 END = datetime.fromisoformat(jobs.END_OF_REPLAY)
 
 OPEN = "event_id long, ts timestamp_ntz, user_id string, ip_address string, country string, status string, resource string"
 COUNTS, KEYS, MARK = "user_id string, events long", "user_id string, rule string, key string", "mark timestamp_ntz"
+ALERTS = "user_id string, alert_type string, n long"
+EVENT_LINE = "event_id long, ts timestamp_ntz, user_id string, country string, resource string, status string"
+ALERT_LINE = "event_id long, ts timestamp_ntz, user_id string, alert_type string, country string, resource string, score int, detail string, rule_order int"
 SET_ASIDE = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in ACCESS_EVENT.fields) + ", ts_text string, reason string"
 
 
@@ -81,6 +88,8 @@ class Epochs:
         counts = counts.groupBy("user_id").agg(F.sum("events").alias("events"))
         self._store(detect(closed, self.policy, Before(tail, counts, keys)), "scored", epoch)
 
+        self._keep_up(spark, epoch)
+
         recent = closed.unionByName(tail)
         if mark is not None:
             recent = recent.filter(F.col("ts") >= F.lit(mark) - seconds(tail_seconds(self.policy)))
@@ -97,6 +106,22 @@ class Epochs:
         self._store(spark.createDataFrame([(mark,)], MARK), "mark", epoch)
 
 
+    def _keep_up(self, spark: SparkSession, epoch: int) -> None:
+        """The newest events and alerts after this epoch, and what it adds to the alert counts."""
+        found = spark.read.parquet(f"{self.folder}/scored/run={self.run}/epoch={epoch}")
+        alerts = fired_alerts(found, self.policy)
+        for table, schema, rows, order, most in (
+            ("newest_events", EVENT_LINE, found, ("ts", "event_id"), NEWEST_EVENTS),
+            ("newest_alerts", ALERT_LINE, alerts, ("ts", "event_id", "rule_order"), NEWEST_ALERTS),
+        ):
+            before = self._read(spark, table, schema, epoch - 1, epoch - 1)
+            self._store(before.unionByName(rows.select(*before.columns)).orderBy(*map(F.desc, order)).limit(most), table, epoch)
+        more = alerts.groupBy("user_id", "alert_type").agg(F.count("*").alias("n"))
+        if epoch % WHOLE_EVERY == 0:
+            more = self._added(spark, "alerts", ALERTS, epoch).unionByName(more).groupBy("user_id", "alert_type").agg(F.sum("n").alias("n"))
+        self._store(more, "alerts", epoch)
+
+
 def write_epochs(events: DataFrame, folder: str, checkpoint: str, policy: Policy = DEFAULT_POLICY, delay: timedelta = timedelta(minutes=10), trigger=None):
     """Start the query: detected events go below ``folder/scored``, what isn't taken below ``folder/set_aside``.
 
@@ -129,3 +154,41 @@ def scored(spark: SparkSession, folder: str) -> DataFrame:
 def set_aside(spark: SparkSession, folder: str) -> DataFrame:
     """What a run hasn't taken, with the reason."""
     return jobs.stored(spark, f"{folder}/set_aside", SET_ASIDE).drop("run", "epoch")
+
+
+def _state(spark: SparkSession, folder: str) -> tuple[Epochs, int]:
+    """The latest run's tables and its number of epochs that are settled."""
+    last = jobs.stored(spark, f"{folder}/mark", MARK).agg(F.max(F.struct("epoch", "run"))).first()[0]
+    return Epochs(folder, last.run if last else "", DEFAULT_POLICY, timedelta()), last.epoch + 1 if last else 0
+
+
+def newest_events(spark: SparkSession, folder: str) -> DataFrame:
+    """The newest events of a run that may still go on."""
+    epochs, n = _state(spark, folder)
+    return epochs._read(spark, "newest_events", EVENT_LINE, n - 1, n - 1)
+
+
+def newest_alerts(spark: SparkSession, folder: str) -> DataFrame:
+    epochs, n = _state(spark, folder)
+    return epochs._read(spark, "newest_alerts", ALERT_LINE, n - 1, n - 1)
+
+
+def per_user(spark: SparkSession, folder: str) -> DataFrame:
+    """``user_id``, ``events`` and the alerts of each rule so far, by the rules' flag names."""
+    epochs, n = _state(spark, folder)
+    counts = epochs._added(spark, "counts", COUNTS, n).groupBy("user_id").agg(F.sum("events").alias("events"))
+    of_rule = [F.sum(F.when(F.col("alert_type") == rule, F.col("n"))).alias(flag) for rule, flag in FLAGS.items()]
+    alerts = epochs._added(spark, "alerts", ALERTS, n).groupBy("user_id").agg(*of_rule)
+    return counts.join(alerts, "user_id", "left").na.fill(0, list(FLAGS.values()))
+
+
+def totals(spark: SparkSession, folder: str) -> DataFrame:
+    """One row: ``events``, ``alerts`` and ``alerted_users`` so far."""
+    own = sum((F.col(flag) for flag in FLAGS.values()), start=F.lit(0).cast("long"))
+    sums = [F.coalesce(F.sum(c), F.lit(0)).cast("long") for c in (F.col("events"), own, (own > 0).cast("long"))]
+    return per_user(spark, folder).agg(*(c.alias(name) for c, name in zip(sums, ("events", "alerts", "alerted_users"))))
+
+
+def report(spark: SparkSession, folder: str, top_users: int = 5) -> DataFrame:
+    """The closing report as it stands now, from the counts by user."""
+    return summary_of(per_user(spark, folder), top_users)

@@ -35,6 +35,32 @@ def test_any_admission_gives_the_window_form(spark, frame, log):
         assert epochs.set_aside(spark, folder).count() == 0
 
 
+def test_what_a_dashboard_shows_is_kept_up(spark, frame, log, monkeypatch):
+    """After each epoch the newest lines are the newest of all that is settled; in the end totals and report are those of the window form."""
+    monkeypatch.setattr(epochs, "NEWEST_EVENTS", 7)
+    monkeypatch.setattr(epochs, "NEWEST_ALERTS", 5)
+    ordered = sorted(log, key=lambda r: (r["ts"], r["event_id"]))
+    folder = epochs.run_epochs(spark, replay.log_stream(write_files(spark, frame, in_files(ordered, 3)), max_files=1), delay=timedelta(seconds=1))
+    settled = [r.epoch for r in spark.read.parquet(f"{folder}/mark").select("epoch").orderBy("epoch").collect()]
+    assert settled == list(range(4))
+    for e in settled:
+        rows = spark.read.parquet(f"{folder}/scored").filter(F.col("epoch") <= e)
+        alerts = stream_rules.fired_alerts(rows).orderBy(F.desc("ts"), F.desc("event_id"), F.desc("rule_order")).limit(5).select("event_id", "alert_type")
+        assert same(spark.read.parquet(f"{folder}/newest_alerts").filter(F.col("epoch") == e).select("event_id", "alert_type"), alerts)
+        events = rows.orderBy(F.desc("ts"), F.desc("event_id")).limit(7).select("event_id")
+        assert same(spark.read.parquet(f"{folder}/newest_events").filter(F.col("epoch") == e).select("event_id"), events)
+    detected = stream_rules.detect(frame(log))
+    assert same(epochs.report(spark, folder), stream_rules.stream_summary(detected))
+    fired = stream_rules.fired_alerts(detected)
+    assert tuple(epochs.totals(spark, folder).first()) == (len(log), fired.count(), fired.select("user_id").distinct().count())
+
+
+def test_nothing_is_kept_before_the_first_epoch(spark):
+    folder = run_dir(spark, "none")
+    assert epochs.newest_events(spark, folder).count() == epochs.newest_alerts(spark, folder).count() == 0
+    assert tuple(epochs.totals(spark, folder).first()) == (0, 0, 0)
+
+
 def test_bursts_go_on_over_epochs(spark, frame):
     """A minute that has fired doesn't fire again in the next epoch, and failures of the epoch before count."""
     rows = [row(f"2024-03-04 10:{s // 60:02d}:{s % 60:02d}", "failed") for s in range(0, 240, 5)]
