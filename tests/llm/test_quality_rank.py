@@ -1,6 +1,9 @@
 from __future__ import annotations
 
+import math
 import random
+import re
+import zlib
 
 import numpy as np
 from odd import ODD, fold
@@ -36,6 +39,43 @@ def test_held_out_ranking_and_threshold(spark, docs, folder):
     assert np.mean([p == q for _, q, p in held]) > 0.95
 
 
+def plain_shape(text):
+    """The sixteen features, one by one, on UTF-8 bytes."""
+    data = (text or "").encode()
+    words = re.findall(rb"[^\x20\x09-\x0d]+", data)
+    upper, lower = len(re.findall(rb"[A-Z]", data)), len(re.findall(rb"[a-z\x80-\xff]", data))
+    symbols = len(re.findall(rb"[^A-Za-z0-9\x80-\xff\x20\x09-\x0d]", data))
+    n, size = len(words) or 1, len(data) or 1
+    lines = [line for line in data.split(b"\n") if re.search(rb"[^\x20\x09-\x0d]", line)]
+    third = len(words) // 3 or 1
+    parts = [words[k : k + third] for k in range(0, len(words), third)]
+    return [
+        math.log(1 + len(words)), sum(len(w) for w in words) / n, upper / ((upper + lower) or 1), symbols / size, len(re.findall(rb"[0-9]", data)) / size,
+        math.log(1 + len(set(words))) / math.log(1 + n), sum(words[k] == words[k - 1] for k in range(1, len(words))) / n,
+        max((words.count(w) for w in set(words)), default=0) / n, sum(chr(w[-1]) in "!*#$%&|@^~=<>" for w in words) / n, len(lines) / n,
+        1 - len(set(lines)) / (len(lines) or 1), max((len(x) for x in lines), default=0) / size, len(zlib.compress(data, 1)) / size,
+        sum(w[:1].isupper() for w in words) / n, sum(len(w) > 20 for w in words) / n,
+        min((len(set(x)) / third for x in parts if len(x) == third), default=0.0),
+    ]
+
+
+def test_scores_equal_a_plain_sum_over_bins(docs):
+    rows, labels = corpus(150)
+    values = np.array([m.shape(t.encode()) for _, t in rows])
+    ranking = m.fit_ranking(values, np.array([q for _, q in labels]))
+    ranking.cut, ranking.scale = 0.7, 1.3
+    rows = rows + ODD + [(900, "Line one\n\nLine one\n \nx = 5 %\n"), (901, "a" * 50 + " " + "É" * 30)]
+    got = sorted(((r.text or "", r.quality_score) for r in m.with_quality(docs(rows), ranking).collect()), key=str)
+    bins, expected = m.BINS, []
+    for _, text in rows:
+        raw = 0.0
+        for f, value in enumerate(plain_shape(text)):
+            raw += ranking.weights[f * bins + sum(edge <= value for edge in ranking.edges[f].tolist())]
+        expected.append((text or "", 1 / (1 + math.exp(-(1.3 * (raw - 0.7) + math.log(0.3 / 0.7))))))
+    for (text, score), (other, plain) in zip(got, sorted(expected, key=str)):
+        assert text == other and abs(score - plain) < 1e-5, text[:80]
+
+
 def test_pairs_set_the_order_not_the_level():
     """Bradley-Terry sees differences only: a constant feature gets no weight."""
     rng = np.random.default_rng(2)

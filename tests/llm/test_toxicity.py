@@ -1,9 +1,13 @@
 from __future__ import annotations
 
+import math
 import random
+import re
+from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 from odd import ODD, fold
 from pyspark.sql import functions as F
 
@@ -38,6 +42,27 @@ def chain(spark, docs, corpus):
     return m.fit(sample, ("rude", "threat"))
 
 
+def plain_probabilities(chain, text):
+    """The chain, one document and one feature at a time."""
+    words = set(re.findall(rb"[a-z0-9\x80-\xff]+", re.sub(rb"[A-Z]", lambda c: c[0].lower(), (text or "").encode())))
+    parts = [b"w" + w for w in words] + [str(n).encode() + w[:n] for w in words for n in (4, 5, 6, 7) if len(w) >= n]
+    cells = Counter(xxhash.xxh3_64_intdigest(x) % 2**m.BITS for x in parts)
+    logits = []
+    for model in chain.models:
+        z = model.bias + sum(float(model.weights[c]) * math.log2(1 + n) for c, n in cells.items()) + sum(x * w for x, w in zip(logits, model.chained))
+        logits.append(min(8, max(-8, z)))
+    return [1 / (1 + math.exp(-z)) for z in logits]
+
+
+def test_rows_equal_a_plain_chain(docs, corpus, chain):
+    rows = corpus[0][:150] + ODD + [(800, "Nitwit! BEWARE, scoundrel-ly; ünïcödé scoundrels 123 beware")]
+    got = sorted(((r.text or "", r.t.p_rude, r.t.p_threat, r.t.rude, r.t.threat) for r in m.with_toxicity(docs(rows), chain, "t").collect()), key=lambda r: r[0])
+    expected = sorted(((text or "", *plain_probabilities(chain, text)) for _, text in rows), key=lambda r: r[0])
+    for (text, p, q, rude, threat), (other, plain_p, plain_q) in zip(got, expected, strict=True):
+        assert text == other and p == pytest.approx(plain_p, abs=1e-5) and q == pytest.approx(plain_q, abs=1e-5)
+        assert (rude, threat) == (p >= chain.thresholds[0], q >= chain.thresholds[1])
+
+
 def test_held_out_accuracy(spark, docs, corpus, chain):
     rows, labels = corpus
     got = {r.doc_id: r.t for r in m.with_toxicity(docs(rows), chain, "t").collect()}
