@@ -43,7 +43,7 @@ BATCH = [
     "running_kpis",
     "notification_outbox",
 ]
-STREAMING = ["stream_alerts_dedup", "stream_slow_brute_force"]
+STREAMING = ["stream_alerts_dedup", "stream_slow_brute_force", "stream_epoch_alerts"]
 
 
 #: How often each event of the table is taken for the two hot logs.
