@@ -5,8 +5,9 @@ sums over all its segmentations into pieces, by a forward pass; a text's is the
 are fitted by expectation and maximisation (forward and backward passes give each piece's expected count) on word counts
 of a bounded sample of labelled documents, ``most_fitted`` per language by hash; both steps run over Spark's partitions.
 
-Words are runs of letters, lower-cased; a word of more than 24 letters is taken 24 at a time. A letter that no piece holds
-is an unknown piece.
+Words are runs of letters, lower-cased and whole, whatever their length; pieces have any length up to the vocabulary's longest.
+The passes keep as many letters as that at a time, and scale their probabilities on the way, so that long words neither
+underflow nor fill the memory. A letter that no piece holds is an unknown piece.
 
 Defined cases: null text or a text without a letter is ``und`` with score 0; so is every text if no language is learned;
 empty texts likewise; rows with equal ids are predicted each; a null id counts as empty text for its fold; between
@@ -18,6 +19,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -30,11 +32,12 @@ from gatelens.llm.words import MULTIPLIERS, mixed
 
 FOLDS, HELD = 5, 0
 MOST_FITTED, ROUNDS = 1000, 4
-LONGEST_PIECE, LONGEST_WORD = 8, 24
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 WORD_START = "▁"
 LETTERS = re.compile(r"[^\W\d_]+")
 WORDS_AT_ONCE = 400_000
+#: Words of one length in a pass, places of its lattice held at a time, letters between two scalings, parts of a language that are ranked apart.
+ABREAST, PLACES, SCALED, SALTS = 10_000, 2_000_000, 8, 64
 UNDETERMINED = "und"
 
 
@@ -48,13 +51,9 @@ def load_pieces(path: str = VOCABULARY) -> dict[str, int]:
 
 
 def words_of(text: str | None) -> list[str]:
-    """Lower-cased runs of letters, each after a word-start mark; the parts of long ones after the first have none."""
-    out = []
-    for word in LETTERS.findall(text.lower()) if text else ():
-        if word.isalpha() or any(c.isalpha() for c in word):
-            out.append(WORD_START + word[:LONGEST_WORD])
-            out += [word[k : k + LONGEST_WORD] for k in range(LONGEST_WORD, len(word), LONGEST_WORD)]
-    return out
+    """Lower-cased runs of letters, each after a word-start mark."""
+    found = LETTERS.findall(text.lower()) if text else ()
+    return [WORD_START + word for word in found if word.isalpha() or any(c.isalpha() for c in word)]
 
 
 class PieceTable:
@@ -63,7 +62,7 @@ class PieceTable:
     BITS = 21
 
     def __init__(self, pieces: dict[str, int]):
-        self.size = len(pieces)
+        self.size, self.longest = len(pieces), max(map(len, pieces), default=1)
         hashes = np.zeros(self.size, np.uint64)
         for piece, k in pieces.items():
             h = np.zeros((1, 1), np.uint64)
@@ -94,66 +93,101 @@ class PieceTable:
 
 def _codes(words: list[str]) -> np.ndarray:
     """Code points of words of one length, a row per word."""
-    return np.frombuffer("".join(words).encode("utf-32-le"), "<u4").reshape(len(words), -1).astype(np.uint64)
+    return np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4").reshape(len(words), -1)
 
 
 def _longer(h: np.ndarray, codes: np.ndarray) -> np.ndarray:
-    return h * MULTIPLIERS[0] + codes + np.uint64(1)
+    return h * MULTIPLIERS[0] + codes.astype(np.uint64) + np.uint64(1)
 
 
 def _finished(h: np.ndarray, size: int) -> np.ndarray:
     return mixed(h ^ (np.uint64(size) << np.uint64(56)))
 
 
-def lattice(words: list[str], pieces: PieceTable) -> np.ndarray:
-    """Of words of one length: the piece that ends at each letter with each length. Two numbers beyond the pieces mean the unknown piece and none."""
+class Hits(NamedTuple):
+    """Pieces in words of one length, by end (letters up to there), then word. Each word has one or more at each end."""
+
+    end: np.ndarray
+    word: np.ndarray
+    size: np.ndarray
+    piece: np.ndarray
+
+
+def lattice(codes: np.ndarray, pieces: PieceTable, low: int, high: int) -> Hits:
+    """The pieces that end after ``low`` and not after ``high`` letters. The number beyond the pieces means the unknown piece."""
     unknown, none = pieces.size, pieces.size + 1
-    codes, m = _codes(words), len(words[0])
-    found = np.full((len(words), m, LONGEST_PIECE), none, np.int32)
+    first = max(0, low - pieces.longest + 1)
+    codes = codes[:, first:high]
+    n, m = codes.shape
+    found = np.full((high - low, n, min(pieces.longest, m)), none, np.int32)
     h = np.zeros(codes.shape, np.uint64)
-    for size in range(1, min(LONGEST_PIECE, m) + 1):
+    for size in range(1, found.shape[2] + 1):
         h = _longer(h[:, : m - size + 1], codes[:, size - 1 :])
-        found[:, size - 1 :, size - 1] = pieces.find(_finished(h, size))
+        skipped = max(0, low - first - size + 1)  # these end before the range
+        at = first + skipped + size - 1 - low
+        found[at:, :, size - 1] = pieces.find(_finished(h[:, skipped:], size)).T
     letters = found[:, :, 0]
     letters[letters == none] = unknown
-    return found
-
-
-def forward(found: np.ndarray, p: np.ndarray) -> np.ndarray:
-    """Probabilities of each word's beginnings: (words, letters + 1, languages); ``p`` is (pieces + 2, languages)."""
-    n, m, _ = found.shape
-    alpha = np.zeros((n, m + 1, p.shape[1]))
-    alpha[:, 0] = 1
-    for end in range(1, m + 1):
-        for size in range(1, min(LONGEST_PIECE, end) + 1):
-            alpha[:, end] += alpha[:, end - size] * p[found[:, end - 1, size - 1]]
-    return alpha
-
-
-def expected(found: np.ndarray, p: np.ndarray, times: np.ndarray) -> np.ndarray:
-    """Expected counts of the pieces in words that occur ``times`` often, for one language: ``p`` is (pieces + 2, 1)."""
-    n, m, _ = found.shape
-    alpha = forward(found, p)[:, :, 0]
-    beta = np.zeros((n, m + 1))
-    beta[:, m] = 1
-    for start in range(m - 1, -1, -1):
-        for size in range(1, min(LONGEST_PIECE, m - start) + 1):
-            beta[:, start] += beta[:, start + size] * p[found[:, start + size - 1, size - 1], 0]
+    end, word, size = np.nonzero(found != none)
+    return Hits(end + low + 1, word, size + 1, found[end, word, size])
+
+
+def passed(codes: np.ndarray, pieces: PieceTable, p: np.ndarray, each: bool = False) -> np.ndarray:
+    """Logarithms of the words' probabilities, (words, languages); ``p`` is (pieces + 2, languages). If ``each``, those of
+    all their beginnings: (letters + 1, words, languages)."""
+    n, m = codes.shape
+    reach = pieces.longest
+    step = max(SCALED, PLACES // (n * reach))
+    alpha = np.zeros((reach + min(step, m) + 1, n, p.shape[1]))  # beginnings of low - reach letters and more
+    alpha[reach] = 1
+    scale = np.zeros(alpha.shape[1:])
+    logs = [scale[None]] if each else []
+    for low in range(0, m, step):
+        high = min(m, low + step)
+        hits = lattice(codes, pieces, low, high)
+        starts = np.flatnonzero(np.r_[True, (hits.word[1:] != hits.word[:-1]) | (hits.end[1:] != hits.end[:-1])]).reshape(high - low, n)
+        cuts = np.r_[starts[:, 0], len(hits.end)]
+        back = hits.end - hits.size - low + reach
+        for k in range(high - low):
+            own, now = slice(cuts[k], cuts[k + 1]), k + 1 + reach
+            alpha[now] = np.add.reduceat(alpha[back[own], hits.word[own]] * p[hits.piece[own]], starts[k] - cuts[k], axis=0)
+            if each:
+                logs.append((np.log(alpha[now]) + scale)[None])
+            if (low + k + 1) % SCALED == 0:
+                window = alpha[now - reach + 1 : now + 1]
+                largest = window.max(0)
+                window /= largest
+                scale = scale + np.log(largest)
+        alpha[1 : reach + 1] = alpha[high - low + 1 : high - low + reach + 1].copy()
+    return np.concatenate(logs) if each else np.log(alpha[reach]) + scale
+
+
+def backward_table(pieces: dict[str, int]) -> PieceTable:
+    """The same numbers for the pieces read from their ends."""
+    return PieceTable({piece[::-1]: k for piece, k in pieces.items()})
+
+
+def expected(words: list[str], pieces: PieceTable, backwards: PieceTable, p: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """Expected counts of the pieces in words of one length that occur ``times`` often, for one language: ``p`` is (pieces + 2, 1)."""
+    codes = _codes(words)
+    n, m = codes.shape
+    forward = passed(codes, pieces, p, each=True)[:, :, 0]
+    backward = passed(codes[:, ::-1], backwards, p, each=True)[::-1, :, 0]
     out = np.zeros(len(p))
-    weight = times / np.maximum(alpha[:, m], 1e-300)
-    for end in range(1, m + 1):
-        for size in range(1, min(LONGEST_PIECE, end) + 1):
-            k = found[:, end - 1, size - 1]
-            out += np.bincount(k, alpha[:, end - size] * p[k, 0] * beta[:, end] * weight, len(p))
+    step = max(SCALED, PLACES // (n * pieces.longest))
+    for low in range(0, m, step):
+        end, word, size, piece = lattice(codes, pieces, low, min(m, low + step))
+        share = np.exp(forward[end - size, word] + backward[end, word] - forward[m, word])
+        out += np.bincount(piece, share * p[piece, 0] * times[word], len(p))
     return out
 
 
 def by_length(words: list[str]) -> Iterator[np.ndarray]:
-    """Places of the words, those of one length together, at most 20,000 at a time."""
+    """Places of the words, those of one length together, at most ``ABREAST`` at a time."""
     lengths = np.array([len(w) for w in words])
     order = np.argsort(lengths, kind="stable")
     for part in np.split(order, np.flatnonzero(np.diff(lengths[order])) + 1) if len(words) else ():
-        yield from (part[k : k + 20_000] for k in range(0, len(part), 20_000))
+        yield from (part[k : k + ABREAST] for k in range(0, len(part), ABREAST))
 
 
 class LanguageModel:
@@ -165,7 +199,7 @@ class LanguageModel:
     def word_scores(self, words: list[str]) -> np.ndarray:
         out = np.zeros((len(words), len(self.languages)))
         for at in by_length(words):
-            out[at] = np.log(np.maximum(forward(lattice([words[k] for k in at], self.pieces), self.p)[:, -1], 1e-300))
+            out[at] = passed(_codes([words[k] for k in at]), self.pieces, self.p)
         return out
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
@@ -202,7 +236,7 @@ def word_counts(sample: DataFrame) -> DataFrame:
     return rows.groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
-def _expectation(model):
+def _expectation(model, backwards):
     def step(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m: LanguageModel = model.value
         total = np.zeros_like(m.p)
@@ -211,7 +245,7 @@ def _expectation(model):
                 k = m.languages.index(lang)
                 words, times = rows["word"].tolist(), rows["n"].to_numpy(float)
                 for at in by_length(words):
-                    total[:, k] += expected(lattice([words[j] for j in at], m.pieces), m.p[:, k : k + 1], times[at])
+                    total[:, k] += expected([words[j] for j in at], m.pieces, backwards.value, m.p[:, k : k + 1], times[at])
         piece, lang = np.nonzero(total)
         yield pd.DataFrame({"piece": piece, "lang": lang, "n": total[piece, lang]})
 
@@ -221,23 +255,29 @@ def _expectation(model):
 def fit(docs: DataFrame, pieces: dict[str, int], most_fitted: int = MOST_FITTED, rounds: int = ROUNDS) -> LanguageModel:
     """Piece probabilities from ``doc_id``, ``text`` and ``lang`` of the rows whose language is known."""
     spark = docs.sparkSession
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit("fit")), "doc_id")
     known = docs.filter(F.col("lang").isNotNull())
-    chosen = known.select("doc_id", "lang").withColumn("place", F.row_number().over(first)).filter(F.col("place") <= most_fitted)
+    chosen = known.select("doc_id", "lang").withColumn("salt", F.pmod(F.xxhash64("doc_id", F.lit("salt")), F.lit(SALTS)))
+    # The first of each part of a language, then of the language: what one task ranks is bounded.
+    for group in (["lang", "salt"], ["lang"]):
+        first = Window.partitionBy(*group).orderBy(F.xxhash64("doc_id", F.lit("fit")), "doc_id")
+        chosen = chosen.withColumn("place", F.row_number().over(first)).filter(F.col("place") <= most_fitted).drop("place")
     chosen = chosen.select("doc_id", "lang").distinct()
     counts = saved(word_counts(known.join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi")).repartition("word"), "words")
     languages = sorted(r[0] for r in counts.select("lang").distinct().collect())
     table = PieceTable(pieces)
     p = np.full((len(pieces) + 2, len(languages)), 1 / (len(pieces) + 1))
     p[-1] = 0
+    backwards = spark.sparkContext.broadcast(backward_table(pieces))
     for _ in range(rounds if languages else 0):
         model = spark.sparkContext.broadcast(LanguageModel(languages, table, p))
-        got = counts.mapInPandas(_expectation(model), "piece int, lang int, n double").groupBy("piece", "lang").agg(F.sum("n").alias("n")).toPandas()
+        got = counts.mapInPandas(_expectation(model, backwards), "piece int, lang int, n double").groupBy("piece", "lang").agg(F.sum("n").alias("n")).toPandas()
         n = np.zeros_like(p)
+        model.destroy()
         n[got["piece"], got["lang"]] = got["n"]
         n[:-1] += 0.1  # no piece is impossible
         n[-1] = 0
         p = n / n.sum(0)
+    backwards.destroy()
     return LanguageModel(languages, table, p)
 
 

@@ -20,7 +20,7 @@ def corpus(n=240):
     return rows
 
 
-def segmentations(word, longest=m.LONGEST_PIECE):
+def segmentations(word, longest=16):
     if not word:
         yield ()
     for k in range(1, min(longest, len(word)) + 1):
@@ -45,24 +45,58 @@ def chance(parts, pieces, p):
     return out
 
 
+def total(word, pieces, p):
+    """The sum over all segmentations, by the last part."""
+    sums = [np.ones(p.shape[1])]
+    for end in range(1, len(word) + 1):
+        sums.append(sum(sums[start] * chance([word[start:end]], pieces, p) for start in range(end)))
+    return sums[-1]
+
+
 def test_forward_sums_all_segmentations(small):
     pieces, p = small
     for word in ("▁abab", "▁bba", "▁axb", "▁"):
         every = sum(chance(s, pieces, p) for s in segmentations(word))
-        assert np.allclose(m.forward(m.lattice([word], m.PieceTable(pieces)), p)[0, -1], every)
+        assert np.allclose(np.exp(m.passed(m._codes([word]), m.PieceTable(pieces), p)[0]), every)
+        assert np.allclose(total(word, pieces, p), every)
+
+
+@pytest.mark.parametrize("places", [m.PLACES, 40])
+def test_long_pieces_and_whole_words(monkeypatch, places):
+    """Words of more letters, and pieces of more, than are scaled or held at a time."""
+    monkeypatch.setattr(m, "PLACES", places)
+    pieces = {q: k for k, q in enumerate(["a", "b", "▁", "ab", "bbabbabbabbabbab", "abbabbabbabb", "▁abbabbabbab", "babbabba"])}
+    rng = np.random.default_rng(8)
+    p = rng.random((len(pieces) + 2, 3))
+    p[-1] = 0
+    p /= p.sum(0)
+    words = ["▁" + "abb" * 13, "▁" + "bba" * 13, "▁" + "ab" * 19 + "x"]
+    got = np.exp(m.passed(m._codes(words), m.PieceTable(pieces), p))
+    assert np.allclose(got, [total(w, pieces, p) for w in words], rtol=1e-9)
+    # Without the long pieces, the sum is another one.
+    short = {q: k for q, k in pieces.items() if len(q) < 8}
+    assert not np.allclose(got[0], total(words[0], short, p), rtol=1e-3)
+
+
+def test_very_long_word_does_not_underflow(small):
+    pieces, p = small
+    one, two = (m.passed(m._codes(["▁" + "ab" * k]), m.PieceTable(pieces), p)[0] for k in (3000, 6000))
+    assert np.isfinite(two).all() and np.allclose(two / one, 2, rtol=1e-2)
 
 
-def test_expected_counts(small):
+@pytest.mark.parametrize("places", [m.PLACES, 30])
+def test_expected_counts(small, monkeypatch, places):
+    monkeypatch.setattr(m, "PLACES", places)
     pieces, p = small
-    words, times = ["▁abab", "▁abba"], np.array([2.0, 3.0])
+    words, times = ["▁ababxbababba", "▁abbabbabbabb"], np.array([2.0, 3.0])
     count = np.zeros(len(p))
     for word, n in zip(words, times):
-        all_ = [(s, chance(s, pieces, p)[0]) for s in segmentations(word)]
-        total = sum(c for _, c in all_)
+        all_ = [(s, c) for s in segmentations(word, 3) if (c := chance(s, pieces, p)[0])]
+        whole = sum(c for _, c in all_)
         for s, c in all_:
-            for part in s if c else ():
-                count[pieces.get(part, len(pieces))] += n * c / total
-    assert np.allclose(m.expected(m.lattice(words, m.PieceTable(pieces)), p[:, :1], times)[:-1], count[:-1])
+            for part in s:
+                count[pieces.get(part, len(pieces))] += n * c / whole
+    assert np.allclose(m.expected(words, m.PieceTable(pieces), m.backward_table(pieces), p[:, :1], times)[:-1], count[:-1])
 
 
 def test_held_out_accuracy_and_learning_rows(spark, docs, folder):
@@ -90,4 +124,5 @@ def test_nothing_to_learn(spark, docs, folder):
 
 def test_vocabulary():
     pieces = m.load_pieces()
+    assert m.PieceTable(pieces).longest == max(map(len, pieces)) > 8
     assert 25_000 < len(pieces) <= 32_000 and sorted(pieces.values()) == list(range(len(pieces))) and "▁the" in pieces
