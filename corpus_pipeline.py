@@ -3,10 +3,20 @@ benchmark passages go, secrets are blanked, and sources are mixed to target weig
 
 Each stage takes ``(spark, docs, sf_dir)`` and returns all documents that it keeps; all but the last return the columns of
 ``documents``. ``run`` writes each stage's documents as Parquet in the shared folder and gives them to the next.
+
+Defined cases, beside the operators' own: rows with null or repeated ids are decided on one by one; columns other than ``doc_id``,
+``text``, ``source`` and ``n_chars`` are passed on unread, whatever their names; the mix numbers its copies in ``copy``, or in ``copy_``
+(or more underscores) if the documents have a column of that name.
+
+A stage sets the session's bound on Arrow batches to ``BATCH_BYTES``: batches of long texts, held several times over by Spark and by the
+Python workers, would take more of an executor's memory than the work itself.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +24,31 @@ from gatelens.llm import ngram_join, phrase_index, secret_scan, source_mix, toxi
 from gatelens.llm.tables import read_table, saved
 
 
+BATCH_BYTES = 4 << 20
+READ = ("doc_id", "text", "source", "n_chars")
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def of_documents(stage: Stage) -> Stage:
+    """The stage with its columns' names, which can't clash with the documents' own: those that no stage reads go by number in it."""
+
+    @wraps(stage)
+    def on(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+        inner = docs.toDF(*(c if c.lower() in READ else f"other_{k}" for k, c in enumerate(docs.columns)))
+        out = stage(spark, inner, sf_dir)
+        taken, added = {c.lower() for c in docs.columns}, out.columns[len(docs.columns) :]
+        for k, name in enumerate(added):
+            while name.lower() in taken:
+                name += "_"
+            added[k] = name
+        return out.toDF(*docs.columns, *added)
+
+    return on
+
+
+@of_documents
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier chain doesn't find toxic. The decision is made where the text is; nothing is shuffled."""
     chain = toxicity.corpus_chain(spark, sf_dir, docs)
@@ -39,6 +74,7 @@ def without_keys(keyed: DataFrame, keys: DataFrame) -> DataFrame:
 SHINGLE_WORDS, SHINGLE_PERCENT = 5, 80
 
 
+@of_documents
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each component of the n-gram join: that with the smallest id, null ids last, and of equal ids the first stored."""
     keyed = with_key(docs)
@@ -49,6 +85,7 @@ def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -
     return without_keys(keyed, gone.select(F.col("__key").alias("doc_id")))
 
 
+@of_documents
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which the phrase index finds no benchmark phrase."""
     keyed = with_key(docs)
@@ -56,11 +93,13 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return without_keys(keyed, found.filter("n_hit > 0"))
 
 
+@of_documents
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, their secrets blanked."""
     return secret_scan.redacted(docs, secret_scan.fit(docs))
 
 
+@of_documents
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as its source's rate asks, numbered by ``copy``."""
     return source_mix.emit(source_mix.mix_plan(docs)).select(*docs.columns, "copy")
