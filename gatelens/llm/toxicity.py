@@ -85,19 +85,20 @@ def fit_linear(rows: list[Row], earlier: np.ndarray, y: np.ndarray, rounds: int
     rate = y.mean() if len(y) else 0.0
     if rate in (0.0, 1.0):
         return Linear(weights, chained, 8.0 if rate else -8.0)
-    cells, values = (np.concatenate(x) for x in zip(*rows))
-    owner = np.repeat(np.arange(len(rows)), [len(r[0]) for r in rows])
-    seen = np.bincount(cells, minlength=1 << BITS).astype(float)
-    positive = np.bincount(cells, y[owner], minlength=1 << BITS)
     n, p = len(y), y.sum()
+    seen, positive = np.zeros(1 << BITS), np.zeros(1 << BITS)
+    for (cells, _), label in zip(rows, y):  # a document's features are distinct
+        seen[cells] += 1
+        positive[cells] += label
     usual = seen * rate
     score = (positive - usual) ** 2 / np.maximum(usual * (1 - rate) * (1 - seen / n), 1e-9) * (seen >= 3) * (seen < n)
     kept = np.sort(np.argsort(-score, kind="stable")[:KEPT_FEATURES])
     kept = kept[score[kept] >= LEAST_ASSOCIATION]
     place = np.full(1 << BITS, -1)
     place[kept] = np.arange(len(kept))
-    inside = place[cells] >= 0
-    columns, owner, values = place[cells[inside]], owner[inside], values[inside]
+    inside = [place[cells] >= 0 for cells, _ in rows]
+    columns, values = (np.concatenate(x) for x in zip(*((place[cells[own]], values[own]) for (cells, values), own in zip(rows, inside))))
+    owner = np.repeat(np.arange(n), [own.sum() for own in inside])
     balance = np.where(y == 1, 0.5 / p, 0.5 / (n - p))
     w, c, b = np.zeros(len(kept)), np.zeros(earlier.shape[1]), 0.0
     # A feature's step shrinks with its share of the documents; Nesterov's momentum over all parameters.
