@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 import corpus_pipeline
 import pytest
 from odd import ODD
+from pyspark.sql import functions as F
 
 from gatelens.llm import secret_scan, source_mix
 from test_ngram_join import plain as plain_components
@@ -123,6 +124,20 @@ def test_run_gives_the_last_stage(spark, tables):
     assert out.columns == ["doc_id", "text", "lang", "source", "n_chars", "copy"] and out.count() > 50
 
 
+def test_clashing_names_are_passed_on(spark, tables, folder):
+    """Columns named like those that stages add keep their values, at each stage and in the mix."""
+    names = ["copy", "size", "Target", "rate", "copies", "source_size", "__key", "__toxicity", "__gone", "__kept_text", "component_id", "a.b"]
+    plain = spark.read.parquet(f"{tables[2]}/documents.parquet").filter("doc_id is not null")
+    docs = plain.select("*", *(F.concat(F.lit(f"{n}:"), F.col("doc_id").cast("string")).alias(n) for n in names))
+    read = lambda name: spark.read.parquet(f"{tables[2]}/{name}.parquet")
+    path = folder(documents=docs, benchmark=read("benchmark"), labels=read("labels"))
+    out = corpus_pipeline.saved(corpus_pipeline.run(spark, path), "out")
+    assert out.columns == [*docs.columns, "copy_"]
+    rows = out.collect()
+    assert rows and all(r[n] == f"{n}:{r.doc_id}" for r in rows for n in names) and all(r.copy_ >= 1 for r in rows)
+    assert Counter((r.doc_id, r.text, r.copy_) for r in rows) == Counter((r.doc_id, r.text, r["copy"]) for r in corpus_pipeline.run(spark, folder(documents=plain, benchmark=read("benchmark"), labels=read("labels"))).collect())
+
+
 def test_empty_documents(spark, docs, folder, tables):
     path = folder(documents=docs([]), benchmark=spark.createDataFrame(ITEMS, "item_id long, text string"), labels=spark.createDataFrame([], "doc_id long, quality int, toxic int"))
     assert corpus_pipeline.run(spark, path).count() == 0
