@@ -493,3 +493,25 @@ ORACLES["stream_newest_events"] = ORACLES["recent_events"]
 ORACLES["stream_report"] = ORACLES["stream_summary"]
 ORACLES["stream_totals"] = f"""{_SCORED} SELECT (SELECT count(*) FROM ev) AS events, (SELECT count(*) FROM sa) AS alerts,
        (SELECT count(DISTINCT user_id) FROM sa) AS alerted_users"""
+
+# A second run that goes on from the first one's state must give what one run over all gives
+ORACLES["stream_resumed_alerts"] = ORACLES["stream_epoch_alerts"]
+ORACLES["stream_report_after_history"] = ORACLES["stream_summary"]
+
+ORACLES["burst_evidence"] = f"""{_SCORED} SELECT sa.user_id, sa.event_id AS alert_id, sa.ts AS fired_at, f.event_id, f.ts, f.ip_address, f.country, f.resource
+FROM sa JOIN fail f ON f.user_id = sa.user_id AND f.ts >= sa.ts - INTERVAL 120 SECOND
+ AND (f.ts < sa.ts OR (f.ts = sa.ts AND f.event_id <= sa.event_id)) WHERE sa.rule_order = 1"""
+ORACLES["stream_alert_evidence"] = ORACLES["burst_evidence"]
+
+# Distinct users by day and kind; exact, as the tables have fewer users than a sketch has entries
+_USER_DAYS = f"""{_BATCH}, days AS (
+  SELECT DISTINCT CAST(ts AS DATE) AS day, 'EVENT' AS kind, user_id FROM ev
+  UNION SELECT CAST(first_event AS DATE), 'ALERT', user_id FROM al
+  UNION SELECT CAST(first_event AS DATE), alert_type, user_id FROM al
+)"""
+ORACLES["users_by_day"] = f"{_USER_DAYS} SELECT day, kind, count(*) AS users FROM days GROUP BY day, kind"
+ORACLES["users_by_week"] = f"""{_USER_DAYS} SELECT d.day, d.kind, count(DISTINCT e.user_id) AS users
+FROM (SELECT DISTINCT day, kind FROM days) d JOIN days e ON e.kind = d.kind AND e.day BETWEEN d.day - 6 AND d.day GROUP BY d.day, d.kind"""
+ORACLES["returning_users"] = f"""{_USER_DAYS} SELECT d.day, d.kind, count(e.user_id) AS users
+FROM days d LEFT JOIN days e ON e.kind = d.kind AND e.day = d.day - 1 AND e.user_id = d.user_id
+WHERE (d.day - 1, d.kind) IN (SELECT (day, kind) FROM days) GROUP BY d.day, d.kind"""

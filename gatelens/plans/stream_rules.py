@@ -15,7 +15,7 @@ from gatelens import config
 from gatelens.config import DEFAULT_POLICY, Policy
 from gatelens.functions import scoring
 from gatelens.functions.numbers import percent_text
-from gatelens.functions.predicates import at_night, from_suspicious_country, on_sensitive_resource
+from gatelens.functions.predicates import at_night, from_suspicious_country, is_failed, on_sensitive_resource
 from gatelens.functions.text import two_digits
 from gatelens.functions.timeparts import day_of, seconds, slice_start
 from gatelens.operators.running import with_running_totals
@@ -206,6 +206,32 @@ def stream_alerts(events: DataFrame, policy: Policy = DEFAULT_POLICY, rules=conf
     return fired_alerts(detect(events, policy), policy, rules)
 
 
+def burst_evidence(alerts: DataFrame, failures: DataFrame, policy: Policy = DEFAULT_POLICY) -> DataFrame:
+    """The failures that each brute-force alert has counted, from tables or streams.
+
+    ``alerts`` holds ``user_id``, ``alert_id`` and ``fired_at``, ``failures`` the log's columns. An alert looks into the cell of
+    ``burst_seconds`` that it lies in and the one before, so the join is on user and cell, and a user with many failures is
+    spread over many keys.
+    """
+    reach = seconds(policy.burst_seconds)
+    own = slice_start("fired_at", policy.burst_seconds)
+    placed = alerts.withColumn("cell", F.explode(F.array(own, own - reach))).withColumnRenamed("user_id", "alerted")
+    counted = (F.col("ts") < F.col("fired_at")) | ((F.col("ts") == F.col("fired_at")) & (F.col("event_id") <= F.col("alert_id")))
+    rows = failures.withColumn("own_cell", slice_start("ts", policy.burst_seconds))
+    near = (F.col("alerted") == F.col("user_id")) & (F.col("cell") == F.col("own_cell")) & (F.col("ts") >= F.col("fired_at") - reach)
+    return rows.join(placed, near & counted).drop("cell", "own_cell", "alerted")
+
+
+EVIDENCE = ["user_id", "alert_id", "fired_at", "event_id", "ts", "ip_address", "country", "resource"]
+
+
+def stream_evidence(events: DataFrame, policy: Policy = DEFAULT_POLICY) -> DataFrame:
+    """The failures behind each brute-force alert of the stream rules, in window form."""
+    fired = detect(events, policy).filter(FLAGS[config.BRUTE_FORCE])
+    alerts = fired.select("user_id", F.col("event_id").alias("alert_id"), F.col("ts").alias("fired_at"))
+    return burst_evidence(alerts, events.filter(is_failed()), policy).select(*EVIDENCE)
+
+
 def events_with_alerts(events: DataFrame, policy: Policy = DEFAULT_POLICY) -> DataFrame:
     """Every event with its score and its, possibly empty, array of alerts."""
     return detect(events, policy).withColumn("alerts", alerts_array(policy)).drop(*FLAGS.values())

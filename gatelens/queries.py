@@ -12,7 +12,7 @@ from gatelens.functions.text import mask_ip
 from gatelens.operators.lookups import materialised, on_watchlist
 from gatelens.operators.bursts import burst_windows, failure_moments
 from gatelens.operators.slices import with_previous_failure
-from gatelens.plans import analytics, batch_rules, enrichment, feed, outbox, profiles, stream_rules
+from gatelens.plans import analytics, batch_rules, enrichment, feed, outbox, profiles, stream_rules, user_sketches
 from gatelens.session import run_dir
 from gatelens.sinks import tables
 from gatelens.sources.access_log import TEXT_OPTIONS, parse_events, read_access_log, read_alerts, read_raw_log
@@ -190,6 +190,24 @@ over_alerts("alert_type_options", analytics.alert_type_options)
 over_alerts("latest_alerts", analytics.latest_alerts)
 over_events("alert_kpis", lambda ev: analytics.alert_kpis(batch_rules.all_alerts(ev), ev))
 
+# Distinct users from stored daily sketches -------------------------------------------------------------------------
+
+
+def over_sketches(name, read):
+    """Register what can be read from the log's daily sketches, which are stored first."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        events, path = access_events(spark, sf_dir), run_dir(spark, "sketches")
+        tables.write_user_sketches(user_sketches.daily_sketches(events, batch_rules.all_alerts(events)), path)
+        return read(tables.read_user_sketches(spark, path))
+
+    REGISTRY[name] = run
+
+
+over_sketches("users_by_day", lambda days: user_sketches.trailing_users(days, 1))
+over_sketches("users_by_week", user_sketches.trailing_users)
+over_sketches("returning_users", user_sketches.returning_users)
+
 # Batch rules ------------------------------------------------------------------------------------------------------
 
 over_events("rule_brute_force", batch_rules.brute_force)
@@ -249,6 +267,7 @@ over_events(
     "stream_enriched_alerts",
     lambda ev: recommendations_as_text(enrichment.enrich(stream_rules.stream_alerts(ev), keep=("event_id",))),
 )
+over_events("burst_evidence", stream_rules.stream_evidence)
 over_events("stream_summary", lambda ev: stream_rules.stream_summary(stream_rules.detect(ev)))
 over_events(
     "recent_alerts",
@@ -321,3 +340,34 @@ over_epochs("stream_newest_alerts", lambda spark, folder: epochs.newest_alerts(s
 over_epochs("stream_newest_events", epochs.newest_events)
 over_epochs("stream_totals", epochs.totals)
 over_epochs("stream_report", epochs.report)
+
+
+@query
+def stream_alert_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stream = replay.adapted_stream(sf_dir)
+    return replay.run_evidence(spark, replay.run_detection(spark, stream), stream)
+
+
+def halves(spark: SparkSession, sf_dir: str):
+    """The log's first half by time as a table, and both halves as streams. Rows without a time are in the second half."""
+    events, stream = access_events(spark, sf_dir), replay.adapted_stream(sf_dir)
+    first, last = events.agg(F.min("ts"), F.max("ts")).first()
+    early = F.lit(False) if first is None else F.coalesce(F.col("ts") < F.lit(first + (last - first) / 2), F.lit(False))
+    return events.filter(early), lambda s: stream(s).filter(early), lambda s: stream(s).filter(~early)
+
+
+@query
+def stream_resumed_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run over the first half of the log's time, and a second run that goes on from the first one's state."""
+    _, first, second = halves(spark, sf_dir)
+    one = epochs.run_epochs(spark, first)
+    two = epochs.run_epochs(spark, second, start=epochs.handed_over(spark, one))
+    scored = epochs.scored(spark, one).unionByName(epochs.scored(spark, two))
+    return stream_rules.fired_alerts(scored).select(*STREAM_ALERT)
+
+
+@query
+def stream_report_after_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The closing report of a stream over the second half that goes on from the first half, taken as a table."""
+    history, _, second = halves(spark, sf_dir)
+    return epochs.report(spark, epochs.run_epochs(spark, second, start=epochs.from_history(history)))

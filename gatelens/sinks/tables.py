@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from gatelens.functions.timeparts import ts_text
@@ -49,3 +49,16 @@ EXPORTED = "alert_type string, user_id string, country string, score int, detail
 def write_alert_export(alerts: DataFrame, role: str, path: str) -> None:
     """The export as CSV files with a header, every value quoted."""
     alert_export(alerts, role).write.mode("errorifexists").options(**TEXT_OPTIONS, quoteAll="true").csv(path)
+
+
+SKETCHES = "day date, kind string, users binary"
+
+
+def write_user_sketches(sketches: DataFrame, path: str) -> None:
+    """Daily sketches by day. The days written replace those of before, other days stay: a day can be added or made anew."""
+    writer = sketches.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy("day").parquet(path)
+
+
+def read_user_sketches(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(SKETCHES).parquet(path)

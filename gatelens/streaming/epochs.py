@@ -13,6 +13,9 @@ marked (``unreadable``), and rows from before the watermark (``late``). Accepted
 Beside that each epoch keeps up what a dashboard shows: the newest events and alerts, by merging an epoch's own newest with those before,
 and alert counts by user and rule, from which totals, alerted users and the closing report can be read at any time.
 
+A run may go on from what has come before (``start``): :func:`handed_over` gives the state of an earlier run, :func:`from_history` makes it
+from a log. Without it a new checkpoint is a new run that knows nothing.
+
 Compared with the keyed state of ``processor.py``: an epoch costs a pass over counts and keys, so batches should be large.
 """
 
@@ -40,6 +43,9 @@ COUNTS, KEYS, MARK = "user_id string, events long", "user_id string, rule string
 ALERTS = "user_id string, alert_type string, n long"
 EVENT_LINE = "event_id long, ts timestamp_ntz, user_id string, country string, resource string, status string"
 ALERT_LINE = "event_id long, ts timestamp_ntz, user_id string, alert_type string, country string, resource string, score int, detail string, rule_order int"
+STATE = {
+    "open": OPEN, "tail": OPEN, "counts": COUNTS, "keys": KEYS, "alerts": ALERTS, "newest_events": EVENT_LINE, "newest_alerts": ALERT_LINE, "mark": MARK,
+}
 SET_ASIDE = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in ACCESS_EVENT.fields) + ", ts_text string, reason string"
 
 
@@ -48,9 +54,22 @@ class Epochs:
 
     def __init__(self, folder: str, run: str, policy: Policy, delay: timedelta):
         self.folder, self.run, self.policy, self.delay = folder, run, policy, delay
+        self.started = False
+
+    def begin(self, spark: SparkSession, start: dict[str, DataFrame] | None) -> None:
+        """Store the state that the run goes on from, once for the life of its checkpoint; the mark, which comes last, tells that it's whole."""
+        path = f"{self.folder}/start/mark/run={self.run}"
+        self.started = jobs.exists(spark, path) and not spark.read.schema(MARK).parquet(path).isEmpty()
+        if start is not None and not self.started:
+            for table, schema in STATE.items():
+                columns = spark.createDataFrame([], schema).columns
+                start[table].select(*columns).write.mode("overwrite").parquet(f"{self.folder}/start/{table}/run={self.run}")
+            self.started = True
 
     def _read(self, spark: SparkSession, table: str, schema: str, first: int, last: int) -> DataFrame:
         if last < max(first, 0):
+            if self.started:  # before the first epoch
+                return spark.read.schema(schema).parquet(f"{self.folder}/start/{table}/run={self.run}")
             return spark.createDataFrame([], schema)
         return spark.read.schema(schema).parquet(*(f"{self.folder}/{table}/run={self.run}/epoch={k}" for k in range(max(first, 0), last + 1)))
 
@@ -90,17 +109,20 @@ class Epochs:
 
         self._keep_up(spark, epoch)
 
+        # The mark may be far beyond the last event; a run that goes on from this one needs what that event leaves behind.
+        last = self._read(spark, "newest_events", EVENT_LINE, epoch, epoch).agg(F.max("ts")).first()[0]
+        edge = min((m for m in (mark, last) if m is not None), default=None)
         recent = closed.unionByName(tail)
-        if mark is not None:
-            recent = recent.filter(F.col("ts") >= F.lit(mark) - seconds(tail_seconds(self.policy)))
+        if edge is not None:
+            recent = recent.filter(F.col("ts") >= F.lit(edge) - seconds(tail_seconds(self.policy)))
         self._store(recent, "tail", epoch)
         more = closed.groupBy("user_id").agg(F.count("*").alias("events"))
         new = first_per_key(closed, self.policy).select("user_id", "rule", "key").join(keys, ["user_id", "rule", "key"], "left_anti")
         if epoch % WHOLE_EVERY == 0:
             more = counts.unionByName(more).groupBy("user_id").agg(F.sum("events").alias("events"))
             new = keys.unionByName(new)
-            if mark is not None:
-                new = new.filter((F.col("rule") != config.OFF_HOURS) | (F.col("key") >= F.lit(mark.date().isoformat())))
+            if edge is not None:
+                new = new.filter((F.col("rule") != config.OFF_HOURS) | (F.col("key") >= F.lit(edge.date().isoformat())))
         self._store(more, "counts", epoch)
         self._store(new, "keys", epoch)
         self._store(spark.createDataFrame([(mark,)], MARK), "mark", epoch)
@@ -122,12 +144,22 @@ class Epochs:
         self._store(more, "alerts", epoch)
 
 
-def write_epochs(events: DataFrame, folder: str, checkpoint: str, policy: Policy = DEFAULT_POLICY, delay: timedelta = timedelta(minutes=10), trigger=None):
+def write_epochs(
+    events: DataFrame,
+    folder: str,
+    checkpoint: str,
+    policy: Policy = DEFAULT_POLICY,
+    delay: timedelta = timedelta(minutes=10),
+    trigger=None,
+    start: dict[str, DataFrame] | None = None,
+):
     """Start the query: detected events go below ``folder/scored``, what isn't taken below ``folder/set_aside``.
 
-    ``events`` are rows of a log, or of ``parse_events``, whose ``parse_ok`` and ``ts_text`` are used.
+    ``events`` are rows of a log, or of ``parse_events``, whose ``parse_ok`` and ``ts_text`` are used. ``start`` is the state to go on
+    from; it is stored when the checkpoint is first used, and not looked at in a restart.
     """
     epochs = Epochs(folder, jobs.run_key(events.sparkSession, checkpoint), policy, delay)
+    epochs.begin(events.sparkSession, start)
     return (
         events.writeStream.foreachBatch(epochs.settle)
         .option("checkpointLocation", checkpoint)
@@ -136,11 +168,17 @@ def write_epochs(events: DataFrame, folder: str, checkpoint: str, policy: Policy
     )
 
 
-def run_epochs(spark: SparkSession, open_stream: replay.OpenStream, policy: Policy = DEFAULT_POLICY, delay: timedelta = timedelta(minutes=10)) -> str:
+def run_epochs(
+    spark: SparkSession,
+    open_stream: replay.OpenStream,
+    policy: Policy = DEFAULT_POLICY,
+    delay: timedelta = timedelta(minutes=10),
+    start: dict[str, DataFrame] | None = None,
+) -> str:
     """Run the query over a finite stream to its end; returns the folder of its tables."""
     session = jobs.job_session(spark)
     folder = run_dir(spark, "epochs")
-    replay.run_to_end(session, open_stream(session), lambda events: write_epochs(events, folder, f"{folder}/checkpoint", policy, delay), folder)
+    replay.run_to_end(session, open_stream(session), lambda events: write_epochs(events, folder, f"{folder}/checkpoint", policy, delay, start=start), folder)
     return folder
 
 
@@ -159,7 +197,51 @@ def set_aside(spark: SparkSession, folder: str) -> DataFrame:
 def _state(spark: SparkSession, folder: str) -> tuple[Epochs, int]:
     """The latest run's tables and its number of epochs that are settled."""
     last = jobs.stored(spark, f"{folder}/mark", MARK).agg(F.max(F.struct("epoch", "run"))).first()[0]
-    return Epochs(folder, last.run if last else "", DEFAULT_POLICY, timedelta()), last.epoch + 1 if last else 0
+    epochs = Epochs(folder, last.run if last else "", DEFAULT_POLICY, timedelta())
+    if last:
+        epochs.begin(spark, None)
+    return epochs, last.epoch + 1 if last else 0
+
+
+def _after(newest: DataFrame) -> DataFrame:
+    """The mark of a run that goes on after the newest settled event: what isn't later than it comes too late."""
+    return newest.agg((F.max("ts") + F.expr("INTERVAL '0.000001' SECOND")).alias("mark"))
+
+
+def handed_over(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """What a run that has ended leaves to the one that goes on from it, ``start`` of :func:`write_epochs`.
+
+    Rows that the run still held open are among it; the new run settles them. Totals, newest lines and the report go on, too. A
+    later event than the run's last settled one is taken, even if the watermark had passed it.
+    """
+    epochs, n = _state(spark, folder)
+    if n == 0:
+        raise ValueError(f"no epoch of a run is settled in {folder}")
+    state = {t: epochs._read(spark, t, schema, n - 1, n - 1) for t, schema in STATE.items() if t in ("tail", "newest_events", "newest_alerts")}
+    state |= {t: epochs._added(spark, t, STATE[t], n) for t in ("counts", "keys", "alerts")}
+    passed = epochs._read(spark, "mark", MARK, n - 1, n - 1).first().mark
+    waiting = epochs._read(spark, "open", OPEN, n - 1, n - 1)
+    state["open"] = waiting if passed is None else waiting.filter(F.col("ts") >= F.lit(passed))
+    return state | {"mark": _after(state["newest_events"])}
+
+
+def from_history(events: DataFrame, policy: Policy = DEFAULT_POLICY) -> dict[str, DataFrame]:
+    """The state that a run over all ``events`` of a log would leave, by the window form; a stream of later events can go on from it."""
+    rows = events.select(*CONTEXT).filter(F.col("event_id").isNotNull() & F.col("ts").isNotNull() & F.col("user_id").isNotNull())
+    found = detect(rows, policy)
+    alerts = fired_alerts(found, policy)
+    newest = lambda table, *order: table.orderBy(*map(F.desc, order))
+    last = rows.agg(F.max("ts")).first()[0]
+    return {
+        "open": rows.limit(0),
+        "tail": rows.limit(0) if last is None else rows.filter(F.col("ts") >= F.lit(last) - seconds(tail_seconds(policy))),
+        "counts": rows.groupBy("user_id").agg(F.count("*").alias("events")),
+        "keys": first_per_key(rows, policy).select("user_id", "rule", "key"),
+        "alerts": alerts.groupBy("user_id", "alert_type").agg(F.count("*").alias("n")),
+        "newest_events": newest(found, "ts", "event_id").limit(NEWEST_EVENTS),
+        "newest_alerts": newest(alerts, "ts", "event_id", "rule_order").limit(NEWEST_ALERTS),
+        "mark": _after(rows),
+    }
 
 
 def newest_events(spark: SparkSession, folder: str) -> DataFrame:

@@ -25,7 +25,7 @@ from gatelens.operators.running import with_running_totals
 from gatelens.plans.feed import feed_records
 from gatelens.plans.enrichment import INPUT
 from gatelens.plans.outbox import render
-from gatelens.plans.stream_rules import CONTEXT, alert_candidates, contextual_score, n_alerts
+from gatelens.plans.stream_rules import CONTEXT, EVIDENCE, FLAGS, alert_candidates, burst_evidence, contextual_score, n_alerts
 from gatelens.session import ROCKSDB_PROVIDER
 from gatelens.streaming.processor import OUTPUT, DetectionProcessor, FirstAlertProcessor
 
@@ -86,6 +86,21 @@ def alert_keys(scored: DataFrame, policy: Policy = DEFAULT_POLICY, span: str = "
     return with_event_time(alert_candidates(scored, policy), span).dropDuplicatesWithinWatermark(keys).select(*keys)
 
 
+def alert_evidence(scored: DataFrame, events: DataFrame, policy: Policy = DEFAULT_POLICY, delay: str = "10 minutes") -> DataFrame:
+    """Stream of the failures behind each brute-force alert: an interval join of a detection run's stream with that of the log.
+
+    Both sides have a watermark and a match lies within ``burst_seconds``, so a failure's state goes once the slower side's watermark
+    has passed it by that much, and an alert's once it has passed the alert.
+    """
+    fired = with_event_time(scored, delay).filter(FLAGS[config.BRUTE_FORCE])
+    alerts = fired.select("user_id", F.col("event_id").alias("alert_id"), F.col("ts").alias("fired_at"), F.col("event_time").alias("alert_time"))
+    failures = with_event_time(events.select(*CONTEXT), delay).filter(is_failed())
+    # The range once more on the watermarked columns, from which Spark finds how long state is needed.
+    reach = F.col("alert_time") - F.expr(f"INTERVAL '{policy.burst_seconds}' SECOND")
+    near = (F.col("event_time") >= reach) & (F.col("event_time") <= F.col("alert_time"))
+    return burst_evidence(alerts, failures, policy).filter(near).select(*EVIDENCE)
+
+
 def slow_brute_force(events: DataFrame, policy: Policy = DEFAULT_POLICY, delay: str = "10 minutes") -> DataFrame:
     """The slow brute-force rule as a tumbling day window that reports once the day is closed."""
     failures = with_event_time(events, delay).filter(is_failed())
@@ -192,10 +207,14 @@ def _store(rows: DataFrame, folder: str, run: str, epoch: int) -> None:
     rows.write.mode("overwrite").parquet(f"{folder}/run={run}/epoch={epoch}")
 
 
+def exists(spark: SparkSession, folder: str) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
+
 def stored(spark: SparkSession, folder: str, schema: str) -> DataFrame:
     """What all runs have written below ``folder``, with ``run`` and ``epoch``."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+    if not exists(spark, folder):
         return spark.createDataFrame([], f"{schema}, run string, epoch long")
     return spark.read.schema(f"{schema}, run string, epoch long").option("basePath", folder).parquet(folder)
 

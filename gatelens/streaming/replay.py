@@ -184,6 +184,31 @@ def run_alert_keys(spark: SparkSession, run: str, policy: Policy = DEFAULT_POLIC
     return spark.read.schema("user_id string, alert_type string, key string").parquet(f"{folder}/keys")
 
 
+def run_evidence(
+    spark: SparkSession, run: str, open_stream: OpenStream, policy: Policy = DEFAULT_POLICY, delay: str = "10 minutes", max_files: int | None = None
+) -> DataFrame:
+    """The failures behind the brute-force alerts of a detection run; ``max_files`` of the run's files are admitted at a time.
+
+    The join gives a match as soon as both sides have come, so no closing row is needed. Rows later than ``delay`` raise
+    :class:`LateEvents`.
+    """
+    session = jobs.job_session(spark)
+    reader = session.readStream.schema(scored_table(session, run).schema)
+    scored = (reader if max_files is None else reader.option("maxFilesPerTrigger", max_files)).parquet(f"{run}/scored")
+    folder = run_dir(spark, "evidence")
+    watch = jobs.LateRows.watch(session)
+    try:
+        found = jobs.alert_evidence(scored, open_stream(session), policy, delay)
+        query = jobs.to_files(found, f"{folder}/evidence", f"{folder}/checkpoint")
+        finish(query)
+        late = watch.of(query)
+    finally:
+        session.streams.removeListener(watch)
+    if late:
+        raise LateEvents(f"{late} rows came after the watermark had passed them; use a longer delay")
+    return spark.read.schema(found.schema).parquet(f"{folder}/evidence")
+
+
 def run_hourly_kpis(spark: SparkSession, run: str) -> DataFrame:
     """Running totals per hour of a detection run."""
     session = jobs.job_session(spark)

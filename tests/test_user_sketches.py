@@ -1,0 +1,87 @@
+"""Daily sketches: counts over day ranges, kept by day, within the stated error."""
+
+from datetime import date
+
+import pytest
+from events import row
+from pyspark.sql import functions as F
+
+from gatelens.plans import batch_rules, user_sketches
+from gatelens.session import run_dir
+from gatelens.sinks import tables
+
+SMALL = 9
+
+
+def alerts_of(spark, rows):
+    return spark.createDataFrame(rows, "alert_type string, user_id string, first_event timestamp_ntz")
+
+
+def counts(df, *key):
+    return {tuple(r[k] for k in key): r.users for r in df.collect()}
+
+
+@pytest.fixture(scope="module")
+def days(spark, frame):
+    at = lambda d, u: row(f"2024-03-{d:02d} 12:00:00", user=u)
+    events = frame([at(1, "a"), at(1, "a"), at(1, "b"), at(2, "b"), at(9, "a"), at(9, None), {**at(9, "c"), "ts": None}])
+    return user_sketches.daily_sketches(events, batch_rules.all_alerts(events))
+
+
+def test_ranges_unite_and_days_intersect(days):
+    event = lambda df: {k[0].day: n for k, n in counts(df.filter("kind = 'EVENT'"), "day").items()}
+    assert event(user_sketches.trailing_users(days, 1)) == {1: 2, 2: 1, 9: 1}
+    assert event(user_sketches.trailing_users(days, 7)) == {1: 2, 2: 2, 9: 1}
+    assert event(user_sketches.trailing_users(days, 8)) == {1: 2, 2: 2, 9: 2}
+    assert event(user_sketches.returning_users(days)) == {2: 1}
+    assert event(user_sketches.returning_users(days, 8)) == {9: 1}
+    between = user_sketches.users_between(days, date(2024, 3, 2), date(2024, 3, 9))
+    assert counts(between, "kind") == {("EVENT",): 2}
+
+
+def test_an_alerted_user_counts_once_over_all_types(spark, frame):
+    moments = [("OFF_HOURS", "a", "2024-03-01 01:00:00"), ("BRUTE_FORCE", "a", "2024-03-01 02:00:00"), ("BRUTE_FORCE", "b", "2024-03-02 02:00:00")]
+    alerts = spark.createDataFrame(moments, "alert_type string, user_id string, at string").withColumn("first_event", F.col("at").cast("timestamp_ntz"))
+    days = user_sketches.daily_sketches(frame([row("2024-03-01 12:00:00", user="z")]), alerts)
+    assert counts(user_sketches.users_between(days, date(2024, 3, 1), date(2024, 3, 2)), "kind") == {
+        ("EVENT",): 1, ("ALERT",): 2, ("OFF_HOURS",): 1, ("BRUTE_FORCE",): 2,
+    }
+
+
+def test_a_day_is_replaced_and_others_stay(spark, frame, days):
+    path = run_dir(spark, "sketches")
+    tables.write_user_sketches(days, path)
+    second = frame([row("2024-03-02 12:00:00", user=u) for u in "xyz"])
+    for _ in range(2):
+        tables.write_user_sketches(user_sketches.daily_sketches(second, alerts_of(spark, [])), path)
+        kept = tables.read_user_sketches(spark, path)
+        assert {k[0].day: n for k, n in counts(user_sketches.trailing_users(kept, 1), "day").items()} == {1: 2, 2: 3, 9: 1}
+
+
+def test_only_the_days_asked_for_are_read(spark, days):
+    path = run_dir(spark, "sketches")
+    tables.write_user_sketches(days, path)
+    asked = user_sketches.users_between(tables.read_user_sketches(spark, path), date(2024, 3, 1), date(2024, 3, 2))
+    plan = asked._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(day" in plan
+    assert len(asked.collect()) == 1
+
+
+def test_error_is_as_stated(spark):
+    """Two days of 60,000 users each, half of them the same, at 512 entries: within four standard errors; at the default exact up to its entries."""
+    users = spark.range(90_000).select(F.concat(F.lit("u"), "id").alias("user_id"), "id")
+    moment = lambda day: F.lit(f"2024-03-0{day} 12:00:00").cast("timestamp_ntz").alias("ts")
+    rows = users.filter("id < 60000").select("user_id", moment(1)).unionByName(users.filter("id >= 30000").select("user_id", moment(2)))
+    days = user_sketches.daily_sketches(rows, alerts_of(spark, []), SMALL).cache()
+    error = 4 / (2**SMALL - 1) ** 0.5
+    both = user_sketches.users_between(days, date(2024, 3, 1), date(2024, 3, 2), SMALL).first().users
+    assert abs(both - 90_000) < error * 90_000
+    again = user_sketches.returning_users(days).first().users
+    assert abs(again - 30_000) < error * 90_000
+    few = user_sketches.daily_sketches(rows.filter("substring(user_id, 2) % 6 = 0"), alerts_of(spark, []))
+    assert user_sketches.users_between(few, date(2024, 3, 1), date(2024, 3, 2)).first().users == 15_000
+
+
+def test_empty_tables(spark, days, frame):
+    none = user_sketches.daily_sketches(frame([row("2024-03-01 12:00:00")]).limit(0), alerts_of(spark, []))
+    assert none.count() == user_sketches.trailing_users(none).count() == user_sketches.returning_users(none).count() == 0
