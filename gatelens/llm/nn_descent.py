@@ -121,9 +121,9 @@ def _edges(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.Table:
 
 
 def kept_best(edges: DataFrame, k: int = NEIGHBOURS) -> DataFrame:
-    """Each node's ``k`` nearest, each once."""
+    """Each node's ``k`` nearest, each once; ``fresh`` if no row of the edge is ``old``. One exchange, on the node, serves both steps."""
     place = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("score"), "near"))
-    once = edges.groupBy("node", "near").agg(F.max("score").alias("score"))
+    once = edges.repartition("node").groupBy("node", "near").agg(F.max("score").alias("score"), (~F.max("old")).alias("fresh"))
     return once.withColumn("place", place).filter(F.col("place") <= k).drop("place")
 
 
@@ -133,7 +133,8 @@ def first_graph(nodes: DataFrame) -> DataFrame:
     cells = saved(nodes.select("node", "unit").mapInArrow(_cells(TREES, bits), "tree int, cell long, node long, unit binary"), "cells")
     sizes = cells.groupBy("tree", "cell").count().withColumn("parts", F.ceil(F.col("count") / CELL)).drop("count")
     salted = cells.join(sizes, ["tree", "cell"]).withColumn("salt", F.pmod(F.xxhash64("node"), F.col("parts")))
-    return kept_best(salted.select("tree", "cell", "salt", "node", "unit").groupBy("tree", "cell", "salt").applyInArrow(_compared, EDGES_DDL))
+    found = salted.select("tree", "cell", "salt", "node", "unit").groupBy("tree", "cell", "salt").applyInArrow(_compared, EDGES_DDL)
+    return kept_best(found.withColumn("old", F.lit(False)))
 
 
 def _local_join(rows: pa.Table) -> pa.Table:
@@ -154,7 +155,7 @@ def _local_join(rows: pa.Table) -> pa.Table:
             better &= scores >= np.partition(scores, -HANDED_ON, axis=1)[:, -HANDED_ON, None]
         i, j = np.nonzero(better)
         out.append((node[s + i], node[s + j], scores[i, j]))
-    return _edges(out)
+    return _edges(out).group_by(["node", "near"]).aggregate([("score", "max")]).rename_columns(["node", "near", "score"])
 
 
 def descend(nodes: DataFrame, graph: DataFrame) -> DataFrame:
@@ -169,14 +170,13 @@ def descend(nodes: DataFrame, graph: DataFrame) -> DataFrame:
     known = nodes.select("node", "unit").join(worst, "node", "left").withColumn("worst", F.coalesce("worst", F.lit(-2.0).cast("float")))
     lists = members.join(known, "node").withColumn("bucket", F.pmod(F.xxhash64("center"), F.lit(buckets)))
     found = lists.select("bucket", "center", "node", "fresh", "worst", "unit").groupBy("bucket").applyInArrow(_local_join, EDGES_DDL)
-    old = graph.select("node", "near", F.lit(True).alias("old"))
-    better = kept_best(graph.select("node", "near", "score").union(found.distinct()))
-    return better.join(old, ["node", "near"], "left").select("node", "near", "score", F.col("old").isNull().alias("fresh"))
+    before = graph.select("node", "near", "score", F.lit(True).alias("old"))
+    return kept_best(before.union(found.withColumn("old", F.lit(False))))
 
 
 def neighbour_graph(nodes: DataFrame) -> DataFrame:
     """``node``, ``near``, ``score``: each node's approximate nearest neighbours, from stored ``nodes``."""
-    graph = saved(first_graph(nodes).withColumn("fresh", F.lit(True)), "graph")
+    graph = saved(first_graph(nodes), "graph")
     for _ in range(MOST_ROUNDS):
         graph = saved(descend(nodes, graph), "graph")
         n, changed = graph.agg(F.count("*"), F.sum(F.col("fresh").cast("long"))).first()
@@ -211,18 +211,19 @@ def search(nodes: DataFrame, graph: DataFrame, queries: DataFrame, beam: int = B
     links = saved(graph.union(back).select("node", "near").distinct(), "links")
     vectors, asked = nodes.select("node", "unit"), queries.select("query", F.col("unit").alias("of"))
     order = Window.partitionBy("query").orderBy(F.desc("score"), "node")
-    state = saved(queries.select("query", F.col("query").alias("node"), F.lit(1.0).alias("score"), F.lit(False).alias("expanded")), "state")
+    turn = Window.partitionBy("query", "expanded").orderBy(F.desc("score"), "node")
+    # ``now``: the node is expanded in the next step; it is decided where the step before ranks a query's nodes.
+    own = [F.col("query").alias("node"), F.lit(1.0).alias("score"), F.lit(False).alias("expanded"), F.lit(True).alias("now")]
+    state = saved(queries.select("query", *own), "state")
     for _ in range(steps):
-        open_ = state.filter("not expanded").withColumn("place", F.row_number().over(order)).filter(F.col("place") <= EXPANDED).select("query", "node")
-        reached = open_.join(links, "node").select("query", F.col("near").alias("node")).distinct()
+        reached = state.filter("now").select("query", "node").join(links, "node").select("query", F.col("near").alias("node")).distinct()
         reached = reached.join(state.select("query", "node"), ["query", "node"], "left_anti")
         pairs = reached.join(vectors, "node").join(asked, "query").select("query", "node", "of", "unit")
         new = pairs.mapInArrow(_near, "query long, node long, score double").withColumn("expanded", F.lit(False))
-        done = open_.withColumn("now", F.lit(True))
-        old = state.join(done, ["query", "node"], "left").withColumn("expanded", F.col("expanded") | F.col("now").isNotNull()).drop("now")
-        both = old.unionByName(new).withColumn("place", F.row_number().over(order))
-        state = saved(both.filter(F.col("place") <= beam).drop("place"), "state")
-        if state.filter("not expanded").isEmpty():
+        old = state.select("query", "node", "score", (F.col("expanded") | F.col("now")).alias("expanded"))
+        best = old.unionByName(new).withColumn("place", F.row_number().over(order)).filter(F.col("place") <= beam).drop("place")
+        state = saved(best.withColumn("now", ~F.col("expanded") & (F.row_number().over(turn) <= EXPANDED)), "state")
+        if state.filter("now").isEmpty():
             break
     return state.select("query", "node", "score")
 
