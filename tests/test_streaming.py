@@ -197,6 +197,35 @@ def test_a_step_handles_a_bounded_number_of_rows_in_order(log, monkeypatch, part
     assert not processor._pending
 
 
+def test_a_lane_of_many_users_costs_a_part_and_a_timer(log):
+    """State calls and frames are per lane, not per user; each user has a history of its own."""
+    pending, timers = FakeState(), []
+    maps = {"pending": pending, "profile": FakeState()}
+    handle = SimpleNamespace(getValueState=lambda *a: FakeState(), getMapState=lambda name, *a: maps[name], registerTimer=timers.append)
+    processor = DetectionProcessor()
+    processor.init(handle)
+    users = [None] + [f"u{k}" for k in range(299)]
+    rows = [{**r, "user_id": u, "event_id": i * 300 + k, "at": i * 90_000_000} for i, r in enumerate(log[:5]) for k, u in enumerate(users)]
+    list(processor.handleInputRows((7,), iter([pd.DataFrame(random.Random(2).sample(rows, len(rows)))]), None))
+    assert len(pending) == len(timers) == 1
+    clock = SimpleNamespace(getCurrentWatermarkInMs=lambda: 10**12)
+    out = list(processor.handleExpiredTimer((7,), clock, None)) + list(processor.handleExpiredTimer((7,), clock, None))
+    assert len(out) == 1 and len(out[0]) == len(rows) and not pending
+    found = {(r.user_id or "", r.event_id): r.ordinal for r in out[0].itertuples()}
+    assert found == {(r["user_id"] or "", r["event_id"]): r["event_id"] // 300 + 1 for r in rows}
+    assert {u for (u,) in maps["profile"]} == set(users)
+
+
+def test_null_ids_and_users_take_part(spark, frame, log):
+    """An event without an id leaves the other ids of its lane alone, large ones included."""
+    rows = [{**r, "event_id": (1 << 60) + i, "user_id": None if i % 7 == 0 else r["user_id"]} for i, r in enumerate(log[:60])]
+    events = frame(rows).withColumn("event_id", F.when(F.col("event_id") % 5 != 0, F.col("event_id")))
+    folder = run_dir(spark, "input")
+    events.coalesce(1).write.parquet(folder)
+    scored = replay.scored_table(spark, replay.run_detection(spark, replay.log_stream(folder)))
+    assert same(scored.select("event_id", "ts", "user_id", "ip_address", "status"), events.select("event_id", "ts", "user_id", "ip_address", "status"))
+
+
 def days_of(users):
     """Events at noon of the given days of March."""
     rows = [row(f"2024-03-{d:02d} 12:{m:02d}:00", user=u, resource="billing") for u, days in users.items() for d in days for m in (0, 20, 40)]
