@@ -6,10 +6,12 @@ threshold t share a gram among the first n - ceil(t n) + 1 of each, so only thes
 list, pairs must pass the length filter and the positional filter; each pair then meets its texts once, passes the suffix
 filter and is verified by its exact intersection. Links give connected components.
 
-Pairs are taken in two rounds, so that a group of many copies isn't expanded into all its pairs. Round 1 proposes, per
-gram, each set with the list's oldest document and with a random neighbour, and of these a set's pairs from most lists. Round 2
-proposes every other pair whose two sets round 1 has left in different components: the pairs left out can't change a
-component, so components are exact. Before texts are moved, a pair must pass an upper bound of its intersection from both sets'
+Pairs are taken in rounds, so that a group of many copies isn't expanded into all its pairs. Round 1 proposes, per
+gram, each set with the list's oldest document and with a random neighbour, and of these a set's pairs from most lists. In further
+rounds, as long as they find links, each set outside a list's main component meets the most promising of some neighbours of other components. The last round
+proposes every other pair whose two sets are still in different components, in the first list that both are in: the pairs left
+out can't change a component, so components are exact. A set that shares grams with a group and links with none of it is compared
+with all of the group, but by counts alone. Before texts are moved, a pair must pass an upper bound of its intersection from both sets'
 counts in 128 ranges of the hash.
 Lists of a gram that very many sets hold are split into cells that cover all pairs of their parts.
 
@@ -43,6 +45,10 @@ LONG_LIST = 200_000
 FILTER_BITS = 22
 #: Round 1 keeps so many of a set's pairs from long lists, those that most lists propose.
 TRIED = 6
+#: So many times at most sets that are left apart meet some of their neighbours, before they meet all.
+NEAR_ROUNDS = 3
+#: Of so many neighbours in a list, those that may share most.
+AHEAD, BEST = 64, 2
 RANGES = 128
 
 _hashes = WordHashes()
@@ -221,7 +227,8 @@ def _open_entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             starts = _starts(key)
             many = np.repeat(np.diff(np.r_[starts, len(key)]) > 3, np.diff(np.r_[starts, len(key)]))
             if many.any():
-                yield pd.DataFrame({"bucket": row.bucket, "key": key[many].astype(np.int64), "sid": sid[many], "size": size[many], "place": place[many]})
+                whole = key[many].astype(np.int64) + (row.bucket << 32)
+                yield pd.DataFrame({"bucket": row.bucket, "key": whole, "sid": sid[many], "size": size[many], "place": place[many]})
 
 
 def _possible(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
@@ -235,23 +242,73 @@ def _possible(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Re
         yield batch.select([0, 1]).filter(pa.array(keep))
 
 
-def _cross_pairs(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
-    """All pairs of a list whose sets are in different components and pass the filters."""
-    rows = rows.sort_values(["key", "size", "sid"])
-    key, sid, size, place, comp = (rows[c].to_numpy() for c in ("key", "sid", "size", "place", "component"))
+def _mixed_lists(rows: pd.DataFrame) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Of rows in order of ``key``, the start and end of each list that meets several components, its entries' components as
+    numbers, and the entries outside the one that most have."""
+    key, comp = rows["key"].to_numpy(), rows["component"].to_numpy()
     starts = _starts(key)
-    out = []
     for s, e in zip(starts, np.r_[starts[1:], len(key)]):
-        if (comp[s:e] == comp[s]).all():
-            continue
-        ends = np.searchsorted(size[s:e], 100 * size[s:e] // percent, side="right") + s
-        for i in range(s, e - 1):
-            j = np.arange(i + 1, ends[i - s])
-            j = j[comp[j] != comp[i]]
-            if len(j):
-                j = j[_passing(np.full(len(j), i), j, size, place, percent)]
-                out.append((np.full(len(j), sid[i]), sid[j]))
-    return _pair_table(*(np.concatenate(x) for x in zip(*out))) if out else _pair_table(np.zeros(0, np.int64), np.zeros(0, np.int64))
+        if (comp[s:e] != comp[s]).any():
+            which = np.unique(comp[s:e], return_inverse=True)[1]
+            yield s, e, which, np.flatnonzero(which != np.bincount(which).argmax())
+
+
+def _most_shared(ranges: np.ndarray, i: int, j: np.ndarray) -> np.ndarray:
+    """An upper bound of the intersection of set ``i`` with each of the sets ``j``, from their range counts."""
+    least = np.minimum(ranges[j], ranges[i])
+    return np.where((least == 65535).any(1), np.iinfo(np.int64).max, least.sum(1, dtype=np.int64))
+
+
+def _sorted_open(rows: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray]:
+    rows = rows.sort_values(["key", "size", "sid"])
+    return rows, np.frombuffer(b"".join(rows["ranges"]), np.uint16).reshape(-1, RANGES)
+
+
+def _near_pairs(rows: pd.DataFrame, percent: int, salt: int) -> pd.DataFrame:
+    """Each entry outside its list's main component with those ``BEST`` of the next ``AHEAD`` entries, in an order by hash, that are of
+    other components, pass the filters and may share most."""
+    rows, ranges = _sorted_open(rows)
+    sid, size, place = (rows[c].to_numpy() for c in ("sid", "size", "place"))
+    seed, a, b = mixed(np.array([salt + 1], np.uint64)), [], []
+    for s, e, which, others in _mixed_lists(rows):
+        order = np.argsort(mixed(sid[s:e].view(np.uint64) ^ seed), kind="stable")
+        rank = np.empty(e - s, np.int64)
+        rank[order] = np.arange(e - s)
+        for m in others:
+            far = order[(rank[m] + np.arange(1, min(AHEAD + 1, e - s))) % (e - s)]
+            far = far[which[far] != which[m]]
+            far = far[_passing(np.minimum(m, far) + s, np.maximum(m, far) + s, size, place, percent)]
+            shared = _most_shared(ranges, s + m, s + far)
+            best = np.argsort(-shared, kind="stable")[:BEST]
+            best = best[shared[best] >= least_overlap(size[s + m].astype(np.int64), size[s + far[best]].astype(np.int64), percent)]
+            a.append(np.full(len(best), sid[s + m]))
+            b.append(sid[s + far[best]])
+    return _pair_table(np.concatenate(a or [np.zeros(0, np.int64)]), np.concatenate(b or [np.zeros(0, np.int64)]))
+
+
+def _cross_pairs(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """All pairs of a list whose sets are in different components and pass the filters and the range counts, if it is the first list that both are in.
+
+    ``lists`` are the set's lists in order of the gram's place, which is the same order for all sets.
+    """
+    rows, ranges = _sorted_open(rows)
+    key, sid, size, place, lists = (rows[c].to_numpy() for c in ("key", "sid", "size", "place", "lists"))
+    a, b = [], []
+    for s, e, which, others in _mixed_lists(rows):
+        flat, owner, at = np.concatenate(lists[s:e]), np.repeat(np.arange(e - s), [len(x) for x in lists[s:e]]), np.arange(e - s)
+        is_other = np.isin(at, others)
+        for m in others:
+            far = np.flatnonzero((which != which[m]) & (~is_other | (at > m)))
+            far = far[_passing(np.minimum(m, far) + s, np.maximum(m, far) + s, size, place, percent)]
+            far = far[_most_shared(ranges, s + m, s + far) >= least_overlap(size[s + m].astype(np.int64), size[s + far].astype(np.int64), percent)]
+            earlier = lists[s + m][: np.flatnonzero(lists[s + m] == key[s])[0]]
+            if len(far) and len(earlier):
+                met = np.zeros(e - s, bool)
+                met[owner[np.isin(flat, earlier)]] = True
+                far = far[~met[far]]
+            a.append(np.full(len(far), sid[s + m]))
+            b.append(sid[s + far])
+    return _pair_table(np.concatenate(a or [np.zeros(0, np.int64)]), np.concatenate(b or [np.zeros(0, np.int64)]))
 
 
 def most_common(a: np.ndarray, b: np.ndarray, depth: int = 3) -> int:
@@ -320,11 +377,31 @@ def jaccard_components(docs: DataFrame, n: int = GRAM, percent: int = PERCENT) -
 
     pairs = saved(tried_first(lists.mapInPandas(lambda batches: _first_pairs(batches, percent), "a long, b long, whole boolean")), "pairs")
     labels = saved(components(verified(pairs)), "labels")
-    entry = lists.mapInPandas(_open_entries, "bucket long, key long, sid long, size long, place long")
-    labelled = entry.join(labels.withColumnRenamed("node", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
-    more = labelled.groupBy("bucket").applyInPandas(lambda rows: _cross_pairs(rows, percent), "a long, b long").distinct()
-    stars = labels.filter("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b"))
-    labels = saved(components(verified(more.join(pairs, ["a", "b"], "left_anti")).union(stars)), "labels")
+    entry = saved(lists.mapInPandas(_open_entries, "bucket long, key long, sid long, size long, place long"), "entries")
+
+    def open_entries() -> DataFrame:
+        """The entries of lists that meet several components."""
+        labelled = entry.join(labels.withColumnRenamed("node", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
+        several = labelled.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).filter("least <> most")
+        return saved(labelled.join(several.select("key"), "key", "left_semi").join(of_set.select("sid", "ranges"), "sid"), "open")
+
+    def joined(links: DataFrame) -> DataFrame:
+        """The components after further links."""
+        stars = labels.filter("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b"))
+        return saved(components(links.union(stars)), "labels")
+
+    for salt in range(NEAR_ROUNDS):
+        near = open_entries().groupBy("bucket").applyInPandas(_near(percent, salt), "a long, b long").distinct()
+        near = saved(near.join(pairs, ["a", "b"], "left_anti"), "near")
+        links = verified(near)
+        pairs = pairs.select("a", "b").union(near)
+        if links.isEmpty():
+            break
+        labels = joined(links)
+    left = open_entries()
+    lists_of = left.groupBy("sid").agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "key"))), lambda x: x["key"]).alias("lists"))
+    more = left.join(lists_of, "sid").groupBy("bucket").applyInPandas(lambda rows: _cross_pairs(rows, percent), "a long, b long").distinct()
+    labels = joined(verified(more.join(pairs, ["a", "b"], "left_anti")))
 
     nodes = sets.join(labels.withColumnRenamed("node", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
     named = nodes.filter("sid is not null").groupBy("component").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("n_component"))
@@ -336,6 +413,13 @@ def jaccard_components(docs: DataFrame, n: int = GRAM, percent: int = PERCENT) -
     )
 
 
+def _near(percent: int, salt: int):
+    def near(rows: pd.DataFrame) -> pd.DataFrame:
+        return _near_pairs(rows, percent, salt)
+
+    return near
+
+
 def texts_of(source: DataFrame, chosen: DataFrame, n: int) -> DataFrame:
     """``sid`` and ``text`` for chosen sets (``sid``, ``doc_id`` of one of their documents).
 

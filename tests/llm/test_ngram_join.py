@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from odd import ODD
 
@@ -111,3 +112,20 @@ def test_query(spark, docs, folder):
     rows = corpus(5, groups=3)
     got = m.op7_ngram_join(spark, folder(documents=docs(rows))).collect()
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == plain(rows)
+
+
+def test_a_set_beside_a_group_meets_what_may_link_and_once():
+    """Of a group that shares two grams with other sets, only those pairs are made whose range counts leave a link possible."""
+    rng = np.random.default_rng(5)
+    fresh = lambda n: rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2)
+    base = fresh(60)
+    sets = [np.r_[base, fresh(40)] for _ in range(200)]
+    sets += [np.r_[base, fresh(40)], np.r_[sets[0][:95], fresh(5)]]  # one far from all, one near to the first
+    component = [0] * 200 + [200, 201]
+    one = pd.DataFrame({"sid": range(202), "size": 100, "component": component, "ranges": [m.range_counts(s).tobytes() for s in sets]})
+    one["lists"] = [np.array([3, 1])] * 202
+    rows = pd.concat([one.assign(bucket=0, key=key, place=place) for key, place in ((3, 0), (1, 1))])
+    assert m._cross_pairs(rows, 80).to_numpy().tolist() == [[0, 201]]
+    assert len(m._cross_pairs(rows[rows["key"] == 1], 80)) == 0  # its first list has the pair
+    near = {tuple(p) for salt in range(24) for p in m._near_pairs(rows, 80, salt).to_numpy().tolist()}
+    assert near == {(0, 201)}
