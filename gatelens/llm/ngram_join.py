@@ -110,7 +110,7 @@ SETS_DDL = "doc_id long, sid long, n long, ranges binary, part int, counts binar
 
 def _summed(rows: pa.Table) -> pa.Table:
     total = np.sum([np.frombuffer(c, np.uint32) for c in rows.column("counts").to_pylist()], axis=0, dtype=np.int64)
-    return pa.table({"part": rows.column("part")[:1], "counts": pa.array([total.tobytes()], pa.binary())})
+    return pa.table({"part": rows.column("part")[:1], "counts": pa.array([np.minimum(total, np.iinfo(np.uint32).max).astype(np.uint32).tobytes()], pa.binary())})
 
 
 ENTRY = [("keys", np.uint32), ("sids", np.int64), ("docs", np.int64), ("sizes", np.int32), ("places", np.int32)]
@@ -352,22 +352,22 @@ def jaccard_components(docs: DataFrame, n: int = GRAM, percent: int = PERCENT) -
     both = saved(source.mapInArrow(lambda batches: _sets(batches, n), SETS_DDL), "sets")
     sets = both.filter("part is null").select("doc_id", "sid", "n", "ranges")
     summed = both.filter("part is not null").groupBy("part").applyInArrow(_summed, "part int, counts binary").collect()
-    counts = np.concatenate([np.frombuffer(r.counts, np.int64) for r in sorted(summed, key=lambda r: r.part)]) if summed else np.zeros(1 << SKETCH_BITS, np.int64)
-    sent = spark.sparkContext.broadcast(np.minimum(counts, np.iinfo(np.uint32).max).astype(np.uint32))
+    counts = np.concatenate([np.frombuffer(r.counts, np.uint32) for r in sorted(summed, key=lambda r: r.part)]) if summed else np.zeros(1 << SKETCH_BITS, np.uint32)
+    sent = spark.sparkContext.broadcast(counts)
+    del summed, counts
     entries = sets.agg(F.sum(F.col("n") - F.floor((F.col("n") * percent + 99) / 100) + 1)).first()[0] or 0
     buckets = max(math.ceil(int(entries) / ENTRIES_PER_BUCKET), shuffle_partitions(spark))
 
     # The lists of prefix grams.
     packed = source.mapInArrow(lambda batches: _prefixes(batches, sent.value, buckets, n, percent), LISTS_DDL)
     lists = saved(packed.groupBy("bucket").applyInArrow(_lists, LISTS_DDL), "lists")
+    sent.destroy()
 
     of_set = saved(sets.filter("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("ranges").alias("ranges")), "nodes")
     a, b = (of_set.select(F.col("sid").alias(s), F.col("doc_id").alias(f"doc_{s}"), F.col("n").alias(f"n_{s}"), F.col("ranges").alias(f"ranges_{s}")) for s in "ab")
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        """The links among the pairs. Texts are moved for pairs that their range counts leave possible."""
-        known = pairs.join(a, "a").join(b, "b").select("a", "b", "ranges_a", "ranges_b", "n_a", "n_b")
-        possible = saved(known.mapInArrow(lambda batches: _possible(batches, percent), "a long, b long"), "pairs")
+    def verified(possible: DataFrame) -> DataFrame:
+        """The links among stored pairs that their range counts leave possible."""
         wanted = possible.select(F.col("a").alias("sid")).union(possible.select(F.col("b").alias("sid"))).distinct()
         chosen = saved(of_set.select("sid", "doc_id").join(wanted, "sid"), "chosen")
         texts = texts_of(source, chosen, n)
@@ -376,7 +376,9 @@ def jaccard_components(docs: DataFrame, n: int = GRAM, percent: int = PERCENT) -
         return saved(with_b.select("a", "b", "text_a", "text_b").mapInArrow(lambda batches: _verified(batches, n, percent), "a long, b long"), "links")
 
     pairs = saved(tried_first(lists.mapInPandas(lambda batches: _first_pairs(batches, percent), "a long, b long, whole boolean")), "pairs")
-    labels = saved(components(verified(pairs)), "labels")
+    known = pairs.join(a, "a").join(b, "b").select("a", "b", "ranges_a", "ranges_b", "n_a", "n_b")
+    possible = saved(known.mapInArrow(lambda batches: _possible(batches, percent), "a long, b long"), "possible")
+    labels = saved(components(verified(possible)), "labels")
     entry = saved(lists.mapInPandas(_open_entries, "bucket long, key long, sid long, size long, place long"), "entries")
 
     def open_entries() -> DataFrame:
@@ -401,7 +403,7 @@ def jaccard_components(docs: DataFrame, n: int = GRAM, percent: int = PERCENT) -
     left = open_entries()
     lists_of = left.groupBy("sid").agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "key"))), lambda x: x["key"]).alias("lists"))
     more = left.join(lists_of, "sid").groupBy("bucket").applyInPandas(lambda rows: _cross_pairs(rows, percent), "a long, b long").distinct()
-    labels = joined(verified(more.join(pairs, ["a", "b"], "left_anti")))
+    labels = joined(verified(saved(more.join(pairs, ["a", "b"], "left_anti"), "more")))
 
     nodes = sets.join(labels.withColumnRenamed("node", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
     named = nodes.filter("sid is not null").groupBy("component").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("n_component"))
@@ -423,20 +425,25 @@ def _near(percent: int, salt: int):
 def texts_of(source: DataFrame, chosen: DataFrame, n: int) -> DataFrame:
     """``sid`` and ``text`` for chosen sets (``sid``, ``doc_id`` of one of their documents).
 
-    Most other documents are kept out by a bit table of fixed size before the join.
+    Most other documents are kept out by a bit table of fixed size before the join; the driver gets its set parts, whatever the number of sets.
     """
     cell = F.pmod(F.xxhash64("doc_id"), F.lit(1 << FILTER_BITS))
-    bits = np.zeros(1 << FILTER_BITS, bool)
-    bits[[r[0] for r in chosen.select(cell).distinct().collect()]] = True
-    mask = source.sparkSession.sparkContext.broadcast(np.packbits(bits))
+    numbered = chosen.select((cell + 1).alias("number"))  # Spark's bitmaps count from 1
+    parts = numbered.groupBy(F.bitmap_bucket_number("number").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("number")).alias("bits"))
+    bits = np.zeros((1 << FILTER_BITS) // 8, np.uint8)
+    for part, found in parts.collect():
+        bits[(part - 1) * len(found) : part * len(found)] = np.frombuffer(found, np.uint8)
+    mask = source.sparkSession.sparkContext.broadcast(bits)
     likely = source.withColumn("cell", cell).mapInArrow(_masker(mask), "doc_id long, text string")
     met = likely.join(chosen, likely["doc_id"].eqNullSafe(chosen["doc_id"])).select("sid", "text")
-    return saved(met.mapInArrow(lambda batches: _own_texts(batches, n), "sid long, text string").dropDuplicates(["sid"]), "texts")
+    texts = saved(met.mapInArrow(lambda batches: _own_texts(batches, n), "sid long, text string").dropDuplicates(["sid"]), "texts")
+    mask.destroy()
+    return texts
 
 
 def _masker(mask):
     def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.unpackbits(mask.value)
+        bits = np.unpackbits(mask.value, bitorder="little")
         for batch in batches:
             yield batch.filter(pa.array(bits[batch.column(2).to_numpy()] == 1)).select([0, 1])
 

@@ -6,9 +6,11 @@ import numpy as np
 import pandas as pd
 import pytest
 from odd import ODD
+from pyspark.sql.classic.dataframe import DataFrame
 
 from gatelens.llm import ngram_join as m
-from gatelens.llm.tables import components
+from gatelens.llm import tables
+from gatelens.llm.tables import components, saved
 
 LOW = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -108,6 +110,24 @@ def test_components_of_a_chain_and_a_star(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_links_that_are_stars_need_no_further_round(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(tables, "saved", lambda df, name: made.append(name) or saved(df, name))
+    rows = tables.components(spark.createDataFrame([(1, k) for k in range(2, 40)], "a long, b long").coalesce(1)).collect()
+    assert {(r.node, r.component) for r in rows} == {(k, 1) for k in range(1, 40)}
+    assert made.count("links") == 1
+
+
+def test_the_driver_gets_parts_of_a_bit_table_and_not_a_row_for_each_set(spark, docs, monkeypatch):
+    rows = [(k, f"w{k}") for k in range(3000)] + [(None, "no id")]
+    collect, got = DataFrame.collect, []
+    monkeypatch.setattr(type(spark.range(0)), "collect", lambda self: got.append(collect(self)) or got[-1])
+    chosen = spark.createDataFrame([(m.set_id(m.grams(t.encode())), i) for i, t in rows if i is None or i % 2], "sid long, doc_id long")
+    texts = m.texts_of(docs(rows).select("doc_id", "text"), chosen, m.GRAM)
+    assert max(map(len, got)) <= 128
+    assert sorted(r.text for r in texts.toLocalIterator()) == sorted(t for i, t in rows if i is None or i % 2)
+
+
 def test_query(spark, docs, folder):
     rows = corpus(5, groups=3)
     got = m.op7_ngram_join(spark, folder(documents=docs(rows))).collect()
