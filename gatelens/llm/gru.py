@@ -27,24 +27,29 @@ def lanes_of(lengths: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np
     return rank[lane], start, used[order]
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
+#: So many tokens at a time go through a softmax: their logits stay in a core's cache.
+CHUNK = 1024
+#: Exponentials of logits within this need no shift, in single precision.
+SAFE = 80
 
 
-def _softmax(x: np.ndarray) -> np.ndarray:
-    """Over the first axis, in place: reductions along it are the quick ones."""
-    x -= x.max(axis=0)
-    np.exp(x, out=x)
-    x /= x.sum(axis=0)
-    return x
+def _chunks(i: int, j: int) -> list[tuple[int, int]]:
+    return [(k, min(j, k + CHUNK)) for k in range(i, j, CHUNK)]
+
 
+def _with_ones(h: np.ndarray) -> np.ndarray:
+    """States with a column of ones, which the biases are taken with."""
+    return np.concatenate([h, np.ones((len(h), 1), h.dtype)], axis=1)
 
-def _log_chance(x: np.ndarray, chosen: np.ndarray) -> np.ndarray:
-    """Log probability of one row of each column of ``x``, which is overwritten."""
-    x -= x.max(axis=0)
-    own = x[chosen, np.arange(x.shape[1])]
+
+def _exps(w: np.ndarray, h: np.ndarray, chosen: np.ndarray, at: np.ndarray, safe: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Exponentials of the logits ``w @ h.T`` up to a factor for each column, their sums, and the chosen rows' logits less the factor's logarithm."""
+    x = w @ h.T
+    if not safe:
+        x -= x.max(axis=0)
+    own = x[chosen, at]
     np.exp(x, out=x)
-    return own - np.log(x.sum(axis=0))
+    return x, np.ones(len(x), x.dtype) @ x, own
 
 
 class Gru:
@@ -88,38 +93,83 @@ class Gru:
         with np.load(io.BytesIO(data)) as found:
             return cls({k: found[k] for k in cls.NAMES})
 
-    def steps(self, h: np.ndarray, x: np.ndarray, fresh: np.ndarray, keep: list | None = None) -> np.ndarray:
-        """States after each input; ``x`` and ``fresh`` are (steps, lanes), ``fresh`` marks documents' first inputs."""
-        H, U = self.hidden, self.w["state"]
-        projected = self.w["inputs"][x] + self.w["bias"]
-        out = np.empty((*x.shape, H), np.float32)
+    def _gates(self, name: str) -> np.ndarray:
+        """Input or state weights by gate: update, reset, new state."""
+        w = self.w[name]
+        return np.ascontiguousarray(w.reshape(len(w), 3, self.hidden).transpose(1, 0, 2))
+
+    def inputs_of(self, symbols: np.ndarray) -> np.ndarray:
+        """Input weights of symbols by gate, with the bias."""
+        return np.ascontiguousarray((self.w["inputs"][symbols] + self.w["bias"]).reshape(-1, 3, self.hidden).transpose(1, 0, 2))
+
+    def steps(self, h: np.ndarray, x: np.ndarray, fresh: np.ndarray, keep: list | None = None, inputs: np.ndarray | None = None) -> np.ndarray:
+        """States after each input; ``x`` and ``fresh`` are (steps, lanes), ``fresh`` marks documents' first inputs.
+
+        ``inputs`` are what ``x`` counts the rows of, if not all symbols' ``inputs_of``.
+        """
+        H, kind, U = self.hidden, self.w["state"].dtype, self._gates("state")
+        inputs = self.inputs_of(np.arange(len(self.w["inputs"]))) if inputs is None else inputs
+        projected = np.stack([np.take(g, x, axis=0) for g in inputs])
+        out = np.empty((*x.shape, H), kind)
+        any_fresh = fresh.any(axis=1)
+        h = h.astype(kind)
         for t in range(len(x)):
-            if fresh[t].any():
-                h = np.where(fresh[t][:, None], np.float32(0), h)
-            p, u = projected[t], h @ U
-            gates = _sigmoid(p[:, : 2 * H] + u[:, : 2 * H])
-            z, r = gates[:, :H], gates[:, H:]
-            n = np.tanh(p[:, 2 * H :] + r * u[:, 2 * H :])
+            if any_fresh[t]:
+                h = np.where(fresh[t][:, None], kind.type(0), h)
+            gates = np.matmul(h, U[:2])
+            gates += projected[:2, t]
+            np.negative(gates, out=gates)
+            np.exp(gates, out=gates)
+            gates += 1
+            np.reciprocal(gates, out=gates)
+            z, r = gates
+            u = h @ U[2]
+            n = r * u
+            n += projected[2, t]
+            np.tanh(n, out=n)
             if keep is not None:
-                keep.append((h, z, r, n, u[:, 2 * H :]))
-            h = n + z * (h - n)
-            out[t] = h
+                keep.append((h, z, r, n, u))
+            now = out[t]
+            np.subtract(h, n, out=now)
+            now *= z
+            now += n
+            h = now
         return out
 
     def by_class(self, y: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
         """An order of symbols by class, and for each class met its number and its slice in that order."""
-        order = np.argsort((y // self.size).astype(np.int16), kind="stable")
-        met, start = np.unique(y[order] // self.size, return_index=True)
-        return order, list(zip(met.tolist(), start.tolist(), [*start[1:].tolist(), len(y)]))
+        own = (y // self.size).astype(np.int16)
+        ends = np.cumsum(counts := np.bincount(own, minlength=self.classes))
+        return np.argsort(own, kind="stable"), [(int(c), int(ends[c] - counts[c]), int(ends[c])) for c in np.flatnonzero(counts)]
 
-    def log_probabilities(self, h: np.ndarray, y: np.ndarray) -> np.ndarray:
+    def _outputs(self) -> tuple[np.ndarray, np.ndarray]:
+        """Output weights of the classes, and of each class's symbols, with the biases as last columns."""
+        w = self.w
+        return (
+            np.concatenate([w["class_w"].T, w["class_b"][:, None]], axis=1),
+            np.concatenate([w["word_w"].transpose(0, 2, 1), w["word_b"][:, :, None]], axis=2),
+        )
+
+    @staticmethod
+    def _safe(outputs: tuple[np.ndarray, np.ndarray], h: np.ndarray) -> bool:
+        """Whether no logit after these states can be beyond ``SAFE``."""
+        most = max(np.abs(w).sum(-1).max() for w in outputs)
+        return bool(most * max(1.0, np.abs(h).max(initial=0)) < SAFE)
+
+    def log_probabilities(self, h: np.ndarray, y: np.ndarray, outputs: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
         """Natural log probabilities of symbols ``y`` (flat) after states ``h``: of the class, then of the symbol in it."""
-        w, out = self.w, np.empty(len(y))
+        of_class, of_word = outputs = outputs or self._outputs()
         order, classes = self.by_class(y)
-        h, y = h[order], y[order]
-        found = _log_chance(w["class_w"].T @ h.T + w["class_b"][:, None], y // self.size)
-        for c, i, j in classes:
-            found[i:j] += _log_chance(w["word_w"][c].T @ h[i:j].T + w["word_b"][c][:, None], y[i:j] % self.size)
+        safe, out, found = self._safe(outputs, h), np.empty(len(y)), np.empty(len(y))
+        h, y, at = _with_ones(h[order]), y[order], np.arange(CHUNK)
+        own_class, own_word = y // self.size, y % self.size
+        for i, j in _chunks(0, len(y)):
+            _, total, own = _exps(of_class, h[i:j], own_class[i:j], at[: j - i], safe)
+            found[i:j] = own - np.log(total)
+        for c, start, end in classes:
+            for i, j in _chunks(start, end):
+                _, total, own = _exps(of_word[c], h[i:j], own_word[i:j], at[: j - i], safe)
+                found[i:j] += own - np.log(total)
         out[order] = found
         return out
 
@@ -140,14 +190,15 @@ class Gru:
         if not docs:
             return total
         x, y, doc, fresh, used = self.laid_out(docs, most_lanes)
-        h = np.zeros((len(used), self.hidden), np.float32)
+        h, outputs = np.zeros((len(used), self.hidden), np.float32), self._outputs()
+        inputs = self.inputs_of(np.arange(len(self.w["inputs"])))
         for t in range(0, len(x), window):
             live = int((used > t).sum())  # lanes are sorted by length
             s = slice(t, t + window)
-            states = self.steps(h[:live], x[s, :live], fresh[s, :live])
+            states = self.steps(h[:live], x[s, :live], fresh[s, :live], inputs=inputs)
             h = states[-1]
             own = doc[s, :live].ravel() >= 0
-            logs = self.log_probabilities(states.reshape(-1, self.hidden)[own], y[s, :live].ravel()[own])
+            logs = self.log_probabilities(states.reshape(-1, self.hidden)[own], y[s, :live].ravel()[own], outputs)
             total += np.bincount(doc[s, :live].ravel()[own], logs, len(docs))
         return total
 
@@ -174,57 +225,91 @@ class Gru:
                 for k, (rows, g) in grads.items():
                     np.clip(g, -0.5, 0.5, out=g)
                     m, v = first[k][rows], second[k][rows]
-                    m += (g - m) * np.float32(0.1)
-                    v += (g * g - v) * np.float32(0.005)
+                    m *= np.float32(0.9)
+                    v *= np.float32(0.995)
+                    m += (change := g * np.float32(0.1))
+                    np.multiply(g, g, out=change)
+                    change *= np.float32(0.005)
+                    v += change
                     if not isinstance(rows, slice):
                         first[k][rows], second[k][rows] = m, v
-                    self.w[k][rows] -= np.float32(rate / (1 - 0.9**step)) * m / (np.sqrt(v * np.float32(1 / (1 - 0.995**step))) + np.float32(1e-6))
+                    np.multiply(v, np.float32(1 / (1 - 0.995**step)), out=change)
+                    np.sqrt(change, out=change)
+                    change += np.float32(1e-6)
+                    np.divide(m, change, out=change)
+                    change *= np.float32(rate / (1 - 0.9**step))
+                    self.w[k][rows] -= change
 
     def _gradients(self, h, x, y, own, fresh):
         """For each weight the rows that have a gradient, and it; and the last states."""
-        H, w, every_row = self.hidden, self.w, slice(None)
+        H, w, every_row, kind = self.hidden, self.w, slice(None), self.w["state"].dtype
+        flat_x = x.ravel().astype(np.uint16 if self.classes * self.size <= 1 << 16 else x.dtype)  # short numbers sort faster
+        by_input = np.argsort(flat_x, kind="stable")
+        new = np.r_[True, np.diff(flat_x[by_input]) != 0]
+        first, number = np.flatnonzero(new), np.empty(x.size, np.int64)
+        symbols, number[by_input] = flat_x[by_input[first]].astype(np.int64), np.cumsum(new) - 1
         keep: list = []
-        states = self.steps(h, x, fresh, keep)
+        states = self.steps(h, number.reshape(x.shape), fresh, keep, self.inputs_of(symbols))
         last, flat = states[-1], states.reshape(-1, H)
         at_own, y = np.flatnonzero(own.ravel()), y.ravel()[own.ravel()]
         order, classes = self.by_class(y)  # each class's tokens are one slice
         at_own, y = at_own[order], y[order]
-        scale, hs, n = np.float32(1 / max(1, len(y))), flat[at_own], np.arange(len(y))
-        d = _softmax(w["class_w"].T @ hs.T + w["class_b"][:, None])
-        d[y // self.size, n] -= 1
-        grads = {"class_w": (every_row, (d @ hs).T * scale), "class_b": (every_row, d.sum(1) * scale)}
-        dh = (w["class_w"] @ d).T
-        word_w, word_b = np.empty((len(classes), H, self.size), np.float32), np.empty((len(classes), self.size), np.float32)
-        for k, (c, i, j) in enumerate(classes):
-            part = hs[i:j]
-            d = _softmax(w["word_w"][c].T @ part.T + w["word_b"][c][:, None])
-            d[y[i:j] % self.size, n[: j - i]] -= 1
-            word_w[k], word_b[k] = (d @ part).T, d.sum(1)
-            dh[i:j] += (w["word_w"][c] @ d).T
+        scale, at = kind.type(1 / max(1, len(y))), np.arange(CHUNK)
+        of_class, of_word = outputs = self._outputs()
+        safe, hs = self._safe(outputs, flat), _with_ones(flat[at_own])
+        own_class, own_word = y // self.size, y % self.size
+        dh = np.zeros((len(y), H), kind)
+
+        def taken(w: np.ndarray, chosen: np.ndarray, i: int, j: int) -> np.ndarray:
+            """Gradient of one softmax's weights, by its tokens ``i`` to ``j``; adds that of the states."""
+            total = np.zeros(w.shape, kind)
+            for i, j in _chunks(i, j):
+                x, sums, _ = _exps(w, hs[i:j], chosen[i:j], at[: j - i], safe)
+                x[chosen[i:j], at[: j - i]] -= sums  # the softmax less the chosen, times the sum
+                sums = (1 / sums)[:, None]
+                total += x @ (hs[i:j] * sums)
+                dh[i:j] += (x.T @ w[:, :H]) * sums
+            total *= scale
+            return total
+
+        g = taken(of_class, own_class, 0, len(y))
+        grads = {"class_w": (every_row, np.ascontiguousarray(g[:, :H].T)), "class_b": (every_row, g[:, H].copy())}
         met = np.array([c for c, _, _ in classes], np.int64)
-        grads["word_w"], grads["word_b"] = (met, word_w * scale), (met, word_b * scale)
+        g = np.stack([taken(of_word[c], own_word, i, j) for c, i, j in classes]) if classes else np.zeros((0, self.size, H + 1), kind)
+        rows = every_row if len(met) == self.classes else met
+        grads["word_w"], grads["word_b"] = (rows, np.ascontiguousarray(g[:, :, :H].transpose(0, 2, 1))), (rows, g[:, :, H].copy())
         every = np.zeros_like(flat)
-        every[at_own] = dh * scale
+        dh *= scale
+        every[at_own] = dh
         every = every.reshape(states.shape)
-        d_state, d_in = np.zeros_like(w["state"]), np.empty((*x.shape, 3 * H), np.float32)
-        back = np.zeros_like(last)
+        d_in = np.empty((3, *x.shape, H), kind)  # what reaches the gates' inputs; the new state's also by way of the reset gate
+        by_state, U = np.empty((*x.shape, H), kind), self._gates("state")
+        back, any_fresh = np.zeros_like(last), fresh.any(axis=1)
+        UT = np.ascontiguousarray(U.transpose(0, 2, 1))
         for t in range(len(x) - 1, -1, -1):
             before, z, r, n, u = keep[t]
-            dh = every[t] + back
-            dn = dh * (1 - z) * (1 - n * n)
-            own_in = d_in[t]
-            own_in[:, :H] = dh * (before - n) * z * (1 - z)
-            own_in[:, H : 2 * H] = dn * u * r * (1 - r)
-            own_in[:, 2 * H :] = dn
-            du = own_in.copy()
-            du[:, 2 * H :] *= r
-            d_state += before.T @ du
-            back = dh * z + du @ w["state"].T
-            if fresh[t].any():
+            back += every[t]
+            dz, dr, dn, du = d_in[0, t], d_in[1, t], d_in[2, t], by_state[t]
+            rest = 1 - z
+            np.multiply(back, rest, out=dn)
+            np.subtract(before, n, out=dz)
+            dz *= dn
+            dz *= z
+            dn *= 1 - n * n
+            np.multiply(dn, r, out=du)
+            np.subtract(1, r, out=dr)
+            dr *= du
+            dr *= u
+            back *= z
+            back += dz @ UT[0]
+            back += dr @ UT[1]
+            back += du @ UT[2]
+            if any_fresh[t]:
                 back[fresh[t]] = 0
-        d_x = d_in.reshape(-1, 3 * H)
-        grads["state"], grads["bias"] = (every_row, d_state), (every_row, d_x.sum(0))
-        order = np.argsort(x.ravel(), kind="stable")
-        ids, first = np.unique(x.ravel()[order], return_index=True)
-        grads["inputs"] = (ids, np.add.reduceat(d_x[order], first, axis=0))
+        before = np.concatenate([k[0] for k in keep]).T
+        grads["state"] = (every_row, np.concatenate([before @ d.reshape(-1, H) for d in (d_in[0], d_in[1], by_state)], axis=1))
+        d_x = d_in.reshape(3, -1, H)
+        grads["bias"] = (every_row, d_x.sum(1).ravel())
+        d_x = np.concatenate([d[by_input] for d in d_x], axis=1)
+        grads["inputs"] = (symbols, np.add.reduceat(d_x, first, axis=0))
         return grads, last

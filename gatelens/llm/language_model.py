@@ -1,6 +1,6 @@
 """Language-model scoring with a gated recurrent network over a corpus-wide vocabulary.
 
-Documents are stored once in blocks; blocks send their distinct words' hashes and counts to buckets and get back the
+Documents are stored once in blocks, and their words as numbers, so texts are split into words once; blocks send their distinct words' hashes and counts to buckets and get back the
 counts over all training documents (see ``tables``). From these counts come the unigram base, the vocabulary (the most
 frequent words, as many as the square root of the training words, ``VOCABULARY`` at least) and, for the rest, word shapes: 64
 classes by a word's last two bytes, each with its own counts. The network's symbols are the end, the vocabulary and the shapes; a word outside the vocabulary has the probability of its shape times
@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import math
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gatelens.llm.gru import Gru
-from gatelens.llm.tables import BLOCK_BYTES, fold_of, in_blocks, ordered, read_table, saved
+from gatelens.llm.tables import BLOCK_BYTES, by_block, fold_of, in_blocks, ordered, read_table, saved
 from gatelens.llm.words import LOWER, WordHashes, as_bytes, bucket_slices, mixed
 
 FOLDS, HELD = 7, 2
@@ -38,6 +39,10 @@ ROUNDS, EPOCHS = 2, 1
 
 SENT = pa.schema([("bucket", pa.int64()), ("block", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary()), ("shapes", pa.binary())])
 SENT_DDL = "bucket long, block int, keys binary, counts binary, shapes binary"
+#: A block's documents and words, as they are stored.
+CODES = [("ids", np.int64), ("null", np.bool_), ("held", np.bool_), ("lengths", np.int32), ("words", np.int32), ("keys", np.uint64), ("shapes", np.uint8)]
+CODED = pa.schema([("block", pa.int32()), *((c, pa.binary()) for c, _ in CODES)])
+CODED_DDL = "block int, ids binary, null binary, held binary, lengths binary, words binary, keys binary, shapes binary"
 GOT = pa.schema([("block", pa.int32()), ("bucket", pa.int64()), ("counts", pa.binary()), ("keys", pa.binary()), ("shapes", pa.binary())])
 GOT_DDL = "block int, bucket long, counts binary, keys binary, shapes binary"
 #: In place of a block: the row with a bucket's frequent words, and the one with its shapes' totals.
@@ -57,29 +62,53 @@ class _Numbers(dict):
 
 
 class Block:
-    """A block's words as numbers of its distinct words, with these words' hashes and shapes."""
+    """A block's documents as numbers of its distinct words, with these words' hashes and shapes."""
 
-    def __init__(self, table: pa.Table):
+    def __init__(self, block: int, ids: np.ndarray, null: np.ndarray, held: np.ndarray, lengths: np.ndarray, words: np.ndarray, keys: np.ndarray, shapes: np.ndarray):
+        self.block, self.ids, self.null, self.held, self.lengths, self.words, self.keys, self.shapes = block, ids, null, held, lengths, words, keys, shapes
+
+    @classmethod
+    def parsed(cls, table: pa.Table) -> Block:
         table, numbers = ordered(table), _Numbers()
-        self.doc_ids = table.column("doc_id")
-        self.held = np.array([zlib.crc32(b"" if i is None else b"%d" % i) % FOLDS == HELD for i in self.doc_ids.to_pylist()], bool)
-        self.docs = [np.fromiter(map(numbers.__getitem__, w), np.int32, len(w)) for w in ((t or b"").translate(LOWER).split() for t in as_bytes(table.column("text")))]
+        ids = table.column("doc_id").to_pylist()
+        docs = [np.fromiter(map(numbers.__getitem__, w), np.int32, len(w)) for w in ((t or b"").translate(LOWER).split() for t in as_bytes(table.column("text")))]
         words = list(numbers)
         own = mixed(_hashes.of(words))
         shape = np.fromiter((zlib.crc32(w[-2:]) % SHAPES for w in words), np.uint8, len(words))
-        self.keys, at, self.key_of = np.unique(own, return_index=True, return_inverse=True)
-        self.shapes = shape[at]
+        keys, at, key_of = np.unique(own, return_index=True, return_inverse=True)
+        return cls(
+            table.column("block")[0].as_py(),
+            np.array([0 if i is None else i for i in ids], np.int64),
+            np.array([i is None for i in ids], bool),
+            np.array([zlib.crc32(b"" if i is None else b"%d" % i) % FOLDS == HELD for i in ids], bool),
+            np.array([len(d) for d in docs], np.int32),
+            key_of.astype(np.int32)[np.concatenate(docs)],
+            keys,
+            shape[at],
+        )
+
+    @classmethod
+    def stored(cls, row: dict) -> Block:
+        return cls(row["block"], *(np.frombuffer(row[c], kind) for c, kind in CODES))
+
+    def row(self) -> dict:
+        return {"block": self.block} | {c: getattr(self, c).tobytes() for c, _ in CODES}
+
+    def docs(self) -> list[np.ndarray]:
+        return np.split(self.words, np.cumsum(self.lengths)[:-1])
 
     def training_counts(self) -> np.ndarray:
-        used = [d for d, held in zip(self.docs, self.held) if not held]
-        return np.bincount(self.key_of[np.concatenate(used)], minlength=len(self.keys)) if used else np.zeros(len(self.keys), np.int64)
+        return np.bincount(self.words[np.repeat(~self.held, self.lengths)], minlength=len(self.keys))
 
 
-def _send(table: pa.Table, buckets: int) -> pa.Table:
-    block = Block(table)
+def _code(table: pa.Table) -> pa.Table:
+    return pa.Table.from_pylist([Block.parsed(table).row()], schema=CODED)
+
+
+def _send(block: Block, buckets: int) -> pa.RecordBatch:
     counts = block.training_counts().astype(np.int64)
-    rows = [dict(zip(SENT.names, (b, table.column("block")[0].as_py(), block.keys[s].tobytes(), counts[s].tobytes(), block.shapes[s].tobytes()))) for b, s in bucket_slices(block.keys, buckets)]
-    return pa.Table.from_pylist(rows, schema=SENT)
+    rows = [dict(zip(SENT.names, (b, block.block, block.keys[s].tobytes(), counts[s].tobytes(), block.shapes[s].tobytes()))) for b, s in bucket_slices(block.keys, buckets)]
+    return pa.RecordBatch.from_pylist(rows, schema=SENT)
 
 
 def _count(rows: pa.Table, vocabulary: int) -> pa.Table:
@@ -151,19 +180,24 @@ def vocabulary_size(least: int, n_words: int) -> int:
 
 
 def _trainer(weights, known, epochs: int):
-    def train(table: pa.Table) -> pa.Table:
-        """The weights after the block's training documents, and how many tokens these have."""
-        block = Block(table)
-        docs = _with_end([block.key_of[d] for d, held in zip(block.docs, block.held) if not held], known.value.of(block)[0])
-        if not docs:
-            return WEIGHTS.empty_table()
-        own = Gru.loaded(weights.value)
-        own.train(docs, epochs)
-        return pa.Table.from_pylist([{"part": table.column("block")[0].as_py(), "n": sum(map(len, docs)), "weights": own.dumped()}], schema=WEIGHTS)
+    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The weights after a block's training documents, and how many tokens these have."""
+        for block in _stored(batches):
+            docs = _with_end([d for d, held in zip(block.docs(), block.held) if not held], known.value.of(block)[0])
+            if docs:
+                own = Gru.loaded(weights.value)
+                own.train(docs, epochs)
+                yield pa.RecordBatch.from_pylist([{"part": block.block, "n": sum(map(len, docs)), "weights": own.dumped()}], schema=WEIGHTS)
 
     return train
 
 
+def _stored(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
+    for batch in batches:
+        for k in range(batch.num_rows):
+            yield Block.stored(batch.slice(k, 1).to_pylist()[0])
+
+
 def _averager(parts: int):
     def average(rows: pa.Table) -> pa.Table:
         total, n = {}, rows.column("n").to_pylist()
@@ -177,17 +211,18 @@ def _averager(parts: int):
 
 
 def fitted(blocks: DataFrame, n_blocks: int, symbols: Symbols, rounds: int, epochs: int) -> tuple[Gru, int]:
-    """The network fitted to the training documents of all blocks, and the tokens that all rounds took in.
+    """The network fitted to the training documents of all blocks (of text, or coded), and the tokens that all rounds took in.
 
     A round's weights meet in a tree, so that no task holds more than some copies, and the driver one.
     """
     context = blocks.sparkSession.sparkContext
     model, taken = Gru.started(symbols.counts.astype(float), max(CLASSES, math.isqrt(len(symbols.counts))), HIDDEN), 0
     known = context.broadcast(symbols)
+    coded = blocks if "words" in blocks.columns else blocks.groupBy("block").applyInArrow(_code, CODED_DDL)
     for k in range(rounds):
         weights = context.broadcast(model.dumped())
-        own = blocks.filter(F.pmod("block", F.lit(rounds)) == k)
-        made = saved(own.groupBy("block").applyInArrow(_trainer(weights, known, epochs), WEIGHTS_DDL), "weights")
+        own = coded.filter(F.pmod("block", F.lit(rounds)) == k)
+        made = saved(own.mapInArrow(_trainer(weights, known, epochs), WEIGHTS_DDL), "weights")
         left = n_blocks
         while left > 1:
             left = -(-left // max(2, SHARDS))
@@ -203,8 +238,8 @@ def score_documents(docs: DataFrame, vocabulary: int = VOCABULARY) -> DataFrame:
     """Per row of ``doc_id`` and ``text``: ``doc_id``, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score`` and ``score``."""
     spark = docs.sparkSession
     blocks, n_blocks = in_blocks(docs, by_id=False)
-    by_block = blocks.groupBy("block")
-    sent = by_block.applyInArrow(_sender(n_blocks), SENT_DDL)
+    coded = by_block(blocks.groupBy("block").applyInArrow(_code, CODED_DDL), n_blocks, "coded")
+    sent = coded.mapInArrow(_sender(n_blocks), SENT_DDL)
     most = vocabulary_size(vocabulary, n_blocks * BLOCK_BYTES)  # no text has more words than bytes
     got = saved(sent.groupBy("bucket").applyInArrow(_counter(most), GOT_DDL), "counts")
 
@@ -218,16 +253,17 @@ def score_documents(docs: DataFrame, vocabulary: int = VOCABULARY) -> DataFrame:
     shape_v = shape_v - np.bincount(shapes, minlength=SHAPES)
     symbols = Symbols(words, counts, shape_n, shape_v, n_docs)
 
-    model, _ = fitted(blocks, n_blocks, symbols, ROUNDS, EPOCHS)
+    model, _ = fitted(coded, n_blocks, symbols, ROUNDS, EPOCHS)
 
     scorer = _scorer(spark.sparkContext.broadcast(model.dumped()), spark.sparkContext.broadcast(symbols), train_tokens, distinct, n_docs)
-    scores = by_block.cogroup(got.filter("block >= 0").select("block", "bucket", "counts").groupBy("block")).applyInArrow(scorer, SCORES_DDL)
+    scores = coded.groupBy("block").cogroup(got.filter("block >= 0").select("block", "bucket", "counts").groupBy("block")).applyInArrow(scorer, SCORES_DDL)
     return scores.withColumn("train_tokens", F.lit(train_tokens).cast("long"))
 
 
 def _sender(buckets: int):
-    def send(table: pa.Table) -> pa.Table:
-        return _send(table, buckets)
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in _stored(batches):
+            yield _send(block, buckets)
 
     return send
 
@@ -244,18 +280,18 @@ def _scorer(weights, known, train_tokens: int, distinct: int, n_docs: int):
     log_end = math.log10(n_docs + 1) - log_all
 
     def score(table: pa.Table, counts: pa.Table) -> pa.Table:
-        block, symbols, model = Block(table), known.value, Gru.loaded(weights.value)
+        block, symbols, model = Block.stored(table.to_pylist()[0]), known.value, Gru.loaded(weights.value)
         found = sorted(zip(counts.column("bucket").to_pylist(), counts.column("counts").to_pylist()))
         c = np.concatenate([np.frombuffer(x, np.int64) for _, x in found] or [np.zeros(0, np.int64)])
         of_word, in_vocabulary = symbols.of(block)
         base = np.log10(c + 1) - log_all
         among = np.log10(c + 1) - np.log10(symbols.shape_n + symbols.shape_v + 1)[block.shapes]
         rest = np.where(in_vocabulary, 0.0, among)
-        docs = [block.key_of[d] for d in block.docs]
+        docs = block.docs()
         network = model.score(_with_end(docs, of_word)) / math.log(10)
         return pa.table(
             {
-                "doc_id": block.doc_ids,
+                "doc_id": pa.array(block.ids, mask=block.null),
                 "held_out": pa.array(block.held),
                 "n_tokens": pa.array([len(d) + 1 for d in docs], pa.int64()),
                 "n_known": pa.array([int((c[d] > 0).sum()) + (n_docs > 0) for d in docs], pa.int64()),

@@ -108,6 +108,32 @@ def test_scoring_side_by_side_equals_one_by_one(model):
         assert abs(total - expected) < 1e-4
 
 
+def test_texts_are_split_once(spark, docs):
+    """Training and scoring read the stored numbers of the words; coded blocks give the network that blocks of text give."""
+    rows = corpus(120) + ODD
+    plan = m.score_documents(docs(rows))._jdf.queryExecution().toString()
+    assert "words" in plan and "text" not in plan
+    blocks, n = m.in_blocks(docs(rows), block_bytes=4000)
+    symbols = m.Symbols(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.ones(m.SHAPES, np.int64), np.ones(m.SHAPES, np.int64), 1)
+    coded = blocks.groupBy("block").applyInArrow(m._code, m.CODED_DDL)
+    (one, taken), (two, of_coded) = m.fitted(blocks, n, symbols, 1, 1), m.fitted(coded, n, symbols, 1, 1)
+    assert taken == of_coded and all(np.allclose(one.w[k], two.w[k], atol=1e-4) for k in one.w)
+
+
+@pytest.mark.parametrize("factor", [1, 300])
+def test_chunks_and_large_weights_change_no_probability(factor):
+    """Slices of more tokens than a chunk; weights whose exponentials need a shift."""
+    made = Gru.started(np.arange(1, 21, dtype=float), 4, 5)
+    made.w["class_w"], made.w["word_w"] = made.w["class_w"] * factor, made.w["word_w"] * factor
+    rng = np.random.default_rng(4)
+    h, y = np.tanh(rng.standard_normal((5000, 5)) * 3).astype(np.float32), rng.integers(0, 20, 5000)
+    w = {k: v.astype(np.float64) for k, v in made.w.items()}
+    log_softmax = lambda x: x - np.log(np.exp(x).sum(-1, keepdims=True))
+    classes, at = log_softmax(h @ w["class_w"] + w["class_b"]), np.arange(5000)
+    words = log_softmax(np.einsum("nh,nhk->nk", h, w["word_w"][y // 5]) + w["word_b"][y // 5])
+    assert np.allclose(made.log_probabilities(h, y), classes[at, y // 5] + words[at, y % 5], rtol=1e-4, atol=1e-4)
+
+
 def test_gradients(model):
     rng = np.random.default_rng(2)
     x, y, fresh = rng.integers(0, 20, (6, 3)), rng.integers(0, 20, (6, 3)), rng.random((6, 3)) < 0.2
