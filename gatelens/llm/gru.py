@@ -28,13 +28,20 @@ def lanes_of(lengths: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np
 
 
 #: So many tokens at a time go through a softmax: their logits stay in a core's cache.
-CHUNK = 1024
+CHUNK = 512
+#: So many weights at a time take their step, in the cache as well.
+PIECE = 1 << 15
 #: Exponentials of logits within this need no shift, in single precision.
 SAFE = 80
 
 
-def _chunks(i: int, j: int) -> list[tuple[int, int]]:
-    return [(k, min(j, k + CHUNK)) for k in range(i, j, CHUNK)]
+def _chunks(slices: list[tuple[int, int, int]], n: int) -> list[tuple[int, int, list[tuple[int, int, int]]]]:
+    """``n`` tokens in chunks: start and end, and the parts of the slices (of a softmax's tokens: its number, start and end) in it."""
+    out = [(a, min(n, a + CHUNK), []) for a in range(0, n, CHUNK)]
+    for c, i, j in slices:
+        for a, b, parts in out[i // CHUNK : (j - 1) // CHUNK + 1]:
+            parts.append((c, max(i, a), min(j, b)))
+    return out
 
 
 def _with_ones(h: np.ndarray) -> np.ndarray:
@@ -42,14 +49,35 @@ def _with_ones(h: np.ndarray) -> np.ndarray:
     return np.concatenate([h, np.ones((len(h), 1), h.dtype)], axis=1)
 
 
-def _exps(w: np.ndarray, h: np.ndarray, chosen: np.ndarray, at: np.ndarray, safe: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Exponentials of the logits ``w @ h.T`` up to a factor for each column, their sums, and the chosen rows' logits less the factor's logarithm."""
-    x = w @ h.T
+def _exps(w: np.ndarray, h: np.ndarray, chunk: tuple, chosen: np.ndarray, safe: bool, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A chunk's exponentials of the logits ``h @ w[c]``, c by token, up to a factor for each row; their sums; and the chosen outputs' logits less the factor's logarithm.
+
+    One product for each softmax, and the rest for all the chunk's tokens at once.
+    """
+    a, b, parts = chunk
+    x = x[: b - a]
+    for c, i, j in parts:
+        np.matmul(h[i:j], w[c], out=x[i - a : j - a])
     if not safe:
-        x -= x.max(axis=0)
-    own = x[chosen, at]
+        x -= x.max(axis=1, keepdims=True)
+    own = x[np.arange(b - a), chosen[a:b]]
     np.exp(x, out=x)
-    return x, np.ones(len(x), x.dtype) @ x, own
+    return x, x @ np.ones(x.shape[1], x.dtype), own
+
+
+def _adam(m: np.ndarray, v: np.ndarray, g: np.ndarray, rate: np.float32, least: np.float32) -> np.ndarray:
+    """Takes a gradient, which it overwrites, into its sums and those of its squares, and returns the step."""
+    np.clip(g, -0.5, 0.5, out=g)
+    m *= np.float32(0.9)
+    m += g
+    v *= np.float32(0.995)
+    np.multiply(g, g, out=g)
+    v += g
+    np.sqrt(v, out=g)
+    g += least
+    np.divide(m, g, out=g)
+    g *= rate
+    return g
 
 
 class Gru:
@@ -109,21 +137,23 @@ class Gru:
         """
         H, kind, U = self.hidden, self.w["state"].dtype, self._gates("state")
         inputs = self.inputs_of(np.arange(len(self.w["inputs"]))) if inputs is None else inputs
-        projected = np.stack([np.take(g, x, axis=0) for g in inputs])
+        projected = np.empty((3, *x.shape, H), kind)
+        for g, to in zip(inputs, projected):
+            np.take(g, x, axis=0, out=to, mode="clip")  # no other mode fills ``out`` without a copy; all numbers are within
+        negated = np.negative(projected[:2], out=projected[:2])
         out = np.empty((*x.shape, H), kind)
         any_fresh = fresh.any(axis=1)
         h = h.astype(kind)
         for t in range(len(x)):
             if any_fresh[t]:
                 h = np.where(fresh[t][:, None], kind.type(0), h)
-            gates = np.matmul(h, U[:2])
-            gates += projected[:2, t]
-            np.negative(gates, out=gates)
+            gates = np.matmul(h, U)
+            u = gates[2]
+            gates = np.subtract(negated[:, t], gates[:2], out=gates[:2])
             np.exp(gates, out=gates)
             gates += 1
             np.reciprocal(gates, out=gates)
             z, r = gates
-            u = h @ U[2]
             n = r * u
             n += projected[2, t]
             np.tanh(n, out=n)
@@ -143,33 +173,32 @@ class Gru:
         return np.argsort(own, kind="stable"), [(int(c), int(ends[c] - counts[c]), int(ends[c])) for c in np.flatnonzero(counts)]
 
     def _outputs(self) -> tuple[np.ndarray, np.ndarray]:
-        """Output weights of the classes, and of each class's symbols, with the biases as last columns."""
+        """Output weights of the classes (as the only softmax of its kind), and of each class's symbols, with the biases as last rows."""
         w = self.w
         return (
-            np.concatenate([w["class_w"].T, w["class_b"][:, None]], axis=1),
-            np.concatenate([w["word_w"].transpose(0, 2, 1), w["word_b"][:, :, None]], axis=2),
+            np.concatenate([w["class_w"], w["class_b"][None]])[None],
+            np.concatenate([w["word_w"], w["word_b"][:, None]], axis=1),
         )
 
     @staticmethod
     def _safe(outputs: tuple[np.ndarray, np.ndarray], h: np.ndarray) -> bool:
         """Whether no logit after these states can be beyond ``SAFE``."""
-        most = max(np.abs(w).sum(-1).max() for w in outputs)
-        return bool(most * max(1.0, np.abs(h).max(initial=0)) < SAFE)
+        reach, largest = max(1.0, h.max(initial=0), -h.min(initial=0)), lambda a: max(a.max(), -a.min())
+        if all(largest(w[:, :-1]) * (w.shape[1] - 1) + largest(w[:, -1]) < SAFE / reach for w in outputs):
+            return True  # a coarser bound, which is found faster
+        return bool(max(np.abs(w).sum(1).max() for w in outputs) * reach < SAFE)
 
     def log_probabilities(self, h: np.ndarray, y: np.ndarray, outputs: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
         """Natural log probabilities of symbols ``y`` (flat) after states ``h``: of the class, then of the symbol in it."""
-        of_class, of_word = outputs = outputs or self._outputs()
+        outputs = outputs or self._outputs()
         order, classes = self.by_class(y)
-        safe, out, found = self._safe(outputs, h), np.empty(len(y)), np.empty(len(y))
-        h, y, at = _with_ones(h[order]), y[order], np.arange(CHUNK)
-        own_class, own_word = y // self.size, y % self.size
-        for i, j in _chunks(0, len(y)):
-            _, total, own = _exps(of_class, h[i:j], own_class[i:j], at[: j - i], safe)
-            found[i:j] = own - np.log(total)
-        for c, start, end in classes:
-            for i, j in _chunks(start, end):
-                _, total, own = _exps(of_word[c], h[i:j], own_word[i:j], at[: j - i], safe)
-                found[i:j] += own - np.log(total)
+        safe, out, found = self._safe(outputs, h), np.empty(len(y)), np.zeros(len(y))
+        h, y = _with_ones(h[order]), y[order]
+        for w, slices, chosen in ((outputs[0], [(0, 0, len(y))], y // self.size), (outputs[1], classes, y % self.size)):
+            buffer = np.empty((min(CHUNK, len(y)), w.shape[2]), np.result_type(h, w))
+            for chunk in _chunks(slices, len(y)):
+                _, total, own = _exps(w, h, chunk, chosen, safe, buffer)
+                found[chunk[0] : chunk[1]] += own - np.log(total)
         out[order] = found
         return out
 
@@ -184,7 +213,7 @@ class Gru:
             y[k, s:e], x[k, s + 1 : e], doc[k, s:e], fresh[k, s] = docs[d], docs[d][:-1], d, True
         return (*(np.ascontiguousarray(a.T) for a in (x, y, doc, fresh)), used)
 
-    def score(self, docs: list[np.ndarray], most_lanes: int = 512, window: int = 24) -> np.ndarray:
+    def score(self, docs: list[np.ndarray], most_lanes: int = 512, window: int = 96) -> np.ndarray:
         """Natural log probability of each whole document (symbols that end with 0). States go on from window to window."""
         total = np.zeros(len(docs))
         if not docs:
@@ -222,23 +251,19 @@ class Gru:
                 s = slice(t, t + window)
                 grads, h = self._gradients(h[:live], x[s, :live], y[s, :live], doc[s, :live] >= 0, fresh[s, :live])
                 step += 1
+                # averages are kept as sums: what they lack as factors is in these two
+                root = np.float32(np.sqrt(0.005 / (1 - 0.995**step)))
+                rate_now, least = np.float32(rate * 0.1 / (1 - 0.9**step)) / root, np.float32(1e-6) / root
                 for k, (rows, g) in grads.items():
-                    np.clip(g, -0.5, 0.5, out=g)
-                    m, v = first[k][rows], second[k][rows]
-                    m *= np.float32(0.9)
-                    v *= np.float32(0.995)
-                    m += (change := g * np.float32(0.1))
-                    np.multiply(g, g, out=change)
-                    change *= np.float32(0.005)
-                    v += change
-                    if not isinstance(rows, slice):
+                    if isinstance(rows, slice):
+                        of = max(1, PIECE // max(1, g[:1].size))
+                        for a in range(0, len(g), of):
+                            some = slice(a, a + of)
+                            self.w[k][some] -= _adam(first[k][some], second[k][some], g[some], rate_now, least)
+                    else:
+                        m, v = np.take(first[k], rows, axis=0), np.take(second[k], rows, axis=0)
+                        self.w[k][rows] -= _adam(m, v, g, rate_now, least)
                         first[k][rows], second[k][rows] = m, v
-                    np.multiply(v, np.float32(1 / (1 - 0.995**step)), out=change)
-                    np.sqrt(change, out=change)
-                    change += np.float32(1e-6)
-                    np.divide(m, change, out=change)
-                    change *= np.float32(rate / (1 - 0.9**step))
-                    self.w[k][rows] -= change
 
     def _gradients(self, h, x, y, own, fresh):
         """For each weight the rows that have a gradient, and it; and the last states."""
@@ -254,62 +279,71 @@ class Gru:
         at_own, y = np.flatnonzero(own.ravel()), y.ravel()[own.ravel()]
         order, classes = self.by_class(y)  # each class's tokens are one slice
         at_own, y = at_own[order], y[order]
-        scale, at = kind.type(1 / max(1, len(y))), np.arange(CHUNK)
-        of_class, of_word = outputs = self._outputs()
+        scale, outputs = kind.type(1 / max(1, len(y))), self._outputs()
         safe, hs = self._safe(outputs, flat), _with_ones(flat[at_own])
-        own_class, own_word = y // self.size, y % self.size
-        dh = np.zeros((len(y), H), kind)
-
-        def taken(w: np.ndarray, chosen: np.ndarray, i: int, j: int) -> np.ndarray:
-            """Gradient of one softmax's weights, by its tokens ``i`` to ``j``; adds that of the states."""
-            total = np.zeros(w.shape, kind)
-            for i, j in _chunks(i, j):
-                x, sums, _ = _exps(w, hs[i:j], chosen[i:j], at[: j - i], safe)
-                x[chosen[i:j], at[: j - i]] -= sums  # the softmax less the chosen, times the sum
-                sums = (1 / sums)[:, None]
-                total += x @ (hs[i:j] * sums)
-                dh[i:j] += (x.T @ w[:, :H]) * sums
-            total *= scale
+        dh, rows = np.zeros((len(y), H), kind), np.arange(CHUNK)
+
+        def taken(w: np.ndarray, slices: list[tuple[int, int, int]], chosen: np.ndarray) -> np.ndarray:
+            """Gradient of the softmaxes' weights, by the tokens of each (undefined for those without any); adds that of the states."""
+            total, back, starts = np.empty(w.shape, kind), w[:, :H].transpose(0, 2, 1), {i for _, i, _ in slices}
+            buffer, reached = np.empty((min(CHUNK, len(y)), w.shape[2]), kind), np.empty((min(CHUNK, len(y)), H), kind)
+            for chunk in _chunks(slices, len(y)):
+                a, b, parts = chunk
+                x, sums, _ = _exps(w, hs, chunk, chosen, safe, buffer)
+                x[rows[: b - a], chosen[a:b]] -= sums  # the softmax less the chosen, times the sum
+                sums = (scale / sums)[:, None]
+                scaled = (hs[a:b] * sums).T
+                for c, i, j in parts:
+                    own = x[i - a : j - a]
+                    if i in starts:
+                        np.matmul(scaled[:, i - a : j - a], own, out=total[c])
+                    else:
+                        total[c] += scaled[:, i - a : j - a] @ own
+                    np.matmul(own, back[c], out=reached[i - a : j - a])
+                dh[a:b] += reached[: b - a] * sums
             return total
 
-        g = taken(of_class, own_class, 0, len(y))
-        grads = {"class_w": (every_row, np.ascontiguousarray(g[:, :H].T)), "class_b": (every_row, g[:, H].copy())}
+        g = taken(outputs[0], [(0, 0, len(y))], y // self.size)[0]
+        grads = {"class_w": (every_row, g[:H]), "class_b": (every_row, g[H])}
         met = np.array([c for c, _, _ in classes], np.int64)
-        g = np.stack([taken(of_word[c], own_word, i, j) for c, i, j in classes]) if classes else np.zeros((0, self.size, H + 1), kind)
-        rows = every_row if len(met) == self.classes else met
-        grads["word_w"], grads["word_b"] = (rows, np.ascontiguousarray(g[:, :, :H].transpose(0, 2, 1))), (rows, g[:, :, H].copy())
+        met = every_row if len(met) == self.classes else met
+        g = taken(outputs[1], classes, y % self.size)[met]
+        grads["word_w"], grads["word_b"] = (met, g[:, :H]), (met, g[:, H])
         every = np.zeros_like(flat)
-        dh *= scale
         every[at_own] = dh
         every = every.reshape(states.shape)
-        d_in = np.empty((3, *x.shape, H), kind)  # what reaches the gates' inputs; the new state's also by way of the reset gate
-        by_state, U = np.empty((*x.shape, H), kind), self._gates("state")
+        # What reaches the update gate, the reset gate, the new state by way of the reset gate, and the new state.
+        d = np.empty((4, *x.shape, H), kind)
+        U = self._gates("state")
         back, any_fresh = np.zeros_like(last), fresh.any(axis=1)
         UT = np.ascontiguousarray(U.transpose(0, 2, 1))
         for t in range(len(x) - 1, -1, -1):
             before, z, r, n, u = keep[t]
             back += every[t]
-            dz, dr, dn, du = d_in[0, t], d_in[1, t], d_in[2, t], by_state[t]
-            rest = 1 - z
-            np.multiply(back, rest, out=dn)
+            dz, dr, du, dn = d[:, t]
+            np.subtract(1, z, out=dn)
+            dn *= back
             np.subtract(before, n, out=dz)
             dz *= dn
             dz *= z
-            dn *= 1 - n * n
+            np.multiply(n, n, out=dr)
+            np.subtract(1, dr, out=dr)
+            dn *= dr
             np.multiply(dn, r, out=du)
             np.subtract(1, r, out=dr)
             dr *= du
             dr *= u
             back *= z
-            back += dz @ UT[0]
-            back += dr @ UT[1]
-            back += du @ UT[2]
+            for g in np.matmul(d[:3, t], UT):
+                back += g
             if any_fresh[t]:
                 back[fresh[t]] = 0
-        before = np.concatenate([k[0] for k in keep]).T
-        grads["state"] = (every_row, np.concatenate([before @ d.reshape(-1, H) for d in (d_in[0], d_in[1], by_state)], axis=1))
-        d_x = d_in.reshape(3, -1, H)
-        grads["bias"] = (every_row, d_x.sum(1).ravel())
-        d_x = np.concatenate([d[by_input] for d in d_x], axis=1)
-        grads["inputs"] = (symbols, np.add.reduceat(d_x, first, axis=0))
+        before, d = np.concatenate([k[0] for k in keep]).T, d.reshape(4, -1, H)
+        grads["state"] = (every_row, np.concatenate([before @ g for g in d[:3]], axis=1))
+        d_x = np.empty((x.size, 3 * H), kind)
+        for k, g in enumerate((d[0], d[1], d[3])):
+            d_x[:, k * H : (k + 1) * H] = np.take(g, by_input, axis=0)
+        d_x = np.add.reduceat(d_x, first, axis=0)
+        grads["inputs"] = (symbols, d_x)
+        grads["bias"] = (every_row, d_x.sum(0))
         return grads, last

@@ -1,6 +1,6 @@
 """Language-model scoring with a gated recurrent network over a corpus-wide vocabulary.
 
-Documents are stored once in blocks, and their words as numbers, so texts are split into words once; blocks send their distinct words' hashes and counts to buckets and get back the
+Documents are dealt to blocks and stored as numbers of their words, so texts are split into words once; blocks send their distinct words' hashes and counts to buckets and get back the
 counts over all training documents (see ``tables``). From these counts come the unigram base, the vocabulary (the most
 frequent words, as many as the square root of the training words, ``VOCABULARY`` at least) and, for the rest, word shapes: 64
 classes by a word's last two bytes, each with its own counts. The network's symbols are the end, the vocabulary and the shapes; a word outside the vocabulary has the probability of its shape times
@@ -21,12 +21,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gatelens.llm.gru import Gru
-from gatelens.llm.tables import BLOCK_BYTES, by_block, fold_of, in_blocks, ordered, read_table, saved
-from gatelens.llm.words import LOWER, WordHashes, as_bytes, bucket_slices, mixed
+from gatelens.llm.tables import BLOCK_BYTES, by_block, dealt_blocks, fold_of, in_blocks, ordered, read_table, saved  # noqa: F401
+from gatelens.llm.words import bucket_slices, mixed
 
 FOLDS, HELD = 7, 2
 #: The vocabulary and the classes of symbols grow from these on.
@@ -52,13 +54,26 @@ WEIGHTS = pa.schema([("part", pa.int64()), ("n", pa.int64()), ("weights", pa.bin
 WEIGHTS_DDL = "part long, n long, weights binary"
 SCORES_DDL = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
-_hashes = WordHashes()
 
+def shapes_of(words: np.ndarray) -> np.ndarray:
+    """The shapes of words (of one byte or more), by their last two bytes or their only one."""
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    letters, ends = np.frombuffer(b"".join(words), np.uint8), np.cumsum(sizes)
+    last = letters[ends - 1].astype(np.int64)
+    endings, number = np.unique(np.where(sizes > 1, letters[np.maximum(ends - 2, 0)] * np.int64(256) + last, -1 - last), return_inverse=True)
+    return np.array([zlib.crc32(bytes(divmod(e, 256) if e >= 0 else [-1 - e])) % SHAPES for e in endings.tolist()], np.uint8)[number]
 
-class _Numbers(dict):
-    def __missing__(self, word: bytes) -> int:
-        value = self[word] = len(self)
-        return value
+
+def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The texts' numbers of words, all their words as numbers, and the distinct words that these count."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.fill_null("")))  # at x20 and x09 to x0D, as bytes.split()
+    found = lists.flatten().dictionary_encode()
+    numbers, words = found.indices.to_numpy(zero_copy_only=False), found.dictionary.cast(pa.binary())
+    text = np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+    kept = pc.binary_length(words).to_numpy(zero_copy_only=False) > 0  # space at a text's ends leaves empty words there
+    own = kept[numbers]
+    lengths = np.bincount(text[own], minlength=len(lists))
+    return lengths.astype(np.int32), (np.cumsum(kept) - 1).astype(np.int32)[numbers[own]], words.to_numpy(zero_copy_only=False)[kept]
 
 
 class Block:
@@ -69,22 +84,20 @@ class Block:
 
     @classmethod
     def parsed(cls, table: pa.Table) -> Block:
-        table, numbers = ordered(table), _Numbers()
+        table = ordered(table)
         ids = table.column("doc_id").to_pylist()
-        docs = [np.fromiter(map(numbers.__getitem__, w), np.int32, len(w)) for w in ((t or b"").translate(LOWER).split() for t in as_bytes(table.column("text")))]
-        words = list(numbers)
-        own = mixed(_hashes.of(words))
-        shape = np.fromiter((zlib.crc32(w[-2:]) % SHAPES for w in words), np.uint8, len(words))
+        lengths, numbers, words = words_of(table.column("text").combine_chunks())
+        own = mixed(np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)))
         keys, at, key_of = np.unique(own, return_index=True, return_inverse=True)
         return cls(
             table.column("block")[0].as_py(),
             np.array([0 if i is None else i for i in ids], np.int64),
             np.array([i is None for i in ids], bool),
             np.array([zlib.crc32(b"" if i is None else b"%d" % i) % FOLDS == HELD for i in ids], bool),
-            np.array([len(d) for d in docs], np.int32),
-            key_of.astype(np.int32)[np.concatenate(docs)],
+            lengths,
+            key_of.astype(np.int32)[numbers],
             keys,
-            shape[at],
+            shapes_of(words)[at],
         )
 
     @classmethod
@@ -105,6 +118,12 @@ def _code(table: pa.Table) -> pa.Table:
     return pa.Table.from_pylist([Block.parsed(table).row()], schema=CODED)
 
 
+def _code_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A partition's documents, which are one block."""
+    if own := list(batches):
+        yield from _code(pa.Table.from_batches(own)).to_batches()
+
+
 def _send(block: Block, buckets: int) -> pa.RecordBatch:
     counts = block.training_counts().astype(np.int64)
     rows = [dict(zip(SENT.names, (b, block.block, block.keys[s].tobytes(), counts[s].tobytes(), block.shapes[s].tobytes()))) for b, s in bucket_slices(block.keys, buckets)]
@@ -237,13 +256,13 @@ def fitted(blocks: DataFrame, n_blocks: int, symbols: Symbols, rounds: int, epoc
 def score_documents(docs: DataFrame, vocabulary: int = VOCABULARY) -> DataFrame:
     """Per row of ``doc_id`` and ``text``: ``doc_id``, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score`` and ``score``."""
     spark = docs.sparkSession
-    blocks, n_blocks = in_blocks(docs, by_id=False)
-    coded = by_block(blocks.groupBy("block").applyInArrow(_code, CODED_DDL), n_blocks, "coded")
+    dealt, n_blocks = dealt_blocks(docs, by_id=False)
+    coded = by_block(dealt.mapInArrow(_code_partition, CODED_DDL), n_blocks, "coded")
     sent = coded.mapInArrow(_sender(n_blocks), SENT_DDL)
     most = vocabulary_size(vocabulary, n_blocks * BLOCK_BYTES)  # no text has more words than bytes
     got = saved(sent.groupBy("bucket").applyInArrow(_counter(most), GOT_DDL), "counts")
 
-    n_docs = blocks.filter(fold_of("doc_id", FOLDS) != HELD).count()
+    n_docs = docs.select(F.col("doc_id").cast("long").alias("doc_id")).filter(fold_of("doc_id", FOLDS) != HELD).count()
     summaries = got.filter("block < 0").groupBy(F.pmod("bucket", F.lit(MERGED)).alias("part")).applyInArrow(_merger(most), GOT_DDL)
     words, counts, shapes, (shape_n, shape_v) = _unpacked([r.asDict() for r in summaries.collect()])  # at most MERGED of each
     train_tokens, distinct = int(shape_n.sum()) + n_docs, int(shape_v.sum()) + (n_docs > 0)

@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from odd import ODD, fold
 
+from gatelens.llm import gru
 from gatelens.llm import language_model as m
 from gatelens.llm.gru import Gru, lanes_of
 
@@ -120,6 +121,43 @@ def test_texts_are_split_once(spark, docs):
     assert taken == of_coded and all(np.allclose(one.w[k], two.w[k], atol=1e-4) for k in one.w)
 
 
+def test_texts_are_not_stored_beside_their_numbers(spark, docs, monkeypatch):
+    """Documents go to their blocks and become numbers in one step."""
+    kept = []
+    stored = m.by_block
+    monkeypatch.setattr(m, "by_block", lambda df, n, name: kept.append(df.columns) or stored(df, n, name))
+    monkeypatch.setattr(m, "in_blocks", None)
+    rows = corpus(60) + ODD
+    assert rounded(m.score_documents(docs(rows)).collect()) == plain(rows)
+    assert kept == [m.CODED.names]
+
+
+def test_words_equal_plain_split():
+    """Cut at six characters and no other, A-Z in lower case; null and empty texts, space at the ends, one-byte words."""
+    texts = [None, "", "   ", " a  b ", "\x0bA\x1cb\x85c d\u2003E \u00c9\x00 x\x1f", "\n\nzz\tZz\r", "\u00e9", "a a\x0ca", "Q"]
+    lengths, numbers, words = m.words_of(m.pa.array(texts))
+    expected = [(t or "").encode().translate(LOW).split() for t in texts]
+    assert lengths.tolist() == [len(w) for w in expected]
+    assert [words[k] for k in numbers] == [w for ws in expected for w in ws]
+    assert len(set(words)) == len(words)
+    assert m.shapes_of(words).tolist() == [m.zlib.crc32(w[-2:]) % m.SHAPES for w in words]
+    for none in ([], [None, " "]):
+        lengths, numbers, words = m.words_of(m.pa.array(none, m.pa.string()))
+        assert lengths.tolist() == [0] * len(none) and len(numbers) == len(words) == len(m.shapes_of(words)) == 0
+
+
+def test_chunks_change_no_gradient(model, monkeypatch):
+    """A class's tokens in one chunk or in several; classes without tokens."""
+    rng = np.random.default_rng(6)
+    x, y, fresh, own = rng.integers(0, 20, (9, 4)), rng.integers(0, 10, (9, 4)), rng.random((9, 4)) < 0.2, rng.random((9, 4)) < 0.9
+    monkeypatch.setattr(gru, "CHUNK", 1000)
+    one = model._gradients(np.zeros((4, 5)), x, y, own, fresh)[0]
+    monkeypatch.setattr(gru, "CHUNK", 3)
+    several = model._gradients(np.zeros((4, 5)), x, y, own, fresh)[0]
+    for k, (rows, g) in one.items():
+        assert np.array_equal(rows, several[k][0]) and np.allclose(g, several[k][1])
+
+
 @pytest.mark.parametrize("factor", [1, 300])
 def test_chunks_and_large_weights_change_no_probability(factor):
     """Slices of more tokens than a chunk; weights whose exponentials need a shift."""
